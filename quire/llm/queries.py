@@ -1,11 +1,15 @@
 """The queries of this subpackage over the whole tables, and their DuckDB SQL where SQL can express them."""
 
-from quire.llm import quality
+from quire.llm import bpe, matroska, mixing, quality
 
 QUERIES = {
+    "op1_matroska_media": matroska.op1,
+    "op6_bpe": bpe.op6,
+    "op8_systematic_mix": mixing.op8,
     "op9_quality_rules": quality.op9,
 }
 
 ORACLE_SQL = {
+    "op8_systematic_mix": mixing.SQL,
     "op9_quality_rules": quality.SQL,
 }
