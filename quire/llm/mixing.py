@@ -39,9 +39,9 @@ def targets(sources: DataFrame, weights=WEIGHTS, limit: int = LIMIT) -> DataFram
         "filled": F.coalesce(F.sum("cap").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)),
         "open": F.sum("w").over(by.rowsBetween(0, Window.unboundedFollowing)),
     })
-    # Filled up to this source, the level is what is left over the weights that are open; the first level below a cap holds.
+    # Filled up to this source, the level is what is left over the weights that are open; it falls from the first level on that is below its cap, and that one holds.
     df = df.withColumn("level", F.expr("(total - filled) / open"))
-    df = df.withColumn("level", F.min(F.expr("case when level <= cap / w then level end")).over(Window.partitionBy()))
+    df = df.withColumn("level", F.max(F.expr("case when level <= cap / w then level end")).over(Window.partitionBy()))
     return df.selectExpr("source", "source_size", "coalesce(least(cap, level * w), cap) as target")
 
 
@@ -104,7 +104,7 @@ sources as (select source, cast(sum(size) as bigint) as source_size from sized g
 weighed as (select *, [5.0, 2.0, 1.0][1 + (row_number() over (order by source nulls last) - 1) % 3]::double as w, source_size * 3.0::double as cap from sources),
 filled as (select *, (sum(source_size) over ())::double as total, coalesce(sum(cap) over (order by cap / w, source nulls last rows between unbounded preceding and 1 preceding), 0) as filled,
   sum(w) over (order by cap / w, source nulls last rows between current row and unbounded following) as open from weighed),
-levels as (select *, min(case when (total - filled) / open <= cap / w then (total - filled) / open end) over () as level from filled),
+levels as (select *, max(case when (total - filled) / open <= cap / w then (total - filled) / open end) over () as level from filled),
 goals as (select source, source_size, coalesce(least(cap, level * w), cap) as target,
   ('0x' || substr(sha256('mix' || case when source is null then '-' else '+' || source end), 1, 8))::bigint / 4294967296::double as u from levels),
 ranked as (select s.doc_id, s.size, g.*, row_number() over (partition by s.source order by s.size, s.doc_id, s.h) - 1 as k,
