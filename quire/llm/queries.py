@@ -1,9 +1,10 @@
 """The queries of this subpackage over the whole tables, and their DuckDB SQL where SQL can express them."""
 
-from quire.llm import bpe, matroska, mixing, partenum, quality
+from quire.llm import bpe, matroska, mixing, partenum, quality, suffixes
 
 QUERIES = {
     "op1_matroska_media": matroska.op1,
+    "op3_suffix_dedup": suffixes.op3,
     "op5_partenum_join": partenum.op5,
     "op6_bpe": bpe.op6,
     "op8_systematic_mix": mixing.op8,
