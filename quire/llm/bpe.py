@@ -87,7 +87,7 @@ class Vocabulary:
         self.ranks = order.astype(np.int32)
         self.ids = np.array(ids, np.int64)
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words = regex.compile(split)
+        self.lines = regex.compile(split + "|\\n")
         self.normalizer = Tokenizer.from_file(path).normalizer
         self.splitter = pre_tokenizers.Split(Regex(split), "removed", invert=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
@@ -151,32 +151,61 @@ class Vocabulary:
                 out += p.split()
         return out
 
+    def split_words(self, chunks: list[str]) -> tuple[list[str], np.ndarray]:
+        """The normalised words of chunks without special tokens, and how many each chunk has."""
+        joined = unicodedata.normalize("NFC", "\n".join(chunks))
+        # Sigma stays medial at word ends, so it is lowered by itself.
+        joined = joined.lower() if "\u03a3" not in joined else "".join([x.lower() for x in joined])
+        found = np.array(self.lines.findall(joined), object)
+        ends = np.flatnonzero(found == "\n")
+        counts = np.diff(np.concatenate(([-1], ends, [len(found)]))) - 1
+        return found[found != "\n"].tolist(), counts
+
+    def encode_flat(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks and special tokens in one array, and the number of ids of each."""
+        plain = [i for i, c in enumerate(chunks) if c not in self.special and max(c) < STABLE]
+        words: list[str] = []
+        counts = np.zeros(len(chunks), np.int64)
+        if plain:
+            words, counts[plain] = self.split_words([chunks[i] for i in plain])
+        if len(plain) < len(chunks):  # others keep their place
+            own = np.cumsum(counts) - counts
+            parts, at = [], 0
+            for i in sorted(set(range(len(chunks))).difference(plain)):
+                c = chunks[i]
+                parts += words[at : own[i]]
+                at = own[i]
+                more = [c] if c in self.special else [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(c))]
+                parts += more
+                counts[i] = len(more)
+            words = parts + words[at:]
+        mark = self.special
+        ids, sizes = self.encode_words([w.encode("utf-8", "replace") for w in words])
+        if not mark.keys().isdisjoint(chunks):
+            ids, sizes = self.with_special(words, chunks, counts, ids, sizes)
+        edges = np.concatenate(([0], np.cumsum(sizes)))
+        bounds = np.concatenate(([0], np.cumsum(counts)))
+        return ids, edges[bounds[1:]] - edges[bounds[:-1]]
+
+    def with_special(self, words, chunks, counts, ids, sizes):
+        """Puts the ids of special tokens where their strings were encoded as words."""
+        edges = np.concatenate(([0], np.cumsum(sizes)))
+        first = np.cumsum(counts) - counts
+        parts, at, sizes = [], 0, sizes.copy()
+        for i, c in enumerate(chunks):
+            if c in self.special:
+                w = first[i]
+                parts += [ids[at : edges[w]], np.array([self.special[c]])]
+                at = edges[w + 1]
+                sizes[w] = 1
+        return np.concatenate([*parts, ids[at:]]), sizes
+
     def encode_chunks(self, chunks: list[str]) -> list[np.ndarray]:
         """The ids of each chunk or special token."""
-        words: list[bytes] = []
-        counts = []
-        for c in chunks:
-            if c in self.special:
-                counts.append(-self.special[c])
-                continue
-            if max(c) < STABLE:
-                c = unicodedata.normalize("NFC", c)
-                c = "".join(x.lower() for x in c) if "Σ" in c else c.lower()  # sigma stays medial at word ends
-                found = self.words.findall(c)
-            else:
-                found = [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(c))]
-            words += [w.encode("utf-8", "replace") for w in found]
-            counts.append(len(found))
-        ids, sizes = self.encode_words(words)
-        starts = np.concatenate(([0], np.cumsum(sizes)))
-        out, at = [], 0
-        for n in counts:
-            if n < 0:
-                out.append(np.array([-n]))
-            else:
-                out.append(ids[starts[at] : starts[at + n]])
-                at += n
-        return out
+        if not chunks:
+            return []
+        ids, sizes = self.encode_flat(chunks)
+        return np.split(ids, np.cumsum(sizes)[:-1])
 
     def decode(self, ids) -> str:
         """The tokens joined by blanks, as the library does for a file without a decoder."""
@@ -197,11 +226,17 @@ class Encoder:
         if len(self.ids) > KEPT:
             self.ids, self.decoded = {}, {}
         new = list(set().union(*pieces).difference(self.ids))
-        names, tokens = self.names, self.vocabulary.tokens
-        for chunk, ids in zip(new, self.vocabulary.encode_chunks(new)):
-            ids = ids.tolist()
-            self.ids[chunk] = " ".join([names[i] for i in ids])
-            self.decoded[chunk] = " ".join([tokens[i] for i in ids])
+        if not new:
+            return
+        flat, sizes = self.vocabulary.encode_flat(new)
+        flat = flat.tolist()
+        names = list(map(self.names.__getitem__, flat))
+        tokens = list(map(self.vocabulary.tokens.__getitem__, flat))
+        at = 0
+        for chunk, n in zip(new, sizes.tolist()):
+            self.ids[chunk] = " ".join(names[at : at + n])
+            self.decoded[chunk] = " ".join(tokens[at : at + n])
+            at += n
 
     def encode(self, texts: list[str | None]):
         """For each text its ids and decoded text, each joined by blanks."""

@@ -1,17 +1,20 @@
 """The queries of this subpackage over the whole tables, and their DuckDB SQL where SQL can express them."""
 
-from quire.llm import bpe, matroska, mixing, partenum, quality, suffixes
+from quire.llm import bpe, lm, matroska, mixing, partenum, quality, repair, suffixes
 
 QUERIES = {
     "op1_matroska_media": matroska.op1,
     "op3_suffix_dedup": suffixes.op3,
     "op5_partenum_join": partenum.op5,
     "op6_bpe": bpe.op6,
+    "op7_repair_ids": repair.op7,
     "op8_systematic_mix": mixing.op8,
     "op9_quality_rules": quality.op9,
+    "op10_cross_entropy": lm.op10,
 }
 
 ORACLE_SQL = {
+    "op7_repair_ids": repair.op7,
     "op8_systematic_mix": mixing.SQL,
     "op9_quality_rules": quality.SQL,
 }
