@@ -49,3 +49,17 @@ def n_words(text: Column) -> Column:
 def only(docs: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, so that extra columns of any name can't clash with computed ones."""
     return docs.select(*[docs[n] for n in names])
+
+#: Residues that sift() broadcasts at most; a proven bound of its size, whatever the data.
+RESIDUES = 1 << 19
+
+
+def sift(df: DataFrame, key: str, keys: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of df whose long ``key`` may be among ``name`` of keys, rows for which it can't be).
+
+    Only residues of the keys are broadcast. Rows of few keys so needn't be shuffled to find them; with
+    very many keys nearly all rows may match, which costs no more than a join without this.
+    """
+    found = F.broadcast(keys.select(F.pmod(F.col(name), F.lit(RESIDUES)).alias("_residue")).where("_residue is not null").distinct())
+    at = F.pmod(df[key], F.lit(RESIDUES)) == F.col("_residue")
+    return df.join(found, at, "left_semi"), df.join(found, at, "left_anti")

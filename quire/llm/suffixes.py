@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import documents, written
+from quire.llm.common import documents, sift, written
 from quire.llm.partenum import mix
 
 LONG = 400
@@ -99,7 +99,8 @@ def sampled(data: np.ndarray):
         last = np.append(first[1:], len(place)) - 1
         pos = place[first]
         c = hashes.of(first, last + LONG) + ((pos - first) * 1009 + (pos - last)).astype(np.uint64) * np.uint64(BASE)
-        out.append((grams[pos], c, pos + at, first + at, last + at))
+        # The least of many fingerprints is small: mixed anew, so that buckets are even.
+        out.append((mix(grams[pos]), c, pos + at, first + at, last + at))
     if not out:
         return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 3
     return tuple(np.concatenate(x) for x in zip(*out))
@@ -214,31 +215,29 @@ class Family:
 
         def scan(batches):
             runs: dict[int, list[bytes]] = {}
-            old: dict[int, dict[int, list[bytes]]] = {}
+            old: dict[int, dict[int, list[bytes]]] = {}  # by rank
             for b in batches:
-                d = b.to_pydict()
-                plain = [i for i, k in enumerate(d["kind"]) if k == "span"]
-                if plain:
-                    yield b.take(pa.array(plain)).select(NAMES)
-                for i, kind in enumerate(d["kind"]):
-                    if kind == "run":
-                        runs.setdefault(d["bucket"][i], []).append(d["blob"][i])
-                    elif kind != "span":
-                        old.setdefault(d["bucket"][i], {}).setdefault(int(kind), []).append(d["blob"][i])
-            for k in set(runs) | set(old):
-                levels = old.get(k, {})
-                batch = ordered(read(runs.get(k, [])))
-                every = ordered(np.concatenate([batch, *(read(x) for x in levels.values())]))
+                plain = b.filter(b.column(9).is_null())
+                if plain.num_rows:
+                    yield plain
+                b = b.filter(b.column(9).is_valid())
+                for kind, k, blob in zip(b.column(0).to_pylist(), b.column(8).to_pylist(), b.column(9)):
+                    of = runs if kind == "run" else old.setdefault(int(kind), {})
+                    of.setdefault(k, []).append(blob.as_py())
+            for k in set(runs).union(*old.values()):
+                levels = {r: read(x.pop(k)) for r, x in old.items() if k in x}
+                batch = ordered(read(runs.pop(k, [])))
+                every = ordered(np.concatenate([batch, *levels.values()]))
                 gone, one = repeats(every)
                 if len(gone):
                     yield spans(gone)
-                # Rivals that a level holds by itself were told when it came to be.
+                # Rivals within a level were told when it came to be.
                 new = np.isin(one["h"], batch["h"])
                 c = contested(one[new])
                 if len(c):
                     yield rivals(c, k)
                 if store:
-                    into = repeats(ordered(np.concatenate([batch, *(read(x) for r, x in levels.items() if r in merged)])))[1]
+                    into = repeats(ordered(np.concatenate([batch, *(x for r, x in levels.items() if r in merged)])))[1]
                     yield rows("level", 1, bucket=pa.array([k], pa.int32()), blob=pa.array([into.tobytes()], pa.binary()))
 
         source = docs.select("doc", "t", "text").mapInArrow(pack, ROW)
@@ -262,6 +261,7 @@ def settled(found: DataFrame, docs: DataFrame, buckets: int) -> DataFrame:
     """Spans (doc, t, start, stop) of contested suffixes: their strings are hashed one by one."""
     rivals_ = found.where("kind = 'rival'").groupBy("doc", "t").agg(F.collect_set(F.struct("start", "stop", "h", "hi", "many")).alias("a"))
     df = rivals_.withColumnRenamed("doc", "rd").withColumnRenamed("t", "rt")
+    docs, _ = sift(docs, "t", df, "rt")
     one = docs.join(df, docs["t"].eqNullSafe(df["rt"]) & docs["doc"].eqNullSafe(df["rd"]))
 
     def hashes(batches):
@@ -362,11 +362,14 @@ def left(data: bytes, cuts: list[list[int]]) -> bytes:
     return b"".join([*parts, data[at:]])
 
 
-def with_spans(docs: DataFrame, extra: list) -> DataFrame:
-    df = named(docs)
-    spans_ = removals(df).withColumnRenamed("doc", "sd").withColumnRenamed("t", "st")
-    df = df.select("doc", "t", "text") if not extra else docs.select(docs["doc_id"].cast("long").alias("doc"), F.xxhash64(docs["text"]).alias("t"), docs["text"].alias("text"), *extra)
-    return df.join(spans_, df["t"].eqNullSafe(spans_["st"]) & df["doc"].eqNullSafe(spans_["sd"]), "left")
+def with_spans(docs: DataFrame, extra: list[tuple[str, str]]) -> DataFrame:
+    """doc, t, text, the extra columns under their new names, and spans (null: none)."""
+    names = ["doc", "t", "text", *(n for _, n in extra)]
+    df = docs.select(docs["doc_id"].cast("long").alias("doc"), F.xxhash64(docs["text"]).alias("t"), docs["text"].alias("text"), *[docs[c].alias(n) for c, n in extra])
+    spans_ = written(removals(df.select("doc", "t", "text")), "spans").withColumnRenamed("doc", "sd").withColumnRenamed("t", "st")
+    some, none = sift(df, "t", spans_, "st")
+    some = some.join(spans_, some["t"].eqNullSafe(spans_["st"]) & some["doc"].eqNullSafe(spans_["sd"]), "left").select(*names, "spans")
+    return some.unionByName(none.select(*names).withColumn("spans", F.lit(None).cast(spans_.schema["spans"].dataType)))
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -405,7 +408,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             gone = pa.array([not (a and not t) for a, t in zip(b.column(b.num_columns - 1).to_pylist(), texts)])
             yield pa.RecordBatch.from_arrays(cols, own).filter(gone)
 
-    df = with_spans(docs, [docs[c].alias(o) for c, o in zip(docs.columns, own)])
+    df = with_spans(docs, list(zip(docs.columns, own)))
     return df.select(*own, "spans").mapInArrow(cut, df.select(*own).schema).toDF(*docs.columns)
 
 
