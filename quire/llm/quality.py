@@ -169,8 +169,8 @@ def keep_good(docs: DataFrame) -> DataFrame:
     # No filter is moved below this column; moved, it would repeat the counts in its condition many times over.
     df = df.withColumn("_row", F.monotonically_increasing_id())  # used in the condition, or it would be pruned
     df = df.where("not base_failed and _row >= 0").withColumns({"k": F.expr(KEY), **{f"x{i}": F.expr(vector(i)) for i in P}})
-    rest = params.where("k = '*'").drop("k").select(*[F.col(c).alias(f"r_{c}") for c in params.columns if c != "k"])
-    df = df.join(params, "k", "left").join(F.broadcast(rest), F.lit(True), "left")  # rest: one row at most
+    rest = params.where("k = '*'").select(F.lit(1).alias("one"), *[F.col(c).alias(f"r_{c}") for c in params.columns if c != "k"])
+    df = df.withColumn("one", F.lit(1)).join(params, "k", "left").join(F.broadcast(rest), "one", "left")  # one row at most
     df = df.withColumns({c: F.coalesce(c, f"r_{c}") for c in params.columns if c != "k"})
     for n, e in whitened():
         df = df.withColumn(n, F.expr(e))

@@ -1,10 +1,12 @@
 """The queries of this subpackage over the whole tables, and their DuckDB SQL where SQL can express them."""
 
-from quire.llm import bpe, lm, matroska, mixing, partenum, quality, repair, suffixes
+from quire.llm import bpe, links, lm, matroska, mixing, partenum, quality, quotes, repair, suffixes
 
 QUERIES = {
     "op1_matroska_media": matroska.op1,
+    "op2_link_trust": links.op2,
     "op3_suffix_dedup": suffixes.op3,
+    "op4_quote_threads": quotes.op4,
     "op5_partenum_join": partenum.op5,
     "op6_bpe": bpe.op6,
     "op7_repair_ids": repair.op7,
