@@ -26,6 +26,7 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from tokenizers import Regex, Tokenizer, pre_tokenizers
@@ -36,12 +37,15 @@ WORD_BPE = "word_bpe_49k.json"
 #: Chunks that a worker keeps, and characters of text that it takes at once.
 KEPT = 500_000
 SLICE = 2_000_000
+#: The same of workers that keep ids as numbers, and bytes of text they take at once.
+CHUNKS_KEPT, BYTES = 1_000_000, 8_000_000
 #: White space of the file's normaliser; str.split() also splits at the four separators, which it does not.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 WHITE = regex.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
-#: Below this character all versions of Unicode in use agree on letters and digits.
-STABLE = "\u0530"
+#: Below these characters all versions of Unicode in use agree on letters and digits.
+UNSTABLE = regex.compile("[\u0530-\U0010ffff]")
 NONE = np.iinfo(np.int32).max
+SHIFT = np.uint32(16)
 
 
 def vocabulary_path(name: str = WORD_BPE) -> str:
@@ -72,20 +76,22 @@ class Vocabulary:
         for token, i in self.special.items():
             self.tokens[i] = token
         symbols = byte_symbols()
-        self.inner = np.array([vocab[c] for c in symbols], np.int64)
-        self.last = np.array([vocab[c + end] for c in symbols], np.int64)
+        self.inner = np.array([vocab[c] for c in symbols], np.uint32)
+        self.last = np.array([vocab[c + end] for c in symbols], np.uint32)
         made = {}
         keys, ids = [], []
+        if len(self.tokens) > 1 << 16:
+            raise ValueError("pair keys hold ids of 16 bits")
         for rank, (a, b) in enumerate(model["merges"]):
             if max(made.get(a, -1), made.get(b, -1)) >= rank:
                 raise ValueError("a merge comes before its parts")
             made.setdefault(a + b, rank)
-            keys.append(vocab[a] << 20 | vocab[b])
+            keys.append(vocab[a] << 16 | vocab[b])
             ids.append(vocab[a + b])
-        order = np.argsort(np.array(keys, np.int64), kind="stable")
-        self.keys = np.array(keys, np.int64)[order]
+        order = np.argsort(np.array(keys, np.uint32), kind="stable")
+        self.keys = np.array(keys, np.uint32)[order]
         self.ranks = order.astype(np.int32)
-        self.ids = np.array(ids, np.int64)
+        self.ids = np.array(ids, np.uint32)
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.lines = regex.compile(split + "|\\n")
         self.normalizer = Tokenizer.from_file(path).normalizer
@@ -101,22 +107,25 @@ class Vocabulary:
         """Ids of all words in one array, and the number of ids of each; no word is empty."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         if not len(words):
-            return np.zeros(0, np.int64), lengths
+            return np.zeros(0, np.uint32), lengths
         flat = np.frombuffer(b"".join(words), np.uint8)
         ends = np.cumsum(lengths)
         sym = self.inner[flat]
         sym[ends - 1] = self.last[flat[ends - 1]]
         word = np.repeat(np.arange(len(words)), lengths)
+        same = word[1:] == word[:-1]
+        rank = np.full(len(sym), NONE, np.int32)  # of the pair that a symbol begins
+        inside = np.flatnonzero(same)
+        rank[inside] = self.rank(sym[inside] << SHIFT | sym[inside + 1])
         done_sym, done_word = [], []
         while len(sym):
             first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-            rank = np.full(len(sym), NONE, np.int32)
-            inside = np.flatnonzero(word[1:] == word[:-1])
-            rank[inside] = self.rank(sym[inside] << 20 | sym[inside + 1])
             size = np.diff(np.append(first, len(sym)))
-            lowest = np.repeat(np.minimum.reduceat(rank, first), size)
-            active = lowest != NONE
-            if not active.all():
+            least = np.minimum.reduceat(rank, first)
+            open_ = least != NONE
+            lowest = np.repeat(least, size)
+            if not open_.all():
+                active = np.repeat(open_, size)
                 done_sym.append(sym[~active])
                 done_word.append(word[~active])
                 sym, word, rank, lowest = sym[active], word[active], rank[active], lowest[active]
@@ -130,7 +139,18 @@ class Vocabulary:
             sym[at] = self.ids[rank[at]]
             stay = np.ones(len(sym), bool)
             stay[at + 1] = False
-            sym, word = sym[stay], word[stay]
+            at = at - np.arange(len(at))  # places after the gaps close: one gap for each merge before
+            sym, word, rank = sym[stay], word[stay], rank[stay]
+            # Only the pairs that a merged symbol begins or ends have changed.
+            touched = np.zeros(len(sym), bool)
+            touched[at] = True
+            touched[np.maximum(at - 1, 0)] = True
+            changed = np.flatnonzero(touched)
+            next_ = np.minimum(changed + 1, len(sym) - 1)
+            pair = (word[changed] == word[next_]) & (next_ > changed)
+            rank[changed] = NONE
+            c = changed[pair]
+            rank[c] = self.rank(sym[c] << SHIFT | sym[c + 1])
         sym, word = np.concatenate(done_sym), np.concatenate(done_word)
         order = np.argsort(word, kind="stable")
         return sym[order], np.bincount(word, minlength=len(words))
@@ -162,12 +182,19 @@ class Vocabulary:
         return found[found != "\n"].tolist(), counts
 
     def encode_flat(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of chunks and special tokens in one array, and the number of ids of each."""
-        plain = [i for i, c in enumerate(chunks) if c not in self.special and max(c) < STABLE]
+        """The ids of chunks in one array, and the number of ids of each; special tokens may be within chunks."""
         words: list[str] = []
+        special: list[int] = []  # which words are special tokens
         counts = np.zeros(len(chunks), np.int64)
-        if plain:
-            words, counts[plain] = self.split_words([chunks[i] for i in plain])
+        joined = "".join(chunks)
+        if not any(m in joined for m in self.marks) and not UNSTABLE.search(joined):
+            plain = range(len(chunks))
+            if chunks:
+                words, counts[:] = self.split_words(chunks)
+        else:
+            plain = [i for i, c in enumerate(chunks) if not any(m in c for m in self.marks) and not UNSTABLE.search(c)]
+            if plain:
+                words, counts[plain] = self.split_words([chunks[i] for i in plain])
         if len(plain) < len(chunks):  # others keep their place
             own = np.cumsum(counts) - counts
             parts, at = [], 0
@@ -175,29 +202,27 @@ class Vocabulary:
                 c = chunks[i]
                 parts += words[at : own[i]]
                 at = own[i]
-                more = [c] if c in self.special else [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(c))]
-                parts += more
-                counts[i] = len(more)
+                for x in self.cut.split(c):
+                    more = [x] if x in self.special else [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(x))] if x else []
+                    special += [len(parts)] if x in self.special else []
+                    parts += more
+                    counts[i] += len(more)
             words = parts + words[at:]
-        mark = self.special
         ids, sizes = self.encode_words([w.encode("utf-8", "replace") for w in words])
-        if not mark.keys().isdisjoint(chunks):
-            ids, sizes = self.with_special(words, chunks, counts, ids, sizes)
+        if special:
+            ids, sizes = self.with_special(words, special, ids, sizes)
         edges = np.concatenate(([0], np.cumsum(sizes)))
         bounds = np.concatenate(([0], np.cumsum(counts)))
         return ids, edges[bounds[1:]] - edges[bounds[:-1]]
 
-    def with_special(self, words, chunks, counts, ids, sizes):
+    def with_special(self, words: list[str], special: list[int], ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Puts the ids of special tokens where their strings were encoded as words."""
         edges = np.concatenate(([0], np.cumsum(sizes)))
-        first = np.cumsum(counts) - counts
         parts, at, sizes = [], 0, sizes.copy()
-        for i, c in enumerate(chunks):
-            if c in self.special:
-                w = first[i]
-                parts += [ids[at : edges[w]], np.array([self.special[c]])]
-                at = edges[w + 1]
-                sizes[w] = 1
+        for w in special:
+            parts += [ids[at : edges[w]], np.array([self.special[words[w]]], np.uint32)]
+            at = edges[w + 1]
+            sizes[w] = 1
         return np.concatenate([*parts, ids[at:]]), sizes
 
     def encode_chunks(self, chunks: list[str]) -> list[np.ndarray]:
@@ -270,6 +295,83 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+class Numbers(dict):
+    """Numbers of chunks in the order in which they were met; new: those met last."""
+
+    new: list[str]
+
+    def __init__(self):
+        self.new = []
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = n = len(self)
+        self.new.append(chunk)
+        return n
+
+
+class Chunks:
+    """Chunks of text met by a worker: their number, and the ids of each."""
+
+    def __init__(self, path: str):
+        self.vocabulary = Vocabulary(path)
+        self.clear()
+
+    def clear(self) -> None:
+        self.number = Numbers()
+        self.parts = [np.zeros(0, np.int32)]
+        self.sizes = [np.zeros(0, np.int64)]
+
+    def numbers(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the chunks of texts, end to end, and how many each text has."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        chunks = split.flatten()
+        some = pc.not_equal(chunks, "").to_numpy(zero_copy_only=False)
+        ends = np.concatenate(([0], np.cumsum(some)))
+        offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
+        coded = chunks.filter(pa.array(some)).dictionary_encode()
+        own = np.fromiter(map(self.number.__getitem__, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+        if self.number.new:
+            ids, sizes = self.vocabulary.encode_flat(self.number.new)
+            self.parts.append(ids.astype(np.int32))
+            self.sizes.append(sizes)
+            self.number.new = []
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        return own[at] if len(at) else np.zeros(0, np.int64), np.diff(ends[offsets])
+
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        self.parts, self.sizes = [np.concatenate(self.parts)], [np.concatenate(self.sizes)]
+        return self.parts[0], self.sizes[0]
+
+
+def gathered(flat: np.ndarray, sizes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The stretches of flat that rows name, one after the other."""
+    first = np.cumsum(sizes) - sizes
+    n = sizes[rows]
+    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    return flat[np.repeat(first[rows], n) + step]
+
+
+_CHUNKS: dict[str, Chunks] = {}
+
+
+def chunks_of(path: str) -> Chunks:
+    """One for each file and Python worker, kept from task to task."""
+    if path not in _CHUNKS:
+        _CHUNKS[path] = Chunks(path)
+    return _CHUNKS[path]
+
+
+def portions(texts: pa.Array, most: int):
+    """Numbers of rows that hold about so many bytes of text, one row at least."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        before = int(ends[at - 1]) if at else 0
+        take = max(1, int(np.searchsorted(ends, before + most)) - at)
+        yield min(take, len(sizes) - at)
+        at += take
+
+
 def column_strings(values: pa.Array) -> list[str | None]:
     """Texts of a column; bytes that are no UTF-8 are replaced."""
     return [v if v is None or isinstance(v, str) else v.decode("utf-8", "replace") for v in values.to_pylist()]
@@ -280,13 +382,18 @@ def encode(docs: DataFrame, key: str = "doc_id", column: str = "text", path: str
     path = path or vocabulary_path()
 
     def run(batches):
-        e = encoder(path)
+        c = chunks_of(path)
         for b in batches:
             at = 0
-            for part in slices(column_strings(b.column(1))):
-                ids = [list(map(int, i.split())) for i, _ in e.encode(part)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(part)), pa.array(ids, pa.list_(pa.int32()))], [key, "ids"])
-                at += len(part)
+            for take in portions(b.column(1), BYTES):
+                if len(c.number) > CHUNKS_KEPT:
+                    c.clear()
+                found, lens = c.numbers(b.column(1).slice(at, take))
+                flat, sizes = c.table()
+                ends = np.concatenate(([0], np.cumsum(sizes[found])))[np.concatenate(([0], np.cumsum(lens)))]
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(gathered(flat, sizes, found), pa.int32()))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, take), ids], [key, "ids"])
+                at += take
 
     return docs.select(docs[key], docs[column]).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, ids array<int>")
 

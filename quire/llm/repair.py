@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.bpe import Vocabulary, slices, vocabulary_path
+from quire.llm.bpe import BYTES, CHUNKS_KEPT, chunks_of, gathered, portions, vocabulary_path
 from quire.llm.common import documents, written
 
 END = 2
@@ -33,44 +33,7 @@ END = 2
 SYMBOLS = 1 << 16
 #: Ids a shard, about; rounds within chunks and along documents; new rules a round; least count of a pair.
 SHARD = 6_000_000
-CHUNK_ROUNDS, ROUNDS, RULES, LEAST = 4, 3, 2400, 8
-CHUNKS_KEPT = 1_000_000
-
-
-class Chunks:
-    """Chunks of text met by a worker: their number, and the ids of each."""
-
-    def __init__(self, path: str):
-        self.vocabulary = Vocabulary(path)
-        self.clear()
-
-    def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.parts = [np.zeros(0, np.int32)]
-        self.sizes = [np.zeros(0, np.int64)]
-
-    def numbers(self, pieces: list[list[str]]) -> list[np.ndarray]:
-        new = list(set().union(*pieces).difference(self.number))
-        if new:
-            ids, sizes = self.vocabulary.encode_flat(new)
-            self.parts.append(ids.astype(np.int32))
-            self.sizes.append(sizes)
-            base = len(self.number)
-            self.number.update(zip(new, range(base, base + len(new))))
-        get = self.number.__getitem__
-        return [np.fromiter(map(get, p), np.int64, len(p)) for p in pieces]
-
-    def table(self) -> tuple[np.ndarray, np.ndarray]:
-        self.parts, self.sizes = [np.concatenate(self.parts)], [np.concatenate(self.sizes)]
-        return self.parts[0], self.sizes[0]
-
-
-def gathered(flat: np.ndarray, sizes: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """The stretches of flat that rows name, one after the other."""
-    first = np.cumsum(sizes) - sizes
-    n = sizes[rows]
-    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    return flat[np.repeat(first[rows], n) + step]
+CHUNK_ROUNDS, ROUNDS, RULES, LEAST = 3, 2, 4000, 8
 
 
 def round_of(seq: np.ndarray, owner: np.ndarray, weight: np.ndarray | None, rules: list[np.ndarray], base: int, room: int):
@@ -89,45 +52,54 @@ def round_of(seq: np.ndarray, owner: np.ndarray, weight: np.ndarray | None, rule
         count = np.add.reduceat(weight[owner[:-1][inside][order]], first) if len(k) else first
     often = count >= LEAST
     found, count = found[often], count[often]
+    room = min(room, RULES)
     if len(found) > room:
         keep = np.argpartition(-count, room - 1)[:room]
         found = np.sort(found[keep])
     if not len(found):
         return seq, owner
-    at = np.minimum(np.searchsorted(found, key), len(found) - 1)
-    hit = np.flatnonzero((found[at] == key) & inside)
+    begins_, ends_ = np.zeros(SYMBOLS, bool), np.zeros(SYMBOLS, bool)
+    begins_[found >> np.uint32(16)] = True
+    ends_[found & np.uint32(0xFFFF)] = True
+    maybe = np.flatnonzero(inside & begins_[seq[:-1]] & ends_[seq[1:]])
+    at = np.minimum(np.searchsorted(found, key[maybe]), len(found) - 1)
+    same = found[at] == key[maybe]
+    hit, rule = maybe[same], at[same]
     # Neighbouring hits overlap: of a run every second is taken.
     begins = np.concatenate(([True], hit[1:] != hit[:-1] + 1))
     run = np.maximum.accumulate(np.where(begins, np.arange(len(hit)), 0))
-    hit = hit[(np.arange(len(hit)) - run) % 2 == 0]
+    even = (np.arange(len(hit)) - run) % 2 == 0
+    hit, rule = hit[even], rule[even]
     seq = seq.copy()
-    seq[hit] = base + at[hit]
+    seq[hit] = base + rule
     stay = np.ones(len(seq), bool)
     stay[hit + 1] = False
     rules.append(np.stack((found >> 16, found & 0xFFFF), 1).astype(np.uint16))
     return seq[stay], owner[stay]
 
 
-def compress(flat: np.ndarray, sizes: np.ndarray, chunks: list[np.ndarray], terminals: int) -> dict:
-    """A shard of documents, given as numbers of chunks; flat and sizes are the chunks' ids."""
-    lens = np.array([len(c) for c in chunks], np.int64)
-    every = np.concatenate(chunks) if len(chunks) else np.zeros(0, np.int64)
-    used, every, weight = np.unique(every, return_inverse=True, return_counts=True)
+def compress(flat: np.ndarray, sizes: np.ndarray, every: np.ndarray, lens: np.ndarray, terminals: int) -> dict:
+    """A shard of documents of lens chunks each, all laid end to end; flat and sizes are the chunks' ids."""
+    times = np.bincount(every, minlength=len(sizes))
+    used = np.flatnonzero(times)
+    place = np.zeros(len(sizes), np.int64)
+    place[used] = np.arange(len(used))
+    every, weight = place[every], times[used]
     seq, n = gathered(flat, sizes, used).astype(np.uint16), sizes[used]
-    doc = np.repeat(np.arange(len(chunks)), lens)
-    tokens = np.bincount(doc, weights=n[every], minlength=len(chunks)).astype(np.int64) + 1
+    doc = np.repeat(np.arange(len(lens), dtype=np.int32), lens)
+    tokens = np.bincount(doc, weights=n[every], minlength=len(lens)).astype(np.int64) + 1
     rules: list[np.ndarray] = []
     owner = np.repeat(np.arange(len(used)), n)
     made = 0
     for _ in range(CHUNK_ROUNDS):
-        seq, owner = round_of(seq, owner, weight, rules, terminals + made, min(RULES, SYMBOLS - terminals - made))
+        seq, owner = round_of(seq, owner, weight, rules, terminals + made, SYMBOLS - terminals - made)
         made = sum(map(len, rules))
     n = np.bincount(owner, minlength=len(used))
     seq, owner = gathered(seq, n, every), np.repeat(doc, n[every])
     for _ in range(ROUNDS):
-        seq, owner = round_of(seq, owner, None, rules, terminals + made, min(RULES, SYMBOLS - terminals - made))
+        seq, owner = round_of(seq, owner, None, rules, terminals + made, SYMBOLS - terminals - made)
         made = sum(map(len, rules))
-    symbols = np.bincount(owner, minlength=len(chunks)).astype(np.int64)
+    symbols = np.bincount(owner, minlength=len(lens)).astype(np.int64)
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint16)
     # The end id follows each document's symbols.
     seq = np.insert(seq, np.cumsum(symbols), END).astype("<u2")
@@ -148,13 +120,14 @@ def lengths(rules: np.ndarray, terminals: int) -> np.ndarray:
 
 
 def expand(seq: np.ndarray, rules: np.ndarray, terminals: int) -> np.ndarray:
-    """The ids of symbols: nonterminals are opened, round after round."""
-    seq = seq.astype(np.int64)
+    """The ids of symbols. First the rules are opened, round after round, then all symbols at once."""
     n = np.concatenate((np.ones(terminals, np.int64), np.full(len(rules), 2)))
     body = np.concatenate((np.arange(terminals), rules.astype(np.int64).ravel()))
-    while len(seq) and seq.max() >= terminals:
-        seq = gathered(body, n, seq)
-    return seq
+    while len(body) and body.max() >= terminals:
+        owner = np.repeat(np.arange(len(n)), n)
+        open_ = n[body]
+        body, n = gathered(body, n, body), np.bincount(owner, weights=open_, minlength=len(n)).astype(np.int64)
+    return gathered(body.astype(np.int32), n, seq.astype(np.int64))
 
 
 def stretch(shard: dict, start: int, n: int) -> np.ndarray:
@@ -178,15 +151,13 @@ def shards(docs: DataFrame, path: str | None = None) -> DataFrame:
     df = df.repartitionByRange(*keys).sortWithinPartitions(*keys).select(F.spark_partition_id().alias("part"), "doc", "text")
 
     def run(batches):
-        if path not in _WORKERS:
-            _WORKERS[path] = Chunks(path)
-        worker = _WORKERS[path]
+        worker = chunks_of(path)
         terminals = len(worker.vocabulary.tokens)
-        part, piece, held, names, n = None, 0, [], [], 0
+        part, piece, held, counts, names, n = None, 0, [], [], [], 0
 
         def flush():
             flat, sizes = worker.table()
-            s = compress(flat, sizes, held, terminals)
+            s = compress(flat, sizes, np.concatenate(held), np.concatenate(counts), terminals)
             ids = np.array([d or 0 for d in names], "<i8")
             row = [part, piece, int(s["tokens"].sum()), terminals, ids.tobytes(), np.array([d is None for d in names], "u1").tobytes(), s["tokens"].astype("<u4").tobytes(), s["symbols"].astype("<u4").tobytes(), s["rules"].astype("<u2").tobytes(), s["lengths"].astype("<u4").tobytes(), s["sequence"].tobytes()]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 7]
@@ -197,15 +168,16 @@ def shards(docs: DataFrame, path: str | None = None) -> DataFrame:
                 continue
             part = b.column(0)[0].as_py()
             at = 0
-            for texts in slices(b.column(2).to_pylist()):
-                found = worker.numbers([worker.vocabulary.pieces(t or "") for t in texts])
-                held += found
-                names += b.column(1).slice(at, len(texts)).to_pylist()
-                at += len(texts)
-                n += sum(map(len, found)) * 5 // 2
+            for take in portions(b.column(2), BYTES):
+                found, lens = worker.numbers(b.column(2).slice(at, take))
+                held.append(found)
+                counts.append(lens)
+                names += b.column(1).slice(at, take).to_pylist()
+                at += take
+                n += len(found) * 5 // 2
                 if n > SHARD:
                     yield flush()
-                    piece, held, names, n = piece + 1, [], [], 0
+                    piece, held, counts, names, n = piece + 1, [], [], [], 0
                     if len(worker.number) > CHUNKS_KEPT:
                         worker.clear()
         if names:
@@ -216,10 +188,6 @@ def shards(docs: DataFrame, path: str | None = None) -> DataFrame:
     return written(df.mapInArrow(run, SHARDS), "ids")
 
 
-#: One for each Python worker, kept from task to task.
-_WORKERS: dict[str, Chunks] = {}
-
-
 def shard_of(row: dict) -> dict:
     """The arrays of a row of the table of shards."""
     return {

@@ -17,7 +17,8 @@ def test_shard_round_trip_and_random_access(size):
     sizes = r.integers(1, 6, 200)
     flat = r.integers(0, 40, int(sizes.sum())).astype(np.int32)
     docs = [r.integers(0, 200, r.integers(0, 60)) for _ in range(size)]
-    s = repair.compress(flat, sizes, docs, 49408)
+    lens = np.array([len(d) for d in docs], np.int64)
+    s = repair.compress(flat, sizes, np.concatenate([np.zeros(0, np.int64), *docs]), lens, 49408)
     want = [np.append(repair.gathered(flat, sizes, d), repair.END) for d in docs]
     ids = repair.expand(s["sequence"], s["rules"], 49408)
     every = np.concatenate(want) if want else np.zeros(0)
@@ -50,5 +51,6 @@ def test_sample(spark, monkeypatch):
 
 
 def test_edges(spark):
-    check(edge_documents(spark))
+    odd = [(90, "a<|endoftext|>b <|startoftext|> c\x1cd\x85e\u2003f \u6f22\u5b57<|endoftext|>x <|x|>"), (91, "<|endoftext|>")]
+    check(edge_documents(spark).select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string")))
     assert repair.digest(repair.shards(edge_documents(spark).limit(0))).collect() == []
