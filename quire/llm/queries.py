@@ -16,7 +16,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
-    "op7_repair_ids": repair.op7,
     "op8_systematic_mix": mixing.SQL,
     "op9_quality_rules": quality.SQL,
 }
