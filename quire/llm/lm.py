@@ -25,20 +25,20 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import documents, written
+from quire.llm.common import documents, sift, written
 from quire.llm.partenum import _WORDS, WORDS_KEPT, mix
 
 ALPHA, BETA = 0.1, 5.0
 CHUNK = 2_000_000
 #: Word before the first of a document.
 START = np.uint64(0x5851F42D4C957F2D)
-#: Hashes keep so many bits: even at 10^12 grams, few equal another's.
-BITS = 56
+#: Hashes keep so many bits: at 10^12 grams, one in 300 equals another's. The last bit tells unigrams.
+BITS = 48
 
 
 def packed(x: np.ndarray) -> bytes:
     """Numbers as compressed planes of bytes; sorted or small ones shrink well."""
-    return zstandard.compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes(), 1)
+    return zstandard.compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes(), 3)
 
 
 def unpacked(data: bytes, dtype: str) -> np.ndarray:
@@ -46,31 +46,45 @@ def unpacked(data: bytes, dtype: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(size, -1).T).view(dtype)[:, 0] if data else np.zeros(0, dtype)
 
 
+def steps(x: np.ndarray) -> bytes:
+    """Ascending numbers, by their differences."""
+    return packed(np.diff(x, prepend=np.zeros(1, x.dtype)))
+
+
 def grams(words: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each word of documents laid end to end: hashes of it, of the word before, and of both."""
     before = np.concatenate(([START], words[:-1]))
     first = np.cumsum(lens) - lens
     before[first[lens > 0]] = START
     shift = np.uint64(64 - BITS)
-    one = lambda x: mix(x + np.uint64(1)) >> shift
-    return one(words), one(before), mix(before * np.uint64(0x9E3779B97F4A7C15) + words) >> shift
+    one = lambda x: mix(x + np.uint64(1)) >> shift | np.uint64(1)
+    return one(words), one(before), mix(before * np.uint64(0x9E3779B97F4A7C15) + words) >> shift & ~np.uint64(1)
 
 
-def counted(words: np.ndarray, lens: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The distinct grams of a chunk in order, where each word's three grams are among them, and both counts."""
+def counted(words: np.ndarray, lens: np.ndarray, target: np.ndarray | None) -> tuple:
+    """The distinct grams of a chunk in order, where each word's three grams are among them, and both counts if asked for."""
     w, v, b = grams(words, lens)
     n = len(words)
-    good = np.repeat(target, lens)
-    start = v == (mix(START.reshape(1) + np.uint64(1)) >> np.uint64(64 - BITS))[0]
+    start = np.zeros(n, bool)
+    start[(np.cumsum(lens) - lens)[lens > 0]] = True
     every = np.concatenate((w, v[start], b))
-    found, at = np.unique(every, return_inverse=True)
-    weight = np.concatenate((good, good[start], good))
-    both = np.bincount(at, minlength=len(found)).astype(np.uint32)
-    goods = np.bincount(at[weight], minlength=len(found)).astype(np.uint32)
-    of_before = np.empty(n, np.int64)
-    of_before[start] = at[n : n + int(start.sum())]
-    of_before[~start] = at[:n][np.flatnonzero(~start) - 1]
-    return found, at[:n], of_before, at[n + int(start.sum()) :], both, goods
+    del w, v, b
+    order = np.argsort(every)
+    every = every[order]
+    new = np.concatenate(([True], every[1:] != every[:-1]))
+    at = np.empty(len(order), np.int32)
+    at[order] = np.cumsum(new, dtype=np.int32) - 1
+    found = every[new]
+    del every, order, new
+    both = goods = None
+    if target is not None:
+        good = np.repeat(target, lens)
+        both = np.bincount(at, minlength=len(found)).astype(np.uint32)
+        goods = np.bincount(at[np.concatenate((good, good[start], good))], minlength=len(found)).astype(np.uint32)
+    before = np.empty(n, np.int32)
+    before[start] = at[n : n + int(start.sum())]
+    before[~start] = at[:n][np.flatnonzero(~start) - 1]
+    return found, at[:n], before, at[n + int(start.sum()) :], both, goods
 
 
 ROW = "kind string, bucket int, chunk long, n long, m long, a binary, b binary, c binary, d binary"
@@ -86,7 +100,9 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text and whether the document is of the target."""
     good = labels.groupBy("doc_id").agg(F.max("quality").alias("q")).where("q = 1").select(F.col("doc_id").alias("_good"))
     df = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    return df.join(good, df["doc_id"] == good["_good"], "left").select("doc_id", "text", F.col("_good").isNotNull().alias("target"))
+    some, none = sift(df, "doc_id", good, "_good")
+    some = some.join(good, some["doc_id"] == good["_good"], "left").select("doc_id", "text", F.col("_good").isNotNull().alias("target"))
+    return some.union(none.select("doc_id", "text", F.lit(False).alias("target")))
 
 
 def exchanged(df: DataFrame, buckets: int) -> DataFrame:
@@ -97,7 +113,12 @@ def exchanged(df: DataFrame, buckets: int) -> DataFrame:
 
         def flush():
             words = np.concatenate(held)
-            distinct, at = np.unique(words, return_inverse=True)
+            distinct, at, times = np.unique(words, return_inverse=True, return_counts=True)
+            # Frequent words first, in order of their hashes within a class: both arrays then pack well.
+            order = np.lexsort((distinct, -np.frexp(times.astype(float))[1]))
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            distinct, at = distinct[order], place[at]
             size, good = np.array(lens, np.int64), np.array(target, bool)
             found, _, _, _, both, goods = counted(words, size, good)
             name = int(mix(np.array([hash((tuple(ids[:9]), n, len(ids))) & (1 << 63) - 1], np.uint64) + words[:1])[0] >> np.uint64(1))
@@ -108,7 +129,7 @@ def exchanged(df: DataFrame, buckets: int) -> DataFrame:
             for k in range(buckets):
                 s = slice(cut[k], cut[k + 1])
                 if cut[k] < cut[k + 1]:
-                    yield row("ask", k, name, None, None, packed(found[s]), packed(both[s]), packed(goods[s]), None)
+                    yield row("ask", k, name, None, None, steps(found[s]), packed(both[s]), packed(goods[s]), None)
 
         for b in batches:
             for doc, text, good in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
@@ -138,9 +159,10 @@ def exchanged(df: DataFrame, buckets: int) -> DataFrame:
                 asked.setdefault(x["bucket"], []).append((x["chunk"], x["a"], x["b"], x["c"]))
         for k in list(asked):
             asks = asked.pop(k)
-            parts = [unpacked(a, "<u8") for _, a, _, _ in asks]
+            parts = [np.cumsum(unpacked(a, "<u8")) for _, a, _, _ in asks]
             found, at = np.unique(np.concatenate(parts), return_inverse=True)
             sums = [np.bincount(at, weights=np.concatenate([unpacked(x[i], "<u4") for x in asks]), minlength=len(found)).astype("<u8") for i in (2, 3)]
+            yield row("words", k, None, int((found & np.uint64(1)).sum()), None, None, None, None, None)
             edge = 0
             for (chunk, *_), p in zip(asks, parts):
                 mine = at[edge : edge + len(p)]
@@ -150,10 +172,11 @@ def exchanged(df: DataFrame, buckets: int) -> DataFrame:
     return written(df.mapInArrow(ask, ROW).repartition(buckets, "bucket").mapInArrow(answer, ROW), "grams")
 
 
-def scored(rows: DataFrame, vocabulary: int, buckets: int) -> DataFrame:
-    """Losses of each document of the chunks; vocabulary: number of words."""
-    total = rows.where("kind = 'chunk'").agg(F.sum("n"), F.sum("m")).first()
-    size, good = float(total[0] or 0), float(total[1] or 0)
+def scored(rows: DataFrame, buckets: int) -> DataFrame:
+    """Losses of each document of the chunks. Three sums reach the driver: words, target words, different words."""
+    total = {r.kind: r for r in rows.where("kind in ('chunk', 'words')").groupBy("kind").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).collect()}
+    size, good = (float(total["chunk"].n), float(total["chunk"].m)) if "chunk" in total else (0.0, 0.0)
+    vocabulary = total["words"].n - 1 if "words" in total else 0  # without the start
 
     def run(batches):
         chunks: dict[int, dict] = {}
@@ -171,7 +194,7 @@ def scored(rows: DataFrame, vocabulary: int, buckets: int) -> DataFrame:
             x, got = chunks.pop(name), answers.pop(name)
             lens = unpacked(x["b"], "<u4").astype(np.int64)
             words = unpacked(x["c"], "<u8")[unpacked(x["d"], "<u4")]
-            _, w, v, b, _, _ = counted(words, lens, np.zeros(len(lens), bool))
+            _, w, v, b, _, _ = counted(words, lens, None)
             losses = []
             for i, n in ((1, good), (0, size)):
                 c = np.concatenate([unpacked(got[k][i], "<u8") for k in sorted(got)]).astype(np.float64)
@@ -189,36 +212,14 @@ def scored(rows: DataFrame, vocabulary: int, buckets: int) -> DataFrame:
         diff = pa.array(np.zeros(n) if losses is None else (losses[0] - losses[1]) / np.maximum(lens, 1), mask=empty)
         return pa.RecordBatch.from_arrays([ids, pa.array(lens, pa.int64()), *mean, diff], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
-    return rows.repartition(buckets, "chunk").mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
-
-
-def distinct_words(rows: DataFrame, buckets: int) -> int:
-    """Number of different words of all chunks: each bucket of hashes counts its own."""
-
-    def spread(batches):
-        for b in batches:
-            for data in b.column(0).to_pylist():
-                h = unpacked(data, "<u8")
-                at = (h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-                cut = np.searchsorted(at, np.arange(buckets + 1))  # the words of a chunk are sorted
-                yield pa.RecordBatch.from_arrays([pa.array(range(buckets), pa.int32()), pa.array([packed(h[cut[k] : cut[k + 1]]) if cut[k] < cut[k + 1] else b"" for k in range(buckets)], pa.binary())], ["bucket", "h"])
-
-    def count(batches):
-        by: dict[int, list[np.ndarray]] = {}
-        for b in batches:
-            for k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                by.setdefault(k, []).append(unpacked(data, "<u8"))
-        yield pa.RecordBatch.from_arrays([pa.array([sum(len(np.unique(np.concatenate(x))) for x in by.values())], pa.int64())], ["n"])
-
-    got = rows.where("kind = 'chunk'").select("c").mapInArrow(spread, "bucket int, h binary").repartition(buckets, "bucket").mapInArrow(count, "n long")
-    return int(got.agg(F.sum("n")).first()[0] or 0)
+    return rows.where("kind <> 'words'").repartition(buckets, "chunk").mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
 
 
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document: words, mean target and background loss, and their difference, the score."""
     buckets = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = exchanged(labelled(docs, labels), buckets)
-    return scored(rows, distinct_words(rows, buckets), buckets)
+    return scored(rows, buckets)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
