@@ -16,9 +16,10 @@ of another cut of the domain.
 
 A task packs its signatures by bucket into few binary rows, equal sets once. The task of a bucket
 sorts them and gives the groups of sets that share a signature. Links are not sought between all
-pairs of a group: each member is tested against the group's first set, exactly, on all shingles;
-sets found connected need no test among each other, the first set leaves the group, and rounds go on
-until no group holds two components.
+pairs of a group: each member is tested against the group's first set, exactly, on all shingles, unless
+the profiles of both, counts in ranges of hashes, already show that they differ too much;
+sets found connected need no test among each other, sets that have met all others leave the group, and
+rounds with more first sets go on until no group holds two components.
 
 Defined cases: null or blank text has an empty set and links with nothing; fewer than five words form
 one shingle; equal sets are one node, so any number of copies costs no pairs; null doc_ids don't take
@@ -33,11 +34,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.bpe import slices
-from quire.llm.common import documents, written
+from quire.llm.common import documents, sift, written
 from quire.llm.graph import components
 
 SHINGLE = 5
@@ -46,6 +46,7 @@ SIMILAR = 80
 FAMILIES = 6
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 WORDS_KEPT = 1_000_000
+PROFILE = 128
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -140,29 +141,32 @@ def signatures(s: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
+def profile(s: np.ndarray) -> bytes:
+    """Numbers of a set's hashes in PROFILE ranges, 255 at most. Two sets differ in at least the sum of differences."""
+    return np.minimum(np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=PROFILE), 255).astype(np.uint8).tobytes()
+
+
 def set_key(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
-def sets(docs: DataFrame) -> DataFrame:
-    """doc_id, t (hash of the text, to find it again), size and key of the shingle set of each row."""
-
-    def run(batches):
-        for b in batches:
-            texts = b.column(2)
-            found = [shingles(t.as_py()) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in found], pa.int64()), pa.array([set_key(s) for s in found], pa.binary())], ["doc_id", "t", "size", "key"])
+def shared(docs: DataFrame, buckets: int) -> DataFrame:
+    """One pass over the texts of docs: rows (kind 'row': doc_id, t, size, key) and groups (kind 'member': g, key).
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("t"), docs["text"].alias("text")).mapInArrow(run, "doc_id long, t long, size long, key binary")
+    t is the hash of the text, to find it again; a group holds two or more different sets that share a
+    signature. g is a hash of the members, so equal groups have one g.
+    """
+    names = ["bucket", "blob", "doc_id", "t", "size", "key", "profile"]
+    types = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 
-
-def shared(docs: DataFrame, buckets: int) -> DataFrame:
-    """Groups (g, key) of two or more different sets that share a signature; equal groups once per bucket."""
+    def batch(**given):
+        n = len(next(iter(given.values())))
+        return pa.RecordBatch.from_arrays([pa.array(given[c], t) if c in given else pa.nulls(n, t) for c, t in zip(names, types)], names)
 
     def pack(batches):
         keys, lens, sigs, seen, held = [], [], [], set(), 0
 
-        def rows():
+        def blobs():
             sig = np.concatenate(sigs)
             who = np.repeat(np.arange(len(keys), dtype=np.uint32), lens)
             bucket = ((sig >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
@@ -170,22 +174,24 @@ def shared(docs: DataFrame, buckets: int) -> DataFrame:
             sig, who, bucket = sig[order], who[order], bucket[order]
             cut = np.searchsorted(bucket, np.arange(buckets + 1))
             table = np.frombuffer(b"".join(keys), "V16")
-            at, blobs = [], []
+            at, out = [], []
             for k in range(buckets):
                 s, w = sig[cut[k] : cut[k + 1]], who[cut[k] : cut[k + 1]]
                 if len(s):
-                    # Rows of one set are adjacent: its key once with its count, then 6 of the 8 bytes of each signature.
+                    # Signatures of one set are adjacent: its key once with their count, then 6 of the 8 bytes of each.
                     begin = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
                     count = np.diff(np.append(begin, len(w))).astype(np.uint32)
                     low = s.view(np.uint8).reshape(-1, 8)[:, :6]
-                    blobs.append(np.uint32(len(begin)).tobytes() + count.tobytes() + table[w[begin]].tobytes() + low.tobytes())
+                    out.append(np.uint32(len(begin)).tobytes() + count.tobytes() + table[w[begin]].tobytes() + low.tobytes())
                     at.append(k)
-            return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+            return batch(bucket=at, blob=out)
 
         for b in batches:
-            for t in b.column(0):
-                s = shingles(t.as_py())
+            found = []
+            for text in b.column(2):
+                s = shingles(text.as_py())
                 k = set_key(s)
+                found.append((len(s), k, profile(s)))
                 if not len(s) or k in seen:
                     continue
                 seen.add(k)
@@ -194,17 +200,26 @@ def shared(docs: DataFrame, buckets: int) -> DataFrame:
                 lens.append(len(sigs[-1]))
                 held += lens[-1]
                 if held > 4_000_000:
-                    yield rows()
+                    yield blobs()
                     keys, lens, sigs, held = [], [], [], 0
                     if len(seen) > 1_000_000:
                         seen.clear()
+            if found:
+                yield batch(doc_id=b.column(0), t=b.column(1), size=[x[0] for x in found], key=[x[1] for x in found], profile=[x[2] for x in found])
         if keys:
-            yield rows()
+            yield blobs()
+
+    out_names = ["kind", "g", "key", "doc_id", "t", "size", "profile"]
 
     def groups(batches):
         by: dict[int, list[bytes]] = {}
         for b in batches:
-            for k, blob in zip(b.column(0).to_pylist(), b.column(1)):
+            plain = b.filter(b.column(1).is_null())
+            n = plain.num_rows
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array(["row"] * n), pa.nulls(n, pa.int64()), plain.column(5), plain.column(2), plain.column(3), plain.column(4), plain.column(6)], out_names)
+            packed = b.filter(b.column(1).is_valid())
+            for k, blob in zip(packed.column(0).to_pylist(), packed.column(1)):
                 by.setdefault(k, []).append(blob.as_py())
         for k in list(by):
             yield from grouped(by.pop(k))
@@ -220,36 +235,91 @@ def shared(docs: DataFrame, buckets: int) -> DataFrame:
             sigs.append(low.view(np.uint64)[:, 0])
             who.append(np.repeat(np.arange(base, base + n, dtype=np.uint32), count))
             base += n
-        table, sig = np.concatenate(keys), np.concatenate(sigs)
-        words = table.view(np.uint64).reshape(-1, 2)
-        order = np.lexsort((words[:, 1], words[:, 0]))
-        new = np.concatenate(([True], (words[order][1:] != words[order][:-1]).any(axis=1)))
-        number = np.empty(len(table), np.uint32)
-        number[order] = np.cumsum(new) - 1
-        table = table[order][new]  # distinct, in the order of their numbers
-        who = number[np.concatenate(who)]
+        table, sig, who = np.concatenate(keys), np.concatenate(sigs), np.concatenate(who)
         order = np.argsort(sig, kind="stable")
         sig, who = sig[order], who[order]
         same = sig[1:] == sig[:-1]
         inside = np.concatenate((same, [False])) | np.concatenate(([False], same))
         sig, who = sig[inside], who[inside]
-        begin = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else []
-        seen = set()
-        for a, z in zip(begin, np.append(begin[1:], len(sig)) if len(sig) else []):
-            members = np.unique(who[a:z])
-            name = xxhash.xxh3_64_intdigest(table[members].tobytes())
-            if len(members) > 1 and name not in seen:
-                seen.add(name)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(members), name, np.uint64).view(np.int64)), pa.array([x.tobytes() for x in table[members]], pa.binary())], ["g", "key"])
+        if not len(sig):
+            return
+        # The same set may come from several tasks: number the sets that are left, and drop repeats in a group.
+        words = table.view(np.uint64).reshape(-1, 2)
+        used, who = np.unique(who, return_inverse=True)
+        table, words = table[used], words[used]
+        order = np.lexsort((words[:, 1], words[:, 0]))
+        new = np.concatenate(([True], (words[order][1:] != words[order][:-1]).any(axis=1)))
+        number = np.empty(len(table), np.int64)
+        number[order] = np.cumsum(new) - 1
+        table, words, who = table[order][new], words[order][new], number[who]
+        order = np.lexsort((who, sig))
+        sig, who = sig[order], who[order]
+        once = np.concatenate(([True], (sig[1:] != sig[:-1]) | (who[1:] != who[:-1])))
+        sig, who = sig[once], who[once]
+        begin = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+        size = np.diff(np.append(begin, len(sig)))
+        name = np.add.reduceat(mix(words[who, 0] + mix(words[who, 1])), begin)
+        _, first = np.unique(name, return_index=True)
+        keep = np.zeros(len(begin), bool)
+        keep[first] = True
+        keep &= size > 1
+        take = np.repeat(keep, size)
+        g, who = np.repeat(name, size)[take], who[take]
+        n = len(g)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(["member"] * n), pa.array(g.view(np.int64)), pa.array([x.tobytes() for x in table[who]], pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], out_names)
+
+    packed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("t"), docs["text"].alias("text"))
+    packed = packed.mapInArrow(pack, "bucket int, blob binary, doc_id long, t long, size long, key binary, profile binary")
+    packed = packed.withColumn("bucket", F.coalesce("bucket", F.expr(f"cast(pmod(xxhash64(doc_id, t), {buckets}) as int)")))
+    return packed.repartition(buckets, "bucket").mapInArrow(groups, "kind string, g long, key binary, doc_id long, t long, size long, profile binary")
+
+
+def ranked(groups: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """groups (g, key, size) that hold two or more components, with c, the component, and rank in the group.
+
+    Sets of components with few members in the group come first: once they have met all others, what is
+    left is one component.
+    """
+    if comp is None:
+        df = groups.withColumn("c", F.col("key"))
+    else:
+        df = groups.join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("c", F.coalesce("comp", "key")).drop("comp")
+    open_ = df.groupBy("g").agg(F.min("c").alias("a"), F.max("c").alias("z")).where("a <> z").select("g")
+    df = df.join(open_, "g", "left_semi").withColumn("n", F.count("*").over(Window.partitionBy("g", "c")))
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy("n", "key"))).select("g", "key", "size", "c", "rank")
+
 
-    packed = docs.select(docs["text"]).mapInArrow(pack, "bucket int, blob binary")
-    return packed.repartition(buckets, "bucket").mapInArrow(groups, "g long, key binary")
+def once(groups: DataFrame) -> DataFrame:
+    """(u, v) of each set v and, of the last sets of its groups, the least one that may be similar and isn't connected.
+
+    The last set of a group is of the component with most members there.
+    """
+    last = groups.groupBy("g").agg(F.max_by(F.struct("key", "size", "c"), "rank").alias("l"))
+    df = groups.join(last, "g").where(f"c <> l.c and 100 * least(size, l.size) >= {SIMILAR} * greatest(size, l.size)")
+    return df.groupBy("key").agg(F.min("l.key").alias("l")).selectExpr("least(key, l) as u", "greatest(key, l) as v").distinct()
 
 
-def stars(groups: DataFrame) -> DataFrame:
-    """(u, v) of each group's first member and every other."""
-    first = groups.groupBy("g").agg(F.min("key").alias("u"))
-    return groups.join(first, "g").where("key <> u").select("u", F.col("key").alias("v")).distinct()
+def met(groups: DataFrame, first: int) -> DataFrame:
+    """(u, v) of the first members of each ranked group and those after them, of fitting sizes, not yet connected."""
+    u = groups.where(F.col("rank") <= first).selectExpr("g", "key as u", "size as su", "c as cu", "rank as ru")
+    pairs = u.join(groups.selectExpr("g", "key as v", "size as sv", "c as cv", "rank as rv"), "g").where("ru < rv and cu <> cv")
+    return pairs.where(f"100 * least(su, sv) >= {SIMILAR} * greatest(su, sv)").selectExpr("least(u, v) as u", "greatest(u, v) as v").distinct()
+
+
+def close(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """The pairs whose profiles let them be similar; held has key, size and profile of each set."""
+    side = lambda x: held.selectExpr(f"key as {x}", f"size as s{x}", f"profile as p{x}")
+    both = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "su", "sv", "pu", "pv")
+
+    def run(batches):
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, PROFILE).astype(np.int16) for i in (4, 5))
+            size = b.column(2).to_numpy() + b.column(3).to_numpy()
+            near = (100 + SIMILAR) * np.abs(x - y).sum(axis=1, dtype=np.int64) <= (100 - SIMILAR) * size
+            yield b.select(["u", "v"]).filter(pa.array(near))
+
+    return both.mapInArrow(run, "u binary, v binary")
 
 
 def tested(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -281,8 +351,8 @@ def tested(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     s = written(texts.select("key", "text").mapInArrow(set_bytes, "key binary, s binary"), "sets")
     at = F.expr(f"pmod(xxhash64(v), {salts})")
     left = pairs.withColumn("salt", at).join(s.selectExpr("key as v", "s as y"), "v")
-    right = s.selectExpr("key as u", "s as x", f"explode(sequence(0L, {salts - 1}L)) as salt")
-    joined = left.join(right.join(pairs.select("u", at.alias("salt")).distinct(), ["u", "salt"], "left_semi"), ["u", "salt"])
+    right = pairs.select("u", at.alias("salt")).distinct().join(s.selectExpr("key as u", "s as x"), "u")
+    joined = left.join(right, ["u", "salt"])
     return joined.select("u", "v", "x", "y").mapInArrow(compare, "u binary, v binary, linked boolean")
 
 
@@ -290,51 +360,45 @@ def joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """rows (doc_id, t, size, key) of docs, and comp (node, comp) of the keys that have links."""
     spark = docs.sparkSession
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = written(sets(docs), "shingled")
-    groups = written(shared(docs, buckets), "groups")
+    found = written(shared(docs, buckets), "shared")
+    rows = found.where("kind = 'row'").select("doc_id", "t", "size", "key")
+    groups = written(found.where("kind = 'member'").select("g", "key").distinct(), "groups")
     # One row of each set stands for it, so that copies of its text are not moved.
-    held = rows.groupBy("key").agg(F.min(F.struct("t", F.expr("doc_id is null"), "doc_id")).alias("r"))
-    held = held.join(groups.select("key").distinct(), "key", "left_semi").selectExpr("key", "r.t as rt", "r.doc_id as rd")
+    held = found.where("kind = 'row'").join(groups.select("key").distinct(), "key", "left_semi")
+    held = held.groupBy("key").agg(F.min(F.struct("t", F.expr("doc_id is null"), "doc_id", "size", "profile")).alias("r"))
+    held = written(held.selectExpr("key", "r.size as size", "r.profile as profile", "r.t as rt", "r.doc_id as rd"), "held")
+    groups = groups.join(held.select("key", "size"), "key")
     texts = docs.select(F.xxhash64(docs["text"]).alias("t"), docs["doc_id"].cast("long").alias("d"), docs["text"].alias("text"))
+    texts, _ = sift(texts, "t", held, "rt")
     texts = written(texts.join(held, (F.col("t") == F.col("rt")) & F.col("d").eqNullSafe(F.col("rd"))).select("key", "text").dropDuplicates(["key"]), "texts")
-    links, done, comp = None, None, None
+    links, done, comp, first = None, None, None, 8
+
+    def test(pairs: DataFrame) -> bool:
+        """Tests pairs that weren't tested; whether any of them is a link."""
+        nonlocal links, done, comp
+        pairs = written(pairs if done is None else pairs.join(done, ["u", "v"], "left_anti"), "pairs")
+        done = pairs if done is None else done.union(pairs)
+        some = written(close(pairs, held), "pairs")
+        needed = some.selectExpr("u as key").union(some.selectExpr("v as key")).distinct()
+        new = written(tested(some, texts.join(needed, "key", "left_semi")).where("linked").select("u", "v"), "tested")
+        if new.isEmpty():
+            return False
+        links = new if links is None else links.union(new)
+        comp = components(links)
+        return True
+
+    # One pair of each set at a time, as long as that joins components: most groups become one of them.
     while True:
-        pairs = stars(groups)
-        if done is not None:
-            pairs = pairs.join(done, ["u", "v"], "left_anti")
-        if comp is not None:
-            pairs = apart(pairs, comp)
-        pairs = written(pairs, "pairs")
-        # One pair of each set first: it mostly joins a whole group, and the others need no test.
-        one = written(pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), "pairs")
-        for first_pass in (True, False):
-            if not first_pass and done is None:
-                break
-            some = one if first_pass else written(apart(pairs.join(done, ["u", "v"], "left_anti"), comp), "pairs")
-            if some.isEmpty():
-                continue
-            needed = some.selectExpr("u as key").union(some.selectExpr("v as key")).distinct()
-            got = written(tested(some, texts.join(needed, "key", "left_semi")), "tested")
-            new = got.where("linked").select("u", "v")
-            done = got.select("u", "v") if done is None else done.union(got.select("u", "v"))
-            links = new if links is None else links.union(new)
-            comp = components(links)
-        if comp is None:
-            return rows, spark.createDataFrame([], "node binary, comp binary")
-        # The first of each group has met all others; groups of one component are done.
-        first = groups.groupBy("g").agg(F.min("key").alias("key"))
-        rest = groups.join(first, ["g", "key"], "left_anti").join(comp.withColumnRenamed("node", "key"), "key", "left")
-        rest = rest.withColumn("c", F.coalesce("comp", "key"))
-        open_ = rest.groupBy("g").agg(F.min("c").alias("a"), F.max("c").alias("z")).where("a <> z").select("g")
-        groups = written(rest.join(open_, "g").select("g", "key"), "groups")
-        if groups.isEmpty():
-            return rows, comp
-
-
-def apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """The pairs whose ends aren't known to be connected."""
-    df = pairs.join(comp.selectExpr("node as u", "comp as cu"), "u", "left").join(comp.selectExpr("node as v", "comp as cv"), "v", "left")
-    return df.where("cu is null or cv is null or cu <> cv").select("u", "v")
+        groups = written(ranked(groups, comp), "groups")
+        if groups.isEmpty() or not test(once(groups)):
+            break
+    # What is left holds sets that aren't similar to others of their group: the first of each group meet all others.
+    while not groups.isEmpty():
+        test(met(groups, first))
+        # They leave it.
+        groups = written(ranked(groups.where(F.col("rank") > first).select("g", "key", "size"), comp), "groups")
+        first *= 8
+    return rows, comp if comp is not None else spark.createDataFrame([], "node binary, comp binary")
 
 
 def classes(rows: DataFrame, comp: DataFrame) -> DataFrame:

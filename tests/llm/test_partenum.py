@@ -65,9 +65,9 @@ def test_edges(spark):
 def test_chains_and_copies(spark):
     r = random.Random(3)
     data, i = [], 0
-    for size in [1, 3, 4, 5, 6, 8, 9, 12, 15, 20, 30, 41, 60, 90, 140, 300]:
+    for size in [1, 4, 5, 8, 12, 20, 41, 90, 300]:
         base = [f"w{r.randrange(5000)}" for _ in range(size)]
-        for _ in range(14):  # a chain of edits: ends may be unlike though all are connected
+        for _ in range(9):  # a chain of edits: ends may be unlike though all are connected
             data.append((i, " ".join(base)))
             i += 1
             base = list(base)
