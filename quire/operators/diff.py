@@ -48,9 +48,8 @@ def _defaults(s, d):
     return df.select("event_id", F.coalesce("x.k", F.lit(0)).alias("k"), F.coalesce("x.label", F.lit("")).alias("label"), F.coalesce(F.size("x.tags"), F.lit(0)).cast("long").alias("tags"))
 
 
-def _exclusive(s, d):
+def exclusive(o: DataFrame) -> DataFrame:
     """Making the first line of each order the one correct option: only lines that change."""
-    o = table(s, d, "lineitem").where("l_orderkey < 2000")
     first = o.groupBy("l_orderkey").agg(F.min(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")).alias("f"))
     now = (F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice") == F.col("f")).alias("now")
     return o.join(first, "l_orderkey").select("l_orderkey", "l_linenumber", "l_partkey", now, (F.col("l_returnflag") == "R").alias("was")).where("now <> was")
@@ -63,7 +62,8 @@ QUERIES = {
     "patch_diff": lambda s, d: versions(s, d).where("text <> text2").select("conv_id", "turn", (F.length("text2") - F.length("text")).cast("long").alias("delta")),
     "partial_apply": _partial,
     "patch_rules": lambda s, d: options(s, d).groupBy("question").agg(F.count_if("correct").alias("c"), F.count("*").alias("n"), F.count_distinct("part").alias("k")).where("c > 1 or n <> k").select("question", F.expr("case when c > 1 then 'many_correct' else 'repeated_option' end").alias("refusal")),
-    "exclusive_answer": _exclusive,
+    "exclusive_answer": lambda s, d: exclusive(table(s, d, "lineitem").where("l_orderkey < 2000")),
+    "exclusive_answer_all": lambda s, d: exclusive(table(s, d, "lineitem")),
     "changed_fields": lambda s, d: versions(s, d).select("conv_id", "turn", F.concat_ws(",", F.when(F.expr("role is distinct from role2"), "role"), F.when(F.expr("text is distinct from text2"), "text"), F.when(F.expr("left(text, 1) is distinct from left(text2, 1)"), "initial")).alias("changed")),
     "revision_list": lambda s, d: table(s, d, "conversations").where("conv_id = 3").orderBy(F.desc("turn")).limit(50).select("turn", "role"),
 }
@@ -81,3 +81,5 @@ ORACLE_SQL = {
     "changed_fields": f"with {_V} select conv_id, turn, concat_ws(',', case when role is distinct from role2 then 'role' end, case when text is distinct from text2 then 'text' end, case when left(text, 1) is distinct from left(text2, 1) then 'initial' end) as changed from v",
     "revision_list": "select turn, role from conversations where conv_id = 3 order by turn desc limit 50",
 }
+#: The same over all rows.
+ORACLE_SQL["exclusive_answer_all"] = ORACLE_SQL["exclusive_answer"].replace(" where l_orderkey < 2000", "")

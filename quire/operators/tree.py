@@ -73,9 +73,9 @@ _INJECTED_SQL = """small as (select id, case when kind = 'SECTION' and cast(subs
   union all select 'x' || i, 'x' || (i // 3 * 3 + (i + 1) % 3) from range(30) r(i) union all select 'y' || i, 'x' || i from range(5) r(i))"""
 
 
-def _filter(s, d):
+def _filter(s, d, of: str = "true"):
     tree = nodes(s, d)
-    hits = tree.where((F.col("kind") == "QUESTION") & fold(F.col("title")).contains("urgent") & F.expr("cast(substring(id, 2) as bigint) % 97 = 0"))
+    hits = tree.where((F.col("kind") == "QUESTION") & fold(F.col("title")).contains("urgent")).where(of)
     return with_ancestors(tree, hits)
 
 
@@ -110,7 +110,8 @@ QUERIES = {
     "tree_preorder": lambda s, d: forest(nodes(s, d)).select("id", "root", "depth", "path"),
     "subtree": lambda s, d: subtree(nodes(s, d), "n3"),
     "soft_delete_subtree": lambda s, d: nodes(s, d).join(subtree(nodes(s, d), "n5").select("id", F.lit(True).alias("x")), "id", "left").groupBy("kind", F.coalesce("x", F.lit(False)).alias("deleted")).agg(F.count("*").alias("n")),
-    "tree_filter_ancestors": _filter,
+    "tree_filter_ancestors": lambda s, d: _filter(s, d, "cast(substring(id, 2) as bigint) % 97 = 0"),
+    "tree_filter_ancestors_all": _filter,
     "ancestor_path": _path,
     "orphans": lambda s, d: orphans(_injected(s, d)),
     "cycles": lambda s, d: cycles(_injected(s, d)),
@@ -142,3 +143,5 @@ ORACLE_SQL = {
     "node_title": f"select doc_id, case when doc_id % 5 = 0 then 'Questão ' || doc_id when length(text) > 30 then case when length({_TITLE}) > 57 then left({_TITLE}, 57) || '…' else {_TITLE} end else 'Sem título' end as title from documents",
     "distinct_kinds": "select 'CHAPTER,QUESTION,SECTION' as kinds",
 }
+#: The same over all rows.
+ORACLE_SQL["tree_filter_ancestors_all"] = ORACLE_SQL["tree_filter_ancestors"].replace(" and cast(substr(id, 2) as bigint) % 97 = 0", "")

@@ -76,7 +76,7 @@ def _shuffle(s, d):
 def _variants(s, d):
     """A variant of each customer's orders as questions, with their lines as options; the last line is pinned."""
     o = options(s, d).groupBy("question").agg(F.array_sort(F.collect_list(F.struct("at", "number"))).alias("a"))
-    q = table(s, d, "orders").where("o_custkey < 200").join(o, F.col("o_orderkey") == F.col("question"))
+    q = table(s, d, "orders").join(o, F.col("o_orderkey") == F.col("question"))
     one = q.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").cast("string").alias("q"), F.transform("a", lambda x, i: F.concat(F.col("o_orderkey").cast("string"), F.lit("."), i.cast("string"))).alias("o")))).alias("questions"))
 
     def run(batches):
@@ -97,15 +97,15 @@ def _answers(s, d):
     return o.select("question", at.alias("i")).where("i >= 0").select("question", option_label(F.col("i")).alias("letter"))
 
 
-def _exam(s, d):
-    o = table(s, d, "lineitem").where("l_orderkey < 500").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("a"))
+def exam(lines: DataFrame) -> DataFrame:
+    o = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("a"))
     items = F.array_join(F.transform("a", lambda x: F.concat(F.lit("\\item "), x["l_partkey"].cast("string"))), "\n")
     return o.select("l_orderkey", F.concat(F.lit("\\begin{enumerate}\n"), items, F.lit("\n\\end{enumerate}")).alias("latex"))
 
 
-def _reason(s, d):
-    used = table(s, d, "lineitem").where("l_orderkey < 300").select(F.col("l_partkey").alias("p_partkey"), F.lit(True).alias("used")).distinct()
-    return table(s, d, "part").join(used, "p_partkey", "left").select("p_partkey", F.expr("case when used then 'already' when p_type = 'PROMO' then 'no_section' when p_brand = 'Brand#3' then 'foreign' else 'ok' end").alias("reason"))
+def add_reason(parts: DataFrame, lines: DataFrame) -> DataFrame:
+    used = lines.select(F.col("l_partkey").alias("p_partkey"), F.lit(True).alias("used")).distinct()
+    return parts.join(used, "p_partkey", "left").select("p_partkey", F.expr("case when used then 'already' when p_type = 'PROMO' then 'no_section' when p_brand = 'Brand#3' then 'foreign' else 'ok' end").alias("reason"))
 
 
 QUERIES = {
@@ -115,8 +115,10 @@ QUERIES = {
     "answer_labels": _answers,
     "first_correct": lambda s, d: options(s, d).where("correct").groupBy("question").agg(F.min(F.struct("at", "part"))["part"].alias("part")),
     "fingerprint": lambda s, d: options(s, d).groupBy("question").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda x: x["part"].cast("string")), "\n"), 256).alias("fingerprint")),
-    "exam_text": _exam,
-    "add_item_reason": _reason,
+    "exam_text": lambda s, d: exam(table(s, d, "lineitem").where("l_orderkey < 500")),
+    "exam_text_all": lambda s, d: exam(table(s, d, "lineitem")),
+    "add_item_reason": lambda s, d: add_reason(table(s, d, "part"), table(s, d, "lineitem").where("l_orderkey < 300")),
+    "add_item_reason_all": lambda s, d: add_reason(table(s, d, "part"), table(s, d, "lineitem")),
     "ordered_items": lambda s, d: table(s, d, "orders").join(table(s, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "o_orderkey", "l_linenumber", "l_partkey").orderBy("o_custkey", "o_orderkey", "l_linenumber", "l_partkey").limit(500),
 }
 ORACLE_SQL = {
@@ -128,3 +130,6 @@ ORACLE_SQL = {
     "add_item_reason": "select p_partkey, case when exists (select 1 from lineitem where l_partkey = p_partkey and l_orderkey < 300) then 'already' when p_type = 'PROMO' then 'no_section' when p_brand = 'Brand#3' then 'foreign' else 'ok' end as reason from part",
     "ordered_items": "select o_custkey, o_orderkey, l_linenumber, l_partkey from orders join lineitem on o_orderkey = l_orderkey order by o_custkey, o_orderkey, l_linenumber, l_partkey limit 500",
 }
+#: The same over all rows.
+ORACLE_SQL["exam_text_all"] = ORACLE_SQL["exam_text"].replace(" where l_orderkey < 500", "")
+ORACLE_SQL["add_item_reason_all"] = ORACLE_SQL["add_item_reason"].replace(" and l_orderkey < 300", "")
