@@ -10,7 +10,8 @@ distinct unigrams and bigrams of a chunk, with their counts in both corpora, go
 to the bucket of their hash, whose task adds up all chunks and answers each chunk with the corpus
 counts of what it asked. Answers come in the order of the sorted grams, so a chunk reads them off
 without a lookup table; no model is ever whole in one place. A gram that is in every document reaches
-its bucket once per chunk.
+its bucket once per chunk. A chunk is named by its partition and its number there, so that chunks of
+equal contents stay apart, and a task that is run again gives the same names.
 
 Defined cases: null or blank text has no words and null losses and score; several labels of a document
 count once, by the highest quality; null ids have no label; without any target document its model is
@@ -19,9 +20,12 @@ the uniform one; repeated rows count and are scored each.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,6 +114,7 @@ def exchanged(df: DataFrame, buckets: int) -> DataFrame:
 
     def ask(batches):
         ids, lens, target, held, n = [], [], [], [], 0
+        names = itertools.count(TaskContext.get().partitionId() << 32)
 
         def flush():
             words = np.concatenate(held)
@@ -121,9 +126,9 @@ def exchanged(df: DataFrame, buckets: int) -> DataFrame:
             distinct, at = distinct[order], place[at]
             size, good = np.array(lens, np.int64), np.array(target, bool)
             found, _, _, _, both, goods = counted(words, size, good)
-            name = int(mix(np.array([hash((tuple(ids[:9]), n, len(ids))) & (1 << 63) - 1], np.uint64) + words[:1])[0] >> np.uint64(1))
+            name = next(names)
             head = np.array([i if i is not None else 0 for i in ids], "<i8").tobytes() + np.array([i is None for i in ids], "u1").tobytes()
-            yield row("chunk", name % buckets, name, n, int(size[good].sum()), zstandard.compress(head, 1), packed(size.astype("<u4")), packed(distinct), packed(at.astype("<u4")))
+            yield row("chunk", int(mix(np.array([name], np.uint64))[0] % np.uint64(buckets)), name, n, int(size[good].sum()), zstandard.compress(head, 1), packed(size.astype("<u4")), packed(distinct), packed(at.astype("<u4")))
             bucket = (found >> np.uint64(BITS - 32)) * np.uint64(buckets) >> np.uint64(32)
             cut = np.searchsorted(bucket, np.arange(buckets + 1))
             for k in range(buckets):

@@ -60,3 +60,11 @@ def test_scores_tell_target_from_rest(spark):
     got = {r.doc_id: r.score for r in lm.cross_entropy_difference(spark.createDataFrame(good + bad, "doc_id long, text string"), labels).collect()}
     held_out = sorted((got[i], i < 100) for i in [*range(30, 60), *range(130, 160)])
     assert all(g for _, g in held_out[:30]) and not any(g for _, g in held_out[30:])
+
+
+def test_equal_rows_in_chunks_apart(spark):
+    docs = spark.createDataFrame([(i, f"one two w{i % 3}") for i in range(4)], "doc_id long, text string").coalesce(1)
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    check(docs.union(docs), labels)
+    same = spark.createDataFrame(spark.sparkContext.parallelize([(None, "one two")] * 6 + [(1, "x")] * 3, 9), "doc_id long, text string")
+    check(same, labels)
