@@ -65,6 +65,21 @@ def _trash(s, d):
     return gone.join(gone.select(F.col("id").alias("pid")), gone["parent_id"] == F.col("pid"), "left").select("id", F.col("pid").isNull().alias("restorable"))
 
 
+def dup_signals(docs: DataFrame) -> DataFrame:
+    """First signal that finds a document's like among all documents of smaller ids: same text, else same folded text and source.
+
+    Texts are compared by hash; the least id of each key is formed before the join, so copies never meet one another. The like
+    of the first of its kind would be itself and counts as none.
+    """
+    folded = F.trim(F.regexp_replace(fold(F.col("text")), r"[^\p{L}\p{N}]+", " "))
+    df = docs.select("doc_id", F.sha2("text", 256).alias("t"), F.sha2(F.nullif(folded, F.lit("")), 256).alias("k"), "source")
+    by_text = df.groupBy("t").agg(F.min("doc_id").alias("by_text"))
+    by_key = df.groupBy("k", "source").agg(F.min("doc_id").alias("by_key"))
+    earlier = lambda c: F.when(F.col(c) < F.col("doc_id"), F.col(c))
+    df = df.join(by_text, "t", "left").join(by_key, ["k", "source"], "left").withColumns({"by_text": earlier("by_text"), "by_key": earlier("by_key")})
+    return df.select("doc_id", F.coalesce("by_text", "by_key").alias("found"), F.when(F.col("by_text").isNotNull(), "text").when(F.col("by_key").isNotNull(), "folded").otherwise("none").alias("signal"))
+
+
 QUERIES = {
     "catalog_counts": lambda s, d: counted(counted(table(s, d, "nation").select("n_nationkey", "n_name"), "n_nationkey", table(s, d, "customer"), "c_nationkey", "customers"), "n_nationkey", table(s, d, "orders").join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")), "c_nationkey", "orders"),
     "candidates_not_used": lambda s, d: unused(table(s, d, "part"), "p_partkey", table(s, d, "lineitem").where("l_quantity > 49"), "l_partkey").select("p_partkey", "p_name"),
@@ -73,6 +88,7 @@ QUERIES = {
     "left_chain_default": lambda s, d: table(s, d, "supplier").join(table(s, d, "nation").where("n_nationkey % 3 <> 0"), F.col("s_nationkey") == F.col("n_nationkey"), "left").join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left").select("s_suppkey", F.coalesce("n_name", F.lit("Geral")).alias("subgroup"), F.coalesce("r_name", F.lit("Geral")).alias("grp")),
     "unmatched_report": lambda s, d: table(s, d, "documents").join(table(s, d, "labels"), "doc_id", "left_anti").groupBy("lang").agg(F.count("*").alias("missing")),
     "dup_signal": _dup_signal,
+    "dup_signal_all": lambda s, d: dup_signals(table(s, d, "documents")),
     "scope_exists": lambda s, d: table(s, d, "nation").join(table(s, d, "customer").join(table(s, d, "orders").where("o_totalprice > 490000"), F.col("o_custkey") == F.col("c_custkey"), "left_semi"), F.col("c_nationkey") == F.col("n_nationkey"), "left_semi").select("n_nationkey", "n_name"),
     "fk_chain": lambda s, d: table(s, d, "orders").join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_order")),
     "text_containment_join": _contained,

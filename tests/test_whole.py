@@ -48,3 +48,15 @@ def test_variants_of_all_customers(spark, bank):
         qs = [(str(k), [f"{k}.{x[1]}" for x in lines if x[0] == k]) for k in sorted(orders, key=str) if orders[k][0] == c]
         want |= {(c, i, q, ",".join(o)) for i, (q, o) in enumerate(variant.variant([(q, o, {o[-1]}) for q, o in qs], c))}
     assert {tuple(x) for x in run(spark, bank, "build_variants")} == want
+
+
+def test_likes_among_all_earlier_rows(spark, tmp_path):
+    long = "The same opening of forty letters and more, "
+    docs = [(500, long + "one", "s"), (501, long + "two", "s"), (502, long + "one", "t"), (503, "É  long!" + long, "s"), (504, "e long " + long, "s"), (505, "e long " + long, "t"), (506, "", "s"), (507, "!", "s"), (508, None, "s"), (509, None, "s"), (510, long + "one", "s")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: (x.signal, x.found) for x in registry.queries()["dup_signal_all"](spark, str(tmp_path)).collect()}
+    assert len(got) == 11 and {k: v for k, v in got.items() if v[0] != "none"} == {502: ("text", 500), 504: ("folded", 503), 505: ("text", 504), 510: ("text", 500)}
+    turns = [(1, 0, "a", "The same text, one"), (1, 1, "a", "The same text, two"), (2, 0, "a", "The same text, one"), (2, 1, "b", "The same text, one")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(x.role, x.conv_id, x.turn, x.n) for x in registry.queries()["proposal_dedupe_all"](spark, str(tmp_path)).collect()}
+    assert got == {("a", 1, 0, 2), ("a", 1, 1, 1), ("b", 2, 1, 1)}
