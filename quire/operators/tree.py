@@ -1,50 +1,86 @@
 """Trees as adjacency lists: forests, pre-order, subtrees, filters that keep ancestors, orphans and cycles.
 
-Levels are joined one by one by recursive queries, whose depth is that of the tree.
+Pointers to parents are doubled in written tables, so the rounds are the logarithm of the depth, and no depth, number of rows or
+cycle is too much.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import excerpt, fold
-from quire.sources.tables import NODES_SQL, QUESTIONS_SQL, nodes, questions, table
+from quire.sources.tables import NODES_SQL, QUESTIONS_SQL, nodes, questions, table, written
 
 CONTAINERS = ("CHAPTER", "SECTION")
-_count = 0
 
 
-def recursive(spark: SparkSession, rows: DataFrame, body: str, select: str) -> DataFrame:
-    """``with recursive`` over rows, named rows in body and select; the CTE is named t."""
-    global _count
-    _count += 1
-    view = f"tree_rows_{_count}"
-    rows.createOrReplaceTempView(view)
-    return spark.sql(f"with recursive t as ({body.replace('rows', view)}) {select.replace('rows', view)}")
+def climbed(rows: DataFrame) -> DataFrame:
+    """rows (id, up, path) as id, root, depth and path: the end of up to which a row leads, its distance and the paths on the way.
+
+    Rows that lead to no end, in or below a cycle or a missing row, are left out. A row's pointer doubles in each round, so a round
+    in which no row arrives shows that none is on the way any more.
+    """
+    at = written(rows.selectExpr("id", "coalesce(up, id) as top", "if(up is null, 0, 1) as depth", "path", "up is null as done"), "climbed")
+    left = None
+    while (n := at.where("not done").count()) not in (0, left):
+        left = n
+        above = at.selectExpr("id as top", "top as _top", "depth as _depth", "path as _path", "done as _done")
+        more = at.where("not done").join(above, "top").selectExpr("id", "_top as top", "depth + _depth as depth", "concat(_path, '/', path) as path", "_done as done")
+        at = written(at.where("done").unionByName(more), "climbed")
+    return at.where("done").selectExpr("id", "top as root", "depth", "path")
+
+
+def cycle_starts(rows: DataFrame) -> DataFrame:
+    """The least id of each cycle among rows (id, up) that all are in or below one.
+
+    After at least as many steps as there are rows all pointers are on cycles, and each row of a cycle is pointed to.
+    """
+    n, steps = rows.count(), 1
+    at = rows.selectExpr("id", "up as top", "id as low")
+    while steps < n:
+        above = at.selectExpr("id as top", "top as _top", "low as _low")
+        at, steps = written(at.join(above, "top").selectExpr("id", "_top as top", "least(low, _low) as low"), "cycles"), 2 * steps
+    return at.where("id = low").select("id").join(at.selectExpr("top as id").distinct(), "id", "left_semi")
 
 
-def forest(df: DataFrame) -> DataFrame:
+def forest(df: DataFrame, promote: bool = False) -> DataFrame:
     """id, root, depth and path (sort keys from the root) of each row; rows whose parent is missing are roots.
 
-    Rows in or below a cycle are reached from no root; they are left out here and found by cycles().
+    Rows in or below a cycle are reached from no root. With promote the least id of each cycle is made a root, so that every row is
+    kept once; else they are left out here and found by cycles().
     """
-    ids = df.select(F.col("id").alias("_p"))
-    up = df.join(ids, df["parent_id"] == F.col("_p"), "left").withColumn("up", F.col("_p")).drop("_p")
-    body = "select id, id as root, 0 as depth, concat(sort_key, ':', id) as path from rows where up is null union all select n.id, t.root, t.depth + 1, concat(t.path, '/', n.sort_key, ':', n.id) from t join rows n on n.up = t.id"
-    return recursive(df.sparkSession, up, body, "select * from t")
+    ids = df.select(F.col("id").alias("up"))
+    rows = written(df.join(ids, df["parent_id"] == ids["up"], "left").selectExpr("id", "up", "concat(sort_key, ':', id) as path"), "nodes")
+    found = climbed(rows)
+    if not promote:
+        return found
+    loose = written(rows.join(found.select("id"), "id", "left_anti"), "loose")
+    if loose.isEmpty():
+        return found
+    starts = cycle_starts(loose).withColumn("start", F.lit(True))
+    return found.unionByName(climbed(loose.join(starts, "id", "left").selectExpr("id", "if(start, null, up) as up", "path")))
 
 
 def subtree(df: DataFrame, root: str) -> DataFrame:
-    body = f"select id, 0 as depth from rows where id = '{root}' union all select n.id, t.depth + 1 from t join rows n on n.parent_id = t.id"
-    return recursive(df.sparkSession, df, body, "select * from t")
+    """id and depth of root and all below it; root's own parent doesn't count, so cycles end."""
+    rows = df.select("id", F.when(F.col("id") != root, F.col("parent_id")).alias("up"), F.lit(None).cast("string").alias("path"))
+    return climbed(rows).where(F.col("root") == root).select("id", "depth")
 
 
 def with_ancestors(df: DataFrame, hits: DataFrame) -> DataFrame:
-    """id, and whether it is a hit, of the hits and all their ancestors."""
-    marked = df.join(hits.select("id", F.lit(True).alias("hit")), "id", "left")
-    body = "select id, parent_id, true as hit from rows where hit union all select n.id, n.parent_id, false from t join rows n on n.id = t.parent_id"
-    return recursive(df.sparkSession, marked, body, "select id, max(hit) as hit from t group by id")
+    """id, and whether it is a hit, of the hits and all their ancestors.
+
+    Rows seen so far hold all ancestors nearer than a jump; when jumps from them lead to rows seen alone, none is missing.
+    """
+    hits = written(df.select("id").join(hits.select("id"), "id", "left_semi").distinct(), "hits")
+    ids = df.select(F.col("id").alias("up"))
+    jump = written(df.selectExpr("id", "parent_id as up").join(ids, "up", "left_semi").select("id", "up"), "jumps")
+    seen = hits
+    while not (new := written(seen.join(jump, "id").selectExpr("up as id").distinct().join(seen, "id", "left_anti"), "ancestors")).isEmpty():
+        seen = seen.union(new)
+        jump = written(jump.join(jump.selectExpr("id as up", "up as next"), "up").selectExpr("id", "next as up"), "jumps")
+    return seen.join(hits.withColumn("hit", F.lit(True)), "id", "left").select("id", F.coalesce("hit", F.lit(False)).alias("hit"))
 
 
 def orphans(df: DataFrame) -> DataFrame:
@@ -107,7 +143,7 @@ def _title(s, d):
 
 
 QUERIES = {
-    "tree_preorder": lambda s, d: forest(nodes(s, d)).select("id", "root", "depth", "path"),
+    "tree_preorder": lambda s, d: forest(nodes(s, d), promote=True).select("id", "root", "depth", "path"),
     "subtree": lambda s, d: subtree(nodes(s, d), "n3"),
     "soft_delete_subtree": lambda s, d: nodes(s, d).join(subtree(nodes(s, d), "n5").select("id", F.lit(True).alias("x")), "id", "left").groupBy("kind", F.coalesce("x", F.lit(False)).alias("deleted")).agg(F.count("*").alias("n")),
     "tree_filter_ancestors": lambda s, d: _filter(s, d, "cast(substring(id, 2) as bigint) % 97 = 0"),

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from quire.operators import variant
+from quire.operators import tree, variant
 from quire.plans import registry
 
 
@@ -60,3 +60,17 @@ def test_likes_among_all_earlier_rows(spark, tmp_path):
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {(x.role, x.conv_id, x.turn, x.n) for x in registry.queries()["proposal_dedupe_all"](spark, str(tmp_path)).collect()}
     assert got == {("a", 1, 0, 2), ("a", 1, 1, 1), ("b", 2, 1, 1)}
+
+
+def test_cycles_and_depth(spark):
+    rows = [("a", None), ("b", "a"), ("c", "gone"), ("y", "z"), ("x", "y"), ("z", "x"), ("t", "x"), ("d", "t"), ("s", "s"), ("q", "p"), ("p", "q")] + [(f"n{i}", f"n{i - 1}" if i else None) for i in range(150)]
+    df = spark.createDataFrame([(i, p, "k") for i, p in rows], "id string, parent_id string, sort_key string")
+    got = {x.id: (x.root, x.depth, x.path) for x in tree.forest(df, promote=True).collect()}
+    assert len(got) == len(rows) and got["n149"][:2] == ("n0", 149) and got["n149"][2] == "/".join(f"k:n{i}" for i in range(150))
+    assert {k: got[k] for k in "cxyzdsp"} == {"c": ("c", 0, "k:c"), "x": ("x", 0, "k:x"), "z": ("x", 1, "k:x/k:z"), "y": ("x", 2, "k:x/k:z/k:y"), "d": ("x", 2, "k:x/k:t/k:d"), "s": ("s", 0, "k:s"), "p": ("p", 0, "k:p")}
+    assert got["q"] == ("p", 1, "k:p/k:q")
+    assert {x.id: x.depth for x in tree.subtree(df, "x").collect()} == {"x": 0, "z": 1, "t": 1, "y": 2, "d": 2}
+    assert tree.subtree(df, "n0").count() == 150 and [tuple(x) for x in tree.subtree(df, "c").collect()] == [("c", 0)] and tree.subtree(df, "gone").count() == 0
+    hits = spark.createDataFrame([("d",), ("n149",), ("c",), ("none",)], "id string")
+    want = {k: False for k in "txyz"} | {f"n{i}": False for i in range(149)} | {"d": True, "n149": True, "c": True}
+    assert sorted((x.id, x.hit) for x in tree.with_ancestors(df, hits).collect()) == sorted(want.items())
