@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from quire.operators import tree, variant
+from quire.operators import portable, tree, variant
 from quire.plans import registry
 
 
@@ -74,3 +75,16 @@ def test_cycles_and_depth(spark):
     hits = spark.createDataFrame([("d",), ("n149",), ("c",), ("none",)], "id string")
     want = {k: False for k in "txyz"} | {f"n{i}": False for i in range(149)} | {"d": True, "n149": True, "c": True}
     assert sorted((x.id, x.hit) for x in tree.with_ancestors(df, hits).collect()) == sorted(want.items())
+
+
+def test_export_is_a_row_per_node(spark, bank):
+    _, orders, _ = bank
+    archive = portable.exported(spark, bank[0])
+    assert archive.count() == 2 + 7 + len(orders) and archive.agg(F.max(F.length("data"))).first()[0] < 200
+    assert {(x.id, x.parent_id) for x in portable.imported(archive).collect()} == {(f"o{k}", f"c{v[0]}") for k, v in orders.items()} | {(f"c{c}", f"n{c % 2}") for c in range(300, 307)}
+    broken = archive.withColumn("data", F.when(F.col("data").contains('"C300"'), F.replace("data", F.lit("C300"), F.lit("C999"))).otherwise(F.col("data")))
+    assert {x.id for x in portable.imported(archive).exceptAll(portable.imported(broken)).collect()} == {"c300"}
+    assert {tuple(x) for x in portable.sections(archive).collect()} == {(0, 4, True), (1, 3, True)}
+    assert {tuple(x) for x in portable.sections(broken).collect()} == {(0, 4, False), (1, 3, True)}
+    matched = registry.queries()["group_scope_override"](spark, "/root/testdata/sf0.001")
+    assert "Window" not in matched._jdf.queryExecution().optimizedPlan().toString()
