@@ -33,6 +33,13 @@ def _link_ordered(s, d):
     return names.groupBy("l_partkey").agg(F.min_by("s_name", at).alias("first_supplier"), F.count("*").alias("links"), F.array_join(F.transform(F.slice(F.array_sort(F.collect_set(F.struct("s_suppkey", "s_name"))), 1, 5), lambda x: x["s_name"]), ", ").alias("suppliers"))
 
 
+def _links(s, d):
+    """All names linked to a part, in the order of the links."""
+    names = table(s, d, "lineitem").join(table(s, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    link = F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "s_name")
+    return names.groupBy("l_partkey").agg(F.array_sort(F.collect_list(link)).alias("a")).select("l_partkey", F.size("a").cast("long").alias("links"), F.array_join(F.transform("a", lambda x: x["s_name"]), ", ").alias("suppliers"))
+
+
 def _dup_signal(s, d):
     """First signal that finds a document's like among the first 200: same text, else same opening and source."""
     docs = table(s, d, "documents")
@@ -85,6 +92,7 @@ QUERIES = {
     "candidates_not_used": lambda s, d: unused(table(s, d, "part"), "p_partkey", table(s, d, "lineitem").where("l_quantity > 49"), "l_partkey").select("p_partkey", "p_name"),
     "nested_options": _nested,
     "link_join_ordered": _link_ordered,
+    "link_join_ordered_all": _links,
     "left_chain_default": lambda s, d: table(s, d, "supplier").join(table(s, d, "nation").where("n_nationkey % 3 <> 0"), F.col("s_nationkey") == F.col("n_nationkey"), "left").join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left").select("s_suppkey", F.coalesce("n_name", F.lit("Geral")).alias("subgroup"), F.coalesce("r_name", F.lit("Geral")).alias("grp")),
     "unmatched_report": lambda s, d: table(s, d, "documents").join(table(s, d, "labels"), "doc_id", "left_anti").groupBy("lang").agg(F.count("*").alias("missing")),
     "dup_signal": _dup_signal,
@@ -101,6 +109,7 @@ ORACLE_SQL = {
     "candidates_not_used": "select p_partkey, p_name from part where not exists (select 1 from lineitem where l_partkey = p_partkey and l_quantity > 49)",
     "nested_options": "with o as (select l_orderkey, cast(l_partkey as varchar) || 'x' || cast(cast(l_quantity as int) as varchar) as text, l_returnflag = 'R' as correct, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 as i from lineitem) select o_orderkey, coalesce((select string_agg(chr(cast(97 + i as int)) || ') ' || text || case when correct then '*' else '' end, '; ' order by i) from o where l_orderkey = o_orderkey), '') as options from orders",
     "link_join_ordered": "with l as (select l_partkey, s_suppkey, s_name, row_number() over (partition by l_partkey order by l_orderkey, l_linenumber, l_suppkey, l_extendedprice) as k from lineitem join supplier on l_suppkey = s_suppkey), f as (select l_partkey, s_name as first_supplier from l where k = 1), c as (select l_partkey, count(*) as links from l group by l_partkey), g as (select l_partkey, string_agg(s_name, ', ' order by s_suppkey) as suppliers from (select distinct l_partkey, s_suppkey, s_name from l qualify dense_rank() over (partition by l_partkey order by s_suppkey) <= 5) group by l_partkey) select l_partkey, first_supplier, links, suppliers from f join c using (l_partkey) join g using (l_partkey)",
+    "link_join_ordered_all": "select l_partkey, count(*) as links, string_agg(s_name, ', ' order by l_orderkey, l_linenumber, l_suppkey, l_extendedprice) as suppliers from lineitem join supplier on l_suppkey = s_suppkey group by l_partkey",
     "left_chain_default": "select s_suppkey, coalesce(n_name, 'Geral') as subgroup, coalesce(r_name, 'Geral') as grp from supplier left join (select * from nation where n_nationkey % 3 <> 0) on s_nationkey = n_nationkey left join region on n_regionkey = r_regionkey",
     "unmatched_report": "select lang, count(*) as missing from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id) group by lang",
     "dup_signal": "with b as (select *, substr(strip_accents(lower(text)), 1, 40) as head from documents where doc_id < 200), t as (select text, min(doc_id) as by_text from b group by text), h as (select head, source, min(doc_id) as by_head from b group by head, source) select d.doc_id, coalesce(by_text, by_head) as found, case when by_text is not null then 'text' when by_head is not null then 'opening' else 'none' end as signal from documents d left join t on t.text = d.text left join h on h.head = substr(strip_accents(lower(d.text)), 1, 40) and h.source = d.source where d.doc_id >= 200",

@@ -69,7 +69,11 @@ def _tag_rank(s, d):
 
 def _composite_sort(s, d):
     text = F.concat(F.lpad(F.greatest(F.lit(0), 1000 - F.col("p_size")).cast("string"), 5, "0"), "p_name")
-    return table(s, d, "part").select("p_partkey", text.alias("sort_text")).orderBy("sort_text", "p_partkey").limit(100)
+    return table(s, d, "part").select("p_partkey", text.alias("sort_text")).orderBy("sort_text", "p_partkey")
+
+
+def _scan(s, d):
+    return table(s, d, "customer").select("c_custkey", "c_name", "c_mktsegment").orderBy("c_name", "c_custkey")
 
 
 def _group_scope(s, d):
@@ -88,9 +92,11 @@ QUERIES = {
     "fold_search": lambda s, d: table(s, d, "documents").where(fold(F.col("text")).contains("etre") & fold(F.col("text")).contains("ecole") | fold(F.col("text")).contains("eaux")).select("doc_id", "source").orderBy("doc_id").limit(200),
     "list_filter": lambda s, d: table(s, d, "documents").where(F.lower("text").contains("élé") | F.lower("source").contains("src1")).select("doc_id"),
     "tag_rank": _tag_rank,
-    "composite_sort": _composite_sort,
+    "composite_sort": lambda s, d: _composite_sort(s, d).limit(100),
+    "composite_sort_all": _composite_sort,
     "group_scope_override": _group_scope,
-    "scan_project": lambda s, d: table(s, d, "customer").select("c_custkey", "c_name", "c_mktsegment").orderBy("c_name", "c_custkey").limit(1000),
+    "scan_project": lambda s, d: _scan(s, d).limit(1000),
+    "scan_project_all": _scan,
     "point_lookup": lambda s, d: table(s, d, "part").where("p_partkey = 42").select("p_partkey", "p_name", "p_size"),
     "composite_lookup": lambda s, d: table(s, d, "lineitem").where("l_orderkey = 77 and l_linenumber = 1").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"),
     "cast_or_lookup": lambda s, d: table(s, d, "part").where((F.col("p_name") == "17") | (F.col("p_partkey").cast("string") == "17")).select("p_partkey", "p_name"),
@@ -122,3 +128,6 @@ ORACLE_SQL = {
     "candidate_topk": "select o_orderkey, o_orderdate, coalesce(nullif(o_orderpriority, ''), 'sem título') as title from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey and l_returnflag = 'R') order by o_orderdate desc, o_orderkey limit 200",
     "keep_newest_n": "select user_id, event_id from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) <= 3",
 }
+#: The same over all rows; the order is that of the columns.
+ORACLE_SQL["composite_sort_all"] = ORACLE_SQL["composite_sort"].removesuffix(" limit 100")
+ORACLE_SQL["scan_project_all"] = ORACLE_SQL["scan_project"].removesuffix(" limit 1000")

@@ -108,6 +108,11 @@ def add_reason(parts: DataFrame, lines: DataFrame) -> DataFrame:
     return parts.join(used, "p_partkey", "left").select("p_partkey", F.expr("case when used then 'already' when p_type = 'PROMO' then 'no_section' when p_brand = 'Brand#3' then 'foreign' else 'ok' end").alias("reason"))
 
 
+def _items(s, d):
+    df = table(s, d, "orders").join(table(s, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return df.select("o_custkey", "o_orderkey", "l_linenumber", "l_partkey").orderBy("o_custkey", "o_orderkey", "l_linenumber", "l_partkey")
+
+
 QUERIES = {
     "variant_shuffle": _shuffle,
     "build_variants": _variants,
@@ -119,7 +124,8 @@ QUERIES = {
     "exam_text_all": lambda s, d: exam(table(s, d, "lineitem")),
     "add_item_reason": lambda s, d: add_reason(table(s, d, "part"), table(s, d, "lineitem").where("l_orderkey < 300")),
     "add_item_reason_all": lambda s, d: add_reason(table(s, d, "part"), table(s, d, "lineitem")),
-    "ordered_items": lambda s, d: table(s, d, "orders").join(table(s, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "o_orderkey", "l_linenumber", "l_partkey").orderBy("o_custkey", "o_orderkey", "l_linenumber", "l_partkey").limit(500),
+    "ordered_items": lambda s, d: _items(s, d).limit(500),
+    "ordered_items_all": _items,
 }
 ORACLE_SQL = {
     "seed_from_text": "with recursive h as (select p_partkey, p_name, 1 as i, 2166136261::bigint as h from part union all select p_partkey, p_name, i + 1, (xor(h, ascii(substr(p_name, i, 1))::bigint) * 16777619) % 4294967296 from h where i <= length(p_name)) select p_partkey, h as seed from h where i = length(p_name) + 1",
@@ -133,3 +139,4 @@ ORACLE_SQL = {
 #: The same over all rows.
 ORACLE_SQL["exam_text_all"] = ORACLE_SQL["exam_text"].replace(" where l_orderkey < 500", "")
 ORACLE_SQL["add_item_reason_all"] = ORACLE_SQL["add_item_reason"].replace(" and l_orderkey < 300", "")
+ORACLE_SQL["ordered_items_all"] = ORACLE_SQL["ordered_items"].removesuffix(" limit 500")

@@ -88,3 +88,18 @@ def test_export_is_a_row_per_node(spark, bank):
     assert {tuple(x) for x in portable.sections(broken).collect()} == {(0, 4, False), (1, 3, True)}
     matched = registry.queries()["group_scope_override"](spark, "/root/testdata/sf0.001")
     assert "Window" not in matched._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_no_limit_of_rows(spark, tmp_path):
+    save = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    items = [(k, k % 3, i) for k in range(700) for i in (1, 0)]
+    save("orders", sorted({(k, c) for k, c, _ in items}), "o_orderkey long, o_custkey long")
+    save("lineitem", [(k, i, 4, (k + i) % 9, 1.0) for k, _, i in items], "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_extendedprice double")
+    save("supplier", [(i, f"S{i}") for i in range(9)], "s_suppkey long, s_name string")
+    save("customer", [(i, f"C{-i % 7}", "x") for i in range(1200)], "c_custkey long, c_name string, c_mktsegment string")
+    save("part", [(i, f"p{i % 5}", i % 50) for i in range(300)], "p_partkey long, p_name string, p_size int")
+    get = lambda name: [tuple(x) for x in registry.queries()[name](spark, str(tmp_path)).collect()]
+    assert get("ordered_items_all") == sorted((c, k, i, 4) for k, c, i in items)
+    assert get("link_join_ordered_all") == [(4, 1400, ", ".join(f"S{(k + i) % 9}" for k, _, i in sorted(items)))]
+    assert get("scan_project_all") == sorted([(i, f"C{-i % 7}", "x") for i in range(1200)], key=lambda x: (x[1], x[0]))
+    assert get("composite_sort_all") == sorted([(i, f"{1000 - i % 50:05d}p{i % 5}") for i in range(300)], key=lambda x: (x[1], x[0]))
