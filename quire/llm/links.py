@@ -8,7 +8,9 @@ ones, since who links to bad hosts is suspect. A host is blocked when its distru
 
 Links are counted per pair of hosts before the shuffle, so a host with most of the pages is a few rows.
 In each round the scores are joined to the edges by host and a salt of the other end, so the edges of a
-hot host are spread; scores are written every few rounds. Mass of hosts without links goes back to the
+hot host are spread; scores are written every few rounds. The query goes on until, from one written
+table to the next, no host is new and no score changes by more than a part in SETTLED of itself or of a
+seed's share; one count a table reaches the driver. Callers may fix the number of rounds instead. Mass of hosts without links goes back to the
 seeds. Scores are integers of BASE parts, so every engine and every order of adding gives the same.
 
 Defined cases: null urls, and urls without ``://``, have an empty host and path and no rule; an empty
@@ -19,6 +21,8 @@ each, and count as links each.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +31,7 @@ from quire.llm.common import written
 #: (host, beginning of the path, verdict).
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 ROUNDS = 12
+SETTLED = 10**6
 #: Of 100 parts of a score, so many follow links; the rest goes back to the seeds.
 DAMPING = 85
 BASE = 10**12
@@ -39,7 +44,7 @@ def host_of(url: Column) -> Column:
 
 
 def path_of(url: Column) -> Column:
-    return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1)
+    return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^(?>.*?://)[^/?#]*+(/[^?#]*)", 1)
 
 
 def ruled(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
@@ -59,8 +64,14 @@ def page_links(pages: DataFrame) -> DataFrame:
     return found.where("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagated(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(host, score): PageRank over edges (src, dst, n) that restarts at the hosts of seeds (host)."""
+def settled(before: DataFrame, after: DataFrame) -> bool:
+    old = before.select("host", F.col("score").alias("old"))
+    changed = f"old is null or score is null or abs(score - old) > greatest({BASE}, score) div {SETTLED}"
+    return after.join(old, "host", "full").where(changed).isEmpty()
+
+
+def propagated(edges: DataFrame, seeds: DataFrame, rounds: int | None = ROUNDS) -> DataFrame:
+    """(host, score): PageRank over edges (src, dst, n) that restarts at the hosts of seeds (host); without rounds until it has settled."""
     edges = edges.join(edges.groupBy("src").agg(F.sum("n").alias("out")), "src")
     edges = written(edges.withColumn("salt", F.expr(f"pmod(xxhash64(dst), {SALTS})")), "edges")
     sources = edges.select("src").distinct()
@@ -69,8 +80,8 @@ def propagated(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> Data
     if not count:
         return seeds.withColumn("score", F.lit(0).cast("long"))
     # A seed holds BASE parts; scores are of that unit, so they don't shrink with the number of seeds.
-    scores = seeds.withColumn("score", F.lit(BASE))
-    for k in range(rounds):
+    scores = kept = seeds.withColumn("score", F.lit(BASE))
+    for k in itertools.count() if rounds is None else range(rounds):
         salted = scores.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         flow = salted.join(edges, (salted["host"] == edges["src"]) & (salted["salt"] == edges["salt"]))
         flow = flow.select(F.col("dst").alias("host"), F.expr(f"cast(cast(score as decimal(20)) * {DAMPING} * n div (100 * out) as bigint)").alias("score"))
@@ -78,12 +89,15 @@ def propagated(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> Data
         loose = scores.join(sources, scores["host"] == sources["src"], "left_anti").agg(F.coalesce(F.sum(F.col("score").cast("decimal(30)")), F.lit(0)).alias("loose"), F.lit(1).alias("one"))
         back = seeds.withColumn("one", F.lit(1)).join(F.broadcast(loose), "one").select("host", F.expr(f"cast({BASE} * {100 - DAMPING} div 100 + loose * {DAMPING} div (100 * {count}L) as bigint)").alias("score"))
         scores = flow.union(back).groupBy("host").agg(F.sum("score").alias("score"))
-        if k % 3 == 2 or k == rounds - 1:
+        if k % 3 == 2 or rounds is not None and k == rounds - 1:
             scores = written(scores, "scores")
+            if rounds is None and settled(kept, scores):
+                break
+            kept = scores
     return scores
 
 
-def judged(pages: DataFrame, rules=RULES, rounds: int = ROUNDS) -> DataFrame:
+def judged(pages: DataFrame, rules=RULES, rounds: int | None = ROUNDS) -> DataFrame:
     """One row per page: host, path, rule, verdict, and its host's trust and distrust."""
     df = pages.select(pages["page_id"], host_of(pages["url"]).alias("host"), path_of(pages["url"]).alias("path"))
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
@@ -101,4 +115,4 @@ def judged(pages: DataFrame, rules=RULES, rounds: int = ROUNDS) -> DataFrame:
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
-    return judged(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return judged(spark.read.parquet(f"{sf_dir}/pages.parquet"), rounds=None)

@@ -79,3 +79,21 @@ def test_edges(spark):
     df = spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr("*", "url as host", "1 as trust", "2 as salt", "'r' as rule")
     check(df.select("page_id", "url", "html"))
     assert links.judged(df).count() == len(pages) and links.judged(df.limit(0)).collect() == []
+
+
+def test_path_is_that_of_the_first_host(spark):
+    urls = ["http://a.com?u=http://b.com/fr/x", "http://a.com#://b/fr/", "http://a.com/fr/?u=http://b.com/de/", "http://a.com"]
+    df = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    got = sorted(links.judged(df, rounds=1).select("page_id", "path", "rule").collect())
+    assert [tuple(x) for x in got] == [(0, "", None), (1, "", None), (2, "/fr/", "com/fr/"), (3, "", None)]
+
+
+def test_query_goes_on_until_scores_settle(spark, tmp_path, monkeypatch):
+    chain = [f"h{i}.net" for i in range(16)] + ["bad.com"]
+    pages = [(i, f"http://{a}/de/", f"<a href='http://{b}/'>" if b else "") for i, (a, b) in enumerate(zip(chain, [*chain[1:], None]))]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {x.host: x for x in links.op2(spark, str(tmp_path)).collect()}
+    assert {x.verdict for x in got.values()} == {"block"}
+    monkeypatch.setattr(links, "ROUNDS", 300)
+    for _, host, *_, distrust in brute(pages):
+        assert abs(got[host].distrust - distrust) <= 20 * links.BASE // links.SETTLED
