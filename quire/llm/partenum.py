@@ -34,10 +34,12 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import documents, sift, written
+from quire.llm.common import documents, drop, sift, written
 from quire.llm.graph import components
 
 SHINGLE = 5
@@ -45,8 +47,9 @@ SHINGLE = 5
 SIMILAR = 80
 FAMILIES = 6
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
-WORDS_KEPT = 1_000_000
-PROFILE = 128
+WORDS_KEPT = 300_000
+#: Members of a group that one task compares with each other, or with as many others.
+BLOCK = 1024
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -141,9 +144,15 @@ def signatures(s: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def profile(s: np.ndarray) -> bytes:
-    """Numbers of a set's hashes in PROFILE ranges, 255 at most. Two sets differ in at least the sum of differences."""
-    return np.minimum(np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=PROFILE), 255).astype(np.uint8).tobytes()
+def sketch(s: np.ndarray) -> bytes:
+    """Parities of a set's hashes in ranges, of which there are 2 to 4 for each hash, 256 at least.
+
+    Two sets differ in at least as many elements as these bits; one half of the bits xor the other are
+    the bits of half as many ranges.
+    """
+    bits = max(256, 1 << (2 * len(s) - 1).bit_length()) if len(s) else 256
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
 def set_key(s: np.ndarray) -> bytes:
@@ -151,39 +160,38 @@ def set_key(s: np.ndarray) -> bytes:
 
 
 def shared(docs: DataFrame, buckets: int) -> DataFrame:
-    """One pass over the texts of docs: rows (kind 'row': doc_id, t, size, key) and groups (kind 'member': g, key).
+    """One pass over the texts of docs: rows (kind 'row': doc_id, t, size, key, ref, sketch) and groups (kind 'member': g, ref).
 
-    t is the hash of the text, to find it again; a group holds two or more different sets that share a
-    signature. g is a hash of the members, so equal groups have one g.
+    t is the hash of the text, to find it again. ref numbers the different sets that a task of the scan
+    met, null where it met the set before; a group holds two or more of them that share a signature. g is
+    a hash of the members, so equal groups have one g.
     """
-    names = ["bucket", "blob", "doc_id", "t", "size", "key", "profile"]
-    types = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    names = ["bucket", "blob", "doc_id", "t", "size", "key", "ref", "sketch"]
+    types = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
 
     def batch(**given):
         n = len(next(iter(given.values())))
         return pa.RecordBatch.from_arrays([pa.array(given[c], t) if c in given else pa.nulls(n, t) for c, t in zip(names, types)], names)
 
     def pack(batches):
-        keys, lens, sigs, seen, held = [], [], [], set(), 0
+        base = TaskContext.get().partitionId() << 32
+        lens, sigs, seen, held = [], [], set(), 0
 
         def blobs():
             sig = np.concatenate(sigs)
-            who = np.repeat(np.arange(len(keys), dtype=np.uint32), lens)
+            who = np.repeat(np.arange(len(lens), dtype=np.uint32), lens)
             bucket = ((sig >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             sig, who, bucket = sig[order], who[order], bucket[order]
             cut = np.searchsorted(bucket, np.arange(buckets + 1))
-            table = np.frombuffer(b"".join(keys), "V16")
             at, out = [], []
-            for k in range(buckets):
-                s, w = sig[cut[k] : cut[k + 1]], who[cut[k] : cut[k + 1]]
-                if len(s):
-                    # Signatures of one set are adjacent: its key once with their count, then 6 of the 8 bytes of each.
-                    begin = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
-                    count = np.diff(np.append(begin, len(w))).astype(np.uint32)
-                    low = s.view(np.uint8).reshape(-1, 8)[:, :6]
-                    out.append(np.uint32(len(begin)).tobytes() + count.tobytes() + table[w[begin]].tobytes() + low.tobytes())
-                    at.append(k)
+            for k in np.flatnonzero(cut[1:] > cut[:-1]):
+                # Numbers ascend: their steps are small. Of a signature's 8 bytes 5 go.
+                step = np.diff(who[cut[k] : cut[k + 1]], prepend=np.uint32(0))
+                low = sig[cut[k] : cut[k + 1]].view(np.uint8).reshape(-1, 8)[:, :5]
+                step = zstandard.compress(step.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+                out.append(np.array([base, len(low), len(step)], np.int64).tobytes() + step + low.tobytes())
+                at.append(k)
             return batch(bucket=at, blob=out)
 
         for b in batches:
@@ -191,25 +199,25 @@ def shared(docs: DataFrame, buckets: int) -> DataFrame:
             for text in b.column(2):
                 s = shingles(text.as_py())
                 k = set_key(s)
-                found.append((len(s), k, profile(s)))
-                if not len(s) or k in seen:
-                    continue
-                seen.add(k)
-                keys.append(k)
-                sigs.append(signatures(s))
-                lens.append(len(sigs[-1]))
-                held += lens[-1]
-                if held > 4_000_000:
-                    yield blobs()
-                    keys, lens, sigs, held = [], [], [], 0
-                    if len(seen) > 1_000_000:
-                        seen.clear()
+                new = len(s) > 0 and k not in seen
+                found.append((len(s), k, base + len(lens) if new else None, sketch(s) if new else None))
+                if new:
+                    seen.add(k)
+                    sigs.append(signatures(s))
+                    lens.append(len(sigs[-1]))
+                    held += lens[-1]
             if found:
-                yield batch(doc_id=b.column(0), t=b.column(1), size=[x[0] for x in found], key=[x[1] for x in found], profile=[x[2] for x in found])
-        if keys:
+                yield batch(doc_id=b.column(0), t=b.column(1), **{c: [x[i] for x in found] for i, c in enumerate(names[4:])})
+            if held > 4_000_000:
+                yield blobs()
+                base += len(lens)
+                lens, sigs, held = [], [], 0
+                if len(seen) > 1_000_000:
+                    seen.clear()
+        if lens:
             yield blobs()
 
-    out_names = ["kind", "g", "key", "doc_id", "t", "size", "profile"]
+    plain_names = names[2:]
 
     def groups(batches):
         by: dict[int, list[bytes]] = {}
@@ -217,193 +225,253 @@ def shared(docs: DataFrame, buckets: int) -> DataFrame:
             plain = b.filter(b.column(1).is_null())
             n = plain.num_rows
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array(["row"] * n), pa.nulls(n, pa.int64()), plain.column(5), plain.column(2), plain.column(3), plain.column(4), plain.column(6)], out_names)
+                yield pa.RecordBatch.from_arrays([pa.array(["row"] * n), pa.nulls(n, pa.int64()), *plain.columns[2:]], ["kind", "g", *plain_names])
             packed = b.filter(b.column(1).is_valid())
             for k, blob in zip(packed.column(0).to_pylist(), packed.column(1)):
                 by.setdefault(k, []).append(blob.as_py())
         for k in list(by):
-            yield from grouped(by.pop(k))
+            g, ref = grouped(by.pop(k))
+            n = len(g)
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array(["member"] * n), pa.array(g.view(np.int64)), *[pa.array(ref) if c == "ref" else pa.nulls(n, t) for c, t in zip(plain_names, types[2:])]], ["kind", "g", *plain_names])
 
     def grouped(blobs):
-        keys, sigs, who, base = [], [], [], 0
+        sigs, refs = [], []
         for blob in blobs:
-            n = int(np.frombuffer(blob, np.uint32, 1)[0])
-            count = np.frombuffer(blob, np.uint32, n, 4)
-            keys.append(np.frombuffer(blob, "V16", n, 4 + 4 * n))
-            low = np.zeros((int(count.sum()), 8), np.uint8)
-            low[:, :6] = np.frombuffer(blob, np.uint8, offset=4 + 20 * n).reshape(-1, 6)
+            base, n, length = np.frombuffer(blob, np.int64, 3).tolist()
+            step = np.frombuffer(zstandard.decompress(blob[24 : 24 + length]), np.uint8).reshape(4, n)
+            refs.append(base + np.cumsum(np.ascontiguousarray(step.T).view(np.uint32)[:, 0], dtype=np.int64))
+            low = np.zeros((n, 8), np.uint8)
+            low[:, :5] = np.frombuffer(blob, np.uint8, offset=24 + length).reshape(n, 5)
             sigs.append(low.view(np.uint64)[:, 0])
-            who.append(np.repeat(np.arange(base, base + n, dtype=np.uint32), count))
-            base += n
-        table, sig, who = np.concatenate(keys), np.concatenate(sigs), np.concatenate(who)
-        order = np.argsort(sig, kind="stable")
-        sig, who = sig[order], who[order]
+        sig, ref = np.concatenate(sigs), np.concatenate(refs)
+        order = np.argsort(sig)
+        sig, ref = sig[order], ref[order]
         same = sig[1:] == sig[:-1]
         inside = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        sig, who = sig[inside], who[inside]
+        sig, ref = sig[inside], ref[inside]
+        order = np.lexsort((ref, sig))
+        sig, ref = sig[order], ref[order]
+        once = np.concatenate(([True], (sig[1:] != sig[:-1]) | (ref[1:] != ref[:-1])))[: len(sig)]
+        sig, ref = sig[once], ref[once]
         if not len(sig):
-            return
-        # The same set may come from several tasks: number the sets that are left, and drop repeats in a group.
-        words = table.view(np.uint64).reshape(-1, 2)
-        used, who = np.unique(who, return_inverse=True)
-        table, words = table[used], words[used]
-        order = np.lexsort((words[:, 1], words[:, 0]))
-        new = np.concatenate(([True], (words[order][1:] != words[order][:-1]).any(axis=1)))
-        number = np.empty(len(table), np.int64)
-        number[order] = np.cumsum(new) - 1
-        table, words, who = table[order][new], words[order][new], number[who]
-        order = np.lexsort((who, sig))
-        sig, who = sig[order], who[order]
-        once = np.concatenate(([True], (sig[1:] != sig[:-1]) | (who[1:] != who[:-1])))
-        sig, who = sig[once], who[once]
+            return sig, ref
         begin = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
         size = np.diff(np.append(begin, len(sig)))
-        name = np.add.reduceat(mix(words[who, 0] + mix(words[who, 1])), begin)
-        _, first = np.unique(name, return_index=True)
+        name = np.add.reduceat(mix(ref.view(np.uint64) + np.uint64(1)), begin)
         keep = np.zeros(len(begin), bool)
-        keep[first] = True
+        keep[np.unique(name, return_index=True)[1]] = True
         keep &= size > 1
         take = np.repeat(keep, size)
-        g, who = np.repeat(name, size)[take], who[take]
-        n = len(g)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array(["member"] * n), pa.array(g.view(np.int64)), pa.array([x.tobytes() for x in table[who]], pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], out_names)
+        return np.repeat(name, size)[take], ref[take]
 
     packed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("t"), docs["text"].alias("text"))
-    packed = packed.mapInArrow(pack, "bucket int, blob binary, doc_id long, t long, size long, key binary, profile binary")
+    columns = "doc_id long, t long, size long, key binary, ref long, sketch binary"
+    packed = packed.mapInArrow(pack, f"bucket int, blob binary, {columns}")
     packed = packed.withColumn("bucket", F.coalesce("bucket", F.expr(f"cast(pmod(xxhash64(doc_id, t), {buckets}) as int)")))
-    return packed.repartition(buckets, "bucket").mapInArrow(groups, "kind string, g long, key binary, doc_id long, t long, size long, profile binary")
+    return packed.repartition(buckets, "bucket").mapInArrow(groups, f"kind string, g long, {columns}")
 
 
-def ranked(groups: DataFrame, comp: DataFrame | None) -> DataFrame:
-    """groups (g, key, size) that hold two or more components, with c, the component, and rank in the group.
+def cells(groups: DataFrame, held: DataFrame, comp: DataFrame | None, buckets: int) -> DataFrame:
+    """Rows of groups (g, node) with c, the component, size and sketch; cells (g, i, j) in order within tasks.
 
-    Sets of components with few members in the group come first: once they have met all others, what is
-    left is one component.
+    Groups of one component are left out. A group of more than BLOCK members is cut into blocks, and its
+    cell (i, j) holds blocks i and j, so no task meets a large group whole.
     """
-    if comp is None:
-        df = groups.withColumn("c", F.col("key"))
-    else:
-        df = groups.join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("c", F.coalesce("comp", "key")).drop("comp")
-    open_ = df.groupBy("g").agg(F.min("c").alias("a"), F.max("c").alias("z")).where("a <> z").select("g")
-    df = df.join(open_, "g", "left_semi").withColumn("n", F.count("*").over(Window.partitionBy("g", "c")))
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy("n", "key"))).select("g", "key", "size", "c", "rank")
-
-
-def once(groups: DataFrame) -> DataFrame:
-    """(u, v) of each set v and, of the last sets of its groups, the least one that may be similar and isn't connected.
-
-    The last set of a group is of the component with most members there.
-    """
-    last = groups.groupBy("g").agg(F.max_by(F.struct("key", "size", "c"), "rank").alias("l"))
-    df = groups.join(last, "g").where(f"c <> l.c and 100 * least(size, l.size) >= {SIMILAR} * greatest(size, l.size)")
-    return df.groupBy("key").agg(F.min("l.key").alias("l")).selectExpr("least(key, l) as u", "greatest(key, l) as v").distinct()
-
-
-def met(groups: DataFrame, first: int) -> DataFrame:
-    """(u, v) of the first members of each ranked group and those after them, of fitting sizes, not yet connected."""
-    u = groups.where(F.col("rank") <= first).selectExpr("g", "key as u", "size as su", "c as cu", "rank as ru")
-    pairs = u.join(groups.selectExpr("g", "key as v", "size as sv", "c as cv", "rank as rv"), "g").where("ru < rv and cu <> cv")
-    return pairs.where(f"100 * least(su, sv) >= {SIMILAR} * greatest(su, sv)").selectExpr("least(u, v) as u", "greatest(u, v) as v").distinct()
-
-
-def close(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """The pairs whose profiles let them be similar; held has key, size and profile of each set."""
-    side = lambda x: held.selectExpr(f"key as {x}", f"size as s{x}", f"profile as p{x}")
-    both = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "su", "sv", "pu", "pv")
+    df = groups if comp is None else groups.join(comp, "node", "left")
+    df = df.withColumn("c", F.col("node") if comp is None else F.coalesce("comp", "node"))
+    sizes = df.groupBy("g").agg(F.count("*").alias("n"), F.min("c").alias("a"), F.max("c").alias("z")).where("a <> z")
+    df = df.join(sizes.selectExpr("g", f"cast(ceil(n / {BLOCK}) as int) as blocks"), "g").withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+    df = df.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).selectExpr("g", "least(block, other) as i", "greatest(block, other) as j", "block", "node", "c")
+    df = df.join(held.select("node", "size", "sketch"), "node").select("g", "i", "j", "block", "node", "c", "size", "sketch")
+    return df.repartition(buckets, "g", "i", "j").sortWithinPartitions("g", "i", "j")
+
+
+def pairs_of(members: pa.Table) -> tuple[np.ndarray, ...]:
+    """Places a, b of the pairs of a table of whole cells that may be similar and aren't connected, the least number of differences d, and the members' cells."""
+    g, i, j, block, node, c, size = (members.column(k).to_numpy() for k in range(7))
+    new = np.concatenate(([True], (g[1:] != g[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+    cell = np.cumsum(new) - 1
+    end = np.append(np.flatnonzero(new)[1:], len(g))[cell]
+    later = end - np.arange(len(g)) - 1
+    a = np.repeat(np.arange(len(g)), later)
+    b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(later) - later, later)
+    fit = (c[a] != c[b]) & (9 * np.abs(size[a] - size[b]) <= size[a] + size[b]) & ((block[a] != block[b]) | (i[a] == j[a]))
+    a, b = a[fit], b[fit]
+    bits = members.column(7).combine_chunks()
+    width = np.diff(np.frombuffer(bits.buffers()[1], np.int32, len(bits) + 1, bits.offset * 4))
+    narrow = np.minimum(width[a], width[b])
+    d = np.zeros(len(a), np.int32)
+    for w in np.unique(narrow).tolist():
+        own, twice = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
+        x = np.frombuffer(b"".join(bits.take(pa.array(own)).to_pylist()), np.uint64).reshape(-1, w // 8)
+        y = np.frombuffer(b"".join(bits.take(pa.array(twice)).to_pylist()), np.uint64).reshape(-1, w // 4)
+        x = np.concatenate((x, y[:, : w // 8] ^ y[:, w // 8 :]))
+        place = np.empty(len(width), np.int64)
+        place[own], place[twice] = np.arange(len(own)), len(own) + np.arange(len(twice))
+        at = np.flatnonzero(narrow == w)
+        for k in range(0, len(at), step := max(1, (1 << 22) // w)):
+            some = at[k : k + step]
+            d[some] = np.bitwise_count(x[place[a[some]]] ^ x[place[b[some]]]).sum(axis=1)
+    near = 9 * d <= size[a] + size[b]
+    return a[near], b[near], d[near], cell
+
+
+def nearest(a: np.ndarray, b: np.ndarray, d: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each member that is in a pair: its place and the number of its least pair."""
+    rank = np.empty(len(a), np.int64)
+    order = np.lexsort((np.maximum(node[a], node[b]), np.minimum(node[a], node[b]), d))
+    rank[order] = np.arange(len(a))
+    best = np.full(len(node), len(a))
+    np.minimum.at(best, a, rank)
+    np.minimum.at(best, b, rank)
+    has = np.flatnonzero(best < len(a))
+    return has, order[best[has]]
+
+
+def forest(a: np.ndarray, b: np.ndarray, d: np.ndarray, node: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Numbers of pairs that span all labels connected by pairs, the least ones that do: each label takes its least pair, until none is left."""
+    taken = []
+    while len(a):
+        parent = np.arange(int(label.max()) + 1)
+        at = np.arange(len(a))
+        la, lb = label[a], label[b]
+        order = np.lexsort((np.maximum(node[a], node[b]), np.minimum(node[a], node[b]), d))
+        best = np.full(len(parent), len(a))
+        rank = np.empty(len(a), np.int64)
+        rank[order] = at
+        np.minimum.at(best, la, rank)
+        np.minimum.at(best, lb, rank)
+        has = np.flatnonzero(best < len(a))
+        pick = order[best[has]]
+        taken.append(np.stack((a[pick], b[pick])))
+        parent[has] = np.where(la[pick] == has, lb[pick], la[pick])
+        mutual = (parent[parent] == np.arange(len(parent))) & (np.arange(len(parent)) < parent)
+        parent[mutual] = np.flatnonzero(mutual)
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        label = parent[label]
+        apart = label[a] != label[b]
+        a, b, d = a[apart], b[apart], d[apart]
+    return np.unique(np.concatenate(taken, axis=1), axis=1) if taken else np.zeros((2, 0), np.int64)
+
+
+def candidates(rows: DataFrame, kind: str) -> DataFrame:
+    """Pairs (g, u, v, d) within cells that may be similar: 'nearest': each member u with its nearest v; 'forest': as few as
+    connect the components that pairs connect; 'all': all of different components."""
+
+    def told(members):
+        node, c = members.column(4).to_numpy(), members.column(5).to_numpy()
+        a, b, d, cell = pairs_of(members)
+        if kind == "nearest":
+            u, at = nearest(a, b, d, node)
+            a, b, d = u, np.where(a[at] == u, b[at], a[at]), d[at]
+        elif kind == "forest":
+            names = np.stack((cell, c), 1)
+            label = np.unique(names, axis=0, return_inverse=True)[1].ravel()
+            a, b = forest(a, b, d, node, label)
+            d = np.zeros(len(a), np.int32)
+        for k in range(0, len(a), 1 << 16):
+            s = slice(k, k + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(members.column(0).to_numpy()[a[s]]), pa.array(node[a[s]]), pa.array(node[b[s]]), pa.array(d[s].astype(np.int32))], ["g", "u", "v", "d"])
 
     def run(batches):
+        held, n = [], 0
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, PROFILE).astype(np.int16) for i in (4, 5))
-            size = b.column(2).to_numpy() + b.column(3).to_numpy()
-            near = (100 + SIMILAR) * np.abs(x - y).sum(axis=1, dtype=np.int64) <= (100 - SIMILAR) * size
-            yield b.select(["u", "v"]).filter(pa.array(near))
+            if not b.num_rows:
+                continue
+            held.append(b)
+            n += b.num_rows
+            if n >= BLOCK:
+                t = pa.Table.from_batches(held)
+                keys = [t.column(k).to_numpy() for k in range(3)]
+                new = np.flatnonzero((keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1]) | (keys[2][1:] != keys[2][:-1])) + 1
+                # Whole cells of some members at a time; the last cell may go on.
+                begin = 0
+                for cut in new.tolist():
+                    if cut - begin >= BLOCK // 2 or cut == new[-1]:
+                        yield from told(t.slice(begin, cut - begin))
+                        begin = cut
+                rest = t.slice(begin)
+                held, n = rest.to_batches(), rest.num_rows
+        if n:
+            yield from told(pa.Table.from_batches(held))
 
-    return both.mapInArrow(run, "u binary, v binary")
+    return rows.mapInArrow(run, "g long, u long, v long, d int")
 
 
 def tested(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs (u, v) with linked; texts has key and text of every set named in them.
+    """The pairs (u, v) that are links, by their whole texts; texts has node and text of every set named in them.
 
-    The set of v joins first; then rows meet the set of u in tasks by u and a salt, so that the pairs
+    The text of v joins first; then rows meet the text of u in tasks by u and a salt, so that the pairs
     of one hot u are spread.
     """
     salts = 8
 
-    def set_bytes(batches):
-        for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t.as_py()).tobytes() for t in part.column(1)], pa.binary())], ["key", "s"])
-
     def compare(batches):
+        last, x = None, None
         for b in batches:
             linked = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-                least, most = sorted((len(x), len(y)))
-                both = 0
-                if 100 * least >= SIMILAR * most:
-                    both = int(np.count_nonzero(x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y))
-                linked.append(100 * both >= SIMILAR * (least + most - both))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked)], ["u", "v", "linked"])
-
-    s = written(texts.select("key", "text").mapInArrow(set_bytes, "key binary, s binary"), "sets")
+            for u, s, t in zip(b.column(0).to_pylist(), b.column(2), b.column(3)):
+                if u != last:
+                    last, x = u, shingles(s.as_py())
+                y = shingles(t.as_py())
+                both = int(np.count_nonzero(x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y))
+                linked.append(100 * both >= SIMILAR * (len(x) + len(y) - both))
+            yield b.select([0, 1]).filter(pa.array(linked, pa.bool_()))
+
     at = F.expr(f"pmod(xxhash64(v), {salts})")
-    left = pairs.withColumn("salt", at).join(s.selectExpr("key as v", "s as y"), "v")
-    right = pairs.select("u", at.alias("salt")).distinct().join(s.selectExpr("key as u", "s as x"), "u")
-    joined = left.join(right, ["u", "salt"])
-    return joined.select("u", "v", "x", "y").mapInArrow(compare, "u binary, v binary, linked boolean")
+    left = pairs.withColumn("salt", at).join(texts.selectExpr("node as v", "text as y"), "v")
+    right = pairs.select("u", at.alias("salt")).distinct().join(texts.selectExpr("node as u", "text as x"), "u")
+    return left.join(right, ["u", "salt"]).select("u", "v", "x", "y").mapInArrow(compare, "u long, v long")
 
 
 def joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """rows (doc_id, t, size, key) of docs, and comp (node, comp) of the keys that have links."""
+    """rows (doc_id, t, size, key) of docs, and comp (key, comp) of the keys that have links; comp is a key, too.
+
+    The pairs that may be similar are tested in three rounds, so that a group of many similar sets costs
+    few tests: of each set its nearest one; of the components found then, in each group, as few pairs
+    as connect them; and last all pairs that still are of different components and weren't tested.
+    """
     spark = docs.sparkSession
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     found = written(shared(docs, buckets), "shared")
     rows = found.where("kind = 'row'").select("doc_id", "t", "size", "key")
-    groups = written(found.where("kind = 'member'").select("g", "key").distinct(), "groups")
-    # One row of each set stands for it, so that copies of its text are not moved.
-    held = found.where("kind = 'row'").join(groups.select("key").distinct(), "key", "left_semi")
-    held = held.groupBy("key").agg(F.min(F.struct("t", F.expr("doc_id is null"), "doc_id", "size", "profile")).alias("r"))
-    held = written(held.selectExpr("key", "r.size as size", "r.profile as profile", "r.t as rt", "r.doc_id as rd"), "held")
-    groups = groups.join(held.select("key", "size"), "key")
+    refs = found.where("kind = 'row' and ref is not null").select("ref", "key", "t", "doc_id", "size", "sketch")
+    # The least ref of equal sets stands for them.
+    members = found.where("kind = 'member'").select("g", "ref")
+    used = refs.select("ref", "key").join(members.select("ref").distinct(), "ref", "left_semi")
+    nodes = written(used.join(used.groupBy("key").agg(F.min("ref").alias("node")), "key"), "nodes")
+    groups = written(members.join(nodes.select("ref", "node"), "ref").select("g", "node").distinct(), "groups")
+    held = refs.join(nodes.where("ref = node").select("ref"), "ref", "left_semi").withColumnRenamed("ref", "node")
+    held = written(held.selectExpr("node", "size", "sketch", "t as rt", "doc_id as rd"), "held")
+    near = written(candidates(cells(groups, held, None, buckets), "nearest"), "near")
+    drop(groups)
+    alive = held.drop("sketch").join(near.select(F.col("u").alias("node")).distinct(), "node", "left_semi")
     texts = docs.select(F.xxhash64(docs["text"]).alias("t"), docs["doc_id"].cast("long").alias("d"), docs["text"].alias("text"))
-    texts, _ = sift(texts, "t", held, "rt")
-    texts = written(texts.join(held, (F.col("t") == F.col("rt")) & F.col("d").eqNullSafe(F.col("rd"))).select("key", "text").dropDuplicates(["key"]), "texts")
-    links, done, comp, first = None, None, None, 8
-
-    def test(pairs: DataFrame) -> bool:
-        """Tests pairs that weren't tested; whether any of them is a link."""
-        nonlocal links, done, comp
-        pairs = written(pairs if done is None else pairs.join(done, ["u", "v"], "left_anti"), "pairs")
+    texts, _ = sift(texts, "t", alive, "rt")
+    texts = written(texts.join(alive, (F.col("t") == F.col("rt")) & F.col("d").eqNullSafe(F.col("rd"))).select("node", "text").dropDuplicates(["node"]), "texts")
+    pairs = near.groupBy("u").agg(F.min(F.struct("d", "v")).alias("b")).selectExpr("least(u, b.v) as u", "greatest(u, b.v) as v").distinct()
+    groups = near.select("g", F.col("u").alias("node")).distinct()
+    links = done = comp = None
+    for kind in ("forest", "all", None):
+        pairs = written(pairs, "pairs")
+        new = written(tested(pairs, texts), "tested")
         done = pairs if done is None else done.union(pairs)
-        some = written(close(pairs, held), "pairs")
-        needed = some.selectExpr("u as key").union(some.selectExpr("v as key")).distinct()
-        new = written(tested(some, texts.join(needed, "key", "left_semi")).where("linked").select("u", "v"), "tested")
-        if new.isEmpty():
-            return False
         links = new if links is None else links.union(new)
-        comp = components(links)
-        return True
-
-    # One pair of each set at a time, as long as that joins components: most groups become one of them.
-    while True:
-        groups = written(ranked(groups, comp), "groups")
-        if groups.isEmpty() or not test(once(groups)):
-            break
-    # What is left holds sets that aren't similar to others of their group: the first of each group meet all others.
-    while not groups.isEmpty():
-        test(met(groups, first))
-        # They leave it.
-        groups = written(ranked(groups.where(F.col("rank") > first).select("g", "key", "size"), comp), "groups")
-        first *= 8
-    return rows, comp if comp is not None else spark.createDataFrame([], "node binary, comp binary")
+        if comp is None or not new.isEmpty():
+            comp = components(links)
+        if kind:
+            pairs = candidates(cells(groups, held, comp, buckets), kind)
+            pairs = pairs.selectExpr("least(u, v) as u", "greatest(u, v) as v").distinct().join(done, ["u", "v"], "left_anti")
+    keys = nodes.where("ref = node").select("key", "node")
+    comp = comp.join(keys, "node").drop("node").join(keys.selectExpr("key as c", "node as comp"), "comp")
+    return rows, written(comp.selectExpr("key", "c as comp"), "comp")
 
 
 def classes(rows: DataFrame, comp: DataFrame) -> DataFrame:
     """component_id of each key: the smallest doc_id of its component."""
-    keys = rows.where("size > 0").groupBy("key").agg(F.min("doc_id").alias("least")).join(comp.withColumnRenamed("node", "key"), "key", "left")
+    keys = rows.where("size > 0").groupBy("key").agg(F.min("doc_id").alias("least")).join(comp, "key", "left")
     keys = written(keys.withColumn("comp", F.coalesce("comp", "key")), "keys")
     return keys.join(keys.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("key", "component_id")
 
@@ -418,7 +486,7 @@ def similar(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs with one of each component: that of the smallest doc_id, of equals the first text. Own columns only."""
     rows, comp = joined(docs)
-    ids = rows.where("size > 0").join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    ids = rows.where("size > 0").join(comp, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     best = ids.groupBy("comp").agg(F.min(F.struct(F.expr("doc_id is null"), "doc_id", "t")).alias("b"))
     best = written(best.selectExpr("b.doc_id as _d", "b.t as _t", "comp"), "best")
     empty = rows.where("size = 0").selectExpr("doc_id as _d", "t as _t").distinct()
