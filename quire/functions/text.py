@@ -104,3 +104,26 @@ def isbn_valid(c: Column) -> Column:
     ten = weigh(lambda d, i: F.when(d == "X", 10).otherwise(F.coalesce(d.try_cast("int"), F.lit(0))) * (10 - i)) % 11 == 0
     thirteen = weigh(lambda d, i: F.coalesce(d.try_cast("int"), F.lit(0)) * F.when(i % 2 == 0, 1).otherwise(3)) % 10 == 0
     return F.when(x.rlike("^[0-9]{9}[0-9X]$"), ten).when(x.rlike("^[0-9]{13}$"), thirteen).otherwise(False)
+
+
+def bytes_text(n: Column) -> Column:
+    """A number of bytes as B, kB or MB, with one decimal above 1023 bytes."""
+    shown = lambda x, unit: F.concat((F.floor(x * 10 + 0.5) / 10).cast("decimal(20,1)").cast("string"), F.lit(unit))
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024 * 1024, shown(n / 1024, " kB")).otherwise(shown(n / (1024 * 1024), " MB"))
+
+
+def url_allowed(c: Column) -> Column:
+    """Whether a text is an address of the web; other protocols, such as script addresses, are not."""
+    host = F.try_parse_url(F.trim(c), F.lit("HOST"))
+    return F.coalesce(F.lower(F.try_parse_url(F.trim(c), F.lit("PROTOCOL"))).isin("http", "https") & (host != ""), F.lit(False))
+
+
+def year_of(c: Column) -> Column:
+    """The year that a date text begins with; null before 1450."""
+    year = F.left(c, F.lit(4)).try_cast("int")
+    return F.when(year >= 1450, year)
+
+
+def data_url(mime: Column, data: Column) -> Column:
+    """Bytes as a data address in base64."""
+    return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.base64(data))

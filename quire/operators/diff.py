@@ -62,8 +62,7 @@ QUERIES = {
     "patch_diff": lambda s, d: versions(s, d).where("text <> text2").select("conv_id", "turn", (F.length("text2") - F.length("text")).cast("long").alias("delta")),
     "partial_apply": _partial,
     "patch_rules": lambda s, d: options(s, d).groupBy("question").agg(F.count_if("correct").alias("c"), F.count("*").alias("n"), F.count_distinct("part").alias("k")).where("c > 1 or n <> k").select("question", F.expr("case when c > 1 then 'many_correct' else 'repeated_option' end").alias("refusal")),
-    "exclusive_answer": lambda s, d: exclusive(table(s, d, "lineitem").where("l_orderkey < 2000")),
-    "exclusive_answer_all": lambda s, d: exclusive(table(s, d, "lineitem")),
+    "exclusive_answer": lambda s, d: exclusive(table(s, d, "lineitem")),
     "changed_fields": lambda s, d: versions(s, d).select("conv_id", "turn", F.concat_ws(",", F.when(F.expr("role is distinct from role2"), "role"), F.when(F.expr("text is distinct from text2"), "text"), F.when(F.expr("left(text, 1) is distinct from left(text2, 1)"), "initial")).alias("changed")),
     "revision_list": lambda s, d: table(s, d, "conversations").where("conv_id = 3").orderBy(F.desc("turn")).limit(50).select("turn", "role"),
 }
@@ -77,9 +76,7 @@ ORACLE_SQL = {
     "patch_diff": f"with {_V} select conv_id, turn, length(text2) - length(text) as delta from v where text <> text2",
     "partial_apply": "select conv_id, turn, case when turn % 2 = 0 then 'applied' else 'stale' end as outcome from conversations where (conv_id + turn) % 3 = 0",
     "patch_rules": "select l_orderkey as question, case when count(*) filter (l_returnflag = 'R') > 1 then 'many_correct' else 'repeated_option' end as refusal from lineitem group by l_orderkey having count(*) filter (l_returnflag = 'R') > 1 or count(*) <> count(distinct l_partkey)",
-    "exclusive_answer": "with o as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) = 1 as now, l_returnflag = 'R' as was from lineitem where l_orderkey < 2000) select l_orderkey, l_linenumber, l_partkey, now, was from o where now <> was",
+    "exclusive_answer": "with o as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) = 1 as now, l_returnflag = 'R' as was from lineitem) select l_orderkey, l_linenumber, l_partkey, now, was from o where now <> was",
     "changed_fields": f"with {_V} select conv_id, turn, concat_ws(',', case when role is distinct from role2 then 'role' end, case when text is distinct from text2 then 'text' end, case when left(text, 1) is distinct from left(text2, 1) then 'initial' end) as changed from v",
     "revision_list": "select turn, role from conversations where conv_id = 3 order by turn desc limit 50",
 }
-#: The same over all rows.
-ORACLE_SQL["exclusive_answer_all"] = ORACLE_SQL["exclusive_answer"].replace(" where l_orderkey < 2000", "")

@@ -69,8 +69,7 @@ QUERIES = {
     "context_budget": _budget,
     "state_histogram": lambda s, d: table(s, d, "events").agg(*[F.count_if(F.col("event_type") == x).alias(x) for x in ("click", "error", "purchase", "never")]),
     "array_set_ops": lambda s, d: table(s, d, "events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("kinds")),
-    "proposal_dedupe": lambda s, d: table(s, d, "conversations").groupBy("role", F.left("text", F.lit(12)).alias("start")).agg(F.min(F.struct("conv_id", "turn")).alias("f"), F.count("*").alias("n")).select("role", "start", F.col("f.conv_id").alias("conv_id"), F.col("f.turn").alias("turn"), "n"),
-    "proposal_dedupe_all": lambda s, d: table(s, d, "conversations").groupBy("role", F.sha2("text", 256).alias("sha256")).agg(F.min(F.struct("conv_id", "turn")).alias("f"), F.count("*").alias("n")).select("role", "sha256", F.col("f.conv_id").alias("conv_id"), F.col("f.turn").alias("turn"), "n"),
+    "proposal_dedupe": lambda s, d: table(s, d, "conversations").groupBy("role", F.sha2("text", 256).alias("sha256")).agg(F.min(F.struct("conv_id", "turn")).alias("f"), F.count("*").alias("n")).select("role", "sha256", F.col("f.conv_id").alias("conv_id"), F.col("f.turn").alias("turn"), "n"),
     "content_hash_dedupe": lambda s, d: table(s, d, "documents").groupBy(F.sha2("text", 256).alias("sha256")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first")),
     "json_first_error": lambda s, d: table(s, d, "events").where("event_type = 'error'").select("event_id", F.concat(F.lit("L"), F.from_json("props", "k int")["k"].cast("string"), F.lit(": error")).alias("message")),
     "relative_order": lambda s, d: latest_with(table(s, d, "orders"), ["o_custkey"], [F.asc("o_orderdate"), F.asc("o_orderkey")], 1).select("o_custkey", F.col("o_orderkey").alias("first_order")),
@@ -91,8 +90,7 @@ ORACLE_SQL = {
     "context_budget": "select conv_id, cast(sum(length(text)) as bigint) as chars, string_agg(role, ' › ' order by turn) as path, sum(length(text)) <= 3000 as fits from conversations group by conv_id",
     "state_histogram": "select count(*) filter (event_type = 'click') as click, count(*) filter (event_type = 'error') as error, count(*) filter (event_type = 'purchase') as purchase, count(*) filter (event_type = 'never') as never from events",
     "array_set_ops": "select user_id, array_to_string(list_sort(list_distinct(list(event_type))), ',') as kinds from events group by user_id",
-    "proposal_dedupe": "select role, left(text, 12) as start, arg_min(conv_id, (conv_id, turn)) as conv_id, arg_min(turn, (conv_id, turn)) as turn, count(*) as n from conversations group by role, left(text, 12)",
-    "proposal_dedupe_all": "select role, sha256(text) as sha256, arg_min(conv_id, (conv_id, turn)) as conv_id, arg_min(turn, (conv_id, turn)) as turn, count(*) as n from conversations group by role, sha256(text)",
+    "proposal_dedupe": "select role, sha256(text) as sha256, arg_min(conv_id, (conv_id, turn)) as conv_id, arg_min(turn, (conv_id, turn)) as turn, count(*) as n from conversations group by role, sha256(text)",
     "content_hash_dedupe": "select sha256(text) as sha256, count(*) as copies, min(doc_id) as first from documents group by sha256(text)",
     "json_first_error": "select event_id, 'L' || json_extract_string(props, '$.k') || ': error' as message from events where event_type = 'error'",
     "relative_order": "select o_custkey, arg_min(o_orderkey, (o_orderdate, o_orderkey)) as first_order from orders group by o_custkey",

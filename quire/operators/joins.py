@@ -27,42 +27,48 @@ def _nested(s, d):
     return table(s, d, "orders").join(o, F.col("o_orderkey") == F.col("question"), "left").select("o_orderkey", F.coalesce(F.array_join(lines, "; "), F.lit("")).alias("options"))
 
 
-def _link_ordered(s, d):
-    names = table(s, d, "lineitem").join(table(s, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    at = F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
-    return names.groupBy("l_partkey").agg(F.min_by("s_name", at).alias("first_supplier"), F.count("*").alias("links"), F.array_join(F.transform(F.slice(F.array_sort(F.collect_set(F.struct("s_suppkey", "s_name"))), 1, 5), lambda x: x["s_name"]), ", ").alias("suppliers"))
-
-
 def _links(s, d):
-    """All names linked to a part, in the order of the links."""
+    """The first and all names linked to a part, in the order of the links."""
     names = table(s, d, "lineitem").join(table(s, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     link = F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "s_name")
-    return names.groupBy("l_partkey").agg(F.array_sort(F.collect_list(link)).alias("a")).select("l_partkey", F.size("a").cast("long").alias("links"), F.array_join(F.transform("a", lambda x: x["s_name"]), ", ").alias("suppliers"))
-
-
-def _dup_signal(s, d):
-    """First signal that finds a document's like among the first 200: same text, else same opening and source."""
-    docs = table(s, d, "documents")
-    head = F.substring(fold(F.col("text")), 1, 40)
-    base = docs.where("doc_id < 200").select(F.col("doc_id").alias("b"), "text", "source", head.alias("head"))
-    by_text = base.groupBy("text").agg(F.min("b").alias("by_text"))
-    by_head = base.groupBy("head", "source").agg(F.min("b").alias("by_head"))
-    df = docs.where("doc_id >= 200").withColumn("head", head).join(by_text, "text", "left").join(by_head, ["head", "source"], "left")
-    return df.select("doc_id", F.coalesce("by_text", "by_head").alias("found"), F.when(F.col("by_text").isNotNull(), "text").when(F.col("by_head").isNotNull(), "opening").otherwise("none").alias("signal"))
+    return names.groupBy("l_partkey").agg(F.array_sort(F.collect_list(link)).alias("a")).select("l_partkey", F.col("a")[0]["s_name"].alias("first_supplier"), F.size("a").cast("long").alias("links"), F.array_join(F.transform("a", lambda x: x["s_name"]), ", ").alias("suppliers"))
 
 
-def _contained(s, d):
-    """Which benchmark items stand in a document: candidates by a shared run of 5 words, then containment.
+def contained(texts: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item: str) -> DataFrame:
+    """Which items stand in a text, wherever they begin and end in a word.
 
-    The items' words are looked up by equality, not by comparing every item with every document.
+    An item of three words or more is looked up by the words between its first and its last, which stand whole in any text that
+    holds it: runs of so many words, of all lengths that items have, up to five. Only keys and hashes of runs are joined; texts are
+    fetched for what they find.
     """
-    def grams(df: DataFrame) -> DataFrame:
-        df = df.withColumn("w", F.split("text", r"\s"))
-        return df.withColumn("grams", F.expr("transform(sequence(1, greatest(1, size(w) - 4)), i -> array_join(slice(w, i, 5), ' '))"))
-
-    items = grams(table(s, d, "benchmark")).select("item_id", F.col("text").alias("item"), F.element_at("grams", 2).alias("gram"))
-    docs = grams(table(s, d, "documents")).select("doc_id", "text", F.explode(F.array_distinct("grams")).alias("gram"))
-    return docs.join(items, "gram").where(F.col("text").contains(F.col("item"))).select("doc_id", "item_id").distinct()
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda x: x != "")
+    it = items.select(F.col(item_key).alias("_item"), F.col(item).alias("_text"), words(F.col(item)).alias("_w")).where("_text <> ''")
+    starts = F.col(item).rlike(r"^\s"), F.col(item).rlike(r"\s$")
+    it = it.join(items.select(F.col(item_key).alias("_item"), starts[0].cast("int").alias("_a"), starts[1].cast("int").alias("_z")), "_item")
+    it = it.withColumn("_inner", F.expr("slice(_w, 2 - _a, greatest(0, least(5, size(_w) - 2 + _a + _z)))"))
+    long = it.where("size(_inner) > 0").select("_item", "_text", F.size("_inner").alias("_n"), F.xxhash64("_inner").alias("_h"))
+    docs = texts.select(F.col(key).alias("_key"), words(F.col(text)).alias("_w"))
+    # Of each length that items have, five at most: the hashes of a text's runs, each once.
+    lengths = sorted(r._n for r in long.select("_n").distinct().collect())
+    runs = [F.expr(f"if(size(_w) >= {n}, transform(sequence(1, size(_w) - {n - 1}), i -> xxhash64(slice(_w, i, {n}))), cast(array() as array<bigint>))") for n in lengths]
+    hits = docs.select("_key", F.explode(F.array_distinct(F.concat(*runs) if runs else F.array().cast("array<bigint>"))).alias("_h"))
+    hits = hits.join(long, "_h").select("_key", "_item", "_text")
+    found = hits.join(texts.select(F.col(key).alias("_key"), F.col(text).alias("_whole")), "_key").where(F.col("_whole").contains(F.col("_text"))).select("_key", "_item")
+    # Items of one or two words may begin and end anywhere: each text is searched for them, in blocks of about a thousand.
+    short = it.where("size(_inner) = 0").select("_item", "_text")
+    blocks = max(1, short.count() // 1000)
+    block = short.groupBy(F.expr(f"pmod(xxhash64(_item), {blocks})")).agg(F.collect_list(F.struct("_item", "_text")).alias("_block")).select("_block")
+    one = texts.select(F.col(key).alias("_key"), F.col(text).alias("_whole")).join(block, F.lit(True))
+    one = one.select("_key", F.explode(F.filter("_block", lambda x: F.col("_whole").contains(x["_text"]))).alias("x")).select("_key", F.col("x._item").alias("_item"))
+    return found.union(one).distinct().select(F.col("_key").alias(key), F.col("_item").alias(item_key))
+
+
+def _items(s, d):
+    """Benchmark items, and their openings of 1 to 6 words cut inside the last word."""
+    df = table(s, d, "benchmark").select("item_id", "text")
+    cut = df.withColumn("w", F.split("text", " ")).withColumn("n", (F.col("item_id") % 6 + 1).cast("int"))
+    cut = cut.select((F.col("item_id") + 1_000_000).alias("item_id"), F.expr("array_join(slice(w, 1, n), ' ')").alias("text"))
+    return df.union(cut.select("item_id", F.expr("left(text, greatest(1, length(text) - 2))").alias("text")))
 
 
 def _trash(s, d):
@@ -72,7 +78,7 @@ def _trash(s, d):
     return gone.join(gone.select(F.col("id").alias("pid")), gone["parent_id"] == F.col("pid"), "left").select("id", F.col("pid").isNull().alias("restorable"))
 
 
-def dup_signals(docs: DataFrame) -> DataFrame:
+def earlier_likes(docs: DataFrame) -> DataFrame:
     """First signal that finds a document's like among all documents of smaller ids: same text, else same folded text and source.
 
     Texts are compared by hash; the least id of each key is formed before the join, so copies never meet one another. The like
@@ -87,19 +93,44 @@ def dup_signals(docs: DataFrame) -> DataFrame:
     return df.select("doc_id", F.coalesce("by_text", "by_key").alias("found"), F.when(F.col("by_text").isNotNull(), "text").when(F.col("by_key").isNotNull(), "folded").otherwise("none").alias("signal"))
 
 
+def dup_signals(new: DataFrame, known: DataFrame) -> DataFrame:
+    """The first signal by which a row of new is like one of known: external id, then ISBN, then folded title and first author.
+
+    Both have id, external, isbn, title and author. known has one row per key before the joins, its least id, so rows of one key
+    never meet one another.
+    """
+    keys = {
+        "external-id": F.col("external"),
+        "isbn": F.nullif(F.upper(F.regexp_replace("isbn", r"[\s-]", "")), F.lit("")),
+        "title-and-author": F.trim(F.regexp_replace(fold(F.concat_ws("|", F.coalesce("title", F.lit("")), F.coalesce("author", F.lit("")))), "[^a-z0-9|]+", " ")),
+    }
+    found = []
+    for i, (_, key) in enumerate(keys.items()):
+        by = known.select(F.col("id"), key.alias(f"k{i}")).where(f"k{i} is not null").groupBy(f"k{i}").agg(F.min("id").alias(f"b{i}"))
+        new = new.withColumn(f"k{i}", key).join(by, f"k{i}", "left")
+        found.append(F.col(f"b{i}"))
+    signal = F.coalesce(*[F.when(b.isNotNull(), name) for b, name in zip(found, keys)])
+    return new.select("id", F.coalesce(*found).alias("found"), signal.alias("signal"), signal.isin("external-id", "isbn").alias("blocks"))
+
+
+def _publications(s, d):
+    """Parts as publications: entries of odd keys are new, those of even keys known; sizes and brands repeat among them."""
+    df = table(s, d, "part").selectExpr("p_partkey as id", "case when p_partkey % 5 < 2 then concat('x', p_partkey div 10) end as external", "case when p_partkey % 3 = 0 then concat(p_size, '-', p_partkey % 40, ' x') when p_partkey % 7 = 0 then ' - ' end as isbn", "p_name as title", "p_brand as author")
+    return df.where("id % 2 = 1"), df.where("id % 2 = 0")
+
+
 QUERIES = {
     "catalog_counts": lambda s, d: counted(counted(table(s, d, "nation").select("n_nationkey", "n_name"), "n_nationkey", table(s, d, "customer"), "c_nationkey", "customers"), "n_nationkey", table(s, d, "orders").join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")), "c_nationkey", "orders"),
     "candidates_not_used": lambda s, d: unused(table(s, d, "part"), "p_partkey", table(s, d, "lineitem").where("l_quantity > 49"), "l_partkey").select("p_partkey", "p_name"),
     "nested_options": _nested,
-    "link_join_ordered": _link_ordered,
-    "link_join_ordered_all": _links,
+    "link_join_ordered": _links,
     "left_chain_default": lambda s, d: table(s, d, "supplier").join(table(s, d, "nation").where("n_nationkey % 3 <> 0"), F.col("s_nationkey") == F.col("n_nationkey"), "left").join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left").select("s_suppkey", F.coalesce("n_name", F.lit("Geral")).alias("subgroup"), F.coalesce("r_name", F.lit("Geral")).alias("grp")),
     "unmatched_report": lambda s, d: table(s, d, "documents").join(table(s, d, "labels"), "doc_id", "left_anti").groupBy("lang").agg(F.count("*").alias("missing")),
-    "dup_signal": _dup_signal,
-    "dup_signal_all": lambda s, d: dup_signals(table(s, d, "documents")),
+    "dup_signal": lambda s, d: dup_signals(*_publications(s, d)),
+    "earlier_like": lambda s, d: earlier_likes(table(s, d, "documents")),
     "scope_exists": lambda s, d: table(s, d, "nation").join(table(s, d, "customer").join(table(s, d, "orders").where("o_totalprice > 490000"), F.col("o_custkey") == F.col("c_custkey"), "left_semi"), F.col("c_nationkey") == F.col("n_nationkey"), "left_semi").select("n_nationkey", "n_name"),
     "fk_chain": lambda s, d: table(s, d, "orders").join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_order")),
-    "text_containment_join": _contained,
+    "text_containment_join": lambda s, d: contained(table(s, d, "documents"), "doc_id", "text", _items(s, d), "item_id", "text"),
     "trash_annotation": _trash,
     "usage_flags": lambda s, d: questions(s, d).join(table(s, d, "events").where("event_type = 'click'").select(F.col("user_id").alias("doc_id"), F.lit(True).alias("c")).distinct(), "doc_id", "left").join(table(s, d, "events").where("event_type = 'error'").select(F.col("user_id").alias("doc_id"), F.lit(True).alias("e")).distinct(), "doc_id", "left").select("doc_id", (F.col("c").isNotNull() | F.col("e").isNotNull()).alias("used")),
 }
@@ -108,14 +139,14 @@ ORACLE_SQL = {
     "catalog_counts": "select n_nationkey, n_name, (select count(*) from customer where c_nationkey = n_nationkey) as customers, (select count(*) from orders join customer on o_custkey = c_custkey where c_nationkey = n_nationkey) as orders from nation",
     "candidates_not_used": "select p_partkey, p_name from part where not exists (select 1 from lineitem where l_partkey = p_partkey and l_quantity > 49)",
     "nested_options": "with o as (select l_orderkey, cast(l_partkey as varchar) || 'x' || cast(cast(l_quantity as int) as varchar) as text, l_returnflag = 'R' as correct, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 as i from lineitem) select o_orderkey, coalesce((select string_agg(chr(cast(97 + i as int)) || ') ' || text || case when correct then '*' else '' end, '; ' order by i) from o where l_orderkey = o_orderkey), '') as options from orders",
-    "link_join_ordered": "with l as (select l_partkey, s_suppkey, s_name, row_number() over (partition by l_partkey order by l_orderkey, l_linenumber, l_suppkey, l_extendedprice) as k from lineitem join supplier on l_suppkey = s_suppkey), f as (select l_partkey, s_name as first_supplier from l where k = 1), c as (select l_partkey, count(*) as links from l group by l_partkey), g as (select l_partkey, string_agg(s_name, ', ' order by s_suppkey) as suppliers from (select distinct l_partkey, s_suppkey, s_name from l qualify dense_rank() over (partition by l_partkey order by s_suppkey) <= 5) group by l_partkey) select l_partkey, first_supplier, links, suppliers from f join c using (l_partkey) join g using (l_partkey)",
-    "link_join_ordered_all": "select l_partkey, count(*) as links, string_agg(s_name, ', ' order by l_orderkey, l_linenumber, l_suppkey, l_extendedprice) as suppliers from lineitem join supplier on l_suppkey = s_suppkey group by l_partkey",
+    "link_join_ordered": "select l_partkey, arg_min(s_name, (l_orderkey, l_linenumber, l_suppkey, l_extendedprice)) as first_supplier, count(*) as links, string_agg(s_name, ', ' order by l_orderkey, l_linenumber, l_suppkey, l_extendedprice) as suppliers from lineitem join supplier on l_suppkey = s_suppkey group by l_partkey",
     "left_chain_default": "select s_suppkey, coalesce(n_name, 'Geral') as subgroup, coalesce(r_name, 'Geral') as grp from supplier left join (select * from nation where n_nationkey % 3 <> 0) on s_nationkey = n_nationkey left join region on n_regionkey = r_regionkey",
     "unmatched_report": "select lang, count(*) as missing from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id) group by lang",
-    "dup_signal": "with b as (select *, substr(strip_accents(lower(text)), 1, 40) as head from documents where doc_id < 200), t as (select text, min(doc_id) as by_text from b group by text), h as (select head, source, min(doc_id) as by_head from b group by head, source) select d.doc_id, coalesce(by_text, by_head) as found, case when by_text is not null then 'text' when by_head is not null then 'opening' else 'none' end as signal from documents d left join t on t.text = d.text left join h on h.head = substr(strip_accents(lower(d.text)), 1, 40) and h.source = d.source where d.doc_id >= 200",
+    "dup_signal": "with p as (select p_partkey as id, case when p_partkey % 5 < 2 then 'x' || p_partkey // 10 end as external, nullif(upper(regexp_replace(case when p_partkey % 3 = 0 then p_size || '-' || p_partkey % 40 || ' x' when p_partkey % 7 = 0 then ' - ' end, '[ -]', '', 'g')), '') as isbn, trim(regexp_replace(lower(p_name || '|' || p_brand), '[^a-z0-9|]+', ' ', 'g')) as title from part), k as (select * from p where id % 2 = 0), e as (select external, min(id) as e from k group by external), i as (select isbn, min(id) as i from k group by isbn), t as (select title, min(id) as t from k group by title) select id, coalesce(e, i, t) as found, case when e is not null then 'external-id' when i is not null then 'isbn' when t is not null then 'title-and-author' end as signal, case when e is not null or i is not null then true when t is not null then false end as blocks from p left join e on e.external = p.external left join i on i.isbn = p.isbn left join t on t.title = p.title where id % 2 = 1",
+    "earlier_like": r"with f as (select doc_id, text, source, nullif(trim(regexp_replace(strip_accents(lower(text)), '[^\p{L}\p{N}]+', ' ', 'g')), '') as k from documents), t as (select text, min(doc_id) as t from f group by text), k as (select k, source, min(doc_id) as b from f where k is not null group by k, source), j as (select doc_id, case when t.t < doc_id then t.t end as by_text, case when k.b < doc_id then k.b end as by_key from f left join t on t.text = f.text left join k on k.k = f.k and k.source = f.source) select doc_id, coalesce(by_text, by_key) as found, case when by_text is not null then 'text' when by_key is not null then 'folded' else 'none' end as signal from j",
     "scope_exists": "select n_nationkey, n_name from nation where exists (select 1 from customer join orders on o_custkey = c_custkey where c_nationkey = n_nationkey and o_totalprice > 490000)",
     "fk_chain": "select r_name, count(*) as n, min(o_orderkey) as first_order from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by r_name",
-    "text_containment_join": "select doc_id, item_id from documents d, benchmark b where contains(d.text, b.text)",
+    "text_containment_join": "with c as (select item_id + 1000000 as item_id, array_to_string(string_split(text, ' ')[1:item_id % 6 + 1], ' ') as text from benchmark), i as (select item_id, text from benchmark union all select item_id, left(text, greatest(1, length(text) - 2)) from c) select doc_id, item_id from documents d, i where contains(d.text, i.text)",
     "trash_annotation": "with t as (select 'c' || c_custkey as id, cast(null as varchar) as parent_id from customer where c_custkey % 7 = 0 union all select 'o' || o_orderkey, 'c' || o_custkey from orders where o_orderkey % 7 = 0) select id, not exists (select 1 from t p where p.id = t.parent_id) as restorable from t",
     "usage_flags": f"with {QUESTIONS_SQL} select doc_id, exists (select 1 from events where user_id = doc_id and event_type in ('click', 'error')) as used from questions",
 }

@@ -71,15 +71,15 @@ def _logs(s, d):
 
 
 def _spans(s, d):
-    """Which document a line of all of them laid end to end falls in, by running sums within a source."""
+    """First and last line of each document in its source's documents laid end to end, by running sums."""
     w = Window.partitionBy("source").orderBy("doc_id")
     df = table(s, d, "documents").select("source", "doc_id", F.size(F.split("text", "\n")).cast("long").alias("lines"))
     df = df.withColumn("first", F.sum("lines").over(w) - F.col("lines") + 1).withColumn("last", F.col("first") + F.col("lines") - 1)
-    return df.where("first <= 100 and last >= 100").select("source", "doc_id", "first", "last")
+    return df.select("source", "doc_id", "first", "last")
 
 
 QUERIES = {
-    "latex_preview": lambda s, d: preview(table(s, d, "documents").where("text like '%$%'"), "doc_id", "text").groupBy("doc_id", "kind").agg(F.count("*").alias("n")),
+    "latex_preview": lambda s, d: preview(table(s, d, "documents"), "doc_id", "text").groupBy("doc_id", "kind").agg(F.count("*").alias("n")),
     "tex_log": lambda s, d: in_body(diagnostics(_logs(s, d), "doc_id", "log"), 10).select("doc_id", "severity", "message", "line", "file"),
     "tex_escape": lambda s, d: table(s, d, "documents").select("doc_id", F.md5(tex_escape(F.col("text"))).alias("md5")),
     "comments_stripped": lambda s, d: table(s, d, "documents").select("doc_id", F.length(strip_comments(F.col("text"))).cast("long").alias("n")),
@@ -114,7 +114,7 @@ ORACLE_SQL = {
     "asset_name": "select page_id, trim(regexp_replace(strip_accents(lower(regexp_extract(url, '://([^/]*)', 1))), '[^a-z0-9]+', '-', 'g'), '-') || '-' || left(sha256(html), 8) || '.html' as name from pages",
     "figure_text": r"select page_id, '\begin{figure}' || chr(10) || '\includegraphics{' || page_id || '}' || chr(10) || '\end{figure}' as figure from pages",
     "log_truncate": "select doc_id, case when length(text) > 500 then left(text, 250) || chr(10) || '[... ' || (length(text) - 500) || ' ...]' || chr(10) || right(text, 250) else text end as log from documents",
-    "line_spans": "with l as (select source, doc_id, len(string_split(text, chr(10))) as lines from documents), r as (select *, cast(sum(lines) over (partition by source order by doc_id) as bigint) as last from l) select source, doc_id, last - lines + 1 as first, last from r where last - lines + 1 <= 100 and last >= 100",
+    "line_spans": "with l as (select source, doc_id, len(string_split(text, chr(10))) as lines from documents), r as (select *, cast(sum(lines) over (partition by source order by doc_id) as bigint) as last from l) select source, doc_id, last - lines + 1 as first, last from r",
     "canonical_hash": f"select doc_id, sha256(source || chr(10) || lang || chr(10) || {_FLAT}) as sha256 from documents",
     "slug_unique": "with s as (select p_partkey, replace(p_name, ' ', '-') as slug, row_number() over (partition by p_name order by p_partkey) as n from part) select p_partkey, case when n > 1 then slug || '-' || n else slug end as slug from s",
 }

@@ -69,8 +69,8 @@ def _rect(s, d):
     return df.selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "cast(floor(x * 1240) as bigint) as x0", "cast(floor(y * 1754) as bigint) as y0", "cast(least(1240, ceil((x + w) * 1240)) as bigint) as x1")
 
 
-def _provenance(s, d, of: str = "true"):
-    o = table(s, d, "orders").where(of).join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+def _provenance(s, d):
+    o = table(s, d, "orders").join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return o.select("o_orderkey", F.format_string("%s, p. %d (%d%%)", "n_name", (F.col("c_custkey") % 300).cast("int"), (F.col("o_orderkey") % 100).cast("int")).alias("reference"))
 
 
@@ -87,8 +87,7 @@ QUERIES = {
     "pending_queue": lambda s, d: _queue(s, d).orderBy(F.desc("ts"), F.desc("event_id")).limit(200).where("state <> 'approved'").select("event_id", "state"),
     "queue_histogram": lambda s, d: _queue(s, d).groupBy("state").agg(F.count("*").alias("n")),
     "discard_reason": lambda s, d: questions(s, d).select("doc_id", F.expr("case when deleted then 'absent' when validation_status = 'VALID' then 'in_use' else 'discarded' end").alias("outcome")),
-    "provenance": lambda s, d: _provenance(s, d, "o_orderkey < 3000"),
-    "provenance_all": _provenance,
+    "provenance": _provenance,
     "pixel_rect": _rect,
     "confidence": lambda s, d: table(s, d, "lineitem").groupBy(F.expr("case when l_discount * 10 >= 0.9 then 'high' when l_discount * 10 >= 0.6 then 'medium' else 'low' end").alias("band")).agg(F.count("*").alias("n")),
     "candidate_warn": lambda s, d: table(s, d, "documents").select("doc_id", F.concat_ws(",", F.when(F.length("text") < 20, "short"), F.when(F.col("text").contains("$$$"), "symbols"), F.when(F.col("lang") != "en", "language")).alias("warnings")),
@@ -110,11 +109,9 @@ ORACLE_SQL = {
     "pending_queue": f"with {_Q} select event_id, state from (select * from q order by ts desc, event_id desc limit 200) where state <> 'approved'",
     "queue_histogram": f"with {_Q} select state, count(*) as n from q group by state",
     "discard_reason": f"with {QUESTIONS_SQL} select doc_id, case when deleted then 'absent' when validation_status = 'VALID' then 'in_use' else 'discarded' end as outcome from questions",
-    "provenance": "select o_orderkey, n_name || ', p. ' || (c_custkey % 300) || ' (' || (o_orderkey % 100) || '%)' as reference from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey where o_orderkey < 3000",
+    "provenance": "select o_orderkey, n_name || ', p. ' || (c_custkey % 300) || ' (' || (o_orderkey % 100) || '%)' as reference from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey",
     "pixel_rect": "select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, cast(floor(l_discount * 1240) as bigint) as x0, cast(floor(l_tax * 1754) as bigint) as y0, cast(least(1240, ceil((l_discount + l_quantity / 100) * 1240)) as bigint) as x1 from lineitem",
     "confidence": "select case when l_discount * 10 >= 0.9 then 'high' when l_discount * 10 >= 0.6 then 'medium' else 'low' end as band, count(*) as n from lineitem group by band",
     "candidate_warn": "select doc_id, concat_ws(',', case when length(text) < 20 then 'short' end, case when contains(text, '$$$') then 'symbols' end, case when lang <> 'en' then 'language' end) as warnings from documents",
     "relative_age": "with a as (select o_orderkey, epoch(timestamp '2001-01-01 12:00:00') - epoch(o_orderdate) as s from orders), b as (select o_orderkey, cast(floor(s / 60) as bigint) as m, cast(floor(s / 3600) as bigint) as h, cast(floor(s / 86400) as bigint) as d from a) select o_orderkey, case when m < 1 then 'agora' when h < 1 then 'há ' || m || case when m = 1 then ' minuto' else ' minutos' end when d < 1 then 'há ' || h || case when h = 1 then ' hora' else ' horas' end when d = 1 then 'ontem' when d < 30 then 'há ' || d || case when d = 1 then ' dia' else ' dias' end when d < 365 then 'há ' || (d // 30) || case when d // 30 = 1 then ' mês' else ' meses' end else 'há ' || (d // 365) || case when d // 365 = 1 then ' ano' else ' anos' end end as age from b",
 }
-#: The same over all rows.
-ORACLE_SQL["provenance_all"] = ORACLE_SQL["provenance"].replace(" where o_orderkey < 3000", "")

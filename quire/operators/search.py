@@ -11,17 +11,43 @@ from quire.sources.tables import QUESTIONS_SQL, questions, table
 TEXT, LIMIT, MOST_OFFSET = 200, 200, 100_000
 
 
+TYPES, DIFFICULTIES = ("MULTIPLE_CHOICE", "MULTIPLE_CORRECT", "DISCURSIVE", "ECONOMY", "STANDARD", "PROMO"), range(11)
+LISTS = ("tags", "boards", "institutions", "years", "types", "difficulties")
+
+
 def normalised(params: dict) -> dict:
-    """Search parameters made valid: text cut, unknown values dropped, limit and offset in range."""
+    """Search parameters made valid: text cut, values that make no sense dropped, limit and offset in range."""
 
-    def number(x, low, high, default):
+    def whole(x):
         try:
-            return min(high, max(low, int(str(x).strip())))
+            n = float(x) if isinstance(x, (str, int, float)) and not isinstance(x, bool) else None
         except ValueError:
-            return default
+            return None
+        return int(n) if n is not None and n.is_integer() else None
+
+    def within(x, low, high, default):
+        n = whole(x)
+        return default if n is None else min(high, max(low, n))
+
+    listed = lambda name: params.get(name) if isinstance(params.get(name), (list, tuple)) else ()
+    strings = lambda name: [x.strip() for x in listed(name) if isinstance(x, str) and x.strip()]
+    numbers = lambda name: [n for n in map(whole, listed(name)) if n is not None]
+    text = params.get("text")
+    return {
+        "text": text.strip()[:TEXT] if isinstance(text, str) else "", "tags": strings("tags"), "boards": strings("boards"), "institutions": strings("institutions"),
+        "years": [y for y in numbers("years") if 1900 <= y <= 2100], "types": [t for t in strings("types") if t in TYPES], "difficulties": [x for x in numbers("difficulties") if x in DIFFICULTIES],
+        "limit": within(params.get("limit"), 1, LIMIT, 50), "offset": within(params.get("offset"), 0, MOST_OFFSET, 0),
+    }
+
+
+def active_filters(query: dict) -> int:
+    """How many values a normalised query filters by; the text doesn't count."""
+    return sum(len(query[x]) for x in LISTS)
+
 
-    years = [int(y) for y in params.get("years", ()) if str(y).strip().isdigit() and 1900 <= int(y) <= 2100]
-    return {"text": str(params.get("text") or "").strip()[:TEXT], "boards": [b.strip() for b in params.get("boards", ()) if b.strip()], "years": years, "limit": number(params.get("limit", ""), 1, LIMIT, 50), "offset": number(params.get("offset", ""), 0, MOST_OFFSET, 0)}
+def is_empty(query: dict) -> bool:
+    """Whether a normalised query filters nothing."""
+    return not query["text"] and not active_filters(query)
 
 
 def matches(text: str, *columns: Column) -> Column:
@@ -92,11 +118,9 @@ QUERIES = {
     "fold_search": lambda s, d: table(s, d, "documents").where(fold(F.col("text")).contains("etre") & fold(F.col("text")).contains("ecole") | fold(F.col("text")).contains("eaux")).select("doc_id", "source").orderBy("doc_id").limit(200),
     "list_filter": lambda s, d: table(s, d, "documents").where(F.lower("text").contains("élé") | F.lower("source").contains("src1")).select("doc_id"),
     "tag_rank": _tag_rank,
-    "composite_sort": lambda s, d: _composite_sort(s, d).limit(100),
-    "composite_sort_all": _composite_sort,
+    "composite_sort": _composite_sort,
     "group_scope_override": _group_scope,
-    "scan_project": lambda s, d: _scan(s, d).limit(1000),
-    "scan_project_all": _scan,
+    "scan_project": _scan,
     "point_lookup": lambda s, d: table(s, d, "part").where("p_partkey = 42").select("p_partkey", "p_name", "p_size"),
     "composite_lookup": lambda s, d: table(s, d, "lineitem").where("l_orderkey = 77 and l_linenumber = 1").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"),
     "cast_or_lookup": lambda s, d: table(s, d, "part").where((F.col("p_name") == "17") | (F.col("p_partkey").cast("string") == "17")).select("p_partkey", "p_name"),
@@ -116,9 +140,9 @@ ORACLE_SQL = {
     "fold_search": "select doc_id, source from documents where (contains(strip_accents(lower(text)), 'etre') and contains(strip_accents(lower(text)), 'ecole')) or contains(strip_accents(lower(text)), 'eaux') order by doc_id limit 200",
     "list_filter": "select doc_id from documents where contains(lower(text), 'élé') or contains(lower(source), 'src1')",
     "tag_rank": "with t as (select unnest(string_split(p_name, ' ')) as tag from part), u as (select tag, count(*) as usage, case when tag like 'r%' then 0 when contains(tag, 'r') then 1 end as rank from t group by tag) select tag, usage, rank from u where rank is not null order by rank, usage desc, tag limit 10",
-    "composite_sort": "select p_partkey, lpad(cast(greatest(0, 1000 - p_size) as varchar), 5, '0') || p_name as sort_text from part order by sort_text, p_partkey limit 100",
+    "composite_sort": "select p_partkey, lpad(cast(greatest(0, 1000 - p_size) as varchar), 5, '0') || p_name as sort_text from part order by sort_text, p_partkey",
     "group_scope_override": "select p_partkey, p_name, count(*) over () as matched from part where contains(p_name, 'ring') order by p_partkey limit 400",
-    "scan_project": "select c_custkey, c_name, c_mktsegment from customer order by c_name, c_custkey limit 1000",
+    "scan_project": "select c_custkey, c_name, c_mktsegment from customer order by c_name, c_custkey",
     "point_lookup": "select p_partkey, p_name, p_size from part where p_partkey = 42",
     "composite_lookup": "select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity from lineitem where l_orderkey = 77 and l_linenumber = 1",
     "cast_or_lookup": "select p_partkey, p_name from part where p_name = '17' or cast(p_partkey as varchar) = '17'",
@@ -128,6 +152,3 @@ ORACLE_SQL = {
     "candidate_topk": "select o_orderkey, o_orderdate, coalesce(nullif(o_orderpriority, ''), 'sem título') as title from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey and l_returnflag = 'R') order by o_orderdate desc, o_orderkey limit 200",
     "keep_newest_n": "select user_id, event_id from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) <= 3",
 }
-#: The same over all rows; the order is that of the columns.
-ORACLE_SQL["composite_sort_all"] = ORACLE_SQL["composite_sort"].removesuffix(" limit 100")
-ORACLE_SQL["scan_project_all"] = ORACLE_SQL["scan_project"].removesuffix(" limit 1000")

@@ -109,9 +109,9 @@ _INJECTED_SQL = """small as (select id, case when kind = 'SECTION' and cast(subs
   union all select 'x' || i, 'x' || (i // 3 * 3 + (i + 1) % 3) from range(30) r(i) union all select 'y' || i, 'x' || i from range(5) r(i))"""
 
 
-def _filter(s, d, of: str = "true"):
+def _filter(s, d):
     tree = nodes(s, d)
-    hits = tree.where((F.col("kind") == "QUESTION") & fold(F.col("title")).contains("urgent")).where(of)
+    hits = tree.where((F.col("kind") == "QUESTION") & fold(F.col("title")).contains("urgent"))
     return with_ancestors(tree, hits)
 
 
@@ -146,8 +146,7 @@ QUERIES = {
     "tree_preorder": lambda s, d: forest(nodes(s, d), promote=True).select("id", "root", "depth", "path"),
     "subtree": lambda s, d: subtree(nodes(s, d), "n3"),
     "soft_delete_subtree": lambda s, d: nodes(s, d).join(subtree(nodes(s, d), "n5").select("id", F.lit(True).alias("x")), "id", "left").groupBy("kind", F.coalesce("x", F.lit(False)).alias("deleted")).agg(F.count("*").alias("n")),
-    "tree_filter_ancestors": lambda s, d: _filter(s, d, "cast(substring(id, 2) as bigint) % 97 = 0"),
-    "tree_filter_ancestors_all": _filter,
+    "tree_filter_ancestors": _filter,
     "ancestor_path": _path,
     "orphans": lambda s, d: orphans(_injected(s, d)),
     "cycles": lambda s, d: cycles(_injected(s, d)),
@@ -167,7 +166,7 @@ ORACLE_SQL = {
     "tree_preorder": f"with recursive {NODES_SQL}, {_WALK} select * from t",
     "subtree": f"with recursive {NODES_SQL}, {_SUB.format('n3')} select * from t",
     "soft_delete_subtree": f"with recursive {NODES_SQL}, {_SUB.format('n5')} select kind, id in (select id from t) as deleted, count(*) as n from nodes group by all",
-    "tree_filter_ancestors": f"with recursive {NODES_SQL}, t as (select id, parent_id, true as hit from nodes where kind = 'QUESTION' and contains(lower(title), 'urgent') and cast(substr(id, 2) as bigint) % 97 = 0 union all select n.id, n.parent_id, false from t join nodes n on n.id = t.parent_id) select id, max(hit) as hit from t group by id",
+    "tree_filter_ancestors": f"with recursive {NODES_SQL}, t as (select id, parent_id, true as hit from nodes where kind = 'QUESTION' and contains(lower(title), 'urgent') union all select n.id, n.parent_id, false from t join nodes n on n.id = t.parent_id) select id, max(hit) as hit from t group by id",
     "ancestor_path": "select 'o' || o_orderkey as id, n_name || ' › ' || c_name || ' › ' || o_orderpriority as path from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey",
     "orphans": f"with {NODES_SQL}, {_INJECTED_SQL} select id, parent_id from small s where parent_id is not null and not exists (select 1 from small p where p.id = s.parent_id)",
     "cycles": f"with recursive {NODES_SQL}, {_INJECTED_SQL}, t as (select id from small s where not exists (select 1 from small p where p.id = s.parent_id) union all select n.id from t join small n on n.parent_id = t.id) select id from small where id not in (select id from t)",
@@ -179,5 +178,3 @@ ORACLE_SQL = {
     "node_title": f"select doc_id, case when doc_id % 5 = 0 then 'Questão ' || doc_id when length(text) > 30 then case when length({_TITLE}) > 57 then left({_TITLE}, 57) || '…' else {_TITLE} end else 'Sem título' end as title from documents",
     "distinct_kinds": "select 'CHAPTER,QUESTION,SECTION' as kinds",
 }
-#: The same over all rows.
-ORACLE_SQL["tree_filter_ancestors_all"] = ORACLE_SQL["tree_filter_ancestors"].replace(" and cast(substr(id, 2) as bigint) % 97 = 0", "")

@@ -120,23 +120,16 @@ QUERIES = {
     "answer_labels": _answers,
     "first_correct": lambda s, d: options(s, d).where("correct").groupBy("question").agg(F.min(F.struct("at", "part"))["part"].alias("part")),
     "fingerprint": lambda s, d: options(s, d).groupBy("question").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda x: x["part"].cast("string")), "\n"), 256).alias("fingerprint")),
-    "exam_text": lambda s, d: exam(table(s, d, "lineitem").where("l_orderkey < 500")),
-    "exam_text_all": lambda s, d: exam(table(s, d, "lineitem")),
-    "add_item_reason": lambda s, d: add_reason(table(s, d, "part"), table(s, d, "lineitem").where("l_orderkey < 300")),
-    "add_item_reason_all": lambda s, d: add_reason(table(s, d, "part"), table(s, d, "lineitem")),
-    "ordered_items": lambda s, d: _items(s, d).limit(500),
-    "ordered_items_all": _items,
+    "exam_text": lambda s, d: exam(table(s, d, "lineitem")),
+    "add_item_reason": lambda s, d: add_reason(table(s, d, "part"), table(s, d, "lineitem")),
+    "ordered_items": _items,
 }
 ORACLE_SQL = {
     "seed_from_text": "with recursive h as (select p_partkey, p_name, 1 as i, 2166136261::bigint as h from part union all select p_partkey, p_name, i + 1, (xor(h, ascii(substr(p_name, i, 1))::bigint) * 16777619) % 4294967296 from h where i <= length(p_name)) select p_partkey, h as seed from h where i = length(p_name) + 1",
     "answer_labels": "with o as (select l_orderkey, l_returnflag, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 as i from lineitem) select l_orderkey as question, chr(cast(97 + min(i) as int)) as letter from o where l_returnflag = 'R' group by l_orderkey",
     "first_correct": "select l_orderkey as question, arg_min(l_partkey, (l_linenumber, l_partkey, l_suppkey, l_extendedprice)) as part from lineitem where l_returnflag = 'R' group by l_orderkey",
     "fingerprint": "select l_orderkey as question, sha256(string_agg(cast(l_partkey as varchar), chr(10) order by l_linenumber, l_partkey, l_suppkey, l_extendedprice)) as fingerprint from lineitem group by l_orderkey",
-    "exam_text": r"select l_orderkey, '\begin{enumerate}' || chr(10) || string_agg('\item ' || l_partkey, chr(10) order by l_linenumber, l_partkey) || chr(10) || '\end{enumerate}' as latex from lineitem where l_orderkey < 500 group by l_orderkey",
-    "add_item_reason": "select p_partkey, case when exists (select 1 from lineitem where l_partkey = p_partkey and l_orderkey < 300) then 'already' when p_type = 'PROMO' then 'no_section' when p_brand = 'Brand#3' then 'foreign' else 'ok' end as reason from part",
-    "ordered_items": "select o_custkey, o_orderkey, l_linenumber, l_partkey from orders join lineitem on o_orderkey = l_orderkey order by o_custkey, o_orderkey, l_linenumber, l_partkey limit 500",
+    "exam_text": r"select l_orderkey, '\begin{enumerate}' || chr(10) || string_agg('\item ' || l_partkey, chr(10) order by l_linenumber, l_partkey) || chr(10) || '\end{enumerate}' as latex from lineitem group by l_orderkey",
+    "add_item_reason": "select p_partkey, case when exists (select 1 from lineitem where l_partkey = p_partkey) then 'already' when p_type = 'PROMO' then 'no_section' when p_brand = 'Brand#3' then 'foreign' else 'ok' end as reason from part",
+    "ordered_items": "select o_custkey, o_orderkey, l_linenumber, l_partkey from orders join lineitem on o_orderkey = l_orderkey order by o_custkey, o_orderkey, l_linenumber, l_partkey",
 }
-#: The same over all rows.
-ORACLE_SQL["exam_text_all"] = ORACLE_SQL["exam_text"].replace(" where l_orderkey < 500", "")
-ORACLE_SQL["add_item_reason_all"] = ORACLE_SQL["add_item_reason"].replace(" and l_orderkey < 300", "")
-ORACLE_SQL["ordered_items_all"] = ORACLE_SQL["ordered_items"].removesuffix(" limit 500")

@@ -65,8 +65,10 @@ def test_text(spark):
 
 
 def test_search_parameters():
-    assert search.normalised({"text": " a " + "x" * 300, "years": ["1899", "1999", "?"], "limit": "999", "offset": "-1"}) == {"text": ("a " + "x" * 300)[:200], "boards": [], "years": [1999], "limit": 200, "offset": 0}
-    assert search.normalised({})["limit"] == 50
+    q = search.normalised({"text": " a " + "x" * 300, "years": ["1899", "1999", "?", 2000, 2000.5], "types": ["PROMO", "none"], "difficulties": ["3", 99], "tags": [" t ", "", 5], "boards": "no list", "limit": "999", "offset": "-1"})
+    assert q == {"text": ("a " + "x" * 300)[:200], "tags": ["t"], "boards": [], "institutions": [], "years": [1999, 2000], "types": ["PROMO"], "difficulties": [3], "limit": 200, "offset": 0}
+    assert search.active_filters(q) == 5 and not search.is_empty(q)
+    assert search.normalised({})["limit"] == 50 and search.is_empty(search.normalised({"limit": "1.5", "text": "  "})) and search.normalised({"limit": "1.5"})["limit"] == 50
 
 
 def test_forest_with_orphans_and_cycles(spark):

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import portable, tree, variant
+from quire.operators import joins, portable, tree, variant
 from quire.plans import registry
 
 
@@ -30,16 +30,16 @@ def run(spark, bank, name):
 
 def test_no_bound_on_ids(spark, bank):
     _, orders, lines = bank
-    got = {(x.l_orderkey, x.l_linenumber, x.now) for x in run(spark, bank, "exclusive_answer_all")}
+    got = {(x.l_orderkey, x.l_linenumber, x.now) for x in run(spark, bank, "exclusive_answer")}
     assert got == {(x[0], x[1], x[1] == 0) for x in lines if (x[1] == 0) != (x[5] == "R")} and got
     urgent = {k for k, v in orders.items() if "URGENT" in v[1]}
-    got = {x.id: x.hit for x in run(spark, bank, "tree_filter_ancestors_all")}
+    got = {x.id: x.hit for x in run(spark, bank, "tree_filter_ancestors")}
     assert {k for k, hit in got.items() if hit} == {f"o{k}" for k in urgent}
     assert {k for k, hit in got.items() if not hit} == {f"c{orders[k][0]}" for k in urgent} | {f"n{orders[k][0] % 2}" for k in urgent}
     want = {k: "\n".join(["\\begin{enumerate}", *(f"\\item {x[2]}" for x in lines if x[0] == k), "\\end{enumerate}"]) for k in orders}
-    assert {x.l_orderkey: x.latex for x in run(spark, bank, "exam_text_all")} == want
-    assert {x.p_partkey for x in run(spark, bank, "add_item_reason_all") if x.reason == "already"} == {x[2] for x in lines}
-    assert {x.o_orderkey for x in run(spark, bank, "provenance_all")} == set(orders)
+    assert {x.l_orderkey: x.latex for x in run(spark, bank, "exam_text")} == want
+    assert {x.p_partkey for x in run(spark, bank, "add_item_reason") if x.reason == "already"} == {x[2] for x in lines}
+    assert {x.o_orderkey for x in run(spark, bank, "provenance")} == set(orders)
 
 
 def test_variants_of_all_customers(spark, bank):
@@ -55,14 +55,31 @@ def test_likes_among_all_earlier_rows(spark, tmp_path):
     long = "The same opening of forty letters and more, "
     docs = [(500, long + "one", "s"), (501, long + "two", "s"), (502, long + "one", "t"), (503, "É  long!" + long, "s"), (504, "e long " + long, "s"), (505, "e long " + long, "t"), (506, "", "s"), (507, "!", "s"), (508, None, "s"), (509, None, "s"), (510, long + "one", "s")]
     spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {x.doc_id: (x.signal, x.found) for x in registry.queries()["dup_signal_all"](spark, str(tmp_path)).collect()}
+    got = {x.doc_id: (x.signal, x.found) for x in registry.queries()["earlier_like"](spark, str(tmp_path)).collect()}
     assert len(got) == 11 and {k: v for k, v in got.items() if v[0] != "none"} == {502: ("text", 500), 504: ("folded", 503), 505: ("text", 504), 510: ("text", 500)}
     turns = [(1, 0, "a", "The same text, one"), (1, 1, "a", "The same text, two"), (2, 0, "a", "The same text, one"), (2, 1, "b", "The same text, one")]
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    got = {(x.role, x.conv_id, x.turn, x.n) for x in registry.queries()["proposal_dedupe_all"](spark, str(tmp_path)).collect()}
+    got = {(x.role, x.conv_id, x.turn, x.n) for x in registry.queries()["proposal_dedupe"](spark, str(tmp_path)).collect()}
     assert got == {("a", 1, 0, 2), ("a", 1, 1, 1), ("b", 2, 1, 1)}
 
 
+def test_three_signals_of_a_publication(spark):
+    schema = "id long, external string, isbn string, title string, author string"
+    known = spark.createDataFrame([(1, "e1", "0-306-40615-2", "A", "B"), (2, None, "0306406152", "Título", "José"), (3, "e3", " - ", "", None)], schema)
+    new = spark.createDataFrame([(10, "e3", "0306406152", "A", "B"), (11, "e9", "0306 406152", "A", "B"), (12, None, None, "TITULO", "Jose"), (13, None, "-", "other", "x"), (14, None, None, "", None)], schema)
+    got = {r.id: (r.found, r.signal, r.blocks) for r in joins.dup_signals(new, known).collect()}
+    assert got == {10: (3, "external-id", True), 11: (1, "isbn", True), 12: (2, "title-and-author", False), 13: (None, None, None), 14: (3, "title-and-author", False)}
+
+
+def test_items_in_texts(spark):
+    texts = ["zz a b c d e foxtrot yy", "p q r", "xp q rx", "a  b", "Ünï", "", None, "one two three four five six seven eight"]
+    items = ["a b c d e fox", "p q r", "q", "wo three four five six seve", "a b", " b c", "", None, "nï", "c d e ", "ight", "two three four"]
+    t = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    i = spark.createDataFrame(list(enumerate(items)), "i long, x string")
+    got = sorted(tuple(r) for r in joins.contained(t, "k", "t", i, "i", "x").collect())
+    assert got == sorted((k, j) for k, a in enumerate(texts) for j, b in enumerate(items) if a is not None and b and b in a)
+
+
 def test_cycles_and_depth(spark):
     rows = [("a", None), ("b", "a"), ("c", "gone"), ("y", "z"), ("x", "y"), ("z", "x"), ("t", "x"), ("d", "t"), ("s", "s"), ("q", "p"), ("p", "q")] + [(f"n{i}", f"n{i - 1}" if i else None) for i in range(150)]
     df = spark.createDataFrame([(i, p, "k") for i, p in rows], "id string, parent_id string, sort_key string")
@@ -99,7 +116,7 @@ def test_no_limit_of_rows(spark, tmp_path):
     save("customer", [(i, f"C{-i % 7}", "x") for i in range(1200)], "c_custkey long, c_name string, c_mktsegment string")
     save("part", [(i, f"p{i % 5}", i % 50) for i in range(300)], "p_partkey long, p_name string, p_size int")
     get = lambda name: [tuple(x) for x in registry.queries()[name](spark, str(tmp_path)).collect()]
-    assert get("ordered_items_all") == sorted((c, k, i, 4) for k, c, i in items)
-    assert get("link_join_ordered_all") == [(4, 1400, ", ".join(f"S{(k + i) % 9}" for k, _, i in sorted(items)))]
-    assert get("scan_project_all") == sorted([(i, f"C{-i % 7}", "x") for i in range(1200)], key=lambda x: (x[1], x[0]))
-    assert get("composite_sort_all") == sorted([(i, f"{1000 - i % 50:05d}p{i % 5}") for i in range(300)], key=lambda x: (x[1], x[0]))
+    assert get("ordered_items") == sorted((c, k, i, 4) for k, c, i in items)
+    assert get("link_join_ordered") == [(4, next(f"S{(k + i) % 9}" for k, _, i in sorted(items)), 1400, ", ".join(f"S{(k + i) % 9}" for k, _, i in sorted(items)))]
+    assert get("scan_project") == sorted([(i, f"C{-i % 7}", "x") for i in range(1200)], key=lambda x: (x[1], x[0]))
+    assert get("composite_sort") == sorted([(i, f"{1000 - i % 50:05d}p{i % 5}") for i in range(300)], key=lambda x: (x[1], x[0]))
