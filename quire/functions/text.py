@@ -127,3 +127,57 @@ def year_of(c: Column) -> Column:
 def data_url(mime: Column, data: Column) -> Column:
     """Bytes as a data address in base64."""
     return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.base64(data))
+
+
+def label_text(c: Column) -> Column:
+    """A printed label without the bracket or stop that stands at its ends, 40 characters at most; null where nothing is left."""
+    return F.left(F.nullif(F.regexp_replace(F.trim(c), r"^[(\[]?\s*|\s*[.)\]]?$", ""), F.lit("")), F.lit(40))
+
+
+def width_fraction(c: Column) -> Column:
+    """The part of the text's width that a graphic takes; null for absolute widths."""
+    return F.regexp_extract(c, r"width\s*=\s*([\d.]+)\s*\\(?:text|line|column)width", 1).try_cast("double")
+
+
+def snippet(c: Column) -> Column:
+    """A template whose stops stand between paragraph signs, as a snippet with numbered stops; an odd number of signs is literal."""
+    literal = lambda x: F.regexp_replace(F.regexp_replace(x, r"\\", r"\\\\"), r"([$}])", r"\\$1")
+    source = F.regexp_replace(c, "\r\n", "\n")
+    parts = F.split(source, "§")
+    body = F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 1, F.concat(F.lit("${"), ((i + 1) / 2).cast("int").cast("string"), F.lit(":"), literal(x), F.lit("}"))).otherwise(literal(x))), "")
+    return F.when(F.size(parts) % 2 == 0, literal(source)).when(F.size(parts) == 1, body).otherwise(F.concat(body, F.lit("$0")))
+
+
+def first_stop(c: Column, selection: Column) -> Column:
+    """A snippet with a selection in the place of its first stop's text."""
+    return F.concat(F.regexp_extract(c, r"(?s)^(.*?)\$\{1:", 1), F.lit("${1:"), selection, F.regexp_extract(c, r"(?s)^.*?\$\{1:[^}]*(\}.*)$", 1))
+
+
+def completion_start(line: Column, word: Column) -> Column:
+    """Column, counted from 1, at which a completion replaces what is typed: that of an open command, else of the word."""
+    typed = F.regexp_extract(line, r"(\\[a-zA-Z@]*)$", 1)
+    return F.when(typed != "", F.length(line) + 1 - F.length(typed)).otherwise(word)
+
+
+def let(c: Column, f) -> Column:
+    """f of c, with c evaluated once however often f names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+def clean_latex(c: Column) -> Column:
+    """A model's answer without a code fence and without delimiters around all of it; lone dollars go only if no other is within."""
+    strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    fence = r"(?s)^```(?:latex|tex)?\s*\n(.*?)\n?```$"
+    text = let(strip(c), lambda x: F.when(x.rlike(fence), strip(F.regexp_extract(x, fence, 1))).otherwise(x))
+    for a, z in (("\\[", "\\]"), ("$$", "$$"), ("\\(", "\\)")):
+        text = let(text, _inside(a, z, strip))
+    return let(text, lambda x: F.when(x.rlike(r"(?s)^\$[^$]*\$$"), strip(F.substring(x, F.lit(2), F.length(x) - 2))).otherwise(x))
+
+
+def _inside(a: str, z: str, strip):
+    return lambda x: F.when(x.startswith(a) & x.endswith(z) & (F.length(x) >= 4), strip(F.substring(x, F.lit(3), F.length(x) - 4))).otherwise(x)
+
+
+def header_text(c: Column) -> Column:
+    """Text of a page header: special characters but the backslash escaped, then accents of TeX written out."""
+    return F.regexp_replace(F.regexp_replace(c, r"([&%$#_{}])", r"\\$1"), r"([~^])", r"\\$1{}")

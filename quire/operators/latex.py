@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import collapse, slug, strip_comments, tex_escape
+from quire.functions.text import clean_latex, collapse, completion_start, first_stop, header_text, label_text, slug, snippet, strip_comments, tex_escape, width_fraction
 from quire.sources.tables import table
 
 #: What a preview shows as one piece: display and inline maths, breaks, commands with an argument, text.
@@ -78,16 +78,42 @@ def _spans(s, d):
     return df.select("source", "doc_id", "first", "last")
 
 
+def _wrapped(text):
+    """Answers in all the wrappings that models use, by document."""
+    fence = F.concat(F.lit("```latex\n"), text, F.lit("\n```"))
+    return F.element_at(F.array(F.concat(F.lit(" $"), F.regexp_replace(text, r"^\s+|\s+$", ""), F.lit("$")), fence, F.concat(F.lit("\\[ "), text, F.lit(" \\]")), F.concat(F.lit("$$"), text, F.lit("$$\n")), F.concat(F.lit("\\("), text, F.lit("\\)")), F.lit("$a$ e $b$")), (F.col("doc_id") % 6 + 1).cast("int"))
+
+
+def _labels():
+    """Labels as books print them."""
+    return F.element_at(F.array(F.concat(F.lit("("), "p_brand", F.lit(")")), F.lit(" [ ] "), F.concat("p_name", "p_name", "p_name", F.lit(".")), F.concat(F.lit("[ "), "p_brand", F.lit(").. ")), F.concat("p_brand", F.lit("  ."))), (F.col("p_partkey") % 5 + 1).cast("int"))
+
+
+def _graphics():
+    size = F.col("p_size").cast("string")
+    return F.element_at(F.array(F.concat(F.lit("\\includegraphics[width=0."), size, F.lit("\\textwidth]{x}")), F.concat(F.lit("[height=2cm, width = ."), size, F.lit(" \\columnwidth]")), F.concat(F.lit("width="), size, F.lit("cm")), F.concat(F.lit("width=1.2."), size, F.lit("\\linewidth"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+
+
+def _templates():
+    return F.element_at(F.array(F.concat(F.lit("§"), "p_name", F.lit("§\r\n")), F.concat(F.lit("\\frac{§"), "p_name", F.lit("§}{§n§}")), F.concat(F.lit("\\frac{§"), "p_name", F.lit("}")), F.concat("p_name", F.lit("$"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+
+
+def _typed():
+    return F.element_at(F.array(F.concat("p_name", F.lit(" \\al")), F.concat("p_name", F.lit(" \\al ")), F.concat("p_name", F.lit("\\")), F.concat("p_name", F.lit("\\x2\\@m"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+
+
 QUERIES = {
     "latex_preview": lambda s, d: preview(table(s, d, "documents"), "doc_id", "text").groupBy("doc_id", "kind").agg(F.count("*").alias("n")),
     "tex_log": lambda s, d: in_body(diagnostics(_logs(s, d), "doc_id", "log"), 10).select("doc_id", "severity", "message", "line", "file"),
     "tex_escape": lambda s, d: table(s, d, "documents").select("doc_id", F.md5(tex_escape(F.col("text"))).alias("md5")),
     "comments_stripped": lambda s, d: table(s, d, "documents").select("doc_id", F.length(strip_comments(F.col("text"))).cast("long").alias("n")),
-    "clean_output": lambda s, d: table(s, d, "documents").select("doc_id", F.length(F.regexp_replace(F.trim(F.regexp_replace("text", r"^```\w*\n|\n```$", "")), r"^\$+|\$+$", "")).cast("long").alias("n")),
-    "label_normalise": lambda s, d: table(s, d, "part").select("p_partkey", F.left(F.regexp_replace(F.concat(F.lit("("), "p_brand", F.lit("). ")), r"^[\[(]+|[\])]?\.?\s*$", ""), F.lit(40)).alias("label")),
-    "width_fraction": lambda s, d: table(s, d, "part").select("p_partkey", F.regexp_extract(F.concat(F.lit("\\includegraphics[width=0."), F.col("p_size").cast("string"), F.lit("\\textwidth]{x}")), r"width=([0-9.]+)\\(?:text|line)width", 1).try_cast("double").alias("width")),
-    "snippet_convert": lambda s, d: table(s, d, "part").select("p_partkey", F.array_join(F.transform(F.split(F.concat(F.lit("\\frac{§"), F.col("p_name"), F.lit("§}{§n§}")), "§"), lambda x, i: F.when(i % 2 == 1, F.concat(F.lit("${"), ((i + 1) / 2).cast("int").cast("string"), F.lit(":"), x, F.lit("}"))).otherwise(x)), "").alias("snippet")),
-    "completion_column": lambda s, d: table(s, d, "part").select("p_partkey", (F.length(F.concat("p_name", F.lit(" \\al"))) - F.length(F.regexp_extract(F.concat("p_name", F.lit(" \\al")), r"(\\[a-zA-Z]*)$", 1)) + 1).cast("long").alias("col")),
+    "clean_output": lambda s, d: table(s, d, "documents").select("doc_id", F.md5(clean_latex(_wrapped(F.left("text", F.lit(60))))).alias("md5")),
+    "label_normalise": lambda s, d: table(s, d, "part").select("p_partkey", label_text(_labels()).alias("label")),
+    "width_fraction": lambda s, d: table(s, d, "part").select("p_partkey", width_fraction(_graphics()).alias("width")),
+    "snippet_convert": lambda s, d: table(s, d, "part").select("p_partkey", snippet(_templates()).alias("snippet")),
+    "snippet_selection": lambda s, d: table(s, d, "part").where("p_partkey % 4 = 1").select("p_partkey", first_stop(snippet(_templates()), F.col("p_brand")).alias("snippet")),
+    "header_text": lambda s, d: table(s, d, "documents").select("doc_id", F.md5(header_text(F.concat(F.col("text"), F.lit(" 5% ~x^2 a_b"), "lang"))).alias("md5")),
+    "completion_column": lambda s, d: table(s, d, "part").select("p_partkey", completion_start(_typed(), F.lit(7)).cast("long").alias("col")),
     "asset_name": lambda s, d: table(s, d, "pages").select("page_id", F.concat(slug(F.regexp_extract("url", "://([^/]*)", 1)), F.lit("-"), F.left(F.sha2("html", 256), F.lit(8)), F.lit(".html")).alias("name")),
     "figure_text": lambda s, d: table(s, d, "pages").select("page_id", F.concat_ws("\n", F.lit("\\begin{figure}"), F.concat(F.lit("\\includegraphics{"), F.col("page_id").cast("string"), F.lit("}")), F.lit("\\end{figure}")).alias("figure")),
     "log_truncate": lambda s, d: table(s, d, "documents").select("doc_id", truncated(F.col("text"), 500).alias("log")),
@@ -106,11 +132,13 @@ ORACLE_SQL = {
     "tex_log": _LOGX,
     "tex_escape": r"select doc_id, md5(replace(replace(replace(regexp_replace(replace(replace(text, '\', chr(1)), '^', chr(2)), '([&%$#_{}])', '\\\1', 'g'), '~', '\textasciitilde{}'), chr(1), '\textbackslash{}'), chr(2), '\textasciicircum{}')) as md5 from documents",
     "comments_stripped": r"select doc_id, length(regexp_replace(text, '(\\[\s\S])|%[^\n]*', '\1', 'g')) as n from documents",
-    "clean_output": r"select doc_id, length(regexp_replace(trim(regexp_replace(text, '^```\w*\n|\n```$', '', 'g')), '^\$+|\$+$', '', 'g')) as n from documents",
-    "label_normalise": "select p_partkey, left(p_brand, 40) as label from part",
-    "width_fraction": "select p_partkey, cast('0.' || p_size as double) as width from part",
-    "snippet_convert": r"select p_partkey, '\frac{${1:' || p_name || '}}{${2:n}}' as snippet from part",
-    "completion_column": "select p_partkey, length(p_name) + 2 as col from part",
+    "clean_output": r"with t as (select doc_id, regexp_replace(left(text, 60), '^\s+|\s+$', '', 'g') as t from documents), w as (select doc_id, t, case doc_id % 6 when 0 then '$' || t || '$' when 5 then '$a$ e $b$' else t end as x from t) select doc_id, md5(case when starts_with(x, '$') and ends_with(x, '$') and length(x) >= 2 and not contains(substr(x, 2, length(x) - 2), '$') then regexp_replace(substr(x, 2, length(x) - 2), '^\s+|\s+$', '', 'g') else x end) as md5 from w",
+    "label_normalise": "select p_partkey, case p_partkey % 5 when 1 then null when 2 then left(p_name || p_name || p_name, 40) when 3 then p_brand || ').' else p_brand end as label from part",
+    "width_fraction": "select p_partkey, case p_partkey % 4 when 0 then cast('0.' || p_size as double) when 1 then cast('.' || p_size as double) end as width from part",
+    "snippet_convert": r"select p_partkey, case p_partkey % 4 when 1 then '\\frac{${1:' || p_name || '}\}{${2:n}\}$0' when 2 then '\\frac{§' || p_name || '\}' when 3 then p_name || '\$' else '${1:' || p_name || '}' || chr(10) || '$0' end as snippet from part",
+    "snippet_selection": r"select p_partkey, '\\frac{${1:' || p_brand || '}\}{${2:n}\}$0' as snippet from part where p_partkey % 4 = 1",
+    "header_text": r"select doc_id, md5(regexp_replace(regexp_replace(text || ' 5% ~x^2 a_b' || lang, '([&%$#_{}])', '\\\1', 'g'), '([~^])', '\\\1{}', 'g')) as md5 from documents",
+    "completion_column": "select p_partkey, case p_partkey % 4 when 0 then length(p_name) + 2 when 1 then 7 when 2 then length(p_name) + 1 else length(p_name) + 4 end as col from part",
     "asset_name": "select page_id, trim(regexp_replace(strip_accents(lower(regexp_extract(url, '://([^/]*)', 1))), '[^a-z0-9]+', '-', 'g'), '-') || '-' || left(sha256(html), 8) || '.html' as name from pages",
     "figure_text": r"select page_id, '\begin{figure}' || chr(10) || '\includegraphics{' || page_id || '}' || chr(10) || '\end{figure}' as figure from pages",
     "log_truncate": "select doc_id, case when length(text) > 500 then left(text, 250) || chr(10) || '[... ' || (length(text) - 500) || ' ...]' || chr(10) || right(text, 250) else text end as log from documents",

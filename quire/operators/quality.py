@@ -80,10 +80,53 @@ def _upload(s, d):
     return table(s, d, "pages").select("page_id", F.when(ext == "", "no_extension").when(~ext.isin("html", "png", "pdf"), "extension").when(F.length("html") > 20000, "size").otherwise("ok").alias("verdict"))
 
 
+def import_counts(rows: DataFrame, key, skip) -> DataFrame:
+    """Of imported rows how many were written, were duplicates by key or were skipped, and whether that is all of them.
+
+    A key is counted by its hash, formed once; rows that are skipped are never written.
+    """
+    df = rows.select(F.sha2(key, 256).alias("k"), skip.alias("skip")).groupBy("k", "skip").agg(F.count("*").alias("n"))
+    df = df.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("source"), F.count_if(~F.col("skip")).alias("written"), F.coalesce(F.sum(F.when(~F.col("skip"), F.col("n") - 1)), F.lit(0)).alias("duplicates"), F.coalesce(F.sum(F.when(F.col("skip"), F.col("n"))), F.lit(0)).alias("skipped"))
+    return df.withColumn("balanced", F.expr("source = written + duplicates + skipped"))
+
+
+def _balance(s, d):
+    """Documents of fewer than five words are skipped."""
+    short = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")) < 5
+    return import_counts(table(s, d, "documents"), F.col("text"), short)
+
+
+def imported(known: DataFrame, batch: DataFrame, key: list[str]) -> DataFrame:
+    """The rows of a batch that an import creates: one of each key that isn't known."""
+    return batch.select(*key).distinct().join(known.select(*key).distinct(), key, "left_anti")
+
+
+def _rerun(s, d):
+    """An import of all parts into a bank that has every third of them, and the same import again."""
+    part, key = table(s, d, "part"), ["p_name", "p_brand"]
+    known = part.where("p_partkey % 3 = 0")
+    new = imported(known, part, key)
+    again = imported(known.select(*key).union(new), part, key)
+    counts = [df.agg(F.count("*").alias(n)) for df, n in ((new, "created"), (again, "again"), (part, "rows"))]
+    return counts[0].join(counts[1], F.lit(True)).join(counts[2], F.lit(True)).selectExpr("created", "again", "rows - created as kept")
+
+
+def collisions(incoming: DataFrame, existing: DataFrame, signals: list[str], key: str) -> DataFrame:
+    """For each signal how many incoming rows meet an existing one, and the first of them."""
+    found = [incoming.join(existing.select(x).distinct(), x, "left_semi").agg(F.lit(x).alias("signal"), F.count("*").alias("n"), F.min(key).alias("first")) for x in signals]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _collisions(s, d):
+    rows = table(s, d, "part").select(F.col("p_partkey").alias("k"), F.md5(F.concat("p_name", (F.col("p_partkey") % 50).cast("string"))).alias("uuid"))
+    incoming, existing = rows.where("k % 2 = 0").withColumn("legacy", F.col("k")), rows.where("k % 3 = 0").withColumn("legacy", F.col("k") + 1)
+    return collisions(incoming, existing, ["legacy", "uuid"], "legacy")
+
+
 QUERIES = {
     "one_correct_invariant": lambda s, d: correct_counts(table(s, d, "orders"), "o_orderkey", options(s, d)),
     "import_invariants": lambda s, d: violations({"one_correct": correct_counts(table(s, d, "orders"), "o_orderkey", options(s, d)), "orphan": orphans(_injected(s, d)), "cycle": cycles(_injected(s, d))}).groupBy("rule").agg(F.count("*").alias("n"), F.min(F.when(F.col("rule") == "orphan", "n999").otherwise(F.col("id"))).alias("first")),
-    "import_balance": lambda s, d: table(s, d, "documents").agg(F.count("*").alias("source"), F.count_distinct("text").alias("written"), (F.count("*") - F.count_distinct("text")).alias("duplicates"), F.count_if(F.length("text") == 0).alias("skipped")),
+    "import_balance": _balance,
     "brace_dollar_balance": _braces,
     "common_rules": lambda s, d: common_rules(table(s, d, "documents"), "doc_id", "text"),
     "checklist": _checklist,
@@ -93,15 +136,15 @@ QUERIES = {
     "box_rules": _box,
     "upload_rules": _upload,
     "bundle_rules": lambda s, d: table(s, d, "part").groupBy("p_name").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first")).select("p_name", "first", F.expr("case when not p_name rlike '^[a-z ]+$' then 'name' when n > 30 then 'repeated' else 'ok' end").alias("verdict")),
-    "idempotent_rerun": lambda s, d: table(s, d, "part").join(table(s, d, "part").select("p_partkey"), "p_partkey", "left_anti").agg(F.count("*").alias("created")),
-    "collisions": lambda s, d: table(s, d, "part").where("p_partkey % 2 = 0").join(table(s, d, "part").where("p_partkey % 3 = 0").select("p_partkey"), "p_partkey", "left_semi").agg(F.count("*").alias("by_id"), F.min("p_partkey").alias("first")),
+    "idempotent_rerun": _rerun,
+    "collisions": _collisions,
 }
 
 _ISBN = "(with x as (select string_split(%s, '') as d) select sum(cast(d[i] as int) * %s) %% %s = 0 from x, range(1, %s) r(i))"
 ORACLE_SQL = {
     "one_correct_invariant": "select o_orderkey as question, case when n = 0 then 'missing' else 'multiple' end as problem, n from (select o_orderkey, count(*) filter (l_returnflag = 'R') as n from orders left join lineitem on l_orderkey = o_orderkey group by o_orderkey) where n <> 1",
     "import_invariants": f"with recursive {NODES_SQL}, {_INJECTED_SQL}, t as (select id from small s where not exists (select 1 from small p where p.id = s.parent_id) union all select n.id from t join small n on n.parent_id = t.id), v as (select 'one_correct' as rule, cast(o_orderkey as varchar) as id from orders left join lineitem on l_orderkey = o_orderkey group by o_orderkey having count(*) filter (l_returnflag = 'R') <> 1 union all select 'orphan', id from small s where parent_id is not null and not exists (select 1 from small p where p.id = s.parent_id) union all select 'cycle', id from small where id not in (select id from t)) select rule, count(*) as n, min(case when rule = 'orphan' then 'n999' else id end) as first from v group by rule",
-    "import_balance": "select count(*) as source, count(distinct text) as written, count(*) - count(distinct text) as duplicates, count(*) filter (length(text) = 0) as skipped from documents",
+    "import_balance": "with d as (select text, len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')) < 5 as short from documents) select count(*) as source, count(distinct text) filter (not short) as written, count(*) filter (not short) - count(distinct text) filter (not short) as duplicates, count(*) filter (short) as skipped, true as balanced from d",
     "brace_dollar_balance": r"with t as (select doc_id, regexp_replace(text, '\\[\s\S]', '', 'g') as x from documents) select doc_id, length(x) - length(replace(x, '{', '')) - (length(x) - length(replace(x, '}', ''))) as unbalanced, length(x) - length(replace(x, '$', '')) as dollars from t",
     "common_rules": r"with t as (select doc_id, text, regexp_replace(text, '\\[\s\S]', '', 'g') as x from documents) select doc_id, 'empty' as rule, 'error' as severity from t where trim(text) = '' union all select doc_id, 'braces', 'error' from t where length(replace(x, '{', '')) <> length(replace(x, '}', '')) union all select doc_id, 'dollars', 'warning' from t where (length(x) - length(replace(x, '$', ''))) % 2 = 1",
     "checklist": f"with {QUESTIONS_SQL}, o as (select l_orderkey, count(*) as n, count(*) filter (l_returnflag = 'R') as c from lineitem group by l_orderkey) select doc_id, concat_ws(',', case when length(trim(text)) > 0 then 'ok' else 'todo' end, case when n >= 2 then 'ok' else 'todo' end, case when c = 1 then 'ok' else 'todo' end, case when validation_status = 'VALID' then 'ok' else 'todo' end) as states from questions left join o on l_orderkey = doc_id",
@@ -111,6 +154,6 @@ ORACLE_SQL = {
     "box_rules": "with b as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_discount * 10 as x, l_tax * 10 as y, l_quantity / 100 as w, (l_linenumber - 1) * 45 as rotation from lineitem) select l_orderkey, l_linenumber, l_partkey, l_suppkey, x >= 0 and y >= 0 and w > 0 and x + w <= 1.000001 and y <= 1.000001 and rotation in (0, 90, 180, 270) as valid, case when rotation <> 0 then cast(rotation as bigint) end as rotation from b",
     "upload_rules": r"with p as (select page_id, html, lower(regexp_extract(url, '\.([A-Za-z0-9]+)(?:[?#]|$)', 1)) as ext from pages) select page_id, case when ext = '' then 'no_extension' when ext not in ('html', 'png', 'pdf') then 'extension' when length(html) > 20000 then 'size' else 'ok' end as verdict from p",
     "bundle_rules": "select p_name, min(p_partkey) as first, case when not regexp_full_match(p_name, '[a-z ]+') then 'name' when count(*) > 30 then 'repeated' else 'ok' end as verdict from part group by p_name",
-    "idempotent_rerun": "select cast(0 as bigint) as created",
-    "collisions": "select count(*) as by_id, min(p_partkey) as first from part where p_partkey % 2 = 0 and p_partkey % 3 = 0",
+    "idempotent_rerun": "with k as (select distinct p_name, p_brand from part where p_partkey % 3 = 0), b as (select distinct p_name, p_brand from part), n as (select * from b except select * from k) select (select count(*) from n) as created, (select count(*) from (select * from b except (select * from k union select * from n))) as again, (select count(*) from part) - (select count(*) from n) as kept",
+    "collisions": "with i as (select p_partkey as legacy, md5(p_name || p_partkey % 50) as uuid from part where p_partkey % 2 = 0), e as (select p_partkey + 1 as legacy, md5(p_name || p_partkey % 50) as uuid from part where p_partkey % 3 = 0) select 'legacy' as signal, count(*) as n, min(legacy) as first from i where legacy in (select legacy from e) union all select 'uuid', count(*), min(legacy) from i where uuid in (select uuid from e)",
 }

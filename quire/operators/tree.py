@@ -142,6 +142,17 @@ def _title(s, d):
     return table(s, d, "documents").select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("Questão "), F.col("doc_id").cast("string"))).when(F.length("text") > 30, text).otherwise("Sem título").alias("title"))
 
 
+def restorable(tree: DataFrame) -> DataFrame:
+    """Deleted rows of a tree (id, parent_id, deleted): ok, or refused while their parent is deleted."""
+    gone = tree.where("deleted")
+    above = gone.select(F.col("id").alias("parent_id"), F.lit(True).alias("held"))
+    return gone.join(above, "parent_id", "left").select("id", F.when(F.col("held"), "parent_deleted").otherwise("ok").alias("reason"))
+
+
+def _restore(s, d):
+    return restorable(nodes(s, d).withColumn("deleted", F.expr("cast(substring(id, 2) as bigint) % 3 = 0")))
+
+
 QUERIES = {
     "tree_preorder": lambda s, d: forest(nodes(s, d), promote=True).select("id", "root", "depth", "path"),
     "subtree": lambda s, d: subtree(nodes(s, d), "n3"),
@@ -152,11 +163,11 @@ QUERIES = {
     "cycles": lambda s, d: cycles(_injected(s, d)),
     "node_status": _status,
     "move_guard": lambda s, d: nodes(s, d).where("kind <> 'QUESTION'").select(F.col("id").alias("target")).join(subtree(nodes(s, d), "n4").select(F.col("id").alias("target"), F.lit(True).alias("inside")), "target", "left").select("target", F.col("inside").isNull().alias("allowed")),
-    "restore_guard": lambda s, d: nodes(s, d).where("kind = 'SECTION'").select("id", F.expr("case when parent_id in ('n1', 'n2') then 'parent_deleted' else 'ok' end").alias("reason")),
+    "restore_guard": _restore,
     "container_rule": lambda s, d: nodes(s, d).groupBy("kind", F.when(F.col("kind").isin(*CONTAINERS), "lastChild").otherwise("after").alias("placement")).agg(F.count("*").alias("n")),
     "subtree_copy_plan": _copy_plan,
     "node_title": _title,
-    "distinct_kinds": lambda s, d: nodes(s, d).agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds")),
+    "distinct_kinds": lambda s, d: nodes(s, d).groupBy(F.right("id", F.lit(1)).alias("digit"), F.length("id").alias("size")).agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds")),
 }
 
 _WALK = "t as (select id, id as root, 0 as depth, sort_key || ':' || id as path from nodes where parent_id is null union all select n.id, t.root, t.depth + 1, t.path || '/' || n.sort_key || ':' || n.id from t join nodes n on n.parent_id = t.id)"
@@ -172,9 +183,9 @@ ORACLE_SQL = {
     "cycles": f"with recursive {NODES_SQL}, {_INJECTED_SQL}, t as (select id from small s where not exists (select 1 from small p where p.id = s.parent_id) union all select n.id from t join small n on n.parent_id = t.id) select id from small where id not in (select id from t)",
     "node_status": f"with {QUESTIONS_SQL}, last as (select user_id, arg_max(event_type, (ts, event_id)) as latest from events group by user_id) select doc_id, case when latest = 'error' then 'render_failed' when validation_status = 'INVALID' then 'invalid' when validation_status = 'VALID' then 'valid' when latest is not null then 'render_done' end as status, coalesce(latest = 'error', false) or validation_status = 'INVALID' as has_problem from questions left join last on user_id = doc_id",
     "move_guard": f"with recursive {NODES_SQL}, {_SUB.format('n4')} select id as target, id not in (select id from t) as allowed from nodes where kind <> 'QUESTION'",
-    "restore_guard": "select 'c' || c_custkey as id, case when c_nationkey in (1, 2) then 'parent_deleted' else 'ok' end as reason from customer",
+    "restore_guard": f"with {NODES_SQL}, g as (select id, parent_id, kind, hash_of % 3 = 0 as deleted from (select *, cast(substr(id, 2) as bigint) as hash_of from nodes)) select id, case when exists (select 1 from g p where p.id = g.parent_id and p.deleted) then 'parent_deleted' else 'ok' end as reason from g where deleted",
     "container_rule": f"with {NODES_SQL} select kind, case when kind in ('CHAPTER', 'SECTION') then 'lastChild' else 'after' end as placement, count(*) as n from nodes group by all",
     "subtree_copy_plan": f"with recursive {NODES_SQL}, {_SUB.format('c7')} select id, 'copy-' || id as new_id, case when depth = 0 then parent_id else 'copy-' || parent_id end as new_parent, sort_key, 'DRAFT' as status from t join nodes using (id)",
     "node_title": f"select doc_id, case when doc_id % 5 = 0 then 'Questão ' || doc_id when length(text) > 30 then case when length({_TITLE}) > 57 then left({_TITLE}, 57) || '…' else {_TITLE} end else 'Sem título' end as title from documents",
-    "distinct_kinds": "select 'CHAPTER,QUESTION,SECTION' as kinds",
+    "distinct_kinds": f"with {NODES_SQL} select right(id, 1) as digit, cast(length(id) as int) as size, array_to_string(list_sort(list_distinct(list(kind))), ',') as kinds from nodes group by right(id, 1), length(id)",
 }
