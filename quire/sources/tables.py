@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,10 +13,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir that the driver and all executors share.
 
-    Only where it is unset (one local JVM, as in tests), a temporary folder is made and set.
+    Only where it is unset in one local JVM, as in tests, a temporary folder is made and set; on a cluster that is an error,
+    since a folder of one machine isn't seen by others.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
