@@ -55,12 +55,24 @@ def variant(questions: list[tuple[str, list[str], set[str]]], seed: int, shuffle
 
 
 def seed_of(text: Column) -> Column:
-    """FNV-1a of 32 bits over the characters of a text, by built-in functions.
+    """FNV-1a of 32 bits over the UTF-16 units of a text, by built-in functions.
 
     The prime 2^24 + 403 is applied as a shift and a product, which stay within a long.
     """
-    step = lambda h, c: (F.shiftleft(h.bitwiseXOR(F.ascii(c).cast("long")) % 256, 24) + h.bitwiseXOR(F.ascii(c).cast("long")) * 403) % (1 << 32)
-    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0x811C9DC5).cast("long"), step)
+    units = F.transform(F.filter(F.split(F.hex(F.encode(text, "UTF-16BE")), "(?<=\\G.{4})"), lambda c: c != ""), lambda c: F.conv(c, 16, 10).cast("long"))
+    step = lambda h, c: (F.shiftleft(h.bitwiseXOR(c) % 256, 24) + h.bitwiseXOR(c) * 403) % (1 << 32)
+    return F.aggregate(units, F.lit(0x811C9DC5).cast("long"), step)
+
+
+def display_shuffle(items: Column, draws_: Column) -> Column:
+    """items shuffled for the screen by numbers from 0 to 1, one for each place from the last down to the second."""
+    places = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(items) - 1)), lambda k: F.size(items) - k)
+
+    def swap(a, i):
+        j = F.floor(F.element_at(draws_, (F.size(items) - i).cast("int")) * (i + 1)).cast("int")
+        return F.transform(a, lambda x, k: F.when(k == i, F.get(a, j)).when(k == j, F.get(a, i)).otherwise(x))
+
+    return F.when(F.size(items) < 2, items).otherwise(F.aggregate(places, items, swap))
 
 
 def _shuffle(s, d):

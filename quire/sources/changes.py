@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -49,3 +49,22 @@ def trashed(table: DataFrame, ids: DataFrame, key: str, at) -> DataFrame:
 def without(table: DataFrame, keep: DataFrame, key: list[str]) -> DataFrame:
     """The rows of table whose key is in keep."""
     return table.join(keep.select(*key).distinct(), key, "left_semi")
+
+
+def restored(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """table with deleted_at cleared on the ids."""
+    marked = table.join(ids.select(key).distinct().withColumn("_back", F.lit(True)), key, "left")
+    return marked.withColumn("deleted_at", F.when(F.col("_back").isNull(), F.col("deleted_at"))).drop("_back")
+
+
+def appended(path: str, rows: DataFrame) -> int:
+    """Adds rows to the table at a path and says how many; they are counted as they are written."""
+    seen = Observation("appended")
+    rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+    return seen.get["n"]
+
+
+def nested(rows: DataFrame, key: str, children: str) -> tuple[DataFrame, DataFrame]:
+    """An insert of rows with their children in an array: the rows without it, and a row per child with its parent's key and place."""
+    parts = rows.select(F.col(key).alias(f"{key}_of"), F.posexplode(children).alias("position", "_child"))
+    return rows.drop(children), parts.select(f"{key}_of", "position", "_child.*")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import text
-from quire.operators import diff, latex, order, search, tree, variant
+from quire.operators import assets, diff, latex, order, search, tree, variant
 from quire.sources import blobs, changes
 from quire.streaming import jobs
 
@@ -122,3 +122,68 @@ def test_stream(spark, tmp_path):
     q = jobs.states_by_window(jobs.job_stream(spark, str(tmp_path / "events"))).writeStream.outputMode("append").format("memory").queryName("jobs_out").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("jobs_out").agg(F.sum("n")).first()[0] > 0
+
+
+def test_image_sizes(spark):
+    png = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + (640).to_bytes(4, "big") + (3_000_000_000).to_bytes(4, "big")
+    jpeg = b"\xff\xd8" + b"\xff\xe0\0\x04ab" + b"\xff\xc4\0\x03x" + b"\xff\xc2\0\x0b\x08" + (480).to_bytes(2, "big") + (320).to_bytes(2, "big") + b"\0" * 9
+    data = [(png, "image/png"), (jpeg, "image/jpeg"), (jpeg, "image/png"), (png, "image/jpeg"), (png[:20], "image/png"), (jpeg[:12], "image/jpeg"), (None, "image/png"), (png, "image/gif"), (b"", "image/jpeg")]
+    df = spark.createDataFrame([(i, bytearray(b) if b is not None else None, m) for i, (b, m) in enumerate(data)], "i int, b binary, m string")
+    got = {r.i: r.s and tuple(r.s) for r in df.select("i", assets.image_size(F.col("b"), F.col("m")).alias("s")).collect()}
+    assert got == {0: (640, 3_000_000_000), 1: (320, 480)} | dict.fromkeys(range(2, 9))
+
+
+def test_codes_and_schemas(spark):
+    df = spark.createDataFrame([(-10,), (-7,), (2,), (None,)], "c int")
+    assert [r[0] for r in df.select(assets.legacy_kind(F.col("c"), 3)).collect()] == ["CHAPTER", "SUBSECTION", "QUESTION", None]
+    with pytest.raises(Exception, match="unknown code 3"):
+        spark.createDataFrame([(3,)], "c int").select(assets.legacy_kind(F.col("c"), 3)).collect()
+    assert assets.capabilities(["TagConhecimento"], None, ["LatexComplemento"]) == {"generation": "pre_migrations", "complement": True, "tags": True, "migrations": False}
+    assert assets.capabilities([], ["1_ImagensCompleta"], ["Titulo"])["generation"] == "imagens_completa"
+    assert assets.capabilities([], ["2_LatexComplemento"], [])["complement"] and assets.capabilities([], ["?"], [])["generation"] == "pre_migrations"
+
+
+def test_text_of_urls_years_and_bytes(spark):
+    urls = {"https://a.b/c": True, "HTTP://a.b": True, "javascript:alert(1)": False, "a.b": False, "http://": False, "": False}
+    assert {u: one(spark, text.url_allowed(F.col("x")), x=u) for u in urls} == urls
+    assert [one(spark, text.year_of(F.col("x")), x=x) for x in ("1999-01-01", "0101-01-01", "1450", "x")] == [1999, None, 1450, None]
+    sizes = spark.createDataFrame([(n,) for n in (0, 1023, 1024, 1536, 1024 * 1024, 5_500_000)], "n long").select(text.bytes_text(F.col("n"))).collect()
+    assert [r[0] for r in sizes] == ["0 B", "1023 B", "1.0 kB", "1.5 kB", "1.0 MB", "5.2 MB"]
+    assert one(spark, text.data_url(F.lit("image/png"), F.col("x").cast("binary")), x="abc") == "data:image/png;base64,YWJj"
+
+
+def test_seeds_count_utf16_units_and_shuffles_take_draws(spark):
+    def fnv(t):
+        h = 0x811C9DC5
+        raw = t.encode("utf-16-be")
+        for i in range(0, len(raw), 2):
+            h = (h ^ int.from_bytes(raw[i : i + 2], "big")) * 16777619 % 2**32
+        return h
+
+    for t in ("A", "", "é漢", "a😀b"):
+        assert one(spark, variant.seed_of(F.col("x")), x=t) == fnv(t)
+    df = spark.createDataFrame([(["a", "b", "c", "d"], [0.0, 0.5, 0.9]), (["a"], []), ([], [])], "i array<string>, d array<double>")
+    assert [r[0] for r in df.select(variant.display_shuffle(F.col("i"), F.col("d"))).collect()][1:] == [["a"], []]
+    want = ["a", "b", "c", "d"]
+    for i, u in zip((3, 2, 1), (0.0, 0.5, 0.9)):
+        j = int(u * (i + 1))
+        want[i], want[j] = want[j], want[i]
+    assert df.select(variant.display_shuffle(F.col("i"), F.col("d"))).first()[0] == want
+
+
+def test_more_changes(spark, tmp_path):
+    t = spark.createDataFrame([(1, "x"), (2, None), (3, "y")], "id int, deleted_at string")
+    back = changes.restored(t, spark.createDataFrame([(1,), (9,)], "id int"), "id")
+    assert sorted(map(tuple, back.collect())) == [(1, None), (2, None), (3, "y")]
+    assert changes.appended(str(tmp_path / "t"), t) == 3 and changes.appended(str(tmp_path / "t"), t.limit(1)) == 1
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 4
+    rows, parts = changes.nested(spark.createDataFrame([(1, [("a",), ("b",)]), (2, [])], "id int, options array<struct<text: string>>"), "id", "options")
+    assert rows.columns == ["id"] and sorted(map(tuple, parts.collect())) == [(1, 0, "a"), (1, 1, "b")]
+    files = spark.createDataFrame([(bytearray(b"a"),), (bytearray(b"b"),), (bytearray(b"a"),)], "content binary")
+    store = str(tmp_path / "store")
+    assert blobs.put(files, store).count() == 3 and blobs.put(files, store).count() == 3
+    assert spark.read.parquet(store).count() == 2
+    key = files.limit(1).select(F.sha2("content", 256).alias("sha256"))
+    assert blobs.existing(spark, key.union(spark.createDataFrame([("no",)], "sha256 string")), store).where("exists").count() == 1
+    blobs.deleted(spark, key, store, str(tmp_path / "rest"))
+    assert spark.read.parquet(str(tmp_path / "rest")).count() == 1
