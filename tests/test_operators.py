@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import text
-from quire.operators import assets, diff, latex, order, search, tree, variant
+from quire.operators import assets, diff, latex, order, plugins, search, tree, variant
 from quire.sources import blobs, changes
 from quire.streaming import jobs
 
@@ -187,3 +187,15 @@ def test_more_changes(spark, tmp_path):
     assert blobs.existing(spark, key.union(spark.createDataFrame([("no",)], "sha256 string")), store).where("exists").count() == 1
     blobs.deleted(spark, key, store, str(tmp_path / "rest"))
     assert spark.read.parquet(str(tmp_path / "rest")).count() == 1
+
+
+def test_plugins_are_open_to_new_types(spark):
+    q = spark.createDataFrame([(1, "MULTIPLE_CHOICE", "x"), (2, "ESSAY", ""), (3, "DISCURSIVE", "{"), (4, None, "x")], "id int, type string, text string")
+    o = spark.createDataFrame([(1, "a", True), (1, "a ", False), (1, None, False), (2, "b", False)], "question int, text string, correct boolean")
+    assert {r.id: r.status for r in plugins.statuses(q, o).collect()} == {1: "VALID", 2: "UNVALIDATED", 3: "INVALID", 4: "UNVALIDATED"}
+    assert [tuple(r) for r in plugins.issues(q, o).where("id = 1").collect()] == [(1, "duplicate_option", "warning", 1)]
+    try:
+        plugins.register("ESSAY", plugins.FEW)
+        assert {r.id: r.status for r in plugins.statuses(q, o).collect()}[2] == "INVALID"
+    finally:
+        del plugins.REGISTRY["ESSAY"]
