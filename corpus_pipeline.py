@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
 again as the docs of the next. All stages but the last return the columns of documents.
+
+Defined cases: null and blank texts fail the quality rules and go there; rows that repeat are near duplicates
+of each other, so one stays; null ids are kept apart by their texts; texts of any length are worked on whole;
+extra columns go along under their own names; an empty table gives empty stages.
 """
 
 from __future__ import annotations
