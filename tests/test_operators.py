@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import text
-from quire.operators import assets, diff, latex, order, plugins, search, tree, variant
+from quire.operators import assets, diff, latex, order, plugins, preview, search, tree, variant
 from quire.sources import blobs, changes
 from quire.streaming import jobs
 
@@ -199,3 +199,14 @@ def test_plugins_are_open_to_new_types(spark):
         assert {r.id: r.status for r in plugins.statuses(q, o).collect()}[2] == "INVALID"
     finally:
         del plugins.REGISTRY["ESSAY"]
+
+
+def test_preview_pieces():
+    kinds = lambda t: [(d, k, c) for _, d, _, k, c in preview.pieces(t)]
+    assert kinds(r"a {b \textbf{c}} d") == [(0, "text", "a "), (0, "group", ""), (1, "text", "b "), (1, "bold", "textbf"), (2, "text", "c"), (0, "text", " d")]
+    assert kinds(r"$a\$b$ \(c\) $$d$$ \[e\]") == [(0, "math", r"a\$b"), (0, "text", " "), (0, "math", "c"), (0, "text", " "), (0, "display", "$$d$$"), (0, "text", " "), (0, "display", r"\[e\]")]
+    assert kinds(r"\begin{align*}x\end{align*}") == [(0, "display", r"\begin{align*}x\end{align*}")]
+    assert kinds("\\begin{itemize}\\item a\\begin{enumerate}\\item b\\end{enumerate}\\item c\\end{itemize}") == [(0, "list", "itemize"), (1, "item", ""), (2, "text", "a"), (2, "ordered", "enumerate"), (3, "item", ""), (4, "text", "b"), (1, "item", ""), (2, "text", "c")]
+    assert kinds("a } b \\end{x} \\begin{y} } {c") == [(0, "text", "a } b \\end{x} "), (0, "box", "y"), (1, "text", " } "), (1, "group", ""), (2, "text", "c")]
+    assert kinds("x % gone\ny\n\nz $ w\\_") == [(0, "text", "x \ny"), (0, "paragraph", ""), (0, "text", "z $ w_")]
+    assert len(preview.pieces("{" * 5000 + "x")) == 5001 and preview.pieces("") == []
