@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,26 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def light(run):
+    """A function for mapInArrow that gives the memory it used back to the system at its end.
+
+    Spark keeps Python workers from task to task, and what an allocator keeps of a large task would count
+    against the executor while later stages run.
+    """
+    def task(batches):
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
+def give_back() -> None:
+    """Gives free memory of this worker back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        trim(0)
+
+
 def drop(df: DataFrame) -> None:
     """Deletes the files of a written() table that nothing reads any more."""
     spark = df.sparkSession

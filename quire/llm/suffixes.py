@@ -19,7 +19,8 @@ All is cut into buckets by fingerprint, which are scanned and merged by independ
 The result is exact (up to equal 64-bit hashes of different strings within one fingerprint and offset).
 
 Defined cases: null text is empty; texts of fewer than LONG bytes lose nothing; repeated rows are
-documents of their own, and so remove each other; null ids are kept apart by the hash of the text;
+documents of their own, and so remove each other; texts of any length are worked on stretch by stretch,
+whole; null ids are kept apart by the hash of the text;
 other columns are left alone.
 """
 
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import documents, sift, written
+from quire.llm.common import documents, light, sift, written
 from quire.llm.partenum import mix
 
 LONG = 400
@@ -40,8 +41,10 @@ GRAM = 200
 #: Window starts handled at once; a task's suffixes before it packs them; batches that op3 adds.
 STRETCH = 1 << 16
 PACKED = 400_000
-BATCHES = 2
+BATCHES = 4
 OFFSETS = 16
+#: Bytes of entries that a bucket is meant to hold; a text has about four tenths of its bytes.
+BUCKET_BYTES = 32 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
 ENTRY = np.dtype([("h", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("t", "<i8"), ("pos", "<u4"), ("lo", "u1"), ("hi", "u1"), ("null", "u1"), ("many", "u1")])
 
@@ -119,6 +122,17 @@ def ordered(e: np.ndarray) -> np.ndarray:
     return e[np.lexsort((e["c"], e["h"]))]
 
 
+def merged_arrays(arrays: list[np.ndarray]) -> np.ndarray:
+    """Suffix arrays merged into one: the stable sort joins runs that are in order, and only entries of one fingerprint are then sorted."""
+    e = np.concatenate(arrays)
+    e = e[np.argsort(e["h"], kind="stable")]
+    same = e["h"][1:] == e["h"][:-1]
+    tied = np.flatnonzero(np.concatenate((same, [False])) | np.concatenate(([False], same))) if len(e) else []
+    if len(tied):
+        e[tied] = ordered(e[tied])
+    return e
+
+
 def repeats(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of a suffix array: the entries that are repeats, and the array with one of each kind of entries."""
     if not len(e):
@@ -226,9 +240,8 @@ class Family:
                     of.setdefault(k, []).append(blob.as_py())
             for k in set(runs).union(*old.values()):
                 levels = {r: read(x.pop(k)) for r, x in old.items() if k in x}
-                batch = ordered(read(runs.pop(k, [])))
-                every = ordered(np.concatenate([batch, *levels.values()]))
-                gone, one = repeats(every)
+                batch = merged_arrays([np.zeros(0, ENTRY), *(read([x]) for x in runs.pop(k, []))])
+                gone, one = repeats(merged_arrays([batch, *levels.values()]))
                 if len(gone):
                     yield spans(gone)
                 # Rivals within a level were told when it came to be.
@@ -237,15 +250,15 @@ class Family:
                 if len(c):
                     yield rivals(c, k)
                 if store:
-                    into = repeats(ordered(np.concatenate([batch, *(x for r, x in levels.items() if r in merged)])))[1]
+                    into = repeats(merged_arrays([batch, *(x for r, x in levels.items() if r in merged)]))[1]
                     yield rows("level", 1, bucket=pa.array([k], pa.int32()), blob=pa.array([into.tobytes()], pa.binary()))
 
-        source = docs.select("doc", "t", "text").mapInArrow(pack, ROW)
+        source = docs.select("doc", "t", "text").mapInArrow(light(pack), ROW)
         # A span may go anywhere: its bucket is free.
         source = source.withColumn("bucket", F.coalesce("bucket", F.expr(f"cast(pmod(t, {buckets}) as int)")))
         for r, level in self.levels.items():
             source = source.unionByName(level.withColumn("kind", F.lit(str(r))), allowMissingColumns=True)
-        out = written(source.repartition(buckets, "bucket").mapInArrow(scan, ROW), "scan")
+        out = written(source.repartition(buckets, "bucket").mapInArrow(light(scan), ROW), "scan")
         if store:
             for r in merged:
                 del self.levels[r]
@@ -322,13 +335,15 @@ def settled(found: DataFrame, docs: DataFrame, buckets: int) -> DataFrame:
                 o = head[owner[hit[new]]]
                 yield pa.RecordBatch.from_arrays([pa.array(o[:, 3], mask=o[:, 4] > 0), pa.array(o[:, 5]), pa.array(o[:, 6] - step[hit[end]]), pa.array(o[:, 6] - step[hit[new]] + LONG)], ["doc", "t", "start", "stop"])
 
-    packed = one.select("doc", "t", "text", "a").mapInArrow(hashes, "bucket int, blob binary")
-    return written(packed.repartition(buckets, "bucket").mapInArrow(meet, "doc long, t long, start long, stop long"), "settled")
+    packed = one.select("doc", "t", "text", "a").mapInArrow(light(hashes), "bucket int, blob binary")
+    return written(packed.repartition(buckets, "bucket").mapInArrow(light(meet), "doc long, t long, start long, stop long"), "settled")
 
 
 def removals(docs: DataFrame) -> DataFrame:
     """doc, t and the merged spans of each document that has any; docs: doc, t, text."""
-    family = Family(docs.sparkSession)
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    family = Family(spark, max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), size * 4 // 10 // BUCKET_BYTES))
     part = F.pmod(F.shiftright("t", 17), F.lit(BATCHES))
     found = None
     for k in range(BATCHES):
@@ -385,7 +400,7 @@ def digest(docs: DataFrame) -> DataFrame:
             cols = list(zip(*out)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.string()]))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return with_spans(docs, []).select("doc", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_spans(docs, []).select("doc", "text", "spans").mapInArrow(light(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -409,7 +424,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, own).filter(gone)
 
     df = with_spans(docs, list(zip(docs.columns, own)))
-    return df.select(*own, "spans").mapInArrow(cut, df.select(*own).schema).toDF(*docs.columns)
+    return df.select(*own, "spans").mapInArrow(light(cut), df.select(*own).schema).toDF(*docs.columns)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

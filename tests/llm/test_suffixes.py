@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from helpers import SF, edge_documents
 
@@ -68,3 +69,28 @@ def test_levels_merge_geometrically(spark):
         family.add(docs.where(f"pmod(t, 6) = {k}"))
         ranks.append(sorted(family.levels))
     assert ranks == [[0], [1], [0, 1], [2], [0, 2], [1, 2]]
+
+
+def test_query_merges_levels(spark, monkeypatch):
+    ranks, add = [], suffixes.Family.add
+
+    def watched(self, docs, store=True):
+        out = add(self, docs, store)
+        ranks.append(sorted(self.levels))
+        return out
+
+    monkeypatch.setattr(suffixes.Family, "add", watched)
+    suffixes.op3(spark, SF)
+    assert ranks == [[0], [1], [0, 1], [0, 1]]
+
+
+def test_merged_arrays_are_in_order():
+    r = np.random.default_rng(2)
+    arrays = []
+    for n in (0, 1, 50, 400):
+        e = np.zeros(n, suffixes.ENTRY)
+        e["h"], e["c"], e["doc"] = r.integers(0, 40, n), r.integers(0, 9, n), r.integers(0, 99, n)
+        arrays.append(suffixes.ordered(e))
+    got = suffixes.merged_arrays(arrays)
+    keys = list(zip(got["h"].tolist(), got["c"].tolist()))
+    assert keys == sorted(keys) and sorted(got.tolist()) == sorted(x for a in arrays for x in a.tolist())
