@@ -4,19 +4,20 @@ A rule is a host and the beginning of a path; it holds for the host and all its
 several that fit the longest wins. Pages without a rule are judged by their host. Hosts with pages that
 rules allow are trusted seeds, hosts with pages that rules block are blocked seeds. Trust follows links
 forward from the trusted seeds (personalised PageRank), distrust follows them backward from the blocked
-ones, since who links to bad hosts is suspect. A host is blocked when its distrust is above its trust.
+ones, since who links to bad hosts is suspect. Trust and distrust both are of BASE parts in all, so their
+sizes don't move with the numbers of seeds. A host is blocked when its distrust is above its trust.
 
 Links are counted per pair of hosts before the shuffle, so a host with most of the pages is a few rows.
-In each round the scores are joined to the edges by host and a salt of the other end, so the edges of a
-hot host are spread; scores are written every few rounds. The query goes on until, from one written
+In each round the scores are joined to the edges by host and a salt of the other end, as many salts as the
+host with most edges needs, so that its edges are spread; scores are written every few rounds. The query goes on until, from one written
 table to the next, no host is new and no score changes by more than a part in SETTLED of itself or of a
 seed's share; one count a table reaches the driver. Callers may fix the number of rounds instead. Mass of hosts without links goes back to the
-seeds. Scores are integers of BASE parts, so every engine and every order of adding gives the same.
+seeds. Scores are integers, so every engine and every order of adding gives the same.
 
 Defined cases: null urls, and urls without ``://``, have an empty host and path and no rule; an empty
 host has no links and is allowed; null html has no links; links without ``://`` stay on the page's
 host, as do links to it, and don't count; without seeds nothing is blocked; repeated rows are judged
-each, and count as links each.
+each, and count as links each; pages of any length are read whole; other columns are left aside.
 """
 
 from __future__ import annotations
@@ -34,7 +35,9 @@ ROUNDS = 12
 SETTLED = 10**6
 #: Of 100 parts of a score, so many follow links; the rest goes back to the seeds.
 DAMPING = 85
-BASE = 10**12
+BASE = 10**18
+#: Edges of a host that one task meets, about.
+SALTED = 100_000
 SALTS = 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -64,34 +67,40 @@ def page_links(pages: DataFrame) -> DataFrame:
     return found.where("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def settled(before: DataFrame, after: DataFrame) -> bool:
+def settled(before: DataFrame, after: DataFrame, share: int) -> bool:
     old = before.select("host", F.col("score").alias("old"))
-    changed = f"old is null or score is null or abs(score - old) > greatest({BASE}, score) div {SETTLED}"
+    changed = f"old is null or score is null or abs(score - old) > greatest({share}L, score) div {SETTLED}"
     return after.join(old, "host", "full").where(changed).isEmpty()
 
 
 def propagated(edges: DataFrame, seeds: DataFrame, rounds: int | None = ROUNDS) -> DataFrame:
     """(host, score): PageRank over edges (src, dst, n) that restarts at the hosts of seeds (host); without rounds until it has settled."""
-    edges = edges.join(edges.groupBy("src").agg(F.sum("n").alias("out")), "src")
-    edges = written(edges.withColumn("salt", F.expr(f"pmod(xxhash64(dst), {SALTS})")), "edges")
-    sources = edges.select("src").distinct()
     seeds = written(seeds.select("host").distinct(), "seeds")
     count = seeds.count()
     if not count:
         return seeds.withColumn("score", F.lit(0).cast("long"))
-    # A seed holds BASE parts; scores are of that unit, so they don't shrink with the number of seeds.
-    scores = kept = seeds.withColumn("score", F.lit(BASE))
+    share = BASE // count
+    scores = kept = seeds.withColumn("score", F.lit(share))
+    outs = written(edges.groupBy("src").agg(F.sum("n").alias("out"), F.count("*").alias("degree")), "outs")
+    most = outs.agg(F.max("degree").alias("most")).first().most
+    if not most:  # nothing flows: what hosts without links hold is back at the seeds at once
+        return scores
+    salts = max(SALTS, -(-most // SALTED))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
+    edges = edges.withColumn("salt", F.expr(f"pmod(xxhash64(dst), {salts}L)")).join(outs.select("src", "out", every.alias("salt")), ["src", "salt"])
+    edges = written(edges, "edges")
+    sources = outs.select("src")
     for k in itertools.count() if rounds is None else range(rounds):
-        salted = scores.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        salted = scores.withColumn("salt", every)
         flow = salted.join(edges, (salted["host"] == edges["src"]) & (salted["salt"] == edges["salt"]))
-        flow = flow.select(F.col("dst").alias("host"), F.expr(f"cast(cast(score as decimal(20)) * {DAMPING} * n div (100 * out) as bigint)").alias("score"))
+        flow = flow.select(F.col("dst").alias("host"), F.expr(f"cast(cast(score as decimal(20)) * {DAMPING} * n div (cast(100 as decimal(20)) * out) as bigint)").alias("score"))
         # What hosts without links hold goes back to the seeds in equal parts, one number for all.
         loose = scores.join(sources, scores["host"] == sources["src"], "left_anti").agg(F.coalesce(F.sum(F.col("score").cast("decimal(30)")), F.lit(0)).alias("loose"), F.lit(1).alias("one"))
-        back = seeds.withColumn("one", F.lit(1)).join(F.broadcast(loose), "one").select("host", F.expr(f"cast({BASE} * {100 - DAMPING} div 100 + loose * {DAMPING} div (100 * {count}L) as bigint)").alias("score"))
+        back = seeds.withColumn("one", F.lit(1)).join(F.broadcast(loose), "one").select("host", F.expr(f"cast({share * (100 - DAMPING) // 100}L + loose * {DAMPING} div (100 * {count}L) as bigint)").alias("score"))
         scores = flow.union(back).groupBy("host").agg(F.sum("score").alias("score"))
         if k % 3 == 2 or rounds is not None and k == rounds - 1:
             scores = written(scores, "scores")
-            if rounds is None and settled(kept, scores):
+            if rounds is None and settled(kept, scores, share):
                 break
             kept = scores
     return scores

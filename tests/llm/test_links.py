@@ -35,15 +35,16 @@ def brute(pages):
         out = defaultdict(int)
         for (a, _), n in edges.items():
             out[a] += n
-        score = {h: links.BASE for h in seeds}
-        for _ in range(links.ROUNDS if seeds else 0):
+        share = links.BASE // max(1, len(seeds))
+        score = {h: share for h in seeds}
+        for _ in range(links.ROUNDS if seeds and edges else 0):
             new = defaultdict(int)
             for (a, b), n in edges.items():
                 if a in score:
                     new[b] += score[a] * links.DAMPING * n // (100 * out[a])
             loose = sum(s for h, s in score.items() if h not in out)
             for h in seeds:
-                new[h] += links.BASE * (100 - links.DAMPING) // 100 + loose * links.DAMPING // (100 * len(seeds))
+                new[h] += share * (100 - links.DAMPING) // 100 + loose * links.DAMPING // (100 * len(seeds))
             score = dict(new)
         return score
 
@@ -97,3 +98,17 @@ def test_query_goes_on_until_scores_settle(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(links, "ROUNDS", 300)
     for _, host, *_, distrust in brute(pages):
         assert abs(got[host].distrust - distrust) <= 20 * links.BASE // links.SETTLED
+
+
+def test_redirects_and_a_hot_host(spark, monkeypatch):
+    monkeypatch.setattr(links, "SALTED", 10)
+    pages = [(i, "http://hub.net/", "".join(f"<a href='http://h{j}.{'com' if j % 3 else 'org'}/'>" for j in range(i, i + 9))) for i in range(200)]
+    pages += [(1000 + j, f"http://h{j}.{'com' if j % 3 else 'org'}/{'de' if j % 2 else 'fr'}/x?u=http://b.com/de/", "<a href='http://hub.net/'>") for j in range(200)]
+    pages += [(2000, "http://shop.com?u=http://b.com/de/x", ""), (2001, "http://shop.com#http://b.com/fr/", "<a href='http://hub.net?x'>")]
+    check(spark.createDataFrame(pages, "page_id long, url string, html string"))
+
+
+def test_verdict_does_not_depend_on_the_number_of_seeds(spark):
+    pages = [(i, f"http://t{i}.org/", "") for i in range(50)] + [(100, "http://bad.com/de/", ""), (101, "http://x.net/", "<a href='http://bad.com/'>"), (102, "http://t0.org/", "<a href='http://x.net/'>")]
+    got = {r.page_id: r.verdict for r in links.judged(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[101] == "block" and got[102] == "allow"
