@@ -3,7 +3,8 @@
 ``mux`` stores 8-bit mono samples losslessly as a Matroska file: EBML header, segment, track entry,
 clusters of laced blocks, and cues. ``parse`` reads any Matroska bytes: element ids and sizes of
 variable length (unknown sizes too), clusters, simple blocks and block groups, all four kinds of
-lacing, and cues; it gives a row per packet with track, timestamp and byte range. ``packet_table``
+lacing, and cues; it gives a row per packet with track, timestamp and byte range. Frames of one lace
+follow each other by the default duration of their track, if the file tells it. ``packet_table``
 and ``cue_table`` do so for a binary column of a DataFrame; the files of a task are handled one after
 the other, nothing is shuffled, and a group of equal or long files is just more rows.
 
@@ -30,6 +31,7 @@ EBML, EBML_VERSION, EBML_READ_VERSION, MAX_ID_LENGTH, MAX_SIZE_LENGTH = 0x1A45DF
 DOC_TYPE, DOC_TYPE_VERSION, DOC_TYPE_READ_VERSION = 0x4282, 0x4287, 0x4285
 SEGMENT, INFO, TIMESTAMP_SCALE, MUXING_APP, WRITING_APP = 0x18538067, 0x1549A966, 0x2AD7B1, 0x4D80, 0x5741
 TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, FLAG_LACING, CODEC_ID = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x9C, 0x86
+DEFAULT_DURATION = 0x23E383
 AUDIO, SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
 CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1
 CUES, CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
@@ -39,6 +41,7 @@ LACES = ("none", "xiph", "fixed", "ebml")
 
 #: Layout of the files written here: samples a second, bytes a frame, frames a block, blocks a cluster.
 RATE, FRAME, LACED, BLOCKS = 8000, 512, 8, 16
+FRAME_NS = FRAME * 1_000_000_000 // RATE
 PAD = 64
 
 
@@ -73,7 +76,7 @@ def uint(eid: int, n: int) -> bytes:
 
 
 HEADER = element(EBML, uint(EBML_VERSION, 1) + uint(EBML_READ_VERSION, 1) + uint(MAX_ID_LENGTH, 4) + uint(MAX_SIZE_LENGTH, 8) + element(DOC_TYPE, b"matroska") + uint(DOC_TYPE_VERSION, 4) + uint(DOC_TYPE_READ_VERSION, 2))
-PREFIX = element(INFO, uint(TIMESTAMP_SCALE, 1_000_000) + element(MUXING_APP, b"quire") + element(WRITING_APP, b"quire")) + element(TRACKS, element(TRACK_ENTRY, uint(TRACK_NUMBER, 1) + uint(TRACK_UID, 1) + uint(TRACK_TYPE, 2) + uint(FLAG_LACING, 1) + element(CODEC_ID, b"A_PCM/INT/LIT") + element(AUDIO, element(SAMPLING_FREQUENCY, struct.pack(">d", RATE)) + uint(CHANNELS, 1) + uint(BIT_DEPTH, 8))))
+PREFIX = element(INFO, uint(TIMESTAMP_SCALE, 1_000_000) + element(MUXING_APP, b"quire") + element(WRITING_APP, b"quire")) + element(TRACKS, element(TRACK_ENTRY, uint(TRACK_NUMBER, 1) + uint(TRACK_UID, 1) + uint(TRACK_TYPE, 2) + uint(FLAG_LACING, 1) + uint(DEFAULT_DURATION, FRAME_NS) + element(CODEC_ID, b"A_PCM/INT/LIT") + element(AUDIO, element(SAMPLING_FREQUENCY, struct.pack(">d", RATE)) + uint(CHANNELS, 1) + uint(BIT_DEPTH, 8))))
 
 
 def lace_header(sizes: list[int], kind: str) -> bytes:
@@ -188,6 +191,7 @@ def parse(data: bytes) -> tuple[list[Packet], list[Cue]]:
     packets: list[Packet] = []
     cues: list[Cue] = []
     scale, number = 1_000_000, -1
+    duration: dict[int, int] = {}  # of a frame, by track
 
     def block(e: Element, time: int, simple: bool) -> None:
         if not e.whole:
@@ -196,8 +200,8 @@ def parse(data: bytes) -> tuple[list[Packet], list[Cue]]:
         ticks, flags = struct.unpack_from(">hB", data, e.begin + a)
         kind = LACES[flags >> 1 & 3]
         sizes, at = lace_sizes(data, e.begin + a + 3, e.stop, kind)
-        for n in sizes:
-            packets.append(Packet(track, (time + ticks) * scale, bool(flags & 0x80) or not simple, number, kind, at, n))
+        for k, n in enumerate(sizes):
+            packets.append(Packet(track, (time + ticks) * scale + k * duration.get(track, 0), bool(flags & 0x80) or not simple, number, kind, at, n))
             at += n
 
     def cluster(at: int, end: int) -> int:
@@ -229,8 +233,11 @@ def parse(data: bytes) -> tuple[list[Packet], list[Cue]]:
         nonlocal scale, number
         while (e := next(elements(data, at, end), None)) is not None:
             at = e.stop
-            if e.eid in (SEGMENT, INFO):
-                walk(e.begin, e.stop)
+            if e.eid in (SEGMENT, INFO, TRACKS):
+                at = e.begin  # what it holds comes next; however deep it lies, nothing is stacked
+            elif e.eid == TRACK_ENTRY:
+                got = {x.eid: unsigned(data, x) for x in elements(data, e.begin, e.stop) if x.eid in (TRACK_NUMBER, DEFAULT_DURATION)}
+                duration[got.get(TRACK_NUMBER, 0)] = got.get(DEFAULT_DURATION, 0)
             elif e.eid == CLUSTER:
                 number += 1
                 at = cluster(e.begin, e.stop)

@@ -5,6 +5,7 @@ import zlib
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from helpers import SF
 
 from quire.llm import matroska as m
 
@@ -27,7 +28,35 @@ def test_lacing(sizes, kind):
     data = m.HEADER + m.element(m.SEGMENT, m.PREFIX + m.element(m.CLUSTER, m.uint(m.TIMESTAMP, 7) + m.simple_block(3, -2, frames, kind)))
     packets, _ = m.parse(data)
     assert [data[p.start : p.start + p.size] for p in packets] == frames
-    assert {(p.track, p.timestamp_ns, p.lacing) for p in packets} == {(3, 5_000_000, kind)}
+    assert {(p.track, p.timestamp_ns, p.lacing) for p in packets} == {(3, 5_000_000, kind)}  # track 3 tells no duration
+
+
+def test_frames_of_a_lace_have_their_own_times():
+    packets, _ = m.parse(m.mux(bytes(20_000)))
+    assert [p.timestamp_ns for p in packets] == [k * m.FRAME_NS for k in range(40)]
+
+
+def test_deep_nesting_ends():
+    data = b""
+    for _ in range(3000):
+        data = m.element(m.SEGMENT, data)
+    assert m.parse(m.HEADER + data) == ([], [])
+
+
+def test_query_against_brute_force(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    got = m.op1(spark, SF).collect()
+    assert sorted(r.doc_id for r in got) == sorted(docs)
+    for r in got:
+        raw = (docs[r.doc_id] or "").encode()
+        want = raw + bytes(-len(raw) % 64 if raw else 64)
+        signed = [b - 128 for b in want]
+        crossings = sum((a >= 0) != (b >= 0) for a, b in zip(signed, signed[1:]))
+        frames = -(-len(want) // m.FRAME)
+        clusters = -(-len(want) // (m.FRAME * m.LACED * m.BLOCKS))
+        feature = f"packets={frames};cues={clusters};ms={len(want) // 8};sum={sum(signed)};energy={sum(x * x for x in signed)};crossings={crossings}"
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.feature) == (len(raw), len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-64:]), feature)
+        assert r.media_sha256 == hashlib.sha256(m.mux(want)).hexdigest() and r.media_bytes == len(m.mux(want))
 
 
 def test_unknown_sizes_groups_and_damage():
