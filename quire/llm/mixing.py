@@ -11,7 +11,8 @@ over the source: a partition knows how many documents of the source lie in the p
 so a source with most of the rows is spread over all tasks.
 
 Defined cases: null or blank text has size 0 and takes no words; a null source is a source of its own,
-ordered last; equal rows are placed next to each other, and share what falls to them; reruns agree,
+ordered last; texts of any length count whole, and one that is above its source's target may be left out or
+taken as its size allows; equal rows are placed next to each other, and share what falls to them; reruns agree,
 since the offset is a hash of the source and the seed.
 """
 

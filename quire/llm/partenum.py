@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import documents, drop, sift, written
+from quire.llm.common import documents, drop, light, sift, written
 from quire.llm.graph import components
 
 SHINGLE = 5
@@ -267,9 +267,9 @@ def shared(docs: DataFrame, buckets: int) -> DataFrame:
 
     packed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("t"), docs["text"].alias("text"))
     columns = "doc_id long, t long, size long, key binary, ref long, sketch binary"
-    packed = packed.mapInArrow(pack, f"bucket int, blob binary, {columns}")
+    packed = packed.mapInArrow(light(pack), f"bucket int, blob binary, {columns}")
     packed = packed.withColumn("bucket", F.coalesce("bucket", F.expr(f"cast(pmod(xxhash64(doc_id, t), {buckets}) as int)")))
-    return packed.repartition(buckets, "bucket").mapInArrow(groups, f"kind string, g long, {columns}")
+    return packed.repartition(buckets, "bucket").mapInArrow(light(groups), f"kind string, g long, {columns}")
 
 
 def cells(groups: DataFrame, held: DataFrame, comp: DataFrame | None, buckets: int) -> DataFrame:
@@ -397,7 +397,7 @@ def candidates(rows: DataFrame, kind: str) -> DataFrame:
         if n:
             yield from told(pa.Table.from_batches(held))
 
-    return rows.mapInArrow(run, "g long, u long, v long, d int")
+    return rows.mapInArrow(light(run), "g long, u long, v long, d int")
 
 
 def tested(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -423,7 +423,7 @@ def tested(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     at = F.expr(f"pmod(xxhash64(v), {salts})")
     left = pairs.withColumn("salt", at).join(texts.selectExpr("node as v", "text as y"), "v")
     right = pairs.select("u", at.alias("salt")).distinct().join(texts.selectExpr("node as u", "text as x"), "u")
-    return left.join(right, ["u", "salt"]).select("u", "v", "x", "y").mapInArrow(compare, "u long, v long")
+    return left.join(right, ["u", "salt"]).select("u", "v", "x", "y").mapInArrow(light(compare), "u long, v long")
 
 
 def joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -12,7 +12,7 @@ bins, which is exact for its bins, mergeable and of bounded size.
 
 Defined cases: null or blank text has no words and fails the base rules; null lang or source is a
 group value like any other; groups of fewer than ``min_group`` documents are judged together as one;
-repeated rows are judged one by one; other columns are left as they are.
+texts of any length are counted whole, in arrays of one row; repeated rows are judged one by one; other columns are left as they are.
 """
 
 from __future__ import annotations
@@ -156,19 +156,17 @@ def quality(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that quality() keeps, with their own columns only.
 
-    Verdicts are not joined back by doc_id, which may be null or repeated: the counts are made again
-    beside the text, and only the small table of estimates is joined.
+    Verdicts are not joined back by doc_id, which may be null or repeated: one pass writes each row
+    beside its counts, the estimates are made from the narrow columns of that table, and the small table
+    of estimates is joined to it.
     """
-    stats = written(statistics(docs).drop("doc_id"), "quality")
-    grouped = with_group(stats)
-    params = estimate(grouped.where("not base_failed").select("g", *[f"x{i}" for i in P])).withColumnRenamed("g", "k")
     own = [f"c{i}" for i in range(len(docs.columns))]
-    df = docs.toDF(*own)
     at = {n: own[docs.columns.index(n)] for n in ("text", "lang", "source")}
-    df = base_columns(df.withColumns({n: F.col(c) for n, c in at.items()}))
-    # No filter is moved below this column; moved, it would repeat the counts in its condition many times over.
-    df = df.withColumn("_row", F.monotonically_increasing_id())  # used in the condition, or it would be pruned
-    df = df.where("not base_failed and _row >= 0").withColumns({"k": F.expr(KEY), **{f"x{i}": F.expr(vector(i)) for i in P}})
+    df = base_columns(docs.toDF(*own).withColumns({n: F.col(c) for n, c in at.items()}))
+    df = written(df.select(*own, "lang", "source", "n_words", *COUNTS, "base_failed"), "quality")
+    grouped = with_group(df.drop(*own))
+    params = estimate(grouped.where("not base_failed").select("g", *[f"x{i}" for i in P])).withColumnRenamed("g", "k")
+    df = df.where("not base_failed").withColumns({"k": F.expr(KEY), **{f"x{i}": F.expr(vector(i)) for i in P}})
     rest = params.where("k = '*'").select(F.lit(1).alias("one"), *[F.col(c).alias(f"r_{c}") for c in params.columns if c != "k"])
     df = df.withColumn("one", F.lit(1)).join(params, "k", "left").join(F.broadcast(rest), "one", "left")  # one row at most
     df = df.withColumns({c: F.coalesce(c, f"r_{c}") for c in params.columns if c != "k"})

@@ -42,4 +42,5 @@ def edge_documents(spark):
         (7, "a b c d e f g h " * 8, "fr", "b", 1), (8, "line one is here\n" * 30, "fr", "c", 1), (9, "é ü 漢字 😀 " * 10, "fr", "", None),
     ]
     df = spark.createDataFrame(data, DOCS)
+    df = df.repartition(3)  # else the optimizer itself works rows out, slowly, wherever they are projected
     return df.selectExpr("*", "doc_id as size", "text as h", "1 as n_words", "'x' as k", "'y' as _w", "2 as copies", "3 as target")

@@ -1,6 +1,6 @@
 from collections import Counter
 
-from helpers import SF
+from helpers import SF, edge_documents
 from test_bpe import LIB
 from test_partenum import brute as linked
 from test_suffixes import brute as repeats
@@ -37,3 +37,18 @@ def test_stages_against_brute_force(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "ids"]
+
+
+def test_edges(spark):
+    """Nulls, blank and long texts, ties, repeated rows, extra columns of clashing names, and no rows at all."""
+    docs = edge_documents(spark)
+    docs = docs.union(docs.selectExpr("doc_id + 100 as doc_id", "concat(text, ' more') as text", *docs.columns[2:])).cache()
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF).collect()
+        none = stage(spark, docs.limit(0), SF)
+        assert none.collect() == []
+        if name == corpus_pipeline.STAGES[-1][0]:
+            assert none.columns == ["doc_id", "ids"] and len(out) == docs.count()
+        else:
+            assert none.columns == docs.columns and len(out[0]) == len(docs.columns)
+            assert {tuple(r)[0] for r in out} <= {r.doc_id for r in docs.collect()}

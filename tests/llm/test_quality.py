@@ -9,7 +9,11 @@ def test_against_sql(spark):
 
 def test_edges(spark):
     docs = edge_documents(spark)
-    same(quality.quality(docs), quality.SQL, documents=docs.select("doc_id", "text", "lang", "source"))
+    # DuckDB copies the list of words for each window, so the two long texts are compared by what they hold.
+    short = docs.where("text is null or length(text) < 50000")
+    same(quality.quality(short), quality.SQL, documents=short.select("doc_id", "text", "lang", "source"))
+    long = quality.quality(docs).where("n_words > 50000").collect()
+    assert [(r.n_words, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in long] == [(60_000, 0, 0, 0, False)] * 2
     kept = quality.keep_good(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in quality.quality(docs).where("kept").collect())
