@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +36,18 @@ def give_back() -> None:
         trim(0)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Within it, plans that run send Python tasks so many rows at once: long texts and packed rows by the ten thousand are much memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def drop(df: DataFrame) -> None:
     """Deletes the files of a written() table that nothing reads any more."""
     spark = df.sparkSession

@@ -29,11 +29,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import documents, sift, written
+from quire.llm.common import batches_of, documents, give_back, light, sift, written
 from quire.llm.partenum import _WORDS, WORDS_KEPT, mix
 
 ALPHA, BETA = 0.1, 5.0
-CHUNK = 2_000_000
+CHUNK = 4_000_000
+#: Asked grams that a bucket's task sorts at once, and words of which losses are worked out at once.
+MET, SLICE = 400_000, 1 << 19
+#: Rows that a task is sent at once.
+ROWS = 256
 #: Word before the first of a document.
 START = np.uint64(0x5851F42D4C957F2D)
 #: Hashes keep so many bits: at 10^12 grams, one in 300 equals another's. The last bit tells unigrams.
@@ -55,40 +59,41 @@ def steps(x: np.ndarray) -> bytes:
     return packed(np.diff(x, prepend=np.zeros(1, x.dtype)))
 
 
-def grams(words: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each word of documents laid end to end: hashes of it, of the word before, and of both."""
-    before = np.concatenate(([START], words[:-1]))
-    first = np.cumsum(lens) - lens
-    before[first[lens > 0]] = START
+def counted(distinct: np.ndarray, at: np.ndarray, lens: np.ndarray, target: np.ndarray | None) -> tuple:
+    """The grams of a chunk in order, where each word's three grams are among them, and both counts if asked for.
+
+    A chunk is documents of lens words laid end to end, each word as a place in distinct, the hashes of
+    its different words. A word's grams are itself, the word before and both; only the last need sorting.
+    """
+    n, u = len(at), len(distinct)
+    start = (np.cumsum(lens) - lens)[lens > 0]
     shift = np.uint64(64 - BITS)
-    one = lambda x: mix(x + np.uint64(1)) >> shift | np.uint64(1)
-    return one(words), one(before), mix(before * np.uint64(0x9E3779B97F4A7C15) + words) >> shift & ~np.uint64(1)
-
-
-def counted(words: np.ndarray, lens: np.ndarray, target: np.ndarray | None) -> tuple:
-    """The distinct grams of a chunk in order, where each word's three grams are among them, and both counts if asked for."""
-    w, v, b = grams(words, lens)
-    n = len(words)
-    start = np.zeros(n, bool)
-    start[(np.cumsum(lens) - lens)[lens > 0]] = True
-    every = np.concatenate((w, v[start], b))
-    del w, v, b
-    order = np.argsort(every)
-    every = every[order]
-    new = np.concatenate(([True], every[1:] != every[:-1]))
-    at = np.empty(len(order), np.int32)
-    at[order] = np.cumsum(new, dtype=np.int32) - 1
-    found = every[new]
-    del every, order, new
-    both = goods = None
-    if target is not None:
-        good = np.repeat(target, lens)
-        both = np.bincount(at, minlength=len(found)).astype(np.uint32)
-        goods = np.bincount(at[np.concatenate((good, good[start], good))], minlength=len(found)).astype(np.uint32)
-    before = np.empty(n, np.int32)
-    before[start] = at[n : n + int(start.sum())]
-    before[~start] = at[:n][np.flatnonzero(~start) - 1]
-    return found, at[:n], before, at[n + int(start.sum()) :], both, goods
+    prior = np.empty(n, np.int32)  # place of the word before; u stands for the start of a document
+    prior[1:] = at[:-1]
+    prior[start] = u
+    words = np.append(distinct, START)
+    pair = np.empty(n, np.uint64)
+    for a in range(0, n, SLICE):
+        x = slice(a, a + SLICE)
+        pair[x] = mix(words[prior[x]] * np.uint64(0x9E3779B97F4A7C15) + words[at[x]]) >> shift & ~np.uint64(1)
+    order = np.argsort(pair)
+    pair = pair[order]
+    new = np.concatenate(([True], pair[1:] != pair[:-1]))
+    pairs = pair[new]
+    both = np.empty(n, np.int32)
+    both[order] = np.cumsum(new, dtype=np.int32) - 1
+    del pair, order, new
+    found = np.concatenate((mix(words + np.uint64(1)) >> shift | np.uint64(1), pairs))
+    order = np.argsort(found)
+    place = np.empty(len(found), np.int32)
+    place[order] = np.arange(len(found), dtype=np.int32)
+    found = found[order]
+    counts = []
+    for some in () if target is None else (None, np.repeat(target, lens)):
+        heads = len(start) if some is None else int(np.count_nonzero(some[start]))
+        a, b = (at, both) if some is None else (at[some], both[some])
+        counts.append(np.concatenate((np.bincount(a, minlength=u), [heads], np.bincount(b, minlength=len(pairs)))).astype(np.uint32)[order])
+    return found, place[:u][at], place[prior], place[u + 1 :][both], *(counts or (None, None))
 
 
 ROW = "kind string, bucket int, chunk long, n long, m long, a binary, b binary, c binary, d binary"
@@ -118,14 +123,16 @@ def exchanged(df: DataFrame, buckets: int) -> DataFrame:
 
         def flush():
             words = np.concatenate(held)
+            held.clear()
             distinct, at, times = np.unique(words, return_inverse=True, return_counts=True)
+            del words
             # Frequent words first, in order of their hashes within a class: both arrays then pack well.
             order = np.lexsort((distinct, -np.frexp(times.astype(float))[1]))
-            place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))
+            place = np.empty(len(order), np.int32)
+            place[order] = np.arange(len(order), dtype=np.int32)
             distinct, at = distinct[order], place[at]
             size, good = np.array(lens, np.int64), np.array(target, bool)
-            found, _, _, _, both, goods = counted(words, size, good)
+            found, _, _, _, both, goods = counted(distinct, at, size, good)
             name = next(names)
             head = np.array([i if i is not None else 0 for i in ids], "<i8").tobytes() + np.array([i is None for i in ids], "u1").tobytes()
             yield row("chunk", int(mix(np.array([name], np.uint64))[0] % np.uint64(buckets)), name, n, int(size[good].sum()), zstandard.compress(head, 1), packed(size.astype("<u4")), packed(distinct), packed(at.astype("<u4")))
@@ -149,6 +156,7 @@ def exchanged(df: DataFrame, buckets: int) -> DataFrame:
                 if n > CHUNK:
                     yield from flush()
                     ids, lens, target, held, n = [], [], [], [], 0
+                    give_back()
         if n:
             yield from flush()
         elif ids:  # documents without words alone
@@ -165,16 +173,34 @@ def exchanged(df: DataFrame, buckets: int) -> DataFrame:
         for k in list(asked):
             asks = asked.pop(k)
             parts = [np.cumsum(unpacked(a, "<u8")) for _, a, _, _ in asks]
-            found, at = np.unique(np.concatenate(parts), return_inverse=True)
-            sums = [np.bincount(at, weights=np.concatenate([unpacked(x[i], "<u4") for x in asks]), minlength=len(found)).astype("<u8") for i in (2, 3)]
-            yield row("words", k, None, int((found & np.uint64(1)).sum()), None, None, None, None, None)
-            edge = 0
-            for (chunk, *_), p in zip(asks, parts):
-                mine = at[edge : edge + len(p)]
-                edge += len(p)
-                yield row("answer", k, chunk, None, None, packed(sums[0][mine]), packed(sums[1][mine]), None, None)
-
-    return written(df.mapInArrow(ask, ROW).repartition(buckets, "bucket").mapInArrow(answer, ROW), "grams")
+            counts = [[unpacked(x[i], "<u4") for x in asks] for i in (2, 3)]
+            names_ = [x[0] for x in asks]
+            del asks
+            # The bucket is answered stretch by stretch of hashes, each of about MET asked grams.
+            low, high = min(int(p[0]) for p in parts), max(int(p[-1]) for p in parts)
+            steps_ = sum(map(len, parts)) // MET + 1
+            edges = [low + (high - low) * j // steps_ for j in range(1, steps_)]
+            cuts = [np.concatenate(([0], np.searchsorted(p, np.array(edges, np.uint64)), [len(p)])) for p in parts]
+            told = [[np.empty(len(p), "<u4") for p in parts] for _ in (0, 1)]
+            different = 0
+            for j in range(steps_):
+                some = [slice(c[j], c[j + 1]) for c in cuts]
+                found, at = np.unique(np.concatenate([p[x] for p, x in zip(parts, some)]), return_inverse=True)
+                different += int((found & np.uint64(1)).sum())
+                ends = np.cumsum([x.stop - x.start for x in some])
+                for c, out in zip(counts, told):
+                    total = np.bincount(at, weights=np.concatenate([y[x] for y, x in zip(c, some)]), minlength=len(found))
+                    if len(total) and total.max() >= 1 << 32:
+                        out[:] = [o.astype("<u8") for o in out]
+                    total = total.astype("<u8")[at]
+                    for o, x, e in zip(out, some, ends):
+                        o[x] = total[e - (x.stop - x.start) : e]
+            yield row("words", k, None, different, None, None, None, None, None)
+            for chunk, both, good in zip(names_, *told):
+                yield row("answer", k, chunk, None, None, packed(both.astype("<u8")), packed(good.astype("<u8")), None, None)
+
+    with batches_of(df.sparkSession, ROWS):
+        return written(df.mapInArrow(light(ask), ROW).repartition(buckets, "bucket").mapInArrow(light(answer), ROW), "grams")
 
 
 def scored(rows: DataFrame, buckets: int) -> DataFrame:
@@ -198,17 +224,21 @@ def scored(rows: DataFrame, buckets: int) -> DataFrame:
         for name in list(chunks):
             x, got = chunks.pop(name), answers.pop(name)
             lens = unpacked(x["b"], "<u4").astype(np.int64)
-            words = unpacked(x["c"], "<u8")[unpacked(x["d"], "<u4")]
-            _, w, v, b, _, _ = counted(words, lens, None)
+            _, w, v, b, _, _ = counted(unpacked(x["c"], "<u8"), unpacked(x["d"], "<u4"), lens, None)
             losses = []
             for i, n in ((1, good), (0, size)):
                 c = np.concatenate([unpacked(got[k][i], "<u8") for k in sorted(got)]).astype(np.float64)
-                p = (c[w] + ALPHA) / (n + ALPHA * vocabulary)
-                p = (c[b] + BETA * p) / (c[v] + BETA)
-                ends = np.concatenate(([0.0], np.cumsum(-np.log(p))))
+                ends = np.zeros(len(w) + 1)
+                for s in range(0, len(w), SLICE):
+                    y = slice(s, s + SLICE)
+                    p = (c[w[y]] + ALPHA) / (n + ALPHA * vocabulary)
+                    ends[1:][y] = -np.log((c[b[y]] + BETA * p) / (c[v[y]] + BETA))
+                np.cumsum(ends, out=ends)
                 stop = np.cumsum(lens)
                 losses.append(ends[stop] - ends[stop - lens])
             yield table(np.frombuffer(zstandard.decompress(x["a"]), np.uint8), len(lens), lens, losses)
+            del w, v, b, c, ends, losses, got, x
+            give_back()
 
     def table(head, n, lens, losses):
         ids = pa.array(head[: 8 * n].view("<i8"), mask=head[8 * n :] > 0)
@@ -217,7 +247,7 @@ def scored(rows: DataFrame, buckets: int) -> DataFrame:
         diff = pa.array(np.zeros(n) if losses is None else (losses[0] - losses[1]) / np.maximum(lens, 1), mask=empty)
         return pa.RecordBatch.from_arrays([ids, pa.array(lens, pa.int64()), *mean, diff], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
-    return rows.where("kind <> 'words'").repartition(buckets, "chunk").mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    return rows.where("kind <> 'words'").repartition(buckets, "chunk").mapInArrow(light(run), "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
 
 
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -68,3 +68,13 @@ def test_equal_rows_in_chunks_apart(spark):
     check(docs.union(docs), labels)
     same = spark.createDataFrame(spark.sparkContext.parallelize([(None, "one two")] * 6 + [(1, "x")] * 3, 9), "doc_id long, text string")
     check(same, labels)
+
+
+def test_any_partitions_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(lm, "MET", 50)
+    monkeypatch.setattr(lm, "CHUNK", 40)
+    data = [(i % 7 if i % 5 else None, " ".join(f"w{i * j % 11}" for j in range(i % 9))) for i in range(60)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    for n in (1, 4, 7):
+        check(docs.repartition(n), labels)
