@@ -31,14 +31,16 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Regex, Tokenizer, pre_tokenizers
 
-from quire.llm.common import documents
+from quire.llm.common import documents, light
 
 WORD_BPE = "word_bpe_49k.json"
 #: Chunks that a worker keeps, and characters of text that it takes at once.
 KEPT = 500_000
 SLICE = 2_000_000
 #: The same of workers that keep ids as numbers, and bytes of text they take at once.
-CHUNKS_KEPT, BYTES = 1_000_000, 8_000_000
+CHUNKS_KEPT, BYTES = 400_000, 8_000_000
+#: Chunks that encode() keeps from one task to the next.
+BETWEEN = 100_000
 #: White space of the file's normaliser; str.split() also splits at the four separators, which it does not.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 WHITE = regex.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
@@ -239,38 +241,38 @@ class Vocabulary:
 
 
 class Encoder:
-    """A vocabulary with the chunks met so far: their ids as text and as tokens."""
+    """A vocabulary with the chunks met so far and their ids as text."""
 
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
         self.names = list(map(str, range(len(self.vocabulary.tokens))))
+        self.token = dict(zip(self.names, self.vocabulary.tokens))
         self.ids: dict[str, str] = {}
-        self.decoded: dict[str, str] = {}
 
     def learn(self, pieces: list[list[str]]) -> None:
         if len(self.ids) > KEPT:
-            self.ids, self.decoded = {}, {}
+            self.ids = {}
         new = list(set().union(*pieces).difference(self.ids))
         if not new:
             return
         flat, sizes = self.vocabulary.encode_flat(new)
-        flat = flat.tolist()
-        names = list(map(self.names.__getitem__, flat))
-        tokens = list(map(self.vocabulary.tokens.__getitem__, flat))
+        names = list(map(self.names.__getitem__, flat.tolist()))
         at = 0
         for chunk, n in zip(new, sizes.tolist()):
             self.ids[chunk] = " ".join(names[at : at + n])
-            self.decoded[chunk] = " ".join(tokens[at : at + n])
             at += n
 
+    def decode(self, ids: str) -> str:
+        """The decoded text of ids joined by blanks."""
+        return " ".join(map(self.token.__getitem__, ids.split()))
+
     def encode(self, texts: list[str | None]):
-        """For each text its ids and decoded text, each joined by blanks."""
+        """For each text its ids, joined by blanks."""
         for part in slices(texts):
             pieces = [self.vocabulary.pieces(t or "") for t in part]
             self.learn(pieces)
-            ids, decoded = self.ids.__getitem__, self.decoded.__getitem__
             for p in pieces:
-                yield " ".join(map(ids, p)), " ".join(map(decoded, p))
+                yield " ".join(map(self.ids.__getitem__, p))
 
 
 def slices(texts: list[str | None]):
@@ -394,8 +396,10 @@ def encode(docs: DataFrame, key: str = "doc_id", column: str = "text", path: str
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(gathered(flat, sizes, found), pa.int32()))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, take), ids], [key, "ids"])
                 at += take
+        if len(c.number) > BETWEEN:
+            c.clear()
 
-    return docs.select(docs[key], docs[column]).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, ids array<int>")
+    return docs.select(docs[key], docs[column]).mapInArrow(light(run), f"{key} {docs.schema[key].dataType.simpleString()}, ids array<int>")
 
 
 def decode(encoded: DataFrame, key: str = "doc_id", column: str = "ids", path: str | None = None) -> DataFrame:
@@ -408,7 +412,7 @@ def decode(encoded: DataFrame, key: str = "doc_id", column: str = "ids", path: s
             text = [None if i is None else v.decode(i) for i in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text, pa.string())], [key, "text"])
 
-    return encoded.select(encoded[key], encoded[column]).mapInArrow(run, f"{key} {encoded.schema[key].dataType.simpleString()}, text string")
+    return encoded.select(encoded[key], encoded[column]).mapInArrow(light(run), f"{key} {encoded.schema[key].dataType.simpleString()}, text string")
 
 
 def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -420,12 +424,12 @@ def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
         for b in batches:
             at = 0
             for part in slices(column_strings(b.column(1))):
-                rows = [(ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()) for ids, text in e.encode(part)]
+                rows = [(ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(e.decode(ids).encode()).hexdigest()) for ids in e.encode(part)]
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(part)).cast(pa.int64()), pa.array(cols[0], pa.int64()), pa.array(cols[1]), pa.array(cols[2])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
                 at += len(part)
 
-    return docs.select(docs["doc_id"], docs["text"]).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(docs["doc_id"], docs["text"]).mapInArrow(light(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
