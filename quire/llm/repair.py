@@ -3,8 +3,8 @@
 Documents are put in order of doc_id by range partitions; each task encodes its stretch and writes it
 as shards. In a shard frequent pairs of neighbouring ids are replaced by nonterminals, round after
 round: first within the distinct chunks of text, weighted by how often they occur, then along the
-documents. A round takes the most frequent pairs at once and replaces their occurrences from left to
-right. No nonterminal crosses the end of a document, so documents can be decoded by themselves.
+documents, until no pair is frequent or no symbol is left. A round takes the most frequent pairs at once
+and replaces their occurrences from left to right. No nonterminal crosses the end of a document, so documents can be decoded by themselves.
 
 A shard is a row of a Parquet table in the shared folder, its file format: ``docs`` and ``nulls``
 (ids), ``tokens`` and ``symbols`` (their numbers per document), ``rules`` (the two symbols of each
@@ -26,14 +26,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.bpe import BYTES, CHUNKS_KEPT, chunks_of, gathered, portions, vocabulary_path
-from quire.llm.common import documents, written
+from quire.llm.common import documents, light, written
 
 END = 2
 #: Symbols are two bytes: as many rules a shard as are left above the vocabulary.
 SYMBOLS = 1 << 16
-#: Ids a shard, about; rounds within chunks and along documents; new rules a round; least count of a pair.
+#: Ids a shard, about; new rules a round; least count of a pair.
 SHARD = 6_000_000
-CHUNK_ROUNDS, ROUNDS, RULES, LEAST = 3, 2, 4000, 8
+RULES, LEAST = 4000, 8
 
 
 def round_of(seq: np.ndarray, owner: np.ndarray, weight: np.ndarray | None, rules: list[np.ndarray], base: int, room: int):
@@ -90,15 +90,18 @@ def compress(flat: np.ndarray, sizes: np.ndarray, every: np.ndarray, lens: np.nd
     tokens = np.bincount(doc, weights=n[every], minlength=len(lens)).astype(np.int64) + 1
     rules: list[np.ndarray] = []
     owner = np.repeat(np.arange(len(used)), n)
-    made = 0
-    for _ in range(CHUNK_ROUNDS):
-        seq, owner = round_of(seq, owner, weight, rules, terminals + made, SYMBOLS - terminals - made)
-        made = sum(map(len, rules))
+    made, room = 0, SYMBOLS - terminals
+    # Rounds go on until no pair is frequent or no symbol is left; chunks leave about a quarter to the documents.
+    while 10 * made < 7 * room:
+        seq, owner = round_of(seq, owner, weight, rules, terminals + made, room - made)
+        if made == (made := sum(map(len, rules))):
+            break
     n = np.bincount(owner, minlength=len(used))
     seq, owner = gathered(seq, n, every), np.repeat(doc, n[every])
-    for _ in range(ROUNDS):
-        seq, owner = round_of(seq, owner, None, rules, terminals + made, SYMBOLS - terminals - made)
-        made = sum(map(len, rules))
+    while made < room:
+        seq, owner = round_of(seq, owner, None, rules, terminals + made, room - made)
+        if made == (made := sum(map(len, rules))):
+            break
     symbols = np.bincount(owner, minlength=len(lens)).astype(np.int64)
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint16)
     # The end id follows each document's symbols.
@@ -185,7 +188,7 @@ def shards(docs: DataFrame, path: str | None = None) -> DataFrame:
         if len(worker.number) > CHUNKS_KEPT:
             worker.clear()
 
-    return written(df.mapInArrow(run, SHARDS), "ids")
+    return written(df.mapInArrow(light(run), SHARDS), "ids")
 
 
 def shard_of(row: dict) -> dict:
@@ -213,7 +216,7 @@ def digest(table: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(ids[a:z]) for a, z in zip((ends - s["tokens"]).tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(s["docs"], mask=s["nulls"] > 0), pa.array(ends - s["tokens"] + row["start"]), pa.array(s["tokens"]), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return df.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return df.mapInArrow(light(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

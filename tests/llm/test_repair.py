@@ -54,3 +54,21 @@ def test_edges(spark):
     odd = [(90, "a<|endoftext|>b <|startoftext|> c\x1cd\x85e\u2003f \u6f22\u5b57<|endoftext|>x <|x|>"), (91, "<|endoftext|>")]
     check(edge_documents(spark).select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string")))
     assert repair.digest(repair.shards(edge_documents(spark).limit(0))).collect() == []
+
+
+def test_rounds_go_on_until_no_pair_is_frequent():
+    r = np.random.default_rng(4)
+    words = [r.integers(0, 30, n) for n in r.integers(1, 6, 40)]
+    sizes = np.array([len(w) for w in words])
+    every = r.integers(0, 40, 5000)
+    lens = np.full(100, 50)
+    out = repair.compress(np.concatenate(words).astype(np.int32), sizes, every, lens, 1000)
+    assert len(out["rules"]) < repair.SYMBOLS - 1000
+    ends = np.cumsum(out["symbols"])
+    seq = out["sequence"].astype(np.int64)
+    inside = np.ones(len(seq) - 1, bool)
+    inside[ends[:-1] - 1] = False
+    inside[ends - 2] = False  # the pair with the end id
+    _, count = np.unique(seq[:-1][inside] << 16 | seq[1:][inside], return_counts=True)
+    # Of a pair of equal symbols a run of three holds two, of which one can be taken.
+    assert count.max() < 2 * repair.LEAST
