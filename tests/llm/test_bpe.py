@@ -15,10 +15,11 @@ ENC = bpe.Encoder(bpe.vocabulary_path())
 
 def check(texts):
     got = list(ENC.encode(texts))
-    for t, (ids, decoded) in zip(texts, got):
+    assert len(got) == len(texts)
+    for t, ids in zip(texts, got):
         want = LIB.encode(t or "", add_special_tokens=False).ids
         assert ids == " ".join(map(str, want)), repr(t)
-        assert decoded == LIB.decode(want, skip_special_tokens=False), repr(t)
+        assert ENC.decode(ids) == LIB.decode(want, skip_special_tokens=False), repr(t)
 
 
 @pytest.mark.parametrize("text", [
