@@ -1,6 +1,6 @@
 """The queries of this subpackage over the whole tables, and their DuckDB SQL where SQL can express them."""
 
-from quire.llm import bpe, fim, links, lm, matroska, mixing, partenum, quality, quotes, repair, suffixes
+from quire.llm import audit, bpe, fim, links, lm, matroska, mixing, partenum, quality, quotes, repair, suffixes
 
 QUERIES = {
     "op1_matroska_media": matroska.op1,
@@ -13,11 +13,13 @@ QUERIES = {
     "op8_systematic_mix": mixing.op8,
     "op9_quality_rules": quality.op9,
     "op10_cross_entropy": lm.op10,
+    "op11_source_divergence": audit.op11,
     "op13_fill_in_middle": fim.op13,
 }
 
 ORACLE_SQL = {
     "op8_systematic_mix": mixing.SQL,
     "op9_quality_rules": quality.SQL,
+    "op11_source_divergence": audit.SQL,
     "op13_fill_in_middle": fim.SQL,
 }
