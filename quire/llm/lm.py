@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import batches_of, documents, give_back, light, sift, written
-from quire.llm.partenum import _WORDS, WORDS_KEPT, mix
+from quire.llm.sets import _WORDS, WORDS_KEPT, mix
 
 ALPHA, BETA = 0.1, 5.0
 CHUNK = 4_000_000

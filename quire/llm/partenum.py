@@ -33,7 +33,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -41,49 +40,20 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import documents, drop, light, sift, written
 from quire.llm.graph import components
+from quire.llm.sets import MULTIPLIERS, mix, set_key
+from quire.llm.sets import shingles as of_words
 
 SHINGLE = 5
 #: Similar: 100 * intersection >= SIMILAR * union.
 SIMILAR = 80
 FAMILIES = 6
-MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
-WORDS_KEPT = 300_000
 #: Members of a group that one task compares with each other, or with as many others.
 BLOCK = 1024
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads all bits."""
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x9FB21C651E98DF25)
-    return x ^ (x >> np.uint64(32))
-
-
-class Words(dict):
-    """Hashes of words met so far."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_WORDS = Words()
-
-
 def shingles(text: str | bytes | None) -> np.ndarray:
     """The sorted distinct hashes of the 5-word shingles of a text."""
-    raw = (text or b"") if not isinstance(text, str) else text.encode("utf-8", "surrogatepass")
-    found = raw.lower().split()
-    if len(_WORDS) > WORDS_KEPT:
-        _WORDS.clear()
-    h = np.fromiter(map(_WORDS.__getitem__, found), np.uint64, len(found))
-    if not len(h):
-        return h
-    n = min(len(h), SHINGLE)
-    acc = np.full(len(h) - n + 1, n, np.uint64)
-    for j in range(n):
-        acc += h[j : len(h) - n + 1 + j] * MULTIPLIERS[j]
-    return np.unique(mix(acc))
+    return of_words(text, SHINGLE)
 
 
 @lru_cache(None)
@@ -155,10 +125,6 @@ def sketch(s: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def set_key(s: np.ndarray) -> bytes:
-    return xxhash.xxh3_128_digest(s.tobytes())
-
-
 def shared(docs: DataFrame, buckets: int) -> DataFrame:
     """One pass over the texts of docs: rows (kind 'row': doc_id, t, size, key, ref, sketch) and groups (kind 'member': g, ref).
 

@@ -1,6 +1,6 @@
 """The queries of this subpackage over the whole tables, and their DuckDB SQL where SQL can express them."""
 
-from quire.llm import audit, bpe, fim, links, lm, matroska, mixing, partenum, quality, quotes, repair, suffixes
+from quire.llm import audit, bpe, fim, links, lm, matroska, minhash, mixing, partenum, quality, quotes, repair, suffixes
 
 QUERIES = {
     "op1_matroska_media": matroska.op1,
@@ -14,12 +14,15 @@ QUERIES = {
     "op9_quality_rules": quality.op9,
     "op10_cross_entropy": lm.op10,
     "op11_source_divergence": audit.op11,
+    "op12_minhash_near": minhash.op12,
     "op13_fill_in_middle": fim.op13,
 }
 
 ORACLE_SQL = {
+    "op5_partenum_join": minhash.jaccard_sql(partenum.SHINGLE, partenum.SIMILAR),
     "op8_systematic_mix": mixing.SQL,
     "op9_quality_rules": quality.SQL,
     "op11_source_divergence": audit.SQL,
+    "op12_minhash_near": minhash.SQL,
     "op13_fill_in_middle": fim.SQL,
 }

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import documents, light, sift, written
-from quire.llm.partenum import mix
+from quire.llm.sets import mix
 
 LONG = 400
 GRAM = 200
