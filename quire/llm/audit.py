@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.bpe import Numbers, portions
 from quire.llm.common import batches_of, documents, give_back, light, written
-from quire.llm.partenum import mix
+from quire.llm.sets import mix
 
 #: Documents of its language that must hold a term, and ranks of terms that are told.
 LEAST, TOP = 10, 10
@@ -40,6 +40,7 @@ LEAST, TOP = 10, 10
 WIDTH, DEPTH, SLICE = 1 << 22, 3, 1 << 16
 #: Terms that a task knows at once, sums that it holds apart, bytes of text at once, rows sent to it at once, and pairs at once.
 KNOWN, HELD, BYTES, ROWS, PAIRS = 600_000, 4_000_000, 8_000_000, 1024, 2_000_000
+MANY = (1 << 21) - 1
 #: Bytes of terms, A-Z in lower case; all others stand for a blank.
 TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -221,10 +222,10 @@ def together(cells: DataFrame) -> DataFrame:
 
     def run(batches):
         names, langs = Numbers(), Numbers()
-        total: dict[tuple[int, int, int], int] = {}
+        total: dict[int, int] = {}
 
         def add(t: pa.Table):
-            """Whole terms."""
+            """Whole terms. A lang and two sources of it are one number, of 21 bits each."""
             lang, term, source = (t.column(c).combine_chunks().dictionary_encode() for c in ("lang", "term", "source"))
             own = [np.array([to[x] for x in c.dictionary.to_pylist()], np.int64)[c.indices.to_numpy()] for c, to in ((lang, langs), (source, names))]
             lang, source, term = own[0], own[1], term.indices.to_numpy()
@@ -239,12 +240,15 @@ def together(cells: DataFrame) -> DataFrame:
                 b = a + 1 + i - (stop[a] - later[a])
                 value = f(p[a], p[b]) - f(p[a], base[b]) - f(base[a], p[b]) + f(base[a], base[b])
                 x, y = np.minimum(source[a], source[b]), np.maximum(source[a], source[b])
-                # Numbers of sources stand for a pair within a lang; wide enough for any that a task meets.
-                pair, at = np.unique(np.stack((lang[a], x, y), 1), axis=0, return_inverse=True)
-                order = np.argsort(at.ravel(), kind="stable")
-                first = np.flatnonzero(np.diff(at.ravel()[order], prepend=-1))
-                for key, v in zip(map(tuple, pair.tolist()), np.add.reduceat(value[order], first).tolist()):
-                    total[key] = total.get(key, 0) + v
+                key, value = summed(lang[a] << 42 | x << 21 | y, value)
+                for i, v in zip(key.tolist(), value.tolist()):
+                    total[i] = total.get(i, 0) + v
+
+        def told():
+            words, tongues = list(names), list(langs)
+            rows = [(tongues[k >> 42], *sorted((words[k >> 21 & MANY], words[k & MANY])), v) for k, v in total.items()]
+            for k in range(0, len(rows), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows[k : k + (1 << 16)])], ["lang", "a", "b", "value"])
 
         rest = None
         for b in batches:
@@ -256,14 +260,15 @@ def together(cells: DataFrame) -> DataFrame:
             while cut and (t.column("lang")[cut - 1].as_py(), t.column("term")[cut - 1].as_py()) == last:
                 cut -= 1
             if cut:
+                if max(len(names), len(langs)) + cut > MANY:  # numbers of sources would outgrow their bits
+                    yield from told()
+                    names, langs = Numbers(), Numbers()
+                    total.clear()
                 add(t.slice(0, cut))
             rest = t.slice(cut)
         if rest is not None:
             add(rest)
-        words, tongues = list(names), list(langs)
-        rows = [(tongues[g], *sorted((words[x], words[y])), v) for (g, x, y), v in total.items()]
-        for k in range(0, len(rows), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows[k : k + (1 << 16)])], ["lang", "a", "b", "value"])
+        yield from told()
 
     return cells.mapInArrow(run, "lang string, a string, b string, value long")
 
