@@ -1,13 +1,11 @@
 """Links between similar sets, found from groups of sets that may be similar.
 
-Rounds go from few tests to all that can still matter, so that a group of many similar sets costs few:
+1. Stars: each set is tested with one other, the least set of the groups it is in that it meets in most of them. That connects most of what belongs together.
+2. Cells: in groups that still hold several components, the sets outside the largest one meet the whole group, block by block. Sketches first tell
+which sets have any partner left; the shingles of these alone are brought to the cells, whose tasks test their pairs exactly and give only links.
 
-1. stars: each set is tested with one other, the least set of the groups it is in, that it meets in most of them;
-2. forest: within groups that still hold several components, as few pairs as connect them, by sketches;
-3. all other pairs of different components within groups that may be similar by their sketches.
-
-Tests are exact, on the shingles of whole texts. Pairs within a component are never formed: in a group, the sets outside its largest component
-meet the whole group, block by block, so a group of n sets of which m lie outside costs m * n comparisons of sketches, and about 2 * m * n / BLOCK rows.
+Pairs within a component are never formed, a pair is tested in one of its groups only, and no list of pairs leaves a task: a group of n sets of which m lie outside
+its largest component costs at most m * n comparisons of sketches in tasks, and about 2 * m * n / BLOCK rows.
 """
 
 from __future__ import annotations
@@ -24,10 +22,13 @@ from quire.llm.graph import components
 from quire.llm.sets import shingles
 
 #: Members of a group on either side of a cell, and pairs of one set that one task tests.
-BLOCK, TESTS = 1024, 256
+BLOCK, TESTS = 512, 256
+#: Bytes of sets that a task works on at once, where cells are small.
+BYTES = 32_000_000
 
-#: (sketches, sizes, a, b) as (differences d, whether the sets at places a and b may be similar).
-Near = Callable[[pa.Array, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+#: (sketches, sizes, masks, a, b) as (differences d, whether the sets at places a and b may be similar and are this group's to test).
+Near = Callable[[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+CELL = ["g", "i", "j", "node", "c", "other", "row", "col", "mask"]
 
 
 def texts_of(docs: DataFrame, held: DataFrame) -> DataFrame:
@@ -70,31 +71,36 @@ def stars(members: DataFrame) -> DataFrame:
 
 
 def cells(members: DataFrame, comp: DataFrame, held: DataFrame, buckets: int) -> DataFrame:
-    """Rows (g, i, j, node, c, other, row, col, size, sketch) of cells (g, i, j), whole and in order within tasks.
+    """Rows of CELL with size and sketch, cells (g, i, j) whole and in order within tasks.
 
     Groups of one component are left out. Of the others, each set outside the largest component (other) is in some row i of
     blocks, and every set in some column j; a cell holds the sets of its row and of its column.
     """
-    df = members.select("g", "node").join(comp, "node", "left").select("g", "node", F.coalesce("comp", "node").alias("c"))
+    df = members.select("g", "node", "mask").join(comp, "node", "left").select("g", "node", "mask", F.coalesce("comp", "node").alias("c"))
     sizes = df.groupBy("g", "c").agg(F.count("*").alias("n")).groupBy("g").agg(F.max(F.struct("n", "c")).alias("b"), F.sum("n").alias("n"), F.count("*").alias("k")).where("k > 1")
     sizes = sizes.selectExpr("g", "b.c as large", f"cast(ceil((n - b.n) / {BLOCK}) as int) as rows", f"cast(ceil(n / {BLOCK}) as int) as cols")
-    df = df.join(sizes, "g").selectExpr("g", "node", "c", "c <> large as other", "cast(pmod(xxhash64(node), rows) as int) as row", "cast(pmod(xxhash64(node), cols) as int) as col", "rows", "cols")
+    df = df.join(sizes, "g").selectExpr("g", "node", "mask", "c", "c <> large as other", "cast(pmod(xxhash64(node), rows) as int) as row", "cast(pmod(xxhash64(node), cols) as int) as col", "rows", "cols")
     df = df.join(held.select("node", "size", "sketch"), "node")
     at = "transform(sequence(0, rows - 1), i -> struct(i, col as j))"
     at = f"case when other then array_distinct(concat(transform(sequence(0, cols - 1), j -> struct(row as i, j)), {at})) else {at} end"
-    df = df.withColumn("at", F.explode(F.expr(at))).selectExpr("g", "at.i as i", "at.j as j", "node", "c", "other", "row", "col", "size", "sketch")
+    df = df.withColumn("at", F.explode(F.expr(at))).select("g", "at.i", "at.j", *CELL[3:], "size", "sketch")
+    return in_cells(df, buckets)
+
+
+def in_cells(df: DataFrame, buckets: int) -> DataFrame:
     return df.repartition(buckets, "g", "i", "j").sortWithinPartitions("g", "i", "j")
 
 
 def whole_cells(batches) -> Iterator[pa.Table]:
-    """Tables of whole cells of rows in order, of about BLOCK rows where cells are small."""
-    held, n = [], 0
+    """Tables of whole cells of rows in order, of about BLOCK rows, or BYTES, where cells are small."""
+    held, n, size = [], 0, 0
     for b in batches:
         if not b.num_rows:
             continue
         held.append(b)
         n += b.num_rows
-        if n >= BLOCK:
+        size += b.nbytes
+        if n >= BLOCK or size >= BYTES:
             t = pa.Table.from_batches(held).combine_chunks()
             g, i, j = (t.column(k).to_numpy() for k in range(3))
             new = np.flatnonzero((g[1:] != g[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
@@ -104,15 +110,19 @@ def whole_cells(batches) -> Iterator[pa.Table]:
                     yield t.slice(begin, cut - begin).combine_chunks()
                     begin = cut
             rest = t.slice(begin).combine_chunks()
-            held, n = rest.to_batches(), rest.num_rows
+            held, n, size = rest.to_batches(), rest.num_rows, rest.nbytes
     if n:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def one(c: pa.ChunkedArray) -> pa.Array:
+    return c.chunk(0) if c.num_chunks == 1 else c.combine_chunks()
+
+
 def pairs_of(t: pa.Table, near: Near) -> tuple[np.ndarray, ...]:
     """Places a, b of the pairs within cells that may be similar and are of different components, their differences d, and each row's cell."""
-    g, i, j, node, c, other, row, col, size = (t.column(k).to_numpy() for k in range(9))
-    sketch = t.column(9).combine_chunks() if t.column(9).num_chunks != 1 else t.column(9).chunk(0)
+    g, i, j, node, c, other, row, col, mask, size = (t.column(k).to_numpy() for k in range(10))
+    sketch = one(t.column(10))
     new = np.concatenate(([True], (g[1:] != g[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
     cell = np.cumsum(new) - 1
     end = np.append(np.flatnonzero(new)[1:], len(g))[cell]
@@ -128,7 +138,7 @@ def pairs_of(t: pa.Table, near: Near) -> tuple[np.ndarray, ...]:
         met = at_row[a] & at_col[b] & (~other[b] | (node[a] < node[b])) | at_row[b] & at_col[a] & (~other[a] | (node[b] < node[a]))
         fit = met & (c[a] != c[b])
         a, b = a[fit], b[fit]
-        d, may = near(sketch, size, a, b)
+        d, may = near(sketch, size, mask, a, b)
         out.append((a[may], b[may], d[may]))
     a, b, d = map(np.concatenate, zip(*out)) if out else [np.zeros(0, np.int64)] * 3
     return a, b, d, cell
@@ -160,38 +170,88 @@ def forest(a: np.ndarray, b: np.ndarray, d: np.ndarray, node: np.ndarray, label:
     return tuple(np.unique(np.concatenate(taken, axis=1), axis=1)) if taken else (np.zeros(0, np.int64),) * 2
 
 
-def candidates(rows: DataFrame, near: Near, every: bool) -> DataFrame:
-    """Pairs (u, v), u above v, within cells: as few as connect the components that pairs connect, or every one."""
+def marked(rows: DataFrame, near: Near) -> DataFrame:
+    """The rows of CELL of those sets that have some pair left in their cell."""
+    names = [*CELL, "size", "sketch"]
+
+    def run(batches):
+        for t in whole_cells(batches):
+            a, b, _, _ = pairs_of(t, near)
+            if len(a):
+                some = t.take(pa.array(np.union1d(a, b)))
+                yield from some.select(names).combine_chunks().to_batches()
+
+    return rows.select(*names).mapInArrow(light(run), rows.select(*names).schema)
+
+
+def sets_of(texts: DataFrame, n: int) -> DataFrame:
+    """node and the bytes of its set."""
+
+    def run(batches):
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(x.as_buffer().to_pybytes() if x.is_valid else None, n).tobytes() for x in part.column(1)], pa.binary())], ["node", "hashes"])
+
+    return texts.mapInArrow(light(run), "node long, hashes binary")
+
+
+def common(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets at places a and b."""
+    used = np.union1d(a, b)
+    lens = np.array([len(sets[k]) for k in used])
+    ids = np.unique(np.concatenate([sets[k] for k in used]), return_inverse=True)[1].ravel()
+    first = np.cumsum(lens) - lens
+    a, b = np.searchsorted(used, a), np.searchsorted(used, b)
+    out, held = np.empty(len(a), np.int64), np.zeros(int(ids.max()) + 1, np.int64)
+    order = np.argsort(a, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(a[order])) + 1):
+        own = ids[first[a[part[0]]] :][: lens[a[part[0]]]]
+        held[own] = 1
+        for k in range(0, len(part), 512):
+            some = part[k : k + 512]
+            size = lens[b[some]]
+            start = np.cumsum(size) - size
+            at = np.arange(int(size.sum())) - np.repeat(start, size) + np.repeat(first[b[some]], size)
+            out[some] = np.add.reduceat(held[ids[at]], start)
+        held[own] = 0
+    return out
+
+
+def links_within(rows: DataFrame, near: Near, similar: int) -> DataFrame:
+    """Links (u, v), u above v, within cells of rows of CELL with size, sketch and hashes: as few as connect the components that links connect."""
 
     def run(batches):
         for t in whole_cells(batches):
-            node, c = t.column(3).to_numpy(), t.column(4).to_numpy()
             a, b, d, cell = pairs_of(t, near)
-            if not every:
-                a, b = forest(a, b, d, node, np.unique(np.stack((cell, c), 1), axis=0, return_inverse=True)[1].ravel())
-            for k in range(0, len(a), 1 << 16):
-                s = slice(k, k + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(f(node[a[s]], node[b[s]])) for f in (np.maximum, np.minimum)], ["u", "v"])
+            if not len(a):
+                continue
+            node, c = t.column(3).to_numpy(), t.column(4).to_numpy()
+            sets = [np.frombuffer(x, np.uint64) for x in t.column(11).to_pylist()]
+            both, size = common(sets, a, b), t.column(9).to_numpy()
+            ok = 100 * both >= similar * (size[a] + size[b] - both)
+            a, b = forest(a[ok], b[ok], d[ok], node, np.unique(np.stack((cell, c), 1), axis=0, return_inverse=True)[1].ravel())
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(f(node[a], node[b])) for f in (np.maximum, np.minimum)], ["u", "v"])
 
-    return rows.mapInArrow(light(run), "u long, v long").distinct()
+    return rows.select(*CELL, "size", "sketch", "hashes").mapInArrow(light(run), "u long, v long")
 
 
 def linked(docs: DataFrame, members: DataFrame, held: DataFrame, near: Near, likely: Callable[[DataFrame], DataFrame], n: int, similar: int) -> DataFrame:
-    """(node, comp) of all nodes with links. members: (g, node, w) of the groups; held: (node, size, sketch, rt, rd); both are read several times, so
-    pass written tables. likely() sieves the first pairs (u, v) by sketches."""
+    """(node, comp) of all nodes with links. members: (g, node, w, mask) of the groups; held: (node, size, sketch, rt, rd); both are read several times, so
+    pass written tables. likely() sieves the first pairs (u, v) by sketches; mask goes to near()."""
     buckets = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    done = links = comp = None
-    pairs = likely(stars(members))
-    for last in (False, True, None):
-        pairs = written(pairs, "pairs")
-        named = held.drop("sketch").join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi")
-        texts = written(texts_of(docs, named), "texts")
-        new = written(tested(pairs, texts, n, similar), "tested")
-        drop(texts)
-        done = pairs if done is None else done.union(pairs)
-        links = new if links is None else links.union(new)
-        if comp is None or not new.isEmpty():
-            comp = components(links)
-        if last is not None:
-            pairs = candidates(cells(members, comp, held, buckets), near, last).join(done, ["u", "v"], "left_anti")
-    return comp
+    pairs = written(likely(stars(members)), "pairs")
+    wanted = lambda nodes: held.drop("sketch").join(nodes.distinct(), "node", "left_semi")
+    texts = written(texts_of(docs, wanted(pairs.selectExpr("u as node").union(pairs.selectExpr("v as node")))), "texts")
+    links = written(tested(pairs, texts, n, similar), "links")
+    drop(texts)
+    comp = components(links)
+    rows = written(marked(cells(members, comp, held, buckets), near), "cells")
+    if rows.isEmpty():
+        return comp
+    sets = written(sets_of(texts_of(docs, wanted(rows.select("node"))), n), "sets")
+    more = written(links_within(in_cells(rows.join(sets, "node"), buckets), near, similar), "links")
+    drop(sets)
+    drop(rows)
+    return comp if more.isEmpty() else components(links.union(more))

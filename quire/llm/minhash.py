@@ -5,8 +5,8 @@ agree on a minimum with a chance of their Jaccard similarity. A signature keeps
 that agree on all minima of a band are candidates. With 32 bands of 5 a pair of similarity 0.85 is no candidate with a chance of 7e-9.
 
 The candidates of a band may be many that aren't similar, or many that all are. Signatures sieve them: a pair goes on only if it agrees
-on so many minima as a link does but for a chance of 1e-9. What goes on is tested exactly, on all shingles of the whole texts, in the rounds
-of ``linking``, which test few pairs of sets that are connected anyway. Components are found by alternating large-star and small-star.
+on so many minima as a link does but for a chance of 1e-9. What goes on is tested exactly, on all shingles of the whole texts, as ``linking``
+tells, and in the first of the bands that a pair shares; pairs of sets that are connected anyway aren't tested. Components are found by alternating large-star and small-star.
 
 Equal sets are one node from the start, so any number of copies costs no pairs. Bands with equal members count as one. The least member of a band and its size are
 partial aggregates, and its members come back by a join that can be split, so a band that most sets share isn't gathered.
@@ -34,7 +34,7 @@ from quire.llm.sets import mix, set_key, shingles
 
 SHINGLE, SIMILAR = 3, 85
 BANDS, ROWS = 32, 5
-MINIMA = BANDS * ROWS
+MINIMA, EVERY = BANDS * ROWS, (1 << BANDS) - 1
 #: Chance that signatures sieve out a link.
 MISS = 1e-9
 #: Multipliers (odd) and addends of the hash functions, and shingles hashed at once.
@@ -77,14 +77,19 @@ def matrix(sigs: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(sigs.to_pylist()), np.uint16).reshape(-1, MINIMA)
 
 
-def near(sigs: pa.Array, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Minima on which the sets at places a and b differ, and whether sizes and signatures let them be similar."""
+def near(sigs: pa.Array, size: np.ndarray, mask: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Minima on which the sets at places a and b differ, and whether sizes and signatures let them be similar and the first band that they share is one of mask."""
     rows, d = matrix(sigs), np.full(len(a), MINIMA, np.int32)
+    may = np.zeros(len(a), bool)
     fit = np.flatnonzero(100 * np.minimum(size[a], size[b]) >= SIMILAR * np.maximum(size[a], size[b]))
     for k in range(0, len(fit), 1 << 14):
         some = fit[k : k + (1 << 14)]
-        d[some] = np.count_nonzero(rows[a[some]] != rows[b[some]], axis=1)
-    return d, d <= MINIMA - fewest()
+        same = rows[a[some]] == rows[b[some]]
+        d[some] = MINIMA - np.count_nonzero(same, axis=1)
+        close = d[some] <= MINIMA - fewest()
+        first = same[close].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
+        may[some[close]] = (mask[a[some[close]]] >> first) & 1 > 0
+    return d, may
 
 
 def scanned(docs: DataFrame) -> DataFrame:
@@ -112,23 +117,23 @@ def scanned(docs: DataFrame) -> DataFrame:
 
 
 def banded(held: DataFrame) -> DataFrame:
-    """Rows (band, node), a band by its hash."""
+    """Rows (band, k, node), a band by its hash and its number."""
 
     def run(batches):
         for b in batches:
             for k in range(0, b.num_rows, 2048):
                 part = b.slice(k, 2048)
                 h = band_hashes(matrix(part.column(1))).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), BANDS))], ["band", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.ravel()), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(h))), pa.array(np.repeat(part.column(0).to_numpy(), BANDS))], ["band", "k", "node"])
 
-    return held.select("node", "sketch").mapInArrow(light(run), "band long, node long")
+    return held.select("node", "sketch").mapInArrow(light(run), "band long, k int, node long")
 
 
 def members_of(bands: DataFrame) -> DataFrame:
-    """(g, node, w) of the groups of two nodes or more that share bands; groups with equal members are one, of weight w, the number of its bands."""
-    groups = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.bit_xor(F.xxhash64("node")).alias("x")).where("n > 1")
-    groups = groups.groupBy("n", "least", "x").agg(F.min("band").alias("g"), F.count("*").alias("w")).select("g", "w")
-    return bands.withColumnRenamed("band", "g").join(groups, "g").select("g", "node", "w")
+    """(g, node, w, mask) of the groups of two nodes or more that share bands; groups with equal members are one, of weight w, the number of its bands, whose numbers are the bits of mask."""
+    groups = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("k").alias("k")).where("n > 1")
+    groups = groups.groupBy("n", "least", "x").agg(F.min("band").alias("g"), F.count("*").alias("w"), F.expr("bit_or(shiftleft(1L, k))").alias("mask")).select("g", "w", "mask")
+    return bands.withColumnRenamed("band", "g").join(groups, "g").select("g", "node", "w", "mask")
 
 
 def likely(pairs: DataFrame, held: DataFrame) -> DataFrame:
@@ -138,7 +143,7 @@ def likely(pairs: DataFrame, held: DataFrame) -> DataFrame:
         for b in batches:
             u, v, *sizes = (b.column(k).to_numpy() for k in range(4))
             n = len(u)
-            _, may = near(pa.concat_arrays([b.column(4), b.column(5)]), np.concatenate(sizes), np.arange(n), np.arange(n) + n)
+            _, may = near(pa.concat_arrays([b.column(4), b.column(5)]), np.concatenate(sizes), np.full(2 * n, EVERY), np.arange(n), np.arange(n) + n)
             yield b.select([0, 1]).filter(pa.array(may))
 
     of = lambda x: held.selectExpr(f"node as {x}", f"size as size_{x}", f"sketch as sketch_{x}")
