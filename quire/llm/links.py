@@ -4,15 +4,15 @@ A rule is a host and the beginning of a path; it holds for the host and all its
 several that fit the longest wins. Pages without a rule are judged by their host. Hosts with pages that
 rules allow are trusted seeds, hosts with pages that rules block are blocked seeds. Trust follows links
 forward from the trusted seeds (personalised PageRank), distrust follows them backward from the blocked
-ones, since who links to bad hosts is suspect. Trust and distrust both are of BASE parts in all, so their
-sizes don't move with the numbers of seeds. A host is blocked when its distrust is above its trust.
+ones, since who links to bad hosts is suspect. A seed restarts with UNIT parts, times the part of its ruled pages that are allowed
+for trust, or blocked for distrust. Mass that reaches a host without links leaves, so each seed's share in each score is its own, and no verdict
+moves with seeds from which no links lead to its host. A host is blocked when its distrust is above its trust.
 
 Links are counted per pair of hosts before the shuffle, so a host with most of the pages is a few rows.
 In each round the scores are joined to the edges by host and a salt of the other end, as many salts as the
-host with most edges needs, so that its edges are spread; scores are written every few rounds. The query goes on until, from one written
+host with most edges needs, so that its edges are spread; pages meet the scores in a join whose hot hosts can be split. Scores are written every few rounds. The query goes on until, from one written
 table to the next, no host is new and no score changes by more than a part in SETTLED of itself or of a
-seed's share; one count a table reaches the driver. Callers may fix the number of rounds instead. Mass of hosts without links goes back to the
-seeds. Scores are integers, so every engine and every order of adding gives the same.
+seed's share; one count a table reaches the driver. Callers may fix the number of rounds instead. Scores are integers, so every engine and every order of adding gives the same.
 
 Defined cases: null urls, and urls without ``://``, have an empty host and path and no rule; an empty
 host has no links and is allowed; null html has no links; links without ``://`` stay on the page's
@@ -35,7 +35,8 @@ ROUNDS = 12
 SETTLED = 10**6
 #: Of 100 parts of a score, so many follow links; the rest goes back to the seeds.
 DAMPING = 85
-BASE = 10**18
+#: Parts of a seed: a host's score stays below 2**63 with 10**9 seeds.
+UNIT = 10**9
 #: Edges of a host that one task meets, about.
 SALTED = 100_000
 SALTS = 8
@@ -74,33 +75,25 @@ def settled(before: DataFrame, after: DataFrame, share: int) -> bool:
 
 
 def propagated(edges: DataFrame, seeds: DataFrame, rounds: int | None = ROUNDS) -> DataFrame:
-    """(host, score): PageRank over edges (src, dst, n) that restarts at the hosts of seeds (host); without rounds until it has settled."""
-    seeds = written(seeds.select("host").distinct(), "seeds")
-    count = seeds.count()
-    if not count:
-        return seeds.withColumn("score", F.lit(0).cast("long"))
-    share = BASE // count
-    scores = kept = seeds.withColumn("score", F.lit(share))
+    """(host, score): PageRank over edges (src, dst, n) that restarts at the hosts of seeds (host, score); without rounds until it has settled."""
+    seeds = written(seeds.select("host", "score"), "seeds")
+    back = scores = kept = seeds.select("host", F.expr(f"score * {100 - DAMPING} div 100").alias("score"))
     outs = written(edges.groupBy("src").agg(F.sum("n").alias("out"), F.count("*").alias("degree")), "outs")
     most = outs.agg(F.max("degree").alias("most")).first().most
-    if not most:  # nothing flows: what hosts without links hold is back at the seeds at once
+    if not most or seeds.isEmpty():  # nothing flows
         return scores
     salts = max(SALTS, -(-most // SALTED))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
     edges = edges.withColumn("salt", F.expr(f"pmod(xxhash64(dst), {salts}L)")).join(outs.select("src", "out", every.alias("salt")), ["src", "salt"])
     edges = written(edges, "edges")
-    sources = outs.select("src")
     for k in itertools.count() if rounds is None else range(rounds):
         salted = scores.withColumn("salt", every)
         flow = salted.join(edges, (salted["host"] == edges["src"]) & (salted["salt"] == edges["salt"]))
         flow = flow.select(F.col("dst").alias("host"), F.expr(f"cast(cast(score as decimal(20)) * {DAMPING} * n div (cast(100 as decimal(20)) * out) as bigint)").alias("score"))
-        # What hosts without links hold goes back to the seeds in equal parts, one number for all.
-        loose = scores.join(sources, scores["host"] == sources["src"], "left_anti").agg(F.coalesce(F.sum(F.col("score").cast("decimal(30)")), F.lit(0)).alias("loose"), F.lit(1).alias("one"))
-        back = seeds.withColumn("one", F.lit(1)).join(F.broadcast(loose), "one").select("host", F.expr(f"cast({share * (100 - DAMPING) // 100}L + loose * {DAMPING} div (100 * {count}L) as bigint)").alias("score"))
         scores = flow.union(back).groupBy("host").agg(F.sum("score").alias("score"))
         if k % 3 == 2 or rounds is not None and k == rounds - 1:
             scores = written(scores, "scores")
-            if rounds is None and settled(kept, scores, share):
+            if rounds is None and settled(kept, scores, UNIT):
                 break
             kept = scores
     return scores
@@ -111,14 +104,14 @@ def judged(pages: DataFrame, rules=RULES, rounds: int | None = ROUNDS) -> DataFr
     df = pages.select(pages["page_id"], host_of(pages["url"]).alias("host"), path_of(pages["url"]).alias("path"))
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
     df = df.withColumns({"rule": rule, "ruled": verdict})
-    seeds = written(df.where("ruled is not null and host <> ''").groupBy("host", "ruled").agg(F.count("*").alias("n")), "seeds")
+    seeds = df.where("ruled is not null and host <> ''").groupBy("host").agg(F.count_if(F.col("ruled") == "allow").alias("good"), F.count_if(F.col("ruled") == "block").alias("bad"))
+    seeds = written(seeds, "seeds")
+    part = lambda c: seeds.where(f"{c} > 0").select("host", F.expr(f"cast(cast({c} as decimal(20)) * {UNIT} div (good + bad) as bigint)").alias("score"))
     edges = written(page_links(pages), "links")
-    trust = propagated(edges, seeds.where("ruled = 'allow'"), rounds).withColumnRenamed("score", "trust")
-    distrust = propagated(edges.selectExpr("dst as src", "src as dst", "n"), seeds.where("ruled = 'block'"), rounds).withColumnRenamed("score", "distrust")
+    trust = propagated(edges, part("good"), rounds).withColumnRenamed("score", "trust")
+    distrust = propagated(edges.selectExpr("dst as src", "src as dst", "n"), part("bad"), rounds).withColumnRenamed("score", "distrust")
     hosts = trust.join(distrust, "host", "full").selectExpr("host", "coalesce(trust, 0) as trust", "coalesce(distrust, 0) as distrust")
-    # One row per host; pages meet it by host and a salt, so that the pages of a hot host are spread.
-    hosts = hosts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    out = df.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS))).join(hosts, ["host", "salt"], "left")
+    out = df.join(hosts, "host", "left")
     score = F.when(F.coalesce(F.col("distrust"), F.lit(0)) > F.coalesce(F.col("trust"), F.lit(0)), F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", score).alias("verdict"), F.coalesce("trust", F.lit(0).cast("long")).alias("trust"), F.coalesce("distrust", F.lit(0).cast("long")).alias("distrust"))
 

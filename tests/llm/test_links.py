@@ -18,14 +18,14 @@ def split(url):
 
 
 def brute(pages):
-    seeds, edges, rows = {"allow": set(), "block": set()}, Counter(), []
+    seeds, edges, rows = {"allow": Counter(), "block": Counter()}, Counter(), []
     for p, url, html in pages:
         host, path = split(url)
         fits = [(len(h + q), v == "block", h + q, v) for h, q, v in links.RULES if (host == h or host.endswith("." + h)) and path.startswith(q)]
         _, _, rule, verdict = max(fits, default=(0, 0, None, None))
         rows.append((p, host, path, rule, verdict))
         if verdict and host:
-            seeds[verdict].add(host)
+            seeds[verdict][host] += 1
         for to in set(re.findall(r"""(?i)<a\s[^>]*?href\s*=\s*["']?([^"'\s>]+)""", html or "")):
             dst = split("http:" + to if to.startswith("//") else to)[0]
             if host and dst and host != dst:
@@ -35,19 +35,18 @@ def brute(pages):
         out = defaultdict(int)
         for (a, _), n in edges.items():
             out[a] += n
-        share = links.BASE // max(1, len(seeds))
-        score = {h: share for h in seeds}
+        ruled = seeds_of["allow"] + seeds_of["block"]
+        back = {h: links.UNIT * n // ruled[h] * (100 - links.DAMPING) // 100 for h, n in seeds.items()}
+        score = dict(back)
         for _ in range(links.ROUNDS if seeds and edges else 0):
-            new = defaultdict(int)
+            new = defaultdict(int, back)
             for (a, b), n in edges.items():
                 if a in score:
                     new[b] += score[a] * links.DAMPING * n // (100 * out[a])
-            loose = sum(s for h, s in score.items() if h not in out)
-            for h in seeds:
-                new[h] += share * (100 - links.DAMPING) // 100 + loose * links.DAMPING // (100 * len(seeds))
             score = dict(new)
         return score
 
+    seeds_of = seeds
     trust, distrust = spread(edges, seeds["allow"]), spread(Counter({(b, a): n for (a, b), n in edges.items()}), seeds["block"])
     return sorted(((p, h, q, r, v or ("block" if distrust.get(h, 0) > trust.get(h, 0) else "allow"), trust.get(h, 0), distrust.get(h, 0)) for p, h, q, r, v in rows), key=repr)
 
@@ -97,7 +96,7 @@ def test_query_goes_on_until_scores_settle(spark, tmp_path, monkeypatch):
     assert {x.verdict for x in got.values()} == {"block"}
     monkeypatch.setattr(links, "ROUNDS", 300)
     for _, host, *_, distrust in brute(pages):
-        assert abs(got[host].distrust - distrust) <= 20 * links.BASE // links.SETTLED
+        assert abs(got[host].distrust - distrust) <= 20 * links.UNIT // links.SETTLED + 20
 
 
 def test_redirects_and_a_hot_host(spark, monkeypatch):
@@ -109,6 +108,20 @@ def test_redirects_and_a_hot_host(spark, monkeypatch):
 
 
 def test_verdict_does_not_depend_on_the_number_of_seeds(spark):
-    pages = [(i, f"http://t{i}.org/", "") for i in range(50)] + [(100, "http://bad.com/de/", ""), (101, "http://x.net/", "<a href='http://bad.com/'>"), (102, "http://t0.org/", "<a href='http://x.net/'>")]
+    pages = [(i, f"http://t{i}.org/", "") for i in range(50)] + [(100, "http://bad.com/de/", ""), (101, "http://x.net/", "<a href='http://bad.com/'>"), (102, "http://t0.org/", "<a href='http://x.net/'><a href='http://y.net/'>")]
     got = {r.page_id: r.verdict for r in links.judged(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert got[101] == "block" and got[102] == "allow"
+
+
+@pytest.mark.parametrize("more", [0, 60, 600])
+@pytest.mark.parametrize("kind", ["fr", "de"])
+def test_unrelated_seeds_move_no_verdict(spark, more, kind):
+    """Hosts of both kinds, by the balance of their own pages; others by what reaches them over links."""
+    pages = [(i, f"http://both{i}.com/{p}/", "") for i in range(6) for p in ["fr"] * (i % 3) + ["de"] * (2 - i % 3)] + [(100 + i, f"http://both{i}.com/x", "") for i in range(6)]
+    pages += [(200, "http://near.net/", "<a href='http://bad.com/'>"), (201, "http://bad.com/de/", ""), (202, "http://good.com/fr/", "<a href='http://far.net/'>"), (203, "http://far.net/", "")]
+    pages += [(1000 + i, f"http://other{i}.com/{kind}/", "<a href='http://lone.net/'>" if i % 2 else "") for i in range(more)]
+    got = {r.page_id: (r.verdict, r.trust, r.distrust) for r in links.judged(spark.createDataFrame(pages, "page_id long, url string, html string")).where("page_id between 100 and 203").collect()}
+    half = links.UNIT * 15 // 200
+    want = {0: ("block", 0, 2 * half), 1: ("allow", half, half), 2: ("allow", 2 * half, 0)}
+    assert all(got[100 + i] == want[i % 3] for i in range(6))
+    assert got[200][0] == "block" and got[203][0] == "allow" and got[203][1] > 0 and got[201][0] == "block"
