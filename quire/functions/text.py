@@ -149,8 +149,9 @@ def snippet(c: Column) -> Column:
 
 
 def first_stop(c: Column, selection: Column) -> Column:
-    """A snippet with a selection in the place of its first stop's text."""
-    return F.concat(F.regexp_extract(c, r"(?s)^(.*?)\$\{1:", 1), F.lit("${1:"), selection, F.regexp_extract(c, r"(?s)^.*?\$\{1:[^}]*(\}.*)$", 1))
+    """A snippet with a selection in the place of its first stop's text; a snippet without that stop stays as it is."""
+    filled = F.concat(F.regexp_extract(c, r"(?s)^(.*?)\$\{1:[^${}]*\}", 1), F.lit("${1:"), selection, F.regexp_extract(c, r"(?s)^.*?\$\{1:[^${}]*(\}.*)$", 1))
+    return F.when(c.rlike(r"\$\{1:[^${}]*\}"), filled).otherwise(c)
 
 
 def completion_start(line: Column, word: Column) -> Column:

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import bytes_text, fold, isbn_valid, option_label, tag_key, url_allowed, year_of
+from quire.operators.ranges import beside
 from quire.operators.search import matches, normalised
-from quire.sources.tables import nodes, table
+from quire.sources.tables import nodes, table, written
 
 NOTHING = "(vazio)"
 
@@ -18,7 +19,7 @@ def bank(s, d) -> DataFrame:
     Parts without a document have no node, and toxic documents are deleted nodes.
     """
     gone = table(s, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("p_partkey"), F.lit(True).alias("gone")).distinct()
-    node = table(s, d, "documents").select(F.col("doc_id").alias("p_partkey"), F.left("text", F.lit(40)).alias("node_title"), F.right("text", F.lit(60)).alias("statement"))
+    node = table(s, d, "documents").select(F.col("doc_id").alias("p_partkey"), F.left("text", F.lit(40)).alias("node_title"), F.col("text").alias("statement"))
     df = table(s, d, "part").join(node, "p_partkey", "left").join(gone, "p_partkey", "left")
     return df.select(
         F.col("p_partkey").alias("id"), F.col("p_name").alias("nickname"), "statement", F.col("p_brand").alias("board"), F.col("p_type").alias("type"), (F.col("p_size") + 1980).cast("int").alias("year"),
@@ -39,11 +40,14 @@ def filtered(df: DataFrame, query: dict) -> DataFrame:
 
 
 def paged(df: DataFrame, order: list[Column], limit: int, offset: int) -> DataFrame:
-    """A page with has_more, and total where the page is the last one; one row more than the page is read, none is counted."""
+    """A page with has_more, and total where no row follows it; one row more than the page is read, none is counted.
+
+    A page without rows is one row of nulls, with has_more and total.
+    """
     ahead = df.orderBy(*order).offset(offset).limit(limit + 1)
-    n = ahead.agg(F.count("*").alias("_n"))  # of so many rows at most
-    total = F.when((F.col("_n") <= limit) & ((F.col("_n") > 0) | F.lit(offset == 0)), F.col("_n") + offset)
-    return ahead.orderBy(*order).limit(limit).join(n, F.lit(True)).withColumns({"has_more": F.col("_n") > limit, "total": total}).drop("_n")
+    n = ahead.agg(F.count("*").alias("_n"))  # one row, of limit + 1 rows at most
+    rows = ahead.orderBy(*order).limit(limit)
+    return n.join(rows, F.lit(True), "left").withColumns({"has_more": F.col("_n") > limit, "total": F.when(F.col("_n") <= limit, F.col("_n") + offset)}).drop("_n")
 
 
 def _search(raw: dict):
@@ -142,24 +146,30 @@ def placed(tree: DataFrame, wanted: DataFrame) -> DataFrame:
     """Where nodes go: wanted (move, kind, target) with the new parent_id and the sort keys low and high on either side, null at an end.
 
     kind is firstChild or lastChild of the target, or before or after it. The node that moves doesn't count among its new siblings:
-    where it is the neighbour, the one beyond is. Only children of the parents concerned are looked at; each neighbour is a
-    minimum or maximum, formed before the shuffle, so a parent with most of the nodes is no single task.
+    where it is the neighbour, the one beyond is. Neighbours come from range partitions of (parent, key), and the ends of a parent are a
+    minimum and a maximum, formed before the shuffle: a move meets its target, itself and one row of its parent, however many siblings there are.
     """
-    t = tree.select(F.col("id").alias("target"), F.col("parent_id").alias("up"), F.col("sort_key").alias("key"))
-    df = wanted.join(t, "target").withColumn("child", F.col("kind").isin("firstChild", "lastChild"))
-    df = df.withColumn("parent_id", F.when(F.col("child"), F.col("target")).otherwise(F.col("up")))
-    sibling = tree.select(F.col("id").alias("sib"), F.coalesce("parent_id", F.lit("")).alias("_up"), F.col("sort_key").alias("sk"))
-    near = df.withColumn("_up", F.coalesce("parent_id", F.lit(""))).join(sibling, "_up").where("sib <> move")
-    # The anchor's own key, if it isn't the node that moves, is one bound; the other is its neighbour.
-    low = F.when(F.expr("kind = 'lastChild' or kind = 'before' and sk < key or kind = 'after' and sk <= key"), F.col("sk"))
-    high = F.when(F.expr("kind = 'firstChild' or kind = 'before' and sk >= key or kind = 'after' and sk > key"), F.col("sk"))
-    ends = near.groupBy("move", "kind", "target").agg(F.max(low).alias("low"), F.min(high).alias("high"))
-    return df.join(ends, ["move", "kind", "target"], "left").select("move", "kind", "target", "parent_id", "low", "high")
+    me = F.struct("id", "sort_key")
+    t = beside(tree.select("id", "parent_id", "sort_key").withColumn("_me", me), "parent_id", [F.col("sort_key"), F.col("id")], "_me", "_prev", "_next")
+    t = written(t.drop("_me"), "siblings")
+    df = wanted.join(t.select(F.col("id").alias("target"), F.col("parent_id").alias("up"), F.col("sort_key").alias("key"), F.col("_prev").alias("tp"), F.col("_next").alias("tn")), "target")
+    df = df.join(t.select(F.col("id").alias("move"), F.col("_prev").alias("mp"), F.col("_next").alias("mn")), "move", "left")
+    ends = t.groupBy(F.col("parent_id").alias("target")).agg(F.min(F.struct("sort_key", "id")).alias("first"), F.max(F.struct("sort_key", "id")).alias("last"))
+    df = df.join(ends, "target", "left")
+    beyond = lambda near, far: F.when(near["id"] == F.col("move"), far["sort_key"]).otherwise(near["sort_key"])
+    of = lambda k: F.col("kind") == k
+    own = F.col("target") == F.col("move")
+    key = F.when(~own, F.col("key"))
+    # Beside itself, both bounds are its own neighbours; else the target is one bound, and its neighbour the other.
+    low = F.when(of("lastChild"), beyond(F.col("last"), F.col("mp"))).when(of("before") | (of("after") & own), beyond(F.col("tp"), F.col("mp"))).when(of("after"), key)
+    high = F.when(of("firstChild"), beyond(F.col("first"), F.col("mn"))).when(of("after") | (of("before") & own), beyond(F.col("tn"), F.col("mn"))).when(of("before"), key)
+    parent = F.when(F.col("kind").isin("firstChild", "lastChild"), F.col("target")).otherwise(F.col("up"))
+    return df.select("move", "kind", "target", parent.alias("parent_id"), low.alias("low"), high.alias("high"))
 
 
 def _placements(s, d):
     """Every third customer moves in turn to the ends of a nation, before and after another customer, and beside itself."""
-    tree = nodes(s, d).where("kind <> 'QUESTION'")
+    tree = nodes(s, d)
     c = tree.where("kind = 'SECTION'").select("id", F.expr("cast(substring(id, 2) as bigint)").alias("k")).where("k % 3 = 0")
     kind = F.element_at(F.array(*map(F.lit, ("firstChild", "lastChild", "before", "after", "after"))), (F.col("k") % 5 + 1).cast("int"))
     target = F.expr("case k % 5 when 0 then concat('n', k % 25) when 1 then concat('n', k % 25) when 4 then concat('c', k) else concat('c', k - 2) end")
@@ -270,6 +280,8 @@ QUERIES = {
     "search_full": _search({"text": "  RE", "tags": ["Réd"], "years": [1985, "1990", 1991, 1995, 2000, 2005, 2010, 2015, 2020, 2025, "x"], "types": [], "limit": "5", "offset": 2}),
     "search_full_last": _search({"text": "ring", "boards": ["Brand#2", "Brand#3", " "], "difficulties": list(range(8)), "limit": 200}),
     "search_full_empty": _search({"text": "", "offset": 3, "limit": 0}),
+    "search_full_beyond": _search({"text": "the", "offset": 90_000}),
+    "search_full_text": _search({"text": "the ", "limit": 200}),
     "revision_changes": _revisions,
     "patch_changes": _patches,
     "placements": _placements,
@@ -281,7 +293,7 @@ QUERIES = {
     "tree_filter_full": _two_filters,
 }
 
-_BANK = """bank as (select p_partkey as id, p_name as nickname, right(d.text, 60) as statement, p_brand as board, p_type as type, cast(p_size + 1980 as int) as year, p_size % 11 as difficulty, string_split(p_name, ' ') as tags, left(d.text, 40) as node_title
+_BANK = """bank as (select p_partkey as id, p_name as nickname, d.text as statement, p_brand as board, p_type as type, cast(p_size + 1980 as int) as year, p_size % 11 as difficulty, string_split(p_name, ' ') as tags, left(d.text, 40) as node_title
   from part join documents d on d.doc_id = p_partkey where p_partkey not in (select doc_id from labels where toxic = 1 and doc_id is not null))"""
 _ASCII = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -291,7 +303,7 @@ def _has(text: str) -> str:
 
 
 def _page_sql(where: str, limit: int, offset: int) -> str:
-    return f"with {_BANK}, c as (select *, row_number() over (order by year, id) as n from bank where {where}), t as (select count(*) as n from c) select id, nickname, year, t.n > {limit + offset} as has_more, case when t.n <= {limit + offset} then t.n end as total from c, t where c.n > {offset} and c.n <= {limit + offset}"
+    return f"with {_BANK}, c as (select *, row_number() over (order by year, id) as n from bank where {where}), t as (select count(*) as n from c) select id, nickname, year, t.n > {limit + offset} as has_more, case when t.n <= {limit + offset} then greatest(t.n, {offset}) end as total from t left join c on c.n > {offset} and c.n <= {limit + offset}"
 
 
 _LINES = "lines as (select l_orderkey as entity, l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || cast(l_extendedprice as decimal(20, 2)) as id, cast(cast(l_quantity as int) as varchar) as text, l_returnflag = 'R' as correct, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 as pos from lineitem)"
@@ -305,6 +317,8 @@ ORACLE_SQL = {
     "search_full": _page_sql(f"{_has('re')} and list_contains(tags, 'red') and year in (1985, 1990, 1991, 1995, 2000, 2005, 2010, 2015, 2020, 2025)", 5, 2),
     "search_full_last": _page_sql(f"{_has('ring')} and board in ('Brand#2', 'Brand#3') and difficulty in (0, 1, 2, 3, 4, 5, 6, 7)", 200, 0),
     "search_full_empty": _page_sql("true", 1, 3),
+    "search_full_beyond": _page_sql(_has("the"), 50, 90_000),
+    "search_full_text": _page_sql(_has("the"), 200, 0),
     "revision_changes": f"with {_SNAPS} select entity, 0 as rank, 'field:statement' as id, sa as before, sb as after from pair where sa <> sb union all select entity, 0, 'field:nickname', an, bn from pair where an <> bn union all select entity, 2, 'metadata:board', ab, bb from pair where ab <> bb union all select entity, 2, 'metadata:year', coalesce(ay, '{_V}'), coalesce(byr, '{_V}') from pair where ay is distinct from byr union all select entity, 3, 'tags', ag, bg from pair where ag <> bg union all select entity, 1, 'option:' || option || ':added', '(não existia)', qt from m where not p and q and entity in (select entity from pair) union all select entity, 1, 'option:' || option || ':removed', pt, '(removida)' from m where p and not q and entity in (select entity from pair) union all select entity, 1, 'option:' || option || ':text', pt, qt from m where p and q and pt <> qt and entity in (select entity from pair) union all select entity, 1, 'option:' || option || ':correct', case when pc then 'correta' else 'incorreta' end, case when qc then 'correta' else 'incorreta' end from m where p and q and pc <> qc and entity in (select entity from pair)",
     "patch_changes": f"with {_LINES} select entity, 'option:' || id || ':text' as id, 'Alternativa ' || {_LETTER.format('pos')} || ')' as label, text as before, '7' as after from lines where pos % 2 = 0 and text <> '7' union all select entity, 'option:' || id || ':correct', 'Alternativa ' || {_LETTER.format('pos')} || ')', 'incorreta', 'correta' from lines where pos % 3 = 0 and not correct union all select entity, 'reorder', 'Ordem das alternativas', string_agg(text, ' · ' order by pos), string_agg(text, ' · ' order by pos desc) from lines where entity % 4 = 0 group by entity having count(*) > 1",
     "placements": "with c as (select c_custkey as k, 'n' || c_nationkey as up, lpad(cast(c_custkey as varchar), 9, '0') as sk from customer), w as (select k, case k % 5 when 0 then 'firstChild' when 1 then 'lastChild' when 2 then 'before' else 'after' end as kind, case when k % 5 < 2 then 'n' || (k % 25) when k % 5 = 4 then 'c' || k else 'c' || (k - 2) end as target, case when k % 5 < 2 then 'n' || (k % 25) else (select up from c t where t.k = case when w0.k % 5 = 4 then w0.k else w0.k - 2 end) end as parent_id, case when k % 5 = 4 then k else k - 2 end as a from c w0 where k % 3 = 0) select 'c' || k as move, kind, target, parent_id, case kind when 'lastChild' then (select max(sk) from c where up = parent_id and c.k <> w.k) when 'before' then (select max(sk) from c where up = parent_id and c.k <> w.k and c.k < w.a) when 'after' then (select max(sk) from c where up = parent_id and c.k <> w.k and c.k <= w.a) end as low, case kind when 'firstChild' then (select min(sk) from c where up = parent_id and c.k <> w.k) when 'before' then (select min(sk) from c where up = parent_id and c.k <> w.k and c.k >= w.a) when 'after' then (select min(sk) from c where up = parent_id and c.k <> w.k and c.k > w.a) end as high from w where parent_id is not null",

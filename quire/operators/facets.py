@@ -11,17 +11,22 @@ from quire.sources.tables import QUESTIONS_SQL, options, questions, table
 
 
 def tag_facets(df: DataFrame, key: str, tags: Column) -> DataFrame:
-    """Each tag key once per row, with its first spelling; the most frequent first."""
+    """Each tag key once per row, with its first spelling; the most frequent first, then by label as Portuguese sorts it."""
     each = df.select(key, F.posexplode(tags).alias("pos", "name")).withColumn("key", tag_key(F.col("name"))).where("key <> ''")
     one = each.groupBy(key, "key").agg(F.min_by("name", "pos").alias("name"))
-    return one.groupBy("key").agg(F.count("*").alias("n"), F.min_by("name", key).alias("label"))
+    return one.groupBy("key").agg(F.count("*").alias("n"), F.min_by("name", key).alias("label")).orderBy(F.desc("n"), *portuguese(F.col("label")))
+
+
+def portuguese(text: Column) -> list[Column]:
+    """Order of texts in Portuguese: by letters, then accents, then case, then bytes."""
+    return [F.collate(text, "pt"), text]
 
 
 def best_per_key(df: DataFrame, key: list[str], richness: Column, position: str) -> DataFrame:
     """The richest row of each key, first among equals, at the place of the key's first row."""
-    w = Window.partitionBy(*key)
-    df = df.withColumn("place", F.min(position).over(w))
-    return df.withColumn("_n", F.row_number().over(w.orderBy(richness.desc(), position))).where("_n = 1").drop("_n")
+    rest = [c for c in df.columns if c not in key]
+    best = df.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(richness, -F.col(position))).alias("_best"), F.min(position).alias("place"))
+    return best.select(*key, "_best.*", "place")
 
 
 def latest(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:

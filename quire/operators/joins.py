@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quire.functions.text import fold, option_label
 from quire.sources.tables import QUESTIONS_SQL, nodes, options, questions, table
 
 
+#: Characters by which a short item is looked up, and characters of all items up to which one automaton holds them.
+GRAM, MOST = 4, 8_000_000
+
+
 def unused(df: DataFrame, key: str, used: DataFrame, other: str) -> DataFrame:
     """Rows whose key is in no row of used."""
     return df.join(used.select(F.col(other).alias(key)).distinct(), key, "left_anti")
@@ -35,11 +42,45 @@ def _links(s, d):
 
 
 def contained(texts: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item: str) -> DataFrame:
-    """Which items stand in a text, wherever they begin and end in a word.
+    """(key, item_key): which items stand in a text, wherever they begin and end in a word. Null and empty items stand in nothing.
+
+    While all items together have MOST characters at most, as one sum tells, they are one automaton that every task runs over its texts; nothing is joined. Beyond
+    that they are looked up by an index.
+    """
+    some = items.where(F.length(item) > 0).select(F.col(item_key).alias("item"), F.col(item).alias("text"))
+    size = some.agg(F.sum(F.length("text") + 16)).first()[0] or 0
+    if size > MOST:
+        return looked_up(texts, key, text, items.where(F.length(item) > 0), item_key, item)
+    rows = [(r.item, r.text) for r in some.collect()]  # of MOST characters at most
+    patterns = texts.sparkSession.sparkContext.broadcast(rows)
+
+    def scan(batches):
+        by: dict[str, list[int]] = {}
+        for i, (_, t) in enumerate(patterns.value):
+            by.setdefault(t, []).append(i)
+        found = ahocorasick.Automaton()
+        for t, own in by.items():
+            found.add_word(t, own)
+        found.make_automaton()
+        for b in batches:
+            at, which = [], []
+            for k, t in enumerate(b.column(1).to_pylist()):
+                hits = {i for _, own in found.iter(t) for i in own} if t and by else ()
+                at += [k] * len(hits)
+                which += [patterns.value[i][0] for i in sorted(hits)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(which, kind)], [key, item_key])
+
+    kind = to_arrow_type(items.schema[item_key].dataType)
+    name = lambda df, c: f"{c} {df.schema[c].dataType.simpleString()}"
+    return texts.select(key, text).mapInArrow(scan, f"{name(texts, key)}, {name(items, item_key)}").distinct()
+
+
+def looked_up(texts: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item: str) -> DataFrame:
+    """contained() by an index of what items share with texts, however many items there are.
 
     An item of three words or more is looked up by the words between its first and its last, which stand whole in any text that
-    holds it: runs of so many words, of all lengths that items have, up to five. Only keys and hashes of runs are joined; texts are
-    fetched for what they find.
+    holds it: runs of so many words, of all lengths that items have, up to five; shorter ones by their first characters. Only keys and hashes
+    of runs, or characters, are joined; texts are fetched for what they find.
     """
     words = lambda c: F.filter(F.split(c, r"\s+"), lambda x: x != "")
     it = items.select(F.col(item_key).alias("_item"), F.col(item).alias("_text"), words(F.col(item)).alias("_w")).where("_text <> ''")
@@ -54,12 +95,15 @@ def contained(texts: DataFrame, key: str, text: str, items: DataFrame, item_key:
     hits = docs.select("_key", F.explode(F.array_distinct(F.concat(*runs) if runs else F.array().cast("array<bigint>"))).alias("_h"))
     hits = hits.join(long, "_h").select("_key", "_item", "_text")
     found = hits.join(texts.select(F.col(key).alias("_key"), F.col(text).alias("_whole")), "_key").where(F.col("_whole").contains(F.col("_text"))).select("_key", "_item")
-    # Items of one or two words may begin and end anywhere: each text is searched for them, in blocks of about a thousand.
-    short = it.where("size(_inner) = 0").select("_item", "_text")
-    blocks = max(1, short.count() // 1000)
-    block = short.groupBy(F.expr(f"pmod(xxhash64(_item), {blocks})")).agg(F.collect_list(F.struct("_item", "_text")).alias("_block")).select("_block")
-    one = texts.select(F.col(key).alias("_key"), F.col(text).alias("_whole")).join(block, F.lit(True))
-    one = one.select("_key", F.explode(F.filter("_block", lambda x: F.col("_whole").contains(x["_text"]))).alias("x")).select("_key", F.col("x._item").alias("_item"))
+    # Items of one or two words may begin and end anywhere: they are looked up by their first characters, GRAM at most, among those of all places of a text.
+    short = it.where("size(_inner) = 0").selectExpr("_item", "_text", f"left(_text, {GRAM}) as _g")
+    sizes = sorted(r._n for r in short.select(F.length("_g").alias("_n")).distinct().collect())  # GRAM numbers at most
+    grams = [F.expr(f"if(length(_whole) >= {n}, transform(sequence(1, length(_whole) - {n - 1}), i -> substring(_whole, i, {n})), cast(array() as array<string>))") for n in sizes]
+    whole = texts.select(F.col(key).alias("_key"), F.col(text).alias("_whole"))
+    starts_ = whole.select("_key", F.explode(F.array_distinct(F.concat(*grams) if grams else F.array().cast("array<string>"))).alias("_g"))
+    # Grams of no item go before anything is shuffled where the items' grams are few, and texts are fetched for the rest alone.
+    near = starts_.join(short.select("_g").distinct(), "_g", "left_semi").join(short, "_g").select("_key", "_item", "_text")
+    one = near.join(whole, "_key").where(F.col("_whole").contains(F.col("_text"))).select("_key", "_item")
     return found.union(one).distinct().select(F.col("_key").alias(key), F.col("_item").alias(item_key))
 
 

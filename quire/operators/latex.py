@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import clean_latex, collapse, completion_start, first_stop, header_text, label_text, slug, snippet, strip_comments, tex_escape, width_fraction
-from quire.sources.tables import table
+from quire.operators.ranges import beside, ranked, running, within
+from quire.sources.tables import table, written
 
 #: What a preview shows as one piece: display and inline maths, breaks, commands with an argument, text.
 PIECES = r"(\$\$[\s\S]*?\$\$|\\\[[\s\S]*?\\\]|\$[^$]*\$|\\\\|\\[a-zA-Z]+(?:\[[^\]]*\])?(?:\{[^{}]*\})?|\\[^a-zA-Z]|[^\\$]+|\$)"
@@ -72,9 +73,8 @@ def _logs(s, d):
 
 def _spans(s, d):
     """First and last line of each document in its source's documents laid end to end, by running sums."""
-    w = Window.partitionBy("source").orderBy("doc_id")
     df = table(s, d, "documents").select("source", "doc_id", F.size(F.split("text", "\n")).cast("long").alias("lines"))
-    df = df.withColumn("first", F.sum("lines").over(w) - F.col("lines") + 1).withColumn("last", F.col("first") + F.col("lines") - 1)
+    df = running(df, "source", [F.col("doc_id")], "lines").withColumn("first", F.col("before") + 1).withColumn("last", F.col("before") + F.col("lines"))
     return df.select("source", "doc_id", "first", "last")
 
 
@@ -102,16 +102,48 @@ def _typed():
     return F.element_at(F.array(F.concat("p_name", F.lit(" \\al")), F.concat("p_name", F.lit(" \\al ")), F.concat("p_name", F.lit("\\")), F.concat("p_name", F.lit("\\x2\\@m"))), (F.col("p_partkey") % 4 + 1).cast("int"))
 
 
+def unique_slugs(df: DataFrame, key: str, name: str, taken: DataFrame, most: int = 60) -> DataFrame:
+    """key and slug of each row, all different, and different from the slugs of taken (slug).
+
+    A name's slug is cut at 60 characters. The first row of each, by key, keeps it where it isn't taken; the others get -2, -3 and so on, in order, but for numbers that
+    a name or a taken slug already ends in: so "a", "a" and "a 2" become a, a-3 and a-2. The k-th free number follows from the gaps between those used, which rows meet by interval, so
+    a name that most rows share is numbered by all tasks.
+    """
+    base = F.regexp_replace(F.left(slug(F.col(name)), F.lit(most)), "-+$", "")
+    rows = ranked(df.select(F.col(key).alias("_key"), base.alias("base")), "base", [F.col("_key")])
+    held = taken.select(F.col("slug").alias("base")).distinct()
+    rows = rows.join(held.withColumn("_held", F.lit(1)), "base", "left")
+    # k: from 1, which of the free numbers a row gets; 0 keeps the base.
+    rows = written(rows.select("_key", "base", (F.col("place") + F.coalesce("_held", F.lit(0))).cast("long").alias("k")), "slugs")
+    ends = rows.select("base").union(held).distinct().select(F.regexp_extract("base", r"^(.+)-([1-9][0-9]{0,17})$", 1).alias("b"), F.regexp_extract("base", r"^(.+)-([1-9][0-9]{0,17})$", 2).try_cast("long").alias("n")).where("b <> '' and n >= 2")
+    ends = ranked(ends, "b", [F.col("n")], "j")
+    # Before the used number n there are n - 2 - j free ones; from the next on, one more number is skipped.
+    ends = ends.select("b", (F.col("n") - F.col("j") - 1).alias("first"), (F.col("j") + 1).alias("skip")).groupBy("b", "first").agg(F.max("skip").alias("skip"))
+    ends = beside(ends, "b", [F.col("first")], "first", None, "next")
+    most_ = rows.groupBy(F.col("base").alias("b")).agg(F.max("k").alias("most"))
+    spans = ends.join(most_, "b").select(F.col("b").alias("base"), "first", F.least(F.coalesce(F.col("next") - 1, F.col("most")), F.col("most")).alias("last"), "skip")
+    found = within(rows.where("k > 0"), spans, "base", "k", "first", "last", how="left")
+    numbered = found.select(F.col("_key"), F.concat("base", F.lit("-"), (F.col("k") + 1 + F.coalesce("skip", F.lit(0))).cast("string")).alias("slug"))
+    return rows.where("k = 0").select("_key", F.col("base").alias("slug")).union(numbered).withColumnRenamed("_key", key)
+
+
+def _slugs(s, d):
+    """Parts named so that most names repeat and some end in the numbers that others would get; nations took some slugs before."""
+    names = table(s, d, "part").selectExpr("p_partkey", "case p_partkey % 3 when 0 then concat('Ítem  ', p_partkey % 5) when 1 then concat('item ', p_partkey % 5, ' ', p_partkey % 11) else concat(repeat('longo ', 10), p_name) end as name")
+    taken = table(s, d, "nation").selectExpr("case when n_nationkey < 3 then concat('item-', n_nationkey) else concat('item-', n_nationkey % 5, '-', n_nationkey) end as slug")
+    return unique_slugs(names, "p_partkey", "name", taken)
+
+
 QUERIES = {
     "latex_preview": lambda s, d: preview(table(s, d, "documents"), "doc_id", "text").groupBy("doc_id", "kind").agg(F.count("*").alias("n")),
     "tex_log": lambda s, d: in_body(diagnostics(_logs(s, d), "doc_id", "log"), 10).select("doc_id", "severity", "message", "line", "file"),
     "tex_escape": lambda s, d: table(s, d, "documents").select("doc_id", F.md5(tex_escape(F.col("text"))).alias("md5")),
     "comments_stripped": lambda s, d: table(s, d, "documents").select("doc_id", F.length(strip_comments(F.col("text"))).cast("long").alias("n")),
-    "clean_output": lambda s, d: table(s, d, "documents").select("doc_id", F.md5(clean_latex(_wrapped(F.left("text", F.lit(60))))).alias("md5")),
+    "clean_output": lambda s, d: table(s, d, "documents").select("doc_id", F.md5(clean_latex(_wrapped(F.col("text")))).alias("md5")),
     "label_normalise": lambda s, d: table(s, d, "part").select("p_partkey", label_text(_labels()).alias("label")),
     "width_fraction": lambda s, d: table(s, d, "part").select("p_partkey", width_fraction(_graphics()).alias("width")),
     "snippet_convert": lambda s, d: table(s, d, "part").select("p_partkey", snippet(_templates()).alias("snippet")),
-    "snippet_selection": lambda s, d: table(s, d, "part").where("p_partkey % 4 = 1").select("p_partkey", first_stop(snippet(_templates()), F.col("p_brand")).alias("snippet")),
+    "snippet_selection": lambda s, d: table(s, d, "part").select("p_partkey", first_stop(snippet(_templates()), F.col("p_brand")).alias("snippet")),
     "header_text": lambda s, d: table(s, d, "documents").select("doc_id", F.md5(header_text(F.concat(F.col("text"), F.lit(" 5% ~x^2 a_b"), "lang"))).alias("md5")),
     "completion_column": lambda s, d: table(s, d, "part").select("p_partkey", completion_start(_typed(), F.lit(7)).cast("long").alias("col")),
     "asset_name": lambda s, d: table(s, d, "pages").select("page_id", F.concat(slug(F.regexp_extract("url", "://([^/]*)", 1)), F.lit("-"), F.left(F.sha2("html", 256), F.lit(8)), F.lit(".html")).alias("name")),
@@ -119,7 +151,7 @@ QUERIES = {
     "log_truncate": lambda s, d: table(s, d, "documents").select("doc_id", truncated(F.col("text"), 500).alias("log")),
     "line_spans": _spans,
     "canonical_hash": lambda s, d: table(s, d, "documents").select("doc_id", F.sha2(F.concat_ws("\n", "source", "lang", collapse(F.col("text"))), 256).alias("sha256")),
-    "slug_unique": lambda s, d: table(s, d, "part").select("p_partkey", slug(F.col("p_name")).alias("slug")).withColumn("n", F.row_number().over(Window.partitionBy("slug").orderBy("p_partkey"))).select("p_partkey", F.when(F.col("n") > 1, F.concat("slug", F.lit("-"), F.col("n").cast("string"))).otherwise(F.col("slug")).alias("slug")),
+    "slug_unique": _slugs,
 }
 
 _FLAT = "trim(regexp_replace(text, '[\\s\\x{00a0}]+', ' ', 'g'))"
@@ -132,11 +164,11 @@ ORACLE_SQL = {
     "tex_log": _LOGX,
     "tex_escape": r"select doc_id, md5(replace(replace(replace(regexp_replace(replace(replace(text, '\', chr(1)), '^', chr(2)), '([&%$#_{}])', '\\\1', 'g'), '~', '\textasciitilde{}'), chr(1), '\textbackslash{}'), chr(2), '\textasciicircum{}')) as md5 from documents",
     "comments_stripped": r"select doc_id, length(regexp_replace(text, '(\\[\s\S])|%[^\n]*', '\1', 'g')) as n from documents",
-    "clean_output": r"with t as (select doc_id, regexp_replace(left(text, 60), '^\s+|\s+$', '', 'g') as t from documents), w as (select doc_id, t, case doc_id % 6 when 0 then '$' || t || '$' when 5 then '$a$ e $b$' else t end as x from t) select doc_id, md5(case when starts_with(x, '$') and ends_with(x, '$') and length(x) >= 2 and not contains(substr(x, 2, length(x) - 2), '$') then regexp_replace(substr(x, 2, length(x) - 2), '^\s+|\s+$', '', 'g') else x end) as md5 from w",
+    "clean_output": r"with t as (select doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') as t from documents), w as (select doc_id, t, case doc_id % 6 when 0 then '$' || t || '$' when 5 then '$a$ e $b$' else t end as x from t) select doc_id, md5(case when starts_with(x, '$') and ends_with(x, '$') and length(x) >= 2 and not contains(substr(x, 2, length(x) - 2), '$') then regexp_replace(substr(x, 2, length(x) - 2), '^\s+|\s+$', '', 'g') else x end) as md5 from w",
     "label_normalise": "select p_partkey, case p_partkey % 5 when 1 then null when 2 then left(p_name || p_name || p_name, 40) when 3 then p_brand || ').' else p_brand end as label from part",
     "width_fraction": "select p_partkey, case p_partkey % 4 when 0 then cast('0.' || p_size as double) when 1 then cast('.' || p_size as double) end as width from part",
     "snippet_convert": r"select p_partkey, case p_partkey % 4 when 1 then '\\frac{${1:' || p_name || '}\}{${2:n}\}$0' when 2 then '\\frac{§' || p_name || '\}' when 3 then p_name || '\$' else '${1:' || p_name || '}' || chr(10) || '$0' end as snippet from part",
-    "snippet_selection": r"select p_partkey, '\\frac{${1:' || p_brand || '}\}{${2:n}\}$0' as snippet from part where p_partkey % 4 = 1",
+    "snippet_selection": r"select p_partkey, case p_partkey % 4 when 1 then '\\frac{${1:' || p_brand || '}\}{${2:n}\}$0' when 2 then '\\frac{§' || p_name || '\}' when 3 then p_name || '\$' else '${1:' || p_brand || '}' || chr(10) || '$0' end as snippet from part",
     "header_text": r"select doc_id, md5(regexp_replace(regexp_replace(text || ' 5% ~x^2 a_b' || lang, '([&%$#_{}])', '\\\1', 'g'), '([~^])', '\\\1{}', 'g')) as md5 from documents",
     "completion_column": "select p_partkey, case p_partkey % 4 when 0 then length(p_name) + 2 when 1 then 7 when 2 then length(p_name) + 1 else length(p_name) + 4 end as col from part",
     "asset_name": "select page_id, trim(regexp_replace(strip_accents(lower(regexp_extract(url, '://([^/]*)', 1))), '[^a-z0-9]+', '-', 'g'), '-') || '-' || left(sha256(html), 8) || '.html' as name from pages",
@@ -144,5 +176,10 @@ ORACLE_SQL = {
     "log_truncate": "select doc_id, case when length(text) > 500 then left(text, 250) || chr(10) || '[... ' || (length(text) - 500) || ' ...]' || chr(10) || right(text, 250) else text end as log from documents",
     "line_spans": "with l as (select source, doc_id, len(string_split(text, chr(10))) as lines from documents), r as (select *, cast(sum(lines) over (partition by source order by doc_id) as bigint) as last from l) select source, doc_id, last - lines + 1 as first, last from r",
     "canonical_hash": f"select doc_id, sha256(source || chr(10) || lang || chr(10) || {_FLAT}) as sha256 from documents",
-    "slug_unique": "with s as (select p_partkey, replace(p_name, ' ', '-') as slug, row_number() over (partition by p_name order by p_partkey) as n from part) select p_partkey, case when n > 1 then slug || '-' || n else slug end as slug from s",
+    "slug_unique": r"""with n as (select p_partkey, case p_partkey % 3 when 0 then 'item-' || p_partkey % 5 when 1 then 'item-' || p_partkey % 5 || '-' || p_partkey % 11 else rtrim(left(repeat('longo-', 10) || replace(p_name, ' ', '-'), 60), '-') end as base from part),
+held as (select distinct case when n_nationkey < 3 then 'item-' || n_nationkey else 'item-' || n_nationkey % 5 || '-' || n_nationkey end as base from nation),
+r as (select *, row_number() over (partition by base order by p_partkey) - 1 + (base in (select base from held))::int as k from n),
+used as (select regexp_extract(base, '^(.+)-([1-9][0-9]*)$', 1) as b, try_cast(regexp_extract(base, '^(.+)-([1-9][0-9]*)$', 2) as bigint) as n from (select base from n union select base from held)),
+free as (select base, i, row_number() over (partition by base order by i) as k from (select base, max(k) as most from r group by base), range(2, 100000) x(i) where i <= most + 200 and not exists (select 1 from used where b = base and n = i))
+select p_partkey, case when r.k = 0 then r.base else r.base || '-' || i end as slug from r left join free f on f.base = r.base and f.k = r.k""",
 }

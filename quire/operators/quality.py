@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import brace_balance, dollars, isbn_valid
+from quire.operators.composed import trimmed
 from quire.operators.tree import _INJECTED_SQL, _injected, cycles, orphans
 from quire.sources.tables import NODES_SQL, QUESTIONS_SQL, options, questions, table
 
@@ -27,13 +28,19 @@ def violations(parts: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [df.select(F.lit(rule).alias("rule"), F.col(df.columns[0]).cast("string").alias("id")) for rule, df in parts.items()])
 
 
-def common_rules(df: DataFrame, key: str, text: str) -> DataFrame:
+def common_checks(text: Column, solution: Column) -> list[Column]:
+    """struct<rule, severity> of each rule that holds for every type, null where it is kept; null texts are empty."""
+    blank = lambda c: trimmed(F.coalesce(c, F.lit(""))) == ""
+    told = lambda rule, severity: F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"))
+    return [
+        F.when(blank(text), told("statement_empty", "error")), F.when(blank(solution), told("solution_empty", "warning")),
+        F.when(brace_balance(text) != 0, told("unbalanced_braces", "error")), F.when(dollars(text) % 2 == 1, told("unbalanced_math", "error")),
+    ]
+
+
+def common_rules(df: DataFrame, key: str, text: str, solution: str) -> DataFrame:
     """(key, rule, severity) of the rules that hold for every type."""
-    checks = F.array(
-        F.when(F.trim(text) == "", F.struct(F.lit("empty").alias("rule"), F.lit("error").alias("severity"))),
-        F.when(brace_balance(F.col(text)) != 0, F.struct(F.lit("braces").alias("rule"), F.lit("error").alias("severity"))),
-        F.when(dollars(F.col(text)) % 2 == 1, F.struct(F.lit("dollars").alias("rule"), F.lit("warning").alias("severity"))),
-    )
+    checks = F.array(*common_checks(F.col(text), F.col(solution)))
     return df.select(key, F.explode(F.filter(checks, lambda x: x.isNotNull())).alias("x")).select(key, "x.rule", "x.severity")
 
 
@@ -128,7 +135,7 @@ QUERIES = {
     "import_invariants": lambda s, d: violations({"one_correct": correct_counts(table(s, d, "orders"), "o_orderkey", options(s, d)), "orphan": orphans(_injected(s, d)), "cycle": cycles(_injected(s, d))}).groupBy("rule").agg(F.count("*").alias("n"), F.min(F.when(F.col("rule") == "orphan", "n999").otherwise(F.col("id"))).alias("first")),
     "import_balance": _balance,
     "brace_dollar_balance": _braces,
-    "common_rules": lambda s, d: common_rules(table(s, d, "documents"), "doc_id", "text"),
+    "common_rules": lambda s, d: common_rules(table(s, d, "documents").withColumn("solution", F.expr("case when doc_id % 5 = 0 then '  ' when doc_id % 7 > 0 then lang end")), "doc_id", "text", "solution"),
     "checklist": _checklist,
     "question_rules": _question_rules,
     "metadata_rules": _metadata,
@@ -146,7 +153,7 @@ ORACLE_SQL = {
     "import_invariants": f"with recursive {NODES_SQL}, {_INJECTED_SQL}, t as (select id from small s where not exists (select 1 from small p where p.id = s.parent_id) union all select n.id from t join small n on n.parent_id = t.id), v as (select 'one_correct' as rule, cast(o_orderkey as varchar) as id from orders left join lineitem on l_orderkey = o_orderkey group by o_orderkey having count(*) filter (l_returnflag = 'R') <> 1 union all select 'orphan', id from small s where parent_id is not null and not exists (select 1 from small p where p.id = s.parent_id) union all select 'cycle', id from small where id not in (select id from t)) select rule, count(*) as n, min(case when rule = 'orphan' then 'n999' else id end) as first from v group by rule",
     "import_balance": "with d as (select text, len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')) < 5 as short from documents) select count(*) as source, count(distinct text) filter (not short) as written, count(*) filter (not short) - count(distinct text) filter (not short) as duplicates, count(*) filter (short) as skipped, true as balanced from d",
     "brace_dollar_balance": r"with t as (select doc_id, regexp_replace(text, '\\[\s\S]', '', 'g') as x from documents) select doc_id, length(x) - length(replace(x, '{', '')) - (length(x) - length(replace(x, '}', ''))) as unbalanced, length(x) - length(replace(x, '$', '')) as dollars from t",
-    "common_rules": r"with t as (select doc_id, text, regexp_replace(text, '\\[\s\S]', '', 'g') as x from documents) select doc_id, 'empty' as rule, 'error' as severity from t where trim(text) = '' union all select doc_id, 'braces', 'error' from t where length(replace(x, '{', '')) <> length(replace(x, '}', '')) union all select doc_id, 'dollars', 'warning' from t where (length(x) - length(replace(x, '$', ''))) % 2 = 1",
+    "common_rules": r"with t as (select doc_id, text, regexp_replace(text, '\\[\s\S]', '', 'g') as x from documents) select doc_id, 'statement_empty' as rule, 'error' as severity from t where trim(text) = '' union all select doc_id, 'solution_empty', 'warning' from documents where doc_id % 5 = 0 or doc_id % 7 = 0 or lang is null union all select doc_id, 'unbalanced_braces', 'error' from t where length(replace(x, '{', '')) <> length(replace(x, '}', '')) union all select doc_id, 'unbalanced_math', 'error' from t where (length(x) - length(replace(x, '$', ''))) % 2 = 1",
     "checklist": f"with {QUESTIONS_SQL}, o as (select l_orderkey, count(*) as n, count(*) filter (l_returnflag = 'R') as c from lineitem group by l_orderkey) select doc_id, concat_ws(',', case when length(trim(text)) > 0 then 'ok' else 'todo' end, case when n >= 2 then 'ok' else 'todo' end, case when c = 1 then 'ok' else 'todo' end, case when validation_status = 'VALID' then 'ok' else 'todo' end) as states from questions left join o on l_orderkey = doc_id",
     "question_rules": "with o as (select o_orderkey, ['MULTIPLE_CHOICE', 'MULTIPLE_CORRECT', 'DISCURSIVE'][o_orderkey % 3 + 1] as type, count(l_orderkey) as n, count(*) filter (l_returnflag = 'R') as c from orders left join lineitem on l_orderkey = o_orderkey group by o_orderkey), w as (select type, case when type = 'DISCURSIVE' then case when n > 0 then 'warning' else 'none' end when n < 2 or c = 0 then 'error' when type = 'MULTIPLE_CHOICE' and c > 1 then 'error' else 'none' end as worst from o) select type, worst, count(*) as n from w group by all",
     "metadata_rules": "select p_partkey, concat_ws(',', case when p_size + 1980 < 1990 or p_size + 1980 > 2025 then 'year' end, case when p_size % 5 not in (0, 2) then 'difficulty' end, case when p_brand = 'Brand#1' and p_size + 1980 > 2000 then 'year_without_board' end) as problems from part",

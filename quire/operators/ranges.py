@@ -64,7 +64,7 @@ def within(points: DataFrame, spans: DataFrame, key: str, at: str, first: str, l
     over as many tasks as it has bins. A span gives as many rows as it has bins. Clashing columns other than the key are told apart by the caller; how: inner or left.
     """
     pieces = spans.where(F.col(first) <= F.col(last)).withColumn("_bin", F.explode(F.sequence(F.floor(F.col(first) / width), F.floor(F.col(last) / width))))
-    pieces = pieces.withColumnRenamed(key, "_key")
+    pieces = pieces.withColumnRenamed(key, "_spankey")
     some = points.withColumn("_pbin", F.floor(F.col(at) / width))
-    on = (some[key] == pieces["_key"]) & (some["_pbin"] == pieces["_bin"]) & (pieces[first] <= some[at]) & (some[at] <= pieces[last])
-    return some.join(pieces, on, how).drop("_bin", "_pbin", "_key")
+    on = (some[key] == pieces["_spankey"]) & (some["_pbin"] == pieces["_bin"]) & (pieces[first] <= some[at]) & (some[at] <= pieces[last])
+    return some.join(pieces, on, how).drop("_bin", "_pbin", "_spankey")

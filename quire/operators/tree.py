@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import excerpt, fold
+from quire.operators.ranges import ranked
 from quire.sources.tables import NODES_SQL, QUESTIONS_SQL, nodes, questions, table, written
 
 CONTAINERS = ("CHAPTER", "SECTION")
@@ -26,7 +27,7 @@ def climbed(rows: DataFrame) -> DataFrame:
     while (n := at.where("not done").count()) not in (0, left):
         left = n
         above = at.selectExpr("id as top", "top as _top", "depth as _depth", "path as _path", "done as _done")
-        more = at.where("not done").join(above, "top").selectExpr("id", "_top as top", "depth + _depth as depth", "concat(_path, '/', path) as path", "_done as done")
+        more = at.where("not done").join(above, "top").selectExpr("id", "_top as top", "depth + _depth as depth", "concat(_path, path) as path", "_done as done")
         at = written(at.where("done").unionByName(more), "climbed")
     return at.where("done").selectExpr("id", "top as root", "depth", "path")
 
@@ -45,13 +46,15 @@ def cycle_starts(rows: DataFrame) -> DataFrame:
 
 
 def forest(df: DataFrame, promote: bool = False) -> DataFrame:
-    """id, root, depth and path (sort keys from the root) of each row; rows whose parent is missing are roots.
+    """id, root, depth and path of each row; rows whose parent is missing are roots.
+
+    path is an array of (sort key, id) from the root down; such arrays sort as the rows do in pre-order, whatever characters keys and ids have.
 
     Rows in or below a cycle are reached from no root. With promote the least id of each cycle is made a root, so that every row is
     kept once; else they are left out here and found by cycles().
     """
     ids = df.select(F.col("id").alias("up"))
-    rows = written(df.join(ids, df["parent_id"] == ids["up"], "left").selectExpr("id", "up", "concat(sort_key, ':', id) as path"), "nodes")
+    rows = written(df.join(ids, df["parent_id"] == ids["up"], "left").selectExpr("id", "up", "array(struct(sort_key, id)) as path"), "nodes")
     found = climbed(rows)
     if not promote:
         return found
@@ -64,7 +67,7 @@ def forest(df: DataFrame, promote: bool = False) -> DataFrame:
 
 def subtree(df: DataFrame, root: str) -> DataFrame:
     """id and depth of root and all below it; root's own parent doesn't count, so cycles end."""
-    rows = df.select("id", F.when(F.col("id") != root, F.col("parent_id")).alias("up"), F.lit(None).cast("string").alias("path"))
+    rows = df.select("id", F.when(F.col("id") != root, F.col("parent_id")).alias("up"), F.array().cast("array<string>").alias("path"))
     return climbed(rows).where(F.col("root") == root).select("id", "depth")
 
 
@@ -99,13 +102,13 @@ def node_status(latest: str, validation: str):
 
 def _injected(s, d):
     """The tree with every 50th customer's nation missing, and orders in cycles of three."""
-    df = nodes(s, d).where("kind <> 'QUESTION'").withColumn("parent_id", F.expr("case when kind = 'SECTION' and cast(substring(id, 2) as bigint) % 50 = 0 then 'n999' else parent_id end"))
+    df = nodes(s, d).withColumn("parent_id", F.expr("case when kind = 'SECTION' and cast(substring(id, 2) as bigint) % 50 = 0 then 'n999' else parent_id end"))
     loops = s.range(30).selectExpr("concat('x', id) as id", "concat('x', id div 3 * 3 + (id + 1) % 3) as parent_id", "lpad(id, 9, '0') as sort_key", "'loop' as title", "'SECTION' as kind")
     tail = s.range(5).selectExpr("concat('y', id) as id", "concat('x', id) as parent_id", "lpad(id, 9, '0') as sort_key", "'tail' as title", "'SECTION' as kind")
     return df.unionByName(loops).unionByName(tail)
 
 
-_INJECTED_SQL = """small as (select id, case when kind = 'SECTION' and cast(substr(id, 2) as bigint) % 50 = 0 then 'n999' else parent_id end as parent_id from nodes where kind <> 'QUESTION'
+_INJECTED_SQL = """small as (select id, case when kind = 'SECTION' and cast(substr(id, 2) as bigint) % 50 = 0 then 'n999' else parent_id end as parent_id from nodes
   union all select 'x' || i, 'x' || (i // 3 * 3 + (i + 1) % 3) from range(30) r(i) union all select 'y' || i, 'x' || i from range(5) r(i))"""
 
 
@@ -130,11 +133,32 @@ def _status(s, d):
     return questions(s, d).join(last, "doc_id", "left").select("doc_id", node_status("latest", "validation_status").alias("status"), F.expr("coalesce(latest = 'error', false) or validation_status = 'INVALID'").alias("has_problem"))
 
 
+def copy_plan(tree: DataFrame, root: str, children: dict[str, DataFrame]) -> DataFrame:
+    """What a copy of a subtree writes, in this order: (kind, id, new_id, new_parent, sort_key, place, status, render).
+
+    Nodes come in pre-order, then the rows of children (name -> id, parent, sort_key), each kind in the order of its node and its keys. Keys are kept; the top keeps its
+    parent; nodes become drafts that were never rendered.
+    """
+    rows = written(tree.join(subtree(tree, root).select("id"), "id", "left_semi"), "subtree")
+    order = preorder(rows.withColumn("parent_id", F.when(F.col("id") != root, F.col("parent_id"))))
+    new = lambda c: F.concat(F.lit("copy-"), c)
+    top = F.when(F.col("id") == root, F.col("parent_id")).otherwise(new(F.col("parent_id")))
+    nodes_ = rows.join(order.select("id", "place"), "id").select(F.lit("node").alias("kind"), "id", new(F.col("id")).alias("new_id"), top.alias("new_parent"), "sort_key", "place", F.lit("DRAFT").alias("status"), F.lit(None).cast("string").alias("render"))
+    out = nodes_
+    for name, df in children.items():
+        own = df.join(order.select(F.col("id").alias("parent"), F.col("place").alias("_node")), "parent")
+        own = ranked(own.withColumn("_all", F.lit(1)), "_all", [F.col("_node"), F.col("sort_key"), F.col("id")])
+        none = F.lit(None).cast("string")
+        out = out.union(own.select(F.lit(name), "id", new(F.col("id")), new(F.col("parent")), "sort_key", "place", none, none))
+    return out
+
+
 def _copy_plan(s, d):
-    """A customer's subtree in pre-order with new ids; keys of children are kept."""
-    tree = nodes(s, d)
-    df = subtree(tree, "c7").join(tree, "id")
-    return df.select("id", F.concat(F.lit("copy-"), "id").alias("new_id"), F.when(F.col("depth") == 0, F.col("parent_id")).otherwise(F.concat(F.lit("copy-"), "parent_id")).alias("new_parent"), "sort_key", F.lit("DRAFT").alias("status"))
+    """A customer's subtree with the lines of its orders as options and their flags as tags."""
+    tree = nodes(s, d).withColumn("sort_key", F.concat(F.lit("a"), F.reverse(F.expr("substring(id, 2)"))))
+    line = table(s, d, "lineitem").select(F.concat(F.lit("o"), "l_orderkey").alias("parent"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_extendedprice").cast("decimal(20,2)")).alias("id"), F.lpad("l_linenumber", 3, "0").alias("sort_key"), "l_returnflag")
+    tags = line.select("parent", F.concat_ws("-", "parent", "l_returnflag").alias("id"), F.col("l_returnflag").alias("sort_key")).distinct()
+    return copy_plan(tree, "c7", {"option": line.select("parent", "id", "sort_key"), "tag": tags})
 
 
 def _title(s, d):
@@ -153,8 +177,18 @@ def _restore(s, d):
     return restorable(nodes(s, d).withColumn("deleted", F.expr("cast(substring(id, 2) as bigint) % 3 = 0")))
 
 
+def preorder(df: DataFrame) -> DataFrame:
+    """id, root, depth and place: where each row comes among those of its root when the tree is read from the top, from 0."""
+    return ranked(forest(df, promote=True), "root", [F.col("path")]).select("id", "root", "depth", "place")
+
+
+def _preorder(s, d):
+    """The tree with keys of many lengths, of which some begin others: numbers backwards."""
+    return preorder(nodes(s, d).withColumn("sort_key", F.concat(F.lit("a"), F.reverse(F.expr("substring(id, 2)")))))
+
+
 QUERIES = {
-    "tree_preorder": lambda s, d: forest(nodes(s, d), promote=True).select("id", "root", "depth", "path"),
+    "tree_preorder": _preorder,
     "subtree": lambda s, d: subtree(nodes(s, d), "n3"),
     "soft_delete_subtree": lambda s, d: nodes(s, d).join(subtree(nodes(s, d), "n5").select("id", F.lit(True).alias("x")), "id", "left").groupBy("kind", F.coalesce("x", F.lit(False)).alias("deleted")).agg(F.count("*").alias("n")),
     "tree_filter_ancestors": _filter,
@@ -162,7 +196,7 @@ QUERIES = {
     "orphans": lambda s, d: orphans(_injected(s, d)),
     "cycles": lambda s, d: cycles(_injected(s, d)),
     "node_status": _status,
-    "move_guard": lambda s, d: nodes(s, d).where("kind <> 'QUESTION'").select(F.col("id").alias("target")).join(subtree(nodes(s, d), "n4").select(F.col("id").alias("target"), F.lit(True).alias("inside")), "target", "left").select("target", F.col("inside").isNull().alias("allowed")),
+    "move_guard": lambda s, d: nodes(s, d).select(F.col("id").alias("target")).join(subtree(nodes(s, d), "n4").select(F.col("id").alias("target"), F.lit(True).alias("inside")), "target", "left").select("target", F.col("inside").isNull().alias("allowed")),
     "restore_guard": _restore,
     "container_rule": lambda s, d: nodes(s, d).groupBy("kind", F.when(F.col("kind").isin(*CONTAINERS), "lastChild").otherwise("after").alias("placement")).agg(F.count("*").alias("n")),
     "subtree_copy_plan": _copy_plan,
@@ -170,11 +204,11 @@ QUERIES = {
     "distinct_kinds": lambda s, d: nodes(s, d).groupBy(F.right("id", F.lit(1)).alias("digit"), F.length("id").alias("size")).agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds")),
 }
 
-_WALK = "t as (select id, id as root, 0 as depth, sort_key || ':' || id as path from nodes where parent_id is null union all select n.id, t.root, t.depth + 1, t.path || '/' || n.sort_key || ':' || n.id from t join nodes n on n.parent_id = t.id)"
+_WALK = "k as (select *, 'a' || reverse(substr(id, 2)) as key from nodes), t as (select id, id as root, 0 as depth, [{'k': key, 'i': id}] as path from k where parent_id is null union all select n.id, t.root, t.depth + 1, list_append(t.path, {'k': n.key, 'i': n.id}) from t join k n on n.parent_id = t.id)"
 _TITLE = "trim(regexp_replace(regexp_replace(text, '[|#*$%&]', ' ', 'g'), '[\\s\\x{00a0}]+', ' ', 'g'))"
 _SUB = "t as (select id, 0 as depth from nodes where id = '{}' union all select n.id, t.depth + 1 from t join nodes n on n.parent_id = t.id)"
 ORACLE_SQL = {
-    "tree_preorder": f"with recursive {NODES_SQL}, {_WALK} select * from t",
+    "tree_preorder": f"with recursive {NODES_SQL}, {_WALK} select id, root, depth, row_number() over (partition by root order by path) - 1 as place from t",
     "subtree": f"with recursive {NODES_SQL}, {_SUB.format('n3')} select * from t",
     "soft_delete_subtree": f"with recursive {NODES_SQL}, {_SUB.format('n5')} select kind, id in (select id from t) as deleted, count(*) as n from nodes group by all",
     "tree_filter_ancestors": f"with recursive {NODES_SQL}, t as (select id, parent_id, true as hit from nodes where kind = 'QUESTION' and contains(lower(title), 'urgent') union all select n.id, n.parent_id, false from t join nodes n on n.id = t.parent_id) select id, max(hit) as hit from t group by id",
@@ -182,10 +216,14 @@ ORACLE_SQL = {
     "orphans": f"with {NODES_SQL}, {_INJECTED_SQL} select id, parent_id from small s where parent_id is not null and not exists (select 1 from small p where p.id = s.parent_id)",
     "cycles": f"with recursive {NODES_SQL}, {_INJECTED_SQL}, t as (select id from small s where not exists (select 1 from small p where p.id = s.parent_id) union all select n.id from t join small n on n.parent_id = t.id) select id from small where id not in (select id from t)",
     "node_status": f"with {QUESTIONS_SQL}, last as (select user_id, arg_max(event_type, (ts, event_id)) as latest from events group by user_id) select doc_id, case when latest = 'error' then 'render_failed' when validation_status = 'INVALID' then 'invalid' when validation_status = 'VALID' then 'valid' when latest is not null then 'render_done' end as status, coalesce(latest = 'error', false) or validation_status = 'INVALID' as has_problem from questions left join last on user_id = doc_id",
-    "move_guard": f"with recursive {NODES_SQL}, {_SUB.format('n4')} select id as target, id not in (select id from t) as allowed from nodes where kind <> 'QUESTION'",
+    "move_guard": f"with recursive {NODES_SQL}, {_SUB.format('n4')} select id as target, id not in (select id from t) as allowed from nodes",
     "restore_guard": f"with {NODES_SQL}, g as (select id, parent_id, kind, hash_of % 3 = 0 as deleted from (select *, cast(substr(id, 2) as bigint) as hash_of from nodes)) select id, case when exists (select 1 from g p where p.id = g.parent_id and p.deleted) then 'parent_deleted' else 'ok' end as reason from g where deleted",
     "container_rule": f"with {NODES_SQL} select kind, case when kind in ('CHAPTER', 'SECTION') then 'lastChild' else 'after' end as placement, count(*) as n from nodes group by all",
-    "subtree_copy_plan": f"with recursive {NODES_SQL}, {_SUB.format('c7')} select id, 'copy-' || id as new_id, case when depth = 0 then parent_id else 'copy-' || parent_id end as new_parent, sort_key, 'DRAFT' as status from t join nodes using (id)",
+    "subtree_copy_plan": f"""with recursive {NODES_SQL}, k as (select *, 'a' || reverse(substr(id, 2)) as key from nodes), t as (select id, parent_id, key, [{{'k': key, 'i': id}}] as path from k where id = 'c7' union all select n.id, n.parent_id, n.key, list_append(t.path, {{'k': n.key, 'i': n.id}}) from t join k n on n.parent_id = t.id),
+p as (select *, row_number() over (order by path) - 1 as place from t), l as (select p.id as parent, place as node, l_returnflag as tag, lpad(cast(l_linenumber as varchar), 3, '0') as key, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || cast(l_extendedprice as decimal(20, 2)) as id from lineitem join p on p.id = 'o' || l_orderkey),
+g as (select distinct parent, node, parent || '-' || tag as id, tag as key from l)
+select 'node' as kind, id, 'copy-' || id as new_id, case when id = 'c7' then parent_id else 'copy-' || parent_id end as new_parent, key as sort_key, place, 'DRAFT' as status, cast(null as varchar) as render from p
+union all select 'option', id, 'copy-' || id, 'copy-' || parent, key, row_number() over (order by node, key, id) - 1, null, null from l union all select 'tag', id, 'copy-' || id, 'copy-' || parent, key, row_number() over (order by node, key, id) - 1, null, null from g""",
     "node_title": f"select doc_id, case when doc_id % 5 = 0 then 'Questão ' || doc_id when length(text) > 30 then case when length({_TITLE}) > 57 then left({_TITLE}, 57) || '…' else {_TITLE} end else 'Sem título' end as title from documents",
     "distinct_kinds": f"with {NODES_SQL} select right(id, 1) as digit, cast(length(id) as int) as size, array_to_string(list_sort(list_distinct(list(kind))), ',') as kinds from nodes group by right(id, 1), length(id)",
 }

@@ -43,14 +43,17 @@ def shuffled(items, stream) -> list:
     return out
 
 
-def variant(questions: list[tuple[str, list[str], set[str]]], seed: int, shuffle_questions: bool = True, shuffle_options: bool = True) -> list[tuple[str, list[str]]]:
-    """(question, options in order) of a variant; pinned options come last, in their own order."""
+def variant(questions: list[tuple], seed: int, shuffle_questions: bool = False) -> list[tuple[str, list[str]]]:
+    """(question, options in order) of a variant; questions are (name, options, pinned) or (name, options, pinned, whether options are shuffled).
+
+    Questions keep their order unless told; options are shuffled unless told. Pinned options come last, in their own order.
+    """
     stream = draws(seed)
     chosen = shuffled(questions, stream) if shuffle_questions else questions
     out = []
-    for name, opts, pinned in chosen:
+    for name, opts, pinned, *told in chosen:
         free = [o for o in opts if o not in pinned]
-        out.append((name, [*(shuffled(free, stream) if shuffle_options else free), *(o for o in opts if o in pinned)]))
+        out.append((name, [*(shuffled(free, stream) if told in ([], [True]) else free), *(o for o in opts if o in pinned)]))
     return out
 
 
@@ -95,7 +98,7 @@ def _variants(s, d):
         for pdf in batches:
             rows = []
             for c, qs in zip(pdf["o_custkey"], pdf["questions"]):
-                for i, (name, opts) in enumerate(variant([(x["q"], list(x["o"]), {x["o"][-1]}) for x in qs], int(c))):
+                for i, (name, opts) in enumerate(variant([(x["q"], list(x["o"]), {x["o"][-1]}) for x in qs], int(c), True)):
                     rows.append((c, i, name, ",".join(opts)))
             yield pd.DataFrame(rows, columns=["variant", "position", "question", "options"])
 

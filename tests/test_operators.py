@@ -43,7 +43,8 @@ def test_draws_and_shuffles():
         first[int(variant.shuffled(opts, variant.draws(seed))[0][1])] += 1
     assert max(abs(n - 800) for n in first) < 96
     v = variant.variant([("q", opts, {"o0", "o3"}), ("r", ["x", "y"], set())], 7)
-    assert sorted(n for n, _ in v) == ["q", "r"] and dict(v)["q"][-2:] == ["o0", "o3"]
+    assert variant.variant([("q", opts, set(), False), ("r", opts, set(), True)], 1) == [("q", opts), ("r", ["o0", "o3", "o4", "o1", "o2"])]
+    assert [n for n, _ in v] == ["q", "r"] and dict(v)["q"][-2:] == ["o0", "o3"]
 
 
 def one(spark, column, **values):
@@ -190,9 +191,10 @@ def test_more_changes(spark, tmp_path):
 
 
 def test_plugins_are_open_to_new_types(spark):
-    q = spark.createDataFrame([(1, "MULTIPLE_CHOICE", "x"), (2, "ESSAY", ""), (3, "DISCURSIVE", "{"), (4, None, "x")], "id int, type string, text string")
+    q = spark.createDataFrame([(1, "MULTIPLE_CHOICE", "x", "r"), (2, "ESSAY", "", None), (3, "DISCURSIVE", "{", " "), (4, None, "x", "r"), (5, "DISCURSIVE", "odd $ here", None)], "id int, type string, text string, solution string")
     o = spark.createDataFrame([(1, "a", True), (1, "a ", False), (1, None, False), (2, "b", False)], "question int, text string, correct boolean")
-    assert {r.id: r.status for r in plugins.statuses(q, o).collect()} == {1: "VALID", 2: "UNVALIDATED", 3: "INVALID", 4: "UNVALIDATED"}
+    assert {r.id: r.status for r in plugins.statuses(q, o).collect()} == {1: "VALID", 2: "UNVALIDATED", 3: "INVALID", 4: "UNVALIDATED", 5: "INVALID"}
+    assert sorted((r.code, r.severity) for r in plugins.issues(q, o).where("id = 5").collect()) == [("solution_empty", "warning"), ("unbalanced_math", "error")]
     assert [tuple(r) for r in plugins.issues(q, o).where("id = 1").collect()] == [(1, "duplicate_option", "warning", 1)]
     try:
         plugins.register("ESSAY", plugins.FEW)

@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import joins, portable, tree, variant
+from quire.operators import bank as bank_ops
+from quire.operators import facets, joins, latex, portable, tree, variant
 from quire.plans import registry
 
 
@@ -47,7 +48,7 @@ def test_variants_of_all_customers(spark, bank):
     want = set()
     for c in range(300, 307):
         qs = [(str(k), [f"{k}.{x[1]}" for x in lines if x[0] == k]) for k in sorted(orders, key=str) if orders[k][0] == c]
-        want |= {(c, i, q, ",".join(o)) for i, (q, o) in enumerate(variant.variant([(q, o, {o[-1]}) for q, o in qs], c))}
+        want |= {(c, i, q, ",".join(o)) for i, (q, o) in enumerate(variant.variant([(q, o, {o[-1]}) for q, o in qs], c, True))}
     assert {tuple(x) for x in run(spark, bank, "build_variants")} == want
 
 
@@ -71,7 +72,9 @@ def test_three_signals_of_a_publication(spark):
     assert got == {10: (3, "external-id", True), 11: (1, "isbn", True), 12: (2, "title-and-author", False), 13: (None, None, None), 14: (3, "title-and-author", False)}
 
 
-def test_items_in_texts(spark):
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_items_in_texts(spark, monkeypatch, most):
+    monkeypatch.setattr(joins, "MOST", most)  # by one automaton, and by the index
     texts = ["zz a b c d e foxtrot yy", "p q r", "xp q rx", "a  b", "Ünï", "", None, "one two three four five six seven eight"]
     items = ["a b c d e fox", "p q r", "q", "wo three four five six seve", "a b", " b c", "", None, "nï", "c d e ", "ight", "two three four"]
     t = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
@@ -83,7 +86,7 @@ def test_items_in_texts(spark):
 def test_cycles_and_depth(spark):
     rows = [("a", None), ("b", "a"), ("c", "gone"), ("y", "z"), ("x", "y"), ("z", "x"), ("t", "x"), ("d", "t"), ("s", "s"), ("q", "p"), ("p", "q")] + [(f"n{i}", f"n{i - 1}" if i else None) for i in range(150)]
     df = spark.createDataFrame([(i, p, "k") for i, p in rows], "id string, parent_id string, sort_key string")
-    got = {x.id: (x.root, x.depth, x.path) for x in tree.forest(df, promote=True).collect()}
+    got = {x.id: (x.root, x.depth, "/".join(":".join(p) for p in x.path)) for x in tree.forest(df, promote=True).collect()}
     assert len(got) == len(rows) and got["n149"][:2] == ("n0", 149) and got["n149"][2] == "/".join(f"k:n{i}" for i in range(150))
     assert {k: got[k] for k in "cxyzdsp"} == {"c": ("c", 0, "k:c"), "x": ("x", 0, "k:x"), "z": ("x", 1, "k:x/k:z"), "y": ("x", 2, "k:x/k:z/k:y"), "d": ("x", 2, "k:x/k:t/k:d"), "s": ("s", 0, "k:s"), "p": ("p", 0, "k:p")}
     assert got["q"] == ("p", 1, "k:p/k:q")
@@ -120,3 +123,73 @@ def test_no_limit_of_rows(spark, tmp_path):
     assert get("link_join_ordered") == [(4, next(f"S{(k + i) % 9}" for k, _, i in sorted(items)), 1400, ", ".join(f"S{(k + i) % 9}" for k, _, i in sorted(items)))]
     assert get("scan_project") == sorted([(i, f"C{-i % 7}", "x") for i in range(1200)], key=lambda x: (x[1], x[0]))
     assert get("composite_sort") == sorted([(i, f"{1000 - i % 50:05d}p{i % 5}") for i in range(300)], key=lambda x: (x[1], x[0]))
+
+
+def test_pre_order_where_keys_begin_other_keys(spark):
+    """a04 is what three insertions after a0 leave; it comes after a0 and all below it."""
+    rows = [("r", None, "a0"), ("x", "r", "a0"), ("x2", "x", "a9"), ("y", "r", "a04"), ("y2", "y", "a0"), ("z", "r", "a1"), ("w", "r", "Zz"), ("t1", "z", "a0"), ("t2", "z", "a0")]
+    df = spark.createDataFrame(rows, "id string, parent_id string, sort_key string").repartition(4)
+    got = sorted((x.place, x.id) for x in tree.preorder(df).collect())
+    assert got == list(enumerate(["r", "w", "x", "x2", "y", "y2", "z", "t1", "t2"]))
+    plan = tree.copy_plan(df, "x", {"option": spark.createDataFrame([("x2", "o1", "b"), ("x", "o2", "c"), ("r", "o3", "a")], "parent string, id string, sort_key string")})
+    assert sorted((r.kind, r.place, r.id, r.new_parent, r.status, r.render) for r in plan.collect()) == [("node", 0, "x", "r", "DRAFT", None), ("node", 1, "x2", "copy-x", "DRAFT", None), ("option", 0, "o2", "copy-x", None, None), ("option", 1, "o1", "copy-x2", None, None)]
+
+
+def slugs_one_by_one(names, taken):
+    claimed, used, out = set(taken) | set(names), set(taken), []
+    for b in names:
+        if b not in used:
+            used.add(b)
+            out.append(b)
+            continue
+        n = 2
+        while f"{b}-{n}" in claimed or f"{b}-{n}" in used:
+            n += 1
+        used.add(f"{b}-{n}")
+        out.append(f"{b}-{n}")
+    return out
+
+
+def test_slugs_never_clash(spark):
+    t = lambda names, taken: [x.slug for x in latex.unique_slugs(spark.createDataFrame(list(enumerate(names)), "k int, name string").repartition(3), "k", "name", spark.createDataFrame([(x,) for x in taken], "slug string")).orderBy("k").collect()]
+    assert t(["a", "a", "a 2"], []) == ["a", "a-3", "a-2"]
+    assert t(["Á b", "a  b"], ["a-b", "a-b-2"]) == ["a-b-3", "a-b-4"]
+    assert t(["x" * 59 + " y", "x" * 59 + "z"], []) == ["x" * 59, "x" * 59 + "z"]
+    r = random.Random(2)
+    names = [r.choice(["a", "a-2", "a-3", "a-3-2", "b", "a-7", "b-02", "b-1", "9-2", "9"]) for _ in range(120)]
+    taken = ["a", "a-5", "b-4", "b-2", "zz"]
+    got = t(names, taken)
+    assert got == slugs_one_by_one(names, taken) and len(set(got) | set(taken)) == len(names) + len(taken)
+
+
+def test_places_among_many_siblings(spark):
+    r = random.Random(3)
+    keys = [f"a{i:04d}" for i in r.sample(range(5000), 60)]
+    rows = [(f"p{i}", None, k) for i, k in enumerate(keys[:3])] + [(f"c{i}", f"p{i % 2}", k) for i, k in enumerate(keys[3:])]
+    data = {i: (p, k) for i, p, k in rows}
+    moves = [(f"c{r.randrange(57)}", r.choice(["firstChild", "lastChild"]), f"p{r.randrange(3)}") for _ in range(40)] + [(f"c{r.randrange(57)}", r.choice(["before", "after"]), f"c{r.randrange(57)}") for _ in range(60)] + [("p0", "after", "p1"), ("c1", "before", "c1")]
+    moves = sorted(set(moves))
+    df = spark.createDataFrame(rows, "id string, parent_id string, sort_key string").repartition(4)
+    got = {tuple(x)[:3]: tuple(x)[3:] for x in bank_ops.placed(df, spark.createDataFrame(moves, "move string, kind string, target string")).collect()}
+    for move, kind, target in moves:
+        child = kind in ("firstChild", "lastChild")
+        parent = target if child else data[target][0]
+        line = sorted(k for i, (p, k) in data.items() if p == parent and i != move)
+        key = data[target][1]
+        low = {"firstChild": None, "lastChild": line[-1] if line else None, "before": max((k for k in line if k < key), default=None), "after": max((k for k in line if k <= key), default=None)}[kind]
+        high = {"firstChild": line[0] if line else None, "lastChild": None, "before": min((k for k in line if k >= key), default=None), "after": min((k for k in line if k > key), default=None)}[kind]
+        assert got[move, kind, target] == (parent, low, high), (move, kind, target)
+
+
+def test_a_page_beyond_the_end(spark):
+    df = spark.range(7)
+    page = lambda limit, offset: [tuple(x) for x in bank_ops.paged(df, [F.col("id")], limit, offset).select("id", "has_more", "total").collect()]
+    assert page(3, 50) == [(None, False, 50)] and page(3, 3) == [(3, True, None), (4, True, None), (5, True, None)] and page(4, 3) == [(i, False, 7) for i in range(3, 7)]
+    assert [tuple(x) for x in bank_ops.paged(df.limit(0), [F.col("id")], 3, 0).select("id", "has_more", "total").collect()] == [(None, False, 0)]
+
+
+def test_portuguese_order_of_facets(spark):
+    rows = [(1, ["Água", "zebra"]), (2, ["agua", "Zebra"]), (3, ["é", "e", "f", "E2"]), (4, ["Ébano"])]
+    got = facets.tag_facets(spark.createDataFrame(rows, "k int, t array<string>"), "k", F.col("t")).collect()
+    assert [(x.label, x.n) for x in got] == [("Água", 2), ("zebra", 2), ("e" if got[2].label == "e" else "é", 2 if got[2].n == 2 else 1)] + [(x.label, x.n) for x in got[3:]]
+    assert [x.label for x in got if x.n == 1] == sorted([x.label for x in got if x.n == 1], key=lambda s: s.lower().replace("é", "e"))
