@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -163,10 +165,38 @@ def _publications(s, d):
     return df.where("id % 2 = 1"), df.where("id % 2 = 0")
 
 
+def nested(parents: DataFrame, key: str, lists: dict[str, DataFrame], last: dict[str, DataFrame]) -> DataFrame:
+    """parents with an array of the values of each child of lists, in order, and the value of the latest row of each child of last, or null.
+
+    Children are (parent, at, value), at and value texts. All of them come in one union with a tag, so one shuffle brings every child of a parent, and the latest ones
+    are maxima, formed before it. Lists of a parent are as long as the parent's children are many.
+    """
+    parts = [df.select(F.col("parent").alias("_parent"), F.lit(name).alias("_tag"), "at", "value") for name, df in (lists | last).items()]
+    rows = reduce(DataFrame.union, parts)
+    of = lambda name: F.when(F.col("_tag") == name, F.struct("at", "value"))
+    told = [F.collect_list(of(name)).alias(name) for name in lists] + [F.max(of(name)).alias(name) for name in last]
+    by = rows.groupBy("_parent").agg(*told)
+    df = parents.join(by, parents[key] == by["_parent"], "left")
+    for name in lists:
+        df = df.withColumn(name, F.transform(F.array_sort(F.coalesce(name, F.array().cast("array<struct<at:string,value:string>>"))), lambda x: x["value"]))
+    return df.withColumns({name: F.col(name)["value"] for name in last}).drop("_parent")
+
+
+def _whole_questions(s, d):
+    """Documents with the lines of the order of their number as options, the words of the part's name as tags, and the last event of the user as render."""
+    key = F.concat_ws("-", F.lpad("l_linenumber", 3, "0"), F.lpad("l_partkey", 9, "0"), F.lpad("l_suppkey", 9, "0"), F.lpad((F.col("l_extendedprice") * 100).cast("long").cast("string"), 12, "0"))
+    o = table(s, d, "lineitem").select(F.col("l_orderkey").alias("parent"), key.alias("at"), F.concat(F.col("l_quantity").cast("int").cast("string"), F.when(F.col("l_returnflag") == "R", "*").otherwise("")).alias("value"))
+    t = table(s, d, "part").select(F.col("p_partkey").alias("parent"), F.explode(F.split("p_name", " ")).alias("value")).select("parent", F.col("value").alias("at"), "value")
+    r = table(s, d, "events").select(F.col("user_id").alias("parent"), F.concat(F.col("ts").cast("string"), F.lit(" "), F.lpad("event_id", 12, "0")).alias("at"), F.col("event_type").alias("value"))
+    df = nested(table(s, d, "documents").select("doc_id"), "doc_id", {"options": o, "tags": t}, {"render": r})
+    return df.select("doc_id", F.array_join("options", ";").alias("options"), F.array_join("tags", ",").alias("tags"), "render")
+
+
 QUERIES = {
     "catalog_counts": lambda s, d: counted(counted(table(s, d, "nation").select("n_nationkey", "n_name"), "n_nationkey", table(s, d, "customer"), "c_nationkey", "customers"), "n_nationkey", table(s, d, "orders").join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")), "c_nationkey", "orders"),
     "candidates_not_used": lambda s, d: unused(table(s, d, "part"), "p_partkey", table(s, d, "lineitem").where("l_quantity > 49"), "l_partkey").select("p_partkey", "p_name"),
     "nested_options": _nested,
+    "whole_questions": _whole_questions,
     "link_join_ordered": _links,
     "left_chain_default": lambda s, d: table(s, d, "supplier").join(table(s, d, "nation").where("n_nationkey % 3 <> 0"), F.col("s_nationkey") == F.col("n_nationkey"), "left").join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left").select("s_suppkey", F.coalesce("n_name", F.lit("Geral")).alias("subgroup"), F.coalesce("r_name", F.lit("Geral")).alias("grp")),
     "unmatched_report": lambda s, d: table(s, d, "documents").join(table(s, d, "labels"), "doc_id", "left_anti").groupBy("lang").agg(F.count("*").alias("missing")),
@@ -182,6 +212,9 @@ QUERIES = {
 ORACLE_SQL = {
     "catalog_counts": "select n_nationkey, n_name, (select count(*) from customer where c_nationkey = n_nationkey) as customers, (select count(*) from orders join customer on o_custkey = c_custkey where c_nationkey = n_nationkey) as orders from nation",
     "candidates_not_used": "select p_partkey, p_name from part where not exists (select 1 from lineitem where l_partkey = p_partkey and l_quantity > 49)",
+    "whole_questions": """with o as (select l_orderkey as k, string_agg(cast(cast(l_quantity as int) as varchar) || case when l_returnflag = 'R' then '*' else '' end, ';' order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as options from lineitem group by l_orderkey),
+t as (select p_partkey as k, array_to_string(list_sort(string_split(p_name, ' ')), ',') as tags from part), r as (select user_id as k, arg_max(event_type, (ts, event_id)) as render from events group by user_id)
+select doc_id, coalesce(options, '') as options, coalesce(tags, '') as tags, render from documents left join o on o.k = doc_id left join t on t.k = doc_id left join r on r.k = doc_id""",
     "nested_options": "with o as (select l_orderkey, cast(l_partkey as varchar) || 'x' || cast(cast(l_quantity as int) as varchar) as text, l_returnflag = 'R' as correct, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 as i from lineitem) select o_orderkey, coalesce((select string_agg(chr(cast(97 + i as int)) || ') ' || text || case when correct then '*' else '' end, '; ' order by i) from o where l_orderkey = o_orderkey), '') as options from orders",
     "link_join_ordered": "select l_partkey, arg_min(s_name, (l_orderkey, l_linenumber, l_suppkey, l_extendedprice)) as first_supplier, count(*) as links, string_agg(s_name, ', ' order by l_orderkey, l_linenumber, l_suppkey, l_extendedprice) as suppliers from lineitem join supplier on l_suppkey = s_suppkey group by l_partkey",
     "left_chain_default": "select s_suppkey, coalesce(n_name, 'Geral') as subgroup, coalesce(r_name, 'Geral') as grp from supplier left join (select * from nation where n_nationkey % 3 <> 0) on s_nationkey = n_nationkey left join region on n_regionkey = r_regionkey",

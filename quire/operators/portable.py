@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import relative_age
-from quire.sources.tables import QUESTIONS_SQL, nodes, questions, table
+from quire.operators.ranges import ranked, running
+from quire.operators.tree import forest
+from quire.sources.tables import NODES_SQL, QUESTIONS_SQL, nodes, questions, table, written
 
 #: Kinds of assets by extension.
 KINDS = {"html": "SOURCE_PAGE", "png": "FIGURE", "pdf": "DOCUMENT"}
@@ -82,7 +84,43 @@ def _lost(s, d):
     return gone.groupBy(F.left("id", F.lit(1)).alias("level")).agg(F.count("*").alias("lost"))
 
 
+def references(tree: DataFrame) -> DataFrame:
+    """(ref, parent_ref, question_ref, sort_key, title, kind) of all nodes: node-1, node-2 and so on in pre-order over all roots, and q-1, q-2 ... of questions among them.
+
+    Places come from range partitions of the paths, so numbers follow one another over all partitions without a task that sees every row. References depend on the order of the
+    tree alone, not on its ids.
+    """
+    rows = written(tree, "tree")
+    order = forest(rows, promote=True).select("id", "path").join(rows.select("id", "kind"), "id").withColumn("_all", F.lit(1))
+    order = ranked(order, "_all", [F.col("path")], "_node")
+    order = written(running(order, "_all", [F.col("path")], F.when(F.col("kind") == "QUESTION", 1).otherwise(0), "_question"), "order")
+    ref = lambda name, n: F.concat(F.lit(f"{name}-"), (n + 1).cast("string"))
+    own = order.select("id", ref("node", F.col("_node")).alias("ref"), F.when(F.col("kind") == "QUESTION", ref("q", F.col("_question"))).alias("question_ref"))
+    up = own.select(F.col("id").alias("parent_id"), F.col("ref").alias("parent_ref"))
+    return rows.join(own, "id").join(up, "parent_id", "left").select("ref", "parent_ref", "question_ref", "sort_key", "title", "kind")
+
+
+def received(refs: DataFrame, into: str) -> DataFrame:
+    """The tree of references() with new ids, hashes of the import's name and the reference: first every row gets its id, then parents are looked up among them."""
+    new = written(refs.withColumn("id", F.sha2(F.concat(F.lit(f"{into}:"), "ref"), 256)), "received")
+    up = new.select(F.col("ref").alias("parent_ref"), F.col("id").alias("parent_id"))
+    return new.join(up, "parent_ref", "left").select("id", "parent_id", "sort_key", "title", "kind")
+
+
+def _backwards(s, d) -> DataFrame:
+    return nodes(s, d).withColumn("sort_key", F.concat(F.lit("a"), F.reverse(F.expr("substring(id, 2)"))))
+
+
+def _received(s, d):
+    """The tree sent and taken in under new ids, which are left out: parents by title and key."""
+    df = received(references(_backwards(s, d)), "copy")
+    up = df.select(F.col("id").alias("parent_id"), F.col("sort_key").alias("parent_key"), F.col("title").alias("parent_title"))
+    return df.join(up, "parent_id", "left").select("kind", "sort_key", "title", "parent_key", "parent_title", (F.length("id") == 64).alias("new"))
+
+
 QUERIES = {
+    "reference_export": lambda s, d: references(_backwards(s, d)),
+    "reference_import": _received,
     "portable_export": lambda s, d: sections(exported(s, d)),
     "portable_roundtrip": lambda s, d: imported(exported(s, d)),
     "portable_lost": _lost,
@@ -104,7 +142,12 @@ QUERIES = {
 
 _Q = "q as (select event_id, ts, case when event_id % 11 = 0 then 'approved' when event_type = 'error' then 'error' when event_type = 'view' then 'review' else 'queued' end as state from events)"
 _AGE = "cast(floor({}) as bigint)"
+_KEYS = "k as (select *, 'a' || reverse(substr(id, 2)) as key from nodes)"
 ORACLE_SQL = {
+    "reference_export": f"""with recursive {NODES_SQL}, {_KEYS}, t as (select id, [{{'k': key, 'i': id}}] as path from k where parent_id is null union all select n.id, list_append(t.path, {{'k': n.key, 'i': n.id}}) from t join k n on n.parent_id = t.id),
+p as (select id, row_number() over (order by path) as n, sum((id like 'o%')::int) over (order by path) as q from t)
+select 'node-' || p.n as ref, 'node-' || u.n as parent_ref, case when kind = 'QUESTION' then 'q-' || cast(p.q as bigint) end as question_ref, key as sort_key, title, kind from k join p using (id) left join p u on u.id = k.parent_id""",
+    "reference_import": f"with {NODES_SQL}, {_KEYS} select k.kind, k.key as sort_key, k.title, u.key as parent_key, u.title as parent_title, true as new from k left join k u on u.id = k.parent_id",
     "portable_export": "select c_nationkey as n_nationkey, count(*) as sections, true as ok from customer group by c_nationkey",
     "portable_roundtrip": "select 'c' || c_custkey as id, 'n' || c_nationkey as parent_id from customer union all select 'o' || o_orderkey, 'c' || o_custkey from orders",
     "portable_lost": "select 'c' as level, count(*) as lost from customer where c_custkey % 100 = 7 union all select 'o', count(*) from orders where o_orderkey % 100 = 7",
