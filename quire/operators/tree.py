@@ -95,9 +95,9 @@ def cycles(df: DataFrame) -> DataFrame:
     return df.select("id").join(forest(df).select("id"), "id", "left_anti")
 
 
-def node_status(latest: str, validation: str):
-    """unsaved and failures first, then validation, then the last render."""
-    return F.expr(f"case when {latest} = 'error' then 'render_failed' when {validation} = 'INVALID' then 'invalid' when {validation} = 'VALID' then 'valid' when {latest} is not null then 'render_done' end")
+def node_status(latest: str, validation: str, unsaved: str = "false"):
+    """Unsaved work and failures first, then validation, then the last render."""
+    return F.expr(f"case when {unsaved} then 'unsaved' when {latest} = 'error' then 'render_failed' when {validation} = 'INVALID' then 'invalid' when {validation} = 'VALID' then 'valid' when {latest} is not null then 'render_done' end")
 
 
 def _injected(s, d):
@@ -130,7 +130,7 @@ def _path(s, d):
 
 def _status(s, d):
     last = table(s, d, "events").groupBy(F.col("user_id").alias("doc_id")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("latest"))
-    return questions(s, d).join(last, "doc_id", "left").select("doc_id", node_status("latest", "validation_status").alias("status"), F.expr("coalesce(latest = 'error', false) or validation_status = 'INVALID'").alias("has_problem"))
+    return questions(s, d).join(last, "doc_id", "left").select("doc_id", node_status("latest", "validation_status", "doc_id % 9 = 4").alias("status"), F.expr("coalesce(latest = 'error', false) or validation_status = 'INVALID'").alias("has_problem"))
 
 
 def copy_plan(tree: DataFrame, root: str, children: dict[str, DataFrame]) -> DataFrame:
@@ -215,7 +215,7 @@ ORACLE_SQL = {
     "ancestor_path": "select 'o' || o_orderkey as id, n_name || ' › ' || c_name || ' › ' || o_orderpriority as path from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey",
     "orphans": f"with {NODES_SQL}, {_INJECTED_SQL} select id, parent_id from small s where parent_id is not null and not exists (select 1 from small p where p.id = s.parent_id)",
     "cycles": f"with recursive {NODES_SQL}, {_INJECTED_SQL}, t as (select id from small s where not exists (select 1 from small p where p.id = s.parent_id) union all select n.id from t join small n on n.parent_id = t.id) select id from small where id not in (select id from t)",
-    "node_status": f"with {QUESTIONS_SQL}, last as (select user_id, arg_max(event_type, (ts, event_id)) as latest from events group by user_id) select doc_id, case when latest = 'error' then 'render_failed' when validation_status = 'INVALID' then 'invalid' when validation_status = 'VALID' then 'valid' when latest is not null then 'render_done' end as status, coalesce(latest = 'error', false) or validation_status = 'INVALID' as has_problem from questions left join last on user_id = doc_id",
+    "node_status": f"with {QUESTIONS_SQL}, last as (select user_id, arg_max(event_type, (ts, event_id)) as latest from events group by user_id) select doc_id, case when doc_id % 9 = 4 then 'unsaved' when latest = 'error' then 'render_failed' when validation_status = 'INVALID' then 'invalid' when validation_status = 'VALID' then 'valid' when latest is not null then 'render_done' end as status, coalesce(latest = 'error', false) or validation_status = 'INVALID' as has_problem from questions left join last on user_id = doc_id",
     "move_guard": f"with recursive {NODES_SQL}, {_SUB.format('n4')} select id as target, id not in (select id from t) as allowed from nodes",
     "restore_guard": f"with {NODES_SQL}, g as (select id, parent_id, kind, hash_of % 3 = 0 as deleted from (select *, cast(substr(id, 2) as bigint) as hash_of from nodes)) select id, case when exists (select 1 from g p where p.id = g.parent_id and p.deleted) then 'parent_deleted' else 'ok' end as reason from g where deleted",
     "container_rule": f"with {NODES_SQL} select kind, case when kind in ('CHAPTER', 'SECTION') then 'lastChild' else 'after' end as placement, count(*) as n from nodes group by all",

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES (name -> function of spark and the folder) and ORACLE_SQL (name -> SQL).
-MODULES: tuple[str, ...] = tuple(f"quire.operators.{m}" for m in ("search", "joins", "facets", "tree", "quality", "diff", "order", "variant", "latex", "portable", "bank", "assets", "plugins", "preview", "composed", "patches"))
+MODULES: tuple[str, ...] = tuple(f"quire.operators.{m}" for m in ("search", "joins", "facets", "tree", "quality", "diff", "order", "variant", "latex", "portable", "bank", "assets", "plugins", "preview", "composed", "patches", "policy"))
 
 
 def queries() -> dict:
