@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import batches_of, documents, give_back, light, sift, written
+from quire.llm.common import batches_of, documents, drop, give_back, light, sift, written
 from quire.llm.sets import _WORDS, WORDS_KEPT, mix
 
 ALPHA, BETA = 0.1, 5.0
@@ -254,7 +254,10 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document: words, mean target and background loss, and their difference, the score."""
     buckets = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = exchanged(labelled(docs, labels), buckets)
-    return scored(rows, buckets)
+    with batches_of(docs.sparkSession, ROWS):  # while the scores are made: packed rows by the ten thousand are much memory
+        out = written(scored(rows, buckets), "scores")
+    drop(rows)
+    return out
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
