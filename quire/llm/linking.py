@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import drop, light, sift, written
+from quire.llm.common import batches_of, drop, light, sift, written
 from quire.llm.graph import components
 from quire.llm.sets import shingles
 
 #: Members of a group on either side of a cell, and pairs of one set that one task tests.
 BLOCK, TESTS = 512, 256
-#: Bytes of sets that a task works on at once, where cells are small.
-BYTES = 32_000_000
+#: Bytes of sets that a task works on at once, where cells are small, and rows sent to it at once.
+BYTES, ROWS = 8_000_000, 256
 
 #: (sketches, sizes, masks, a, b) as (differences d, whether the sets at places a and b may be similar and are this group's to test).
 Near = Callable[[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -240,6 +240,11 @@ def links_within(rows: DataFrame, near: Near, similar: int) -> DataFrame:
 def linked(docs: DataFrame, members: DataFrame, held: DataFrame, near: Near, likely: Callable[[DataFrame], DataFrame], n: int, similar: int) -> DataFrame:
     """(node, comp) of all nodes with links. members: (g, node, w, mask) of the groups; held: (node, size, sketch, rt, rd); both are read several times, so
     pass written tables. likely() sieves the first pairs (u, v) by sketches; mask goes to near()."""
+    with batches_of(docs.sparkSession, ROWS):  # texts and sets by the ten thousand are much memory
+        return _linked(docs, members, held, near, likely, n, similar)
+
+
+def _linked(docs: DataFrame, members: DataFrame, held: DataFrame, near: Near, likely: Callable[[DataFrame], DataFrame], n: int, similar: int) -> DataFrame:
     buckets = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     pairs = written(likely(stars(members)), "pairs")
     wanted = lambda nodes: held.drop("sketch").join(nodes.distinct(), "node", "left_semi")
