@@ -27,8 +27,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of 400-byte strings that start twice or more are cut out."""
-    return suffixes.without_repeats(docs)
+    """Passages of 51 words and strings of 400 bytes that start twice or more are cut out."""
+    return suffixes.without_repeats(docs, (suffixes.BYTES, suffixes.PASSAGES))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,9 @@ GRAM bytes. Equal strings sample at equal offsets, so a suffix that shares its f
 other rules out all strings that sample it. A suffix array is the sampled suffixes of a batch in the
 order of the fingerprint of those bytes, then of all bytes that its strings span.
 
+What a text is made of is a ``Unit``: bytes, or words, whose strings are passages of so many words
+whatever their bytes. Places are counted in units until a text is cut.
+
 A batch's suffix array is merge-scanned against every level of the family, and then becomes a level
 itself; levels of equal size merge, so there are as many as the logarithm of the number of batches.
 All is cut into buckets by fingerprint, which are scanned and merged by independent tasks. In a scan,
@@ -27,14 +30,16 @@ other columns are left alone.
 from __future__ import annotations
 
 import hashlib
+import re
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import documents, light, sift, written
-from quire.llm.sets import mix
+from quire.llm.common import WORD, documents, drop, light, sift, written
+from quire.llm.sets import _WORDS, WORDS_KEPT, mix
 
 LONG = 400
 GRAM = 200
@@ -43,6 +48,7 @@ STRETCH = 1 << 16
 PACKED = 400_000
 BATCHES = 4
 OFFSETS = 16
+SPACES = " \t\n\v\f\r"
 #: Bytes of entries that a bucket is meant to hold; a text has about four tenths of its bytes.
 BUCKET_BYTES = 32 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -57,17 +63,48 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+@dataclass(frozen=True)
+class Unit:
+    """Strings of so many units, the units of their fingerprints, and the offsets whose strings travel together when contested."""
+
+    long: int
+    gram: int
+    offsets: int
+    words: bool = False
+
+    def codes(self, text: pa.Scalar) -> np.ndarray:
+        """Bytes, or hashes of words."""
+        if not text.is_valid:
+            return np.zeros(0, np.uint8)
+        if not self.words:
+            return np.frombuffer(text.as_buffer() or b"", np.uint8)
+        found = text.as_buffer().to_pybytes().split()
+        if len(_WORDS) > WORDS_KEPT:
+            _WORDS.clear()
+        return np.fromiter(map(_WORDS.__getitem__, found), np.uint64, len(found))
+
+    def in_bytes(self, data: bytes, a: list[dict] | None) -> list[dict]:
+        """Spans of units as spans of bytes; that of a passage reaches to the next word, if there is one."""
+        if not self.words or not a:
+            return a or []
+        at = [m.span() for m in re.finditer(WORD.encode(), data)]
+        return [{"start": at[x["start"]][0], "stop": at[x["stop"]][0] if x["stop"] < len(at) else at[-1][1]} for x in a]
+
+
+BYTES = Unit(LONG, GRAM, OFFSETS)
+#: Passages of over 50 words, of which there are about as many samples as of BYTES.
+PASSAGES = Unit(51, 20, 8, words=True)
 _SPAN = STRETCH + LONG + 1
 _UP = _powers(BASE, _SPAN)
 _DOWN = _powers(pow(BASE, -1, 1 << 64), _SPAN)
 
 
 class Hashes:
-    """Hashes of all strings within a stretch of bytes."""
+    """Hashes of all strings within a stretch of bytes or of hashed words."""
 
     def __init__(self, data: np.ndarray):
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_T[data] * _UP[: len(data)], out=self.sums[1:])
+        np.cumsum((_T[data] if data.dtype == np.uint8 else data) * _UP[: len(data)], out=self.sums[1:])
 
     def of(self, begin, end) -> np.ndarray:
         return mix((self.sums[end] - self.sums[begin]) * _DOWN[begin])
@@ -77,21 +114,21 @@ class Hashes:
         return mix((self.sums[n:] - self.sums[:m]) * _DOWN[:m])
 
 
-def stretches(data: np.ndarray):
-    """(first byte, bytes) of parts that hold every string of LONG bytes once."""
-    for at in range(0, len(data) - LONG + 1, STRETCH):
-        yield at, data[at : at + STRETCH + LONG - 1]
+def stretches(data: np.ndarray, long: int):
+    """(first unit, units) of parts that hold every string of so many units once."""
+    for at in range(0, len(data) - long + 1, STRETCH):
+        yield at, data[at : at + STRETCH + long - 1]
 
 
-def sampled(data: np.ndarray):
-    """Of a text's bytes: fingerprint h, hash c, place, and first and last start of the strings of each sampled suffix."""
+def sampled(data: np.ndarray, unit: Unit = BYTES):
+    """Of a text's units: fingerprint h, hash c, place, and first and last start of the strings of each sampled suffix."""
     out = []
-    for at, part in stretches(data):
+    for at, part in stretches(data, unit.long):
         hashes = Hashes(part)
-        grams = hashes.every(GRAM)
+        grams = hashes.every(unit.gram)
         least = (grams & ~np.uint64(0x1FFFF)) | np.arange(len(grams), dtype=np.uint64)
         width = 1
-        span = LONG - GRAM + 1
+        span = unit.long - unit.gram + 1
         while width * 2 <= span:
             least = np.minimum(least[:-width], least[width:])
             width *= 2
@@ -101,7 +138,7 @@ def sampled(data: np.ndarray):
         first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
         last = np.append(first[1:], len(place)) - 1
         pos = place[first]
-        c = hashes.of(first, last + LONG) + ((pos - first) * 1009 + (pos - last)).astype(np.uint64) * np.uint64(BASE)
+        c = hashes.of(first, last + unit.long) + ((pos - first) * 1009 + (pos - last)).astype(np.uint64) * np.uint64(BASE)
         # The least of many fingerprints is small: mixed anew, so that buckets are even.
         out.append((mix(grams[pos]), c, pos + at, first + at, last + at))
     if not out:
@@ -109,8 +146,8 @@ def sampled(data: np.ndarray):
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def entries(data: np.ndarray, doc: int | None, t: int) -> np.ndarray:
-    h, c, pos, first, last = sampled(data)
+def entries(data: np.ndarray, doc: int | None, t: int, unit: Unit = BYTES) -> np.ndarray:
+    h, c, pos, first, last = sampled(data, unit)
     e = np.zeros(len(h), ENTRY)
     e["h"], e["c"], e["doc"], e["t"], e["pos"], e["null"] = h, c, doc or 0, t, pos, doc is None
     e["lo"], e["hi"] = pos - first, pos - last
@@ -166,10 +203,10 @@ def ids(e: np.ndarray) -> pa.Array:
     return pa.array(e["doc"], pa.int64(), mask=e["null"] > 0)
 
 
-def spans(e: np.ndarray) -> pa.RecordBatch:
-    """The bytes that the strings of repeats cover; stretches of one document that touch become one."""
+def spans(e: np.ndarray, long: int) -> pa.RecordBatch:
+    """The units that the strings of repeats cover; stretches of one document that touch become one."""
     pos = e["pos"].astype(np.int64)
-    start, stop = pos - e["lo"], pos - e["hi"] + LONG
+    start, stop = pos - e["lo"], pos - e["hi"] + long
     order = np.lexsort((start, e["t"], e["doc"], e["null"]))
     e, start, stop = e[order], start[order], stop[order]
     apart = (e["doc"][1:] != e["doc"][:-1]) | (e["t"][1:] != e["t"][:-1]) | (e["null"][1:] != e["null"][:-1]) | (start[1:] > stop[:-1])
@@ -187,9 +224,11 @@ def rivals(e: np.ndarray, bucket: int) -> pa.RecordBatch:
 class Family:
     """Levels of suffix arrays: rank -> table (bucket, blob), in the shared folder."""
 
-    def __init__(self, spark, buckets: int | None = None):
+    def __init__(self, spark, buckets: int | None = None, unit: Unit = BYTES):
+        self.unit = unit
         self.buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.levels: dict[int, DataFrame] = {}
+        self.tables: list[DataFrame] = []
 
     def add(self, docs: DataFrame, store: bool = True) -> DataFrame:
         """Merge-scan docs (doc, t, text) as a batch; gives its table of spans and rivals.
@@ -201,7 +240,7 @@ class Family:
         while rank in self.levels:
             rank += 1
         merged = set(range(rank))
-        buckets = self.buckets
+        buckets, unit = self.buckets, self.unit
 
         def pack(batches):
             held, n = [], 0
@@ -209,7 +248,7 @@ class Family:
             def flush():
                 gone, one = repeats(ordered(np.concatenate(held)))
                 if len(gone):
-                    yield spans(gone)
+                    yield spans(gone, unit.long)
                 at = ((one["h"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)  # h ascends, so does at
                 cut = np.searchsorted(at, np.arange(buckets + 1))
                 blobs = [(k, one[cut[k] : cut[k + 1]].tobytes()) for k in range(buckets) if cut[k] < cut[k + 1]]
@@ -217,9 +256,9 @@ class Family:
 
             for b in batches:
                 for doc, t, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                    data = np.frombuffer(text.as_buffer() or b"", np.uint8) if text.is_valid else np.zeros(0, np.uint8)
-                    if len(data) >= LONG:
-                        held.append(entries(data, doc, t))
+                    data = unit.codes(text)
+                    if len(data) >= unit.long:
+                        held.append(entries(data, doc, t, unit))
                         n += len(held[-1])
                         if n > PACKED:
                             yield from flush()
@@ -243,7 +282,7 @@ class Family:
                 batch = merged_arrays([np.zeros(0, ENTRY), *(read([x]) for x in runs.pop(k, []))])
                 gone, one = repeats(merged_arrays([batch, *levels.values()]))
                 if len(gone):
-                    yield spans(gone)
+                    yield spans(gone, unit.long)
                 # Rivals within a level were told when it came to be.
                 new = np.isin(one["h"], batch["h"])
                 c = contested(one[new])
@@ -259,6 +298,7 @@ class Family:
         for r, level in self.levels.items():
             source = source.unionByName(level.withColumn("kind", F.lit(str(r))), allowMissingColumns=True)
         out = written(source.repartition(buckets, "bucket").mapInArrow(light(scan), ROW), "scan")
+        self.tables.append(out)
         if store:
             for r in merged:
                 del self.levels[r]
@@ -270,7 +310,7 @@ def read(blobs: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), ENTRY)
 
 
-def settled(found: DataFrame, docs: DataFrame, buckets: int) -> DataFrame:
+def settled(found: DataFrame, docs: DataFrame, buckets: int, unit: Unit = BYTES) -> DataFrame:
     """Spans (doc, t, start, stop) of contested suffixes: their strings are hashed one by one."""
     rivals_ = found.where("kind = 'rival'").groupBy("doc", "t").agg(F.collect_set(F.struct("start", "stop", "h", "hi", "many")).alias("a"))
     df = rivals_.withColumnRenamed("doc", "rd").withColumnRenamed("t", "rt")
@@ -285,19 +325,19 @@ def settled(found: DataFrame, docs: DataFrame, buckets: int) -> DataFrame:
     def pack(b):
         by: dict[int, list[bytes]] = {}
         for doc, t, text, a in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist()):
-            data = np.frombuffer(text.as_buffer(), np.uint8)
+            data = unit.codes(text)
             for x in a:
                 first, last = x["start"], x["stop"]
-                w = Hashes(data[first : last + LONG]).every(LONG)
+                w = Hashes(data[first : last + unit.long]).every(unit.long)
                 # Offsets ascend from the last string on; those of one block of offsets travel together.
                 w = w[::-1]
                 n = last - first + 1
                 at = 0
                 while at < n:
                     offset = x["hi"] + at
-                    take = min(n - at, OFFSETS - offset % OFFSETS)
+                    take = min(n - at, unit.offsets - offset % unit.offsets)
                     head = np.array([x["h"], offset, take, doc or 0, doc is None, t, last - at, x["many"]], np.int64)
-                    k = int(mix(np.array([x["h"] & (1 << 64) - 1], np.uint64) + np.uint64(offset // OFFSETS))[0] >> np.uint64(40)) * buckets >> 24
+                    k = int(mix(np.array([x["h"] & (1 << 64) - 1], np.uint64) + np.uint64(offset // unit.offsets))[0] >> np.uint64(40)) * buckets >> 24
                     by.setdefault(k, []).append(head.tobytes() + w[at : at + take].tobytes())
                     at += take
         if by:
@@ -333,25 +373,28 @@ def settled(found: DataFrame, docs: DataFrame, buckets: int) -> DataFrame:
                 new = np.flatnonzero(np.concatenate(([True], (owner[hit][1:] != owner[hit][:-1]) | (step[hit][1:] != step[hit][:-1] + 1))))
                 end = np.append(new[1:], len(hit)) - 1
                 o = head[owner[hit[new]]]
-                yield pa.RecordBatch.from_arrays([pa.array(o[:, 3], mask=o[:, 4] > 0), pa.array(o[:, 5]), pa.array(o[:, 6] - step[hit[end]]), pa.array(o[:, 6] - step[hit[new]] + LONG)], ["doc", "t", "start", "stop"])
+                yield pa.RecordBatch.from_arrays([pa.array(o[:, 3], mask=o[:, 4] > 0), pa.array(o[:, 5]), pa.array(o[:, 6] - step[hit[end]]), pa.array(o[:, 6] - step[hit[new]] + unit.long)], ["doc", "t", "start", "stop"])
 
     packed = one.select("doc", "t", "text", "a").mapInArrow(light(hashes), "bucket int, blob binary")
     return written(packed.repartition(buckets, "bucket").mapInArrow(light(meet), "doc long, t long, start long, stop long"), "settled")
 
 
-def removals(docs: DataFrame) -> DataFrame:
-    """doc, t and the merged spans of each document that has any; docs: doc, t, text."""
+def removals(docs: DataFrame, unit: Unit = BYTES) -> DataFrame:
+    """doc, t and the spans of each document that has any, as a table; docs: doc, t, text. The family's own tables go."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    family = Family(spark, max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), size * 4 // 10 // BUCKET_BYTES))
+    family = Family(spark, max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), size * 4 // 10 // BUCKET_BYTES), unit)
     part = F.pmod(F.shiftright("t", 17), F.lit(BATCHES))
     found = None
     for k in range(BATCHES):
         got = family.add(docs.where(F.coalesce(part, F.lit(0)) == k), store=k < BATCHES - 1)
         found = got if found is None else found.unionByName(got)
-    late = settled(found, docs, family.buckets)
+    late = settled(found, docs, family.buckets, unit)
     every = found.where("kind = 'span'").select("doc", "t", "start", "stop").union(late)
-    return every.groupBy("doc", "t").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"))
+    out = written(every.groupBy("doc", "t").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans")), "spans")
+    for table in (*family.tables, late):
+        drop(table)
+    return out
 
 
 def named(docs: DataFrame) -> DataFrame:
@@ -377,14 +420,19 @@ def left(data: bytes, cuts: list[list[int]]) -> bytes:
     return b"".join([*parts, data[at:]])
 
 
-def with_spans(docs: DataFrame, extra: list[tuple[str, str]]) -> DataFrame:
-    """doc, t, text, the extra columns under their new names, and spans (null: none)."""
+def with_spans(docs: DataFrame, extra: list[tuple[str, str]], units: tuple[Unit, ...] = (BYTES,)) -> DataFrame:
+    """doc, t, text, the extra columns under their new names, and spans0, spans1, ... by unit (null: none)."""
     names = ["doc", "t", "text", *(n for _, n in extra)]
     df = docs.select(docs["doc_id"].cast("long").alias("doc"), F.xxhash64(docs["text"]).alias("t"), docs["text"].alias("text"), *[docs[c].alias(n) for c, n in extra])
-    spans_ = written(removals(df.select("doc", "t", "text")), "spans").withColumnRenamed("doc", "sd").withColumnRenamed("t", "st")
+    by = [removals(df.select("doc", "t", "text"), u).select(F.col("doc").alias("sd"), F.col("t").alias("st"), *[(F.col("spans") if i == k else F.lit(None)).alias(f"spans{i}") for i in range(len(units))]) for k, u in enumerate(units)]
+    spans_ = by[0]
+    if len(units) > 1:
+        for more in by[1:]:
+            spans_ = spans_.union(more)
+        spans_ = spans_.groupBy("sd", "st").agg(*[F.max(f"spans{i}").alias(f"spans{i}") for i in range(len(units))])
     some, none = sift(df, "t", spans_, "st")
-    some = some.join(spans_, some["t"].eqNullSafe(spans_["st"]) & some["doc"].eqNullSafe(spans_["sd"]), "left").select(*names, "spans")
-    return some.unionByName(none.select(*names).withColumn("spans", F.lit(None).cast(spans_.schema["spans"].dataType)))
+    some = some.join(spans_, some["t"].eqNullSafe(spans_["st"]) & some["doc"].eqNullSafe(spans_["sd"]), "left").select(*names, *[f"spans{i}" for i in range(len(units))])
+    return some.unionByName(none.select(*names).withColumns({f"spans{i}": F.lit(None).cast(spans_.schema[f"spans{i}"].dataType) for i in range(len(units))}))
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -400,31 +448,35 @@ def digest(docs: DataFrame) -> DataFrame:
             cols = list(zip(*out)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.string()]))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return with_spans(docs, []).select("doc", "text", "spans").mapInArrow(light(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_spans(docs, []).select("doc", "text", "spans0").mapInArrow(light(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs with the repeats cut out of their texts, with their own columns; texts that were cut to nothing go.
+def without_repeats(docs: DataFrame, units: tuple[Unit, ...] = (BYTES,)) -> DataFrame:
+    """docs with the repeats of all units cut out of their texts, with their own columns; texts that were cut to nothing go.
 
-    Bytes of a character that is cut through are dropped.
+    Repeats of each unit are judged on the whole input. Bytes of a character that is cut through are dropped.
     """
     own = [f"c{i}" for i in range(len(docs.columns))]
     at = own[docs.columns.index("text")]
+    void = SPACES if any(u.words for u in units) else ""
 
     def cut(batches):
         for b in batches:
-            i = b.schema.get_field_index(at)
-            texts = []
-            for text, a in zip(b.column(i), b.column(b.num_columns - 1).to_pylist()):
-                cuts = merged(a)
-                data = left(text.as_buffer().to_pybytes(), cuts) if cuts else None
-                texts.append(text.as_py() if data is None else data.decode("utf-8", "ignore"))
-            cols = [pa.array(texts, pa.string()) if k == i else b.column(k) for k in range(b.num_columns - 1)]
-            gone = pa.array([not (a and not t) for a, t in zip(b.column(b.num_columns - 1).to_pylist(), texts)])
-            yield pa.RecordBatch.from_arrays(cols, own).filter(gone)
-
-    df = with_spans(docs, list(zip(docs.columns, own)))
-    return df.select(*own, "spans").mapInArrow(light(cut), df.select(*own).schema).toDF(*docs.columns)
+            i, n = b.schema.get_field_index(at), len(own)
+            texts, stay = [], []
+            for text, *a in zip(b.column(i), *(b.column(n + k).to_pylist() for k in range(len(units)))):
+                if any(a):
+                    data = text.as_buffer().to_pybytes()
+                    cuts = merged(sorted((x for u, y in zip(units, a) for x in u.in_bytes(data, y)), key=lambda x: x["start"]))
+                    texts.append(left(data, cuts).decode("utf-8", "ignore"))
+                    stay.append(bool(texts[-1].strip(void) if void else texts[-1]))
+                else:
+                    texts.append(text.as_py())
+                    stay.append(True)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == i else b.column(k) for k in range(n)], own).filter(pa.array(stay, pa.bool_()))
+
+    df = with_spans(docs, list(zip(docs.columns, own)), units)
+    return df.select(*own, *[f"spans{i}" for i in range(len(units))]).mapInArrow(light(cut), df.select(*own).schema).toDF(*docs.columns)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
