@@ -9,7 +9,9 @@ A task hashes the words of its documents and packs them into chunks of some mill
 distinct unigrams and bigrams of a chunk, with their counts in both corpora, go as sorted binary rows
 to the bucket of their hash, whose task adds up all chunks and answers each chunk with the corpus
 counts of what it asked. Answers come in the order of the sorted grams, so a chunk reads them off
-without a lookup table; no model is ever whole in one place. A gram that is in every document reaches
+without a lookup table; no model is ever whole in one place. Every chunk asks every bucket, be it for
+nothing, and tells it its words: so each bucket knows the words of both corpora, and each chunk learns
+from its answers how many different words there are. Nothing is stored or collected in between. A gram that is in every document reaches
 its bucket once per chunk. A chunk is named by its partition and its number there, so that chunks of
 equal contents stay apart, and a task that is run again gives the same names.
 
@@ -29,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import batches_of, documents, drop, give_back, light, sift, written
+from quire.llm.common import batches_of, documents, give_back, light, sift, written
 from quire.llm.sets import _WORDS, WORDS_KEPT, mix
 
 ALPHA, BETA = 0.1, 5.0
@@ -96,9 +98,9 @@ def counted(distinct: np.ndarray, at: np.ndarray, lens: np.ndarray, target: np.n
     return found, place[:u][at], place[prior], place[u + 1 :][both], *(counts or (None, None))
 
 
-ROW = "kind string, bucket int, chunk long, n long, m long, a binary, b binary, c binary, d binary"
+ROW = "kind string, bucket int, chunk long, n long, m long, v long, a binary, b binary, c binary, d binary"
 NAMES = [x.split()[0] for x in ROW.split(", ")]
-TYPES = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
+TYPES = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
 
 
 def row(*values) -> pa.RecordBatch:
@@ -115,7 +117,10 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def exchanged(df: DataFrame, buckets: int) -> DataFrame:
-    """Rows of kind chunk (the documents as word hashes) and answer (the counts of its grams, by bucket)."""
+    """Rows of kind chunk (the documents as word hashes) and answer (the counts of its grams, by bucket).
+
+    n and m are words and target words, of the chunk or, in an answer, of all; v is the bucket's different words.
+    """
 
     def ask(batches):
         ids, lens, target, held, n = [], [], [], [], 0
@@ -133,15 +138,15 @@ def exchanged(df: DataFrame, buckets: int) -> DataFrame:
             distinct, at = distinct[order], place[at]
             size, good = np.array(lens, np.int64), np.array(target, bool)
             found, _, _, _, both, goods = counted(distinct, at, size, good)
-            name = next(names)
+            name, own = next(names), int(size[good].sum())
             head = np.array([i if i is not None else 0 for i in ids], "<i8").tobytes() + np.array([i is None for i in ids], "u1").tobytes()
-            yield row("chunk", int(mix(np.array([name], np.uint64))[0] % np.uint64(buckets)), name, n, int(size[good].sum()), zstandard.compress(head, 1), packed(size.astype("<u4")), packed(distinct), packed(at.astype("<u4")))
+            yield row("chunk", int(mix(np.array([name], np.uint64))[0] % np.uint64(buckets)), name, n, own, None, zstandard.compress(head, 1), packed(size.astype("<u4")), packed(distinct), packed(at.astype("<u4")))
             bucket = (found >> np.uint64(BITS - 32)) * np.uint64(buckets) >> np.uint64(32)
             cut = np.searchsorted(bucket, np.arange(buckets + 1))
             for k in range(buckets):
                 s = slice(cut[k], cut[k + 1])
-                if cut[k] < cut[k + 1]:
-                    yield row("ask", k, name, None, None, steps(found[s]), packed(both[s]), packed(goods[s]), None)
+                asked = (steps(found[s]), packed(both[s]), packed(goods[s])) if cut[k] < cut[k + 1] else (b"",) * 3
+                yield row("ask", k, name, n, own, None, *asked, None)
 
         for b in batches:
             for doc, text, good in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
@@ -160,7 +165,7 @@ def exchanged(df: DataFrame, buckets: int) -> DataFrame:
         if n:
             yield from flush()
         elif ids:  # documents without words alone
-            yield row("blank", 0, 0, len(ids), 0, zstandard.compress(np.array([i if i is not None else 0 for i in ids], "<i8").tobytes() + np.array([i is None for i in ids], "u1").tobytes(), 1), None, None, None)
+            yield row("blank", 0, 0, len(ids), 0, None, zstandard.compress(np.array([i if i is not None else 0 for i in ids], "<i8").tobytes() + np.array([i is None for i in ids], "u1").tobytes(), 1), None, None, None)
 
     def answer(batches):
         asked: dict[int, list[tuple]] = {}
@@ -169,15 +174,15 @@ def exchanged(df: DataFrame, buckets: int) -> DataFrame:
             if b.filter(plain).num_rows:
                 yield b.filter(plain)
             for x in b.filter(pa.compute.equal(b.column(0), "ask")).to_pylist():
-                asked.setdefault(x["bucket"], []).append((x["chunk"], x["a"], x["b"], x["c"]))
+                asked.setdefault(x["bucket"], []).append((x["chunk"], x["a"], x["b"], x["c"], x["n"], x["m"]))
         for k in list(asked):
             asks = asked.pop(k)
-            parts = [np.cumsum(unpacked(a, "<u8")) for _, a, _, _ in asks]
+            parts = [np.cumsum(unpacked(a, "<u8")) for _, a, *_ in asks]
             counts = [[unpacked(x[i], "<u4") for x in asks] for i in (2, 3)]
-            names_ = [x[0] for x in asks]
+            names_, size, good = [x[0] for x in asks], sum(x[4] for x in asks), sum(x[5] for x in asks)
             del asks
             # The bucket is answered stretch by stretch of hashes, each of about MET asked grams.
-            low, high = min(int(p[0]) for p in parts), max(int(p[-1]) for p in parts)
+            low, high = min((int(p[0]) for p in parts if len(p)), default=0), max((int(p[-1]) for p in parts if len(p)), default=0)
             steps_ = sum(map(len, parts)) // MET + 1
             edges = [low + (high - low) * j // steps_ for j in range(1, steps_)]
             cuts = [np.concatenate(([0], np.searchsorted(p, np.array(edges, np.uint64)), [len(p)])) for p in parts]
@@ -195,19 +200,14 @@ def exchanged(df: DataFrame, buckets: int) -> DataFrame:
                     total = total.astype("<u8")[at]
                     for o, x, e in zip(out, some, ends):
                         o[x] = total[e - (x.stop - x.start) : e]
-            yield row("words", k, None, different, None, None, None, None, None)
-            for chunk, both, good in zip(names_, *told):
-                yield row("answer", k, chunk, None, None, packed(both.astype("<u8")), packed(good.astype("<u8")), None, None)
+            for chunk, both, goods in zip(names_, *told):
+                yield row("answer", k, chunk, size, good, different, *(packed(x.astype("<u8")) if len(x) else b"" for x in (both, goods)), None, None)
 
-    with batches_of(df.sparkSession, ROWS):
-        return written(df.mapInArrow(light(ask), ROW).repartition(buckets, "bucket").mapInArrow(light(answer), ROW), "grams")
+    return df.mapInArrow(light(ask), ROW).repartition(buckets, "bucket").mapInArrow(light(answer), ROW)
 
 
 def scored(rows: DataFrame, buckets: int) -> DataFrame:
-    """Losses of each document of the chunks. Three sums reach the driver: words, target words, different words."""
-    total = {r.kind: r for r in rows.where("kind in ('chunk', 'words')").groupBy("kind").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).collect()}
-    size, good = (float(total["chunk"].n), float(total["chunk"].m)) if "chunk" in total else (0.0, 0.0)
-    vocabulary = total["words"].n - 1 if "words" in total else 0  # without the start
+    """Losses of each document of the chunks."""
 
     def run(batches):
         chunks: dict[int, dict] = {}
@@ -215,7 +215,7 @@ def scored(rows: DataFrame, buckets: int) -> DataFrame:
         for b in batches:
             for x in b.to_pylist():
                 if x["kind"] == "answer":
-                    answers.setdefault(x["chunk"], {})[x["bucket"]] = (x["a"], x["b"])
+                    answers.setdefault(x["chunk"], {})[x["bucket"]] = (x["a"], x["b"], x["n"], x["m"], x["v"])
                 elif x["kind"] == "chunk":
                     chunks[x["chunk"]] = x
                 else:
@@ -224,6 +224,8 @@ def scored(rows: DataFrame, buckets: int) -> DataFrame:
         for name in list(chunks):
             x, got = chunks.pop(name), answers.pop(name)
             lens = unpacked(x["b"], "<u4").astype(np.int64)
+            size, good = map(float, next(iter(got.values()))[2:4])
+            vocabulary = sum(y[4] for y in got.values()) - 1  # without the start
             _, w, v, b, _, _ = counted(unpacked(x["c"], "<u8"), unpacked(x["d"], "<u4"), lens, None)
             losses = []
             for i, n in ((1, good), (0, size)):
@@ -247,17 +249,14 @@ def scored(rows: DataFrame, buckets: int) -> DataFrame:
         diff = pa.array(np.zeros(n) if losses is None else (losses[0] - losses[1]) / np.maximum(lens, 1), mask=empty)
         return pa.RecordBatch.from_arrays([ids, pa.array(lens, pa.int64()), *mean, diff], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
-    return rows.where("kind <> 'words'").repartition(buckets, "chunk").mapInArrow(light(run), "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    return rows.repartition(buckets, "chunk").mapInArrow(light(run), "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
 
 
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document: words, mean target and background loss, and their difference, the score."""
     buckets = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = exchanged(labelled(docs, labels), buckets)
     with batches_of(docs.sparkSession, ROWS):  # while the scores are made: packed rows by the ten thousand are much memory
-        out = written(scored(rows, buckets), "scores")
-    drop(rows)
-    return out
+        return written(scored(exchanged(labelled(docs, labels), buckets), buckets), "scores")
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
